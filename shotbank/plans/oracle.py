@@ -72,7 +72,7 @@ def knn_hits(k: int, metric: str = "ip", queries: str = "qb", corpus: str = "kb"
         score = f"list_cosine_similarity(q.{qvec}::double[], c.{cvec}::double[])"
         order = "score desc"
     elif metric == "l2":
-        qv, cv = f"q.{qvec}::double[]", f"c.{cvec}::double[]"
+        qv, cv = f"(q.{qvec}::double[])", f"(c.{cvec}::double[])"
         score = (f"list_sum(list_transform(range(1, len({qv}) + 1), "
                  f"lambda i: ({qv}[i] - {cv}[i]) * ({qv}[i] - {cv}[i])))")
         order = "score asc"

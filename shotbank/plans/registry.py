@@ -172,3 +172,153 @@ def q_format_detailed(spark, sf):
 def q_format_prompt(spark, sf):
     return ret.retrieve_and_format(fx.query_batch(spark, sf), fx.knowledge_base(spark, sf),
                                    format_type="prompt", threshold=0.35)
+
+
+# ------------------------------------------------------------------ statistics and inspection
+
+from shotbank.functions import vectors as V  # noqa: E402
+from shotbank.operators import inspect as insp, stats  # noqa: E402
+
+_AVG_LENS = """round(avg(length(question)), 6) as avg_question_length,
+       round(avg(length(rationale)), 6) as avg_rationale_length,
+       round(avg(length(answer)), 6) as avg_answer_length"""
+
+
+@register("triplet_stats", O.with_base(f"""x as (select 1)
+select count(*) as total_triplets, {_AVG_LENS} from triplets""", kb=False))
+def q_triplet_stats(spark, sf):
+    return r6(stats.triplet_stats(fx.triplets(spark, sf)),
+              "avg_question_length", "avg_rationale_length", "avg_answer_length")
+
+
+_CONV_RAW = """conv_raw as (
+  select u.conv_id * 1000000 + u.turn as pos, cast(u.conv_id as varchar) || '-' || cast(u.turn as varchar) as id,
+         u.text as source, split_part(a.text, chr(10), -1) as target, a.text as rationale,
+         'conversation' as task
+  from conversations u join conversations a
+    on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant'
+  where u.role = 'user')"""
+
+
+def _classify_sql(src: str, name: str) -> str:
+    """The cleaning CTEs of ``oracle`` applied to another raw corpus."""
+    return (O.CLASSIFIED.replace("stripped as", f"{name}_s as").replace("from corpus_raw", f"from {src}")
+            .replace("classified as", f"{name}_c as").replace("from stripped", f"from {name}_s")
+            + f""",
+{name}_t as (
+  select pos, id, {O.collapse('q')} as question, {O.collapse('r')} as rationale,
+         {O.collapse('a')} as answer, {O.collapse('t')} as task
+  from {name}_c where status = 'kept')""")
+
+
+@register("corpus_compare", O.with_base(_CONV_RAW + ",\n" + _classify_sql("conv_raw", "conv") + f"""
+select corpus, count(*) as total_triplets, {_AVG_LENS} from (
+  select 'documents' as corpus, question, rationale, answer from triplets
+  union all select 'conversations', question, rationale, answer from conv_t) u
+group by corpus""", kb=False))
+def q_corpus_compare(spark, sf):
+    corpora = {"documents": fx.triplets(spark, sf),
+               "conversations": clean.extract_triplets(fx.conversation_raw(spark, sf), "conversation")}
+    return r6(stats.corpus_compare(corpora),
+              "avg_question_length", "avg_rationale_length", "avg_answer_length")
+
+
+@register("task_topk", O.with_base("""x as (select 1)
+select coalesce(task, 'unknown') as task, count(*) as count from triplets
+group by 1 order by count desc, task limit 10""", kb=False))
+def q_task_topk(spark, sf):
+    return stats.task_topk(fx.triplets(spark, sf))
+
+
+@register("task_distribution", O.with_base("""x as (select 1)
+select coalesce(task, 'unknown') as task, count(*) as count from triplets group by 1""", kb=False))
+def q_task_distribution(spark, sf):
+    return stats.task_distribution(fx.triplets(spark, sf))
+
+
+_NORM = "sqrt(list_dot_product(embedding::double[], embedding::double[]))"
+
+
+@register("embedding_stats", O.with_base(f"""x as (select 1)
+select count(*) as num_embeddings, max(cast(len(embedding) as integer)) as embedding_dimension,
+       round(avg({_NORM}), 6) as mean_norm, round(stddev_pop({_NORM}), 6) as std_norm
+from kb"""))
+def q_embedding_stats(spark, sf):
+    return r6(stats.embedding_stats(fx.knowledge_base(spark, sf)), "mean_norm", "std_norm")
+
+
+@register("dimension_check", """
+select count(embedding) as num_vectors, min(cast(len(embedding) as integer)) as min_dimension,
+       max(cast(len(embedding) as integer)) as max_dimension,
+       min(len(embedding)) = max(len(embedding)) as consistent
+from embeddings""")
+def q_dimension_check(spark, sf):
+    return stats.dimension_check(fx.table(spark, sf, "embeddings"))
+
+
+@register("l2_normalize", f"""
+select vec_id, round({_NORM}, 6) as norm,
+       list_transform(embedding::double[], lambda x: round(x / {_NORM}, 6)) as unit
+from embeddings""")
+def q_l2_normalize(spark, sf):
+    e = fx.table(spark, sf, "embeddings")
+    return e.select("vec_id", F.round(V.norm("embedding"), 6).alias("norm"),
+                    F.transform(V.l2_normalize("embedding"), lambda x: F.round(x, 6)).alias("unit"))
+
+
+@register("cosine_topk", O.with_base(O.knn_hits(
+    5, queries=f"(select query_id, list_transform(embedding::double[], lambda x: x / {_NORM}) as embedding "
+               f"from qb where {_NORM} > 0)")
+    + "\nselect query_id, rank, id, round(score, 6) as score from hits"))
+def q_cosine_topk(spark, sf):
+    q = fx.query_batch(spark, sf)
+    q = q.select("query_id", V.l2_normalize("embedding").alias("embedding"))
+    return r6(knn_op.knn(q, fx.knowledge_base(spark, sf), 5, "ip"), "score")
+
+
+@register("relevance_bands", O.with_base(O.knn_hits(5) + """
+select case when score >= 0.7 then 'high' when score >= 0.5 then 'medium' else 'low' end as band,
+       count(*) as hits, round(avg(score), 6) as avg_score
+from hits group by 1"""))
+def q_relevance_bands(spark, sf):
+    hits = knn_op.knn(fx.query_batch(spark, sf), fx.knowledge_base(spark, sf), 5, "ip")
+    return r6(stats.relevance_bands(hits), "avg_score")
+
+
+@register("corpus_profile", O.with_base("""x as (select 1)
+select count(*) as total_samples, 'source,target,rationale,task' as columns from corpus_raw""", kb=False))
+def q_corpus_profile(spark, sf):
+    return insp.profile(fx.corpus_raw(spark, sf))
+
+
+@register("corpus_head", O.with_base("""x as (select 1)
+select * from corpus_raw order by pos limit 3""", kb=False))
+def q_corpus_head(spark, sf):
+    return insp.head(fx.corpus_raw(spark, sf), 3)
+
+
+def _preview_sql(c: str) -> str:
+    return f"case when length({c}) > 100 then substr({c}, 1, 100) || '...' else {c} end"
+
+
+@register("preview", O.with_base(f"""x as (select 1)
+select id, {_preview_sql('question')} as question_preview, {_preview_sql('rationale')} as rationale_preview,
+       {_preview_sql('answer')} as answer_preview from triplets""", kb=False))
+def q_preview(spark, sf):
+    return insp.previews(fx.triplets(spark, sf))
+
+
+@register("lookup_by_id", O.with_base("""x as (select 1)
+select cast(d.doc_id as varchar) as id, kb.question, kb.rationale, kb.answer, kb.source,
+       kb.id is not null as found
+from documents d left join kb on kb.id = cast(d.doc_id as varchar)"""))
+def q_lookup_by_id(spark, sf):
+    ids = fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"))
+    return insp.lookup(ids, fx.knowledge_base(spark, sf))
+
+
+@register("vector_metadata", O.with_base("""x as (select 1)
+select pos as embedding_index, coalesce(id, cast(pos as varchar)) as id, question, rationale, answer,
+       coalesce(source, 'unknown') as source, task from kb"""))
+def q_vector_metadata(spark, sf):
+    return insp.vector_metadata(fx.knowledge_base(spark, sf))

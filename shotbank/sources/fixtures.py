@@ -64,3 +64,22 @@ def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("query_id"), first_line("text").alias("query"))
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     return e.join(d, "query_id", "left")
+
+
+def conversation_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second raw corpus: a user turn and the assistant turn that follows it.
+
+    question = user text, rationale = assistant text, answer = its last line.
+    """
+    c = table(spark, sf_dir, "conversations")
+    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("u_text"))
+    a = c.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a_text"))
+    return u.join(a, ["conv_id", "turn"]).select(
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("pos"),
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.col("u_text").alias("source"),
+        last_line("a_text").alias("target"),
+        F.col("a_text").alias("rationale"),
+        F.lit("conversation").alias("task"),
+    )
