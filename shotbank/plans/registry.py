@@ -322,3 +322,138 @@ select pos as embedding_index, coalesce(id, cast(pos as varchar)) as id, questio
        coalesce(source, 'unknown') as source, task from kb"""))
 def q_vector_metadata(spark, sf):
     return insp.vector_metadata(fx.knowledge_base(spark, sf))
+
+
+# ------------------------------------------------------------------ prompts, generation, evaluation
+
+from shotbank.operators import generate as gen  # noqa: E402
+from shotbank.session import scratch_path  # noqa: E402
+
+
+@register("prompt_baseline", O.with_base("""x as (select 1)
+select query_id, 'baseline' as method, query,
+       'You are a helpful assistant that provides direct, concise answers without showing reasoning steps.' as system,
+       'Question: ' || query || chr(10) || chr(10) || 'Give me the final answer only.' as prompt
+from qb"""))
+def q_prompt_baseline(spark, sf):
+    return gen.baseline_prompts(fx.query_batch(spark, sf))
+
+
+@register("prompt_cot", O.with_base(O.knn_hits(5) + f""",
+sel as (select h.*, {_META} from hits h join kb on kb.id = h.id where h.score >= 0.35 or h.rank = 1),
+ex as (select query_id, count(*) as n_examples,
+              string_agg('Example ' || rank || ':' || chr(10) || 'Question: ' || question || chr(10)
+                         || 'Rationale: ' || rationale || chr(10) || 'Answer: ' || answer || chr(10) || chr(10),
+                         '' order by rank) as body
+       from sel where rank <= 5 group by query_id)
+select q.query_id, 'retrieval_augmented_cot' as method, q.query,
+       'You are a helpful assistant that thinks step-by-step and shows detailed reasoning before providing the final answer.' as system,
+       case when ex.body is not null
+            then 'Question: ' || q.query || chr(10) || chr(10) || ex.body || 'Now think step by step to solve the question above.'
+            else 'Question: ' || q.query || chr(10) || chr(10) || 'Think step by step to solve this question.' end as prompt,
+       coalesce(ex.n_examples, 0) as n_examples
+from qb q left join ex on ex.query_id = q.query_id"""))
+def q_prompt_cot(spark, sf):
+    hits = ret.retrieve(fx.query_batch(spark, sf), fx.knowledge_base(spark, sf), k=gen.DEFAULT_K, threshold=0.35)
+    p = gen.cot_prompts(fx.query_batch(spark, sf), hits)
+    return p.select("query_id", "method", "query", "system", "prompt",
+                    F.coalesce(F.size("examples"), F.lit(0)).cast("long").alias("n_examples"))
+
+
+def _pipeline_generations(spark, sf):
+    """Both prompt sets of the query batch through the stand-in model, written once."""
+    q = fx.query_batch(spark, sf)
+    hits = ret.retrieve(q, fx.knowledge_base(spark, sf), k=gen.DEFAULT_K, threshold=0.35)
+    prompts = gen.baseline_prompts(q).unionByName(gen.cot_prompts(q, hits).drop("examples"))
+    return gen.generate_to(prompts, gen.echo_model, scratch_path(spark, "generations")), hits
+
+
+@register("generate_batch")
+def q_generate_batch(spark, sf):
+    g, _ = _pipeline_generations(spark, sf)
+    return g.select("query_id", "method", "prompt", "response", "failed")
+
+
+_GEN_LOG = """gl as (select user_id, cast(ts as date) as day,
+       case when event_type = 'view' then 'baseline' else 'retrieval_augmented_cot' end as method,
+       avg(value) as generation_time
+  from events where event_type in ('view', 'click') group by 1, 2, 3),
+el as (select distinct user_id, cast(ts as date) as day from events where event_type = 'error'),
+bs as (select user_id, cast(ts as date) as day, max(value) / 1000 as best_similarity_score,
+              count(*) as retrieved_examples_count
+  from events where event_type = 'purchase' group by 1, 2),
+paired as (
+  select p.user_id, p.day, p.baseline_time, p.cot_time, p.cot_time - p.baseline_time as time_difference,
+         bs.best_similarity_score, coalesce(bs.retrieved_examples_count, 0) as retrieved_examples_count
+  from (select user_id, day,
+               max(case when method = 'baseline' then generation_time end) as baseline_time,
+               max(case when method = 'retrieval_augmented_cot' then generation_time end) as cot_time
+        from gl group by 1, 2) p
+  left join bs on bs.user_id = p.user_id and bs.day = p.day),
+batch as (
+  select k.user_id, k.day,
+         case when el.user_id is not null then 'comparison failed'
+              when p.baseline_time is null then 'missing baseline result'
+              when p.cot_time is null then 'missing retrieval_augmented_cot result' end as error,
+         p.baseline_time, p.cot_time, p.time_difference, p.best_similarity_score, p.retrieved_examples_count
+  from (select user_id, day from gl union select user_id, day from el) k
+  left join paired p on p.user_id = k.user_id and p.day = k.day
+  left join el on el.user_id = k.user_id and el.day = k.day),
+batch_out as (
+  select user_id, day, error,
+         case when error is null then baseline_time end as baseline_time,
+         case when error is null then cot_time end as cot_time,
+         case when error is null then time_difference end as time_difference,
+         case when error is null then best_similarity_score end as best_similarity_score,
+         case when error is null then retrieved_examples_count end as retrieved_examples_count
+  from batch)"""
+
+_KEYS = ("user_id", "day")
+_CMP_COLS = ("baseline_time", "cot_time", "time_difference", "best_similarity_score")
+
+
+def _fixture_comparisons(spark, sf, batch: bool):
+    return gen.compare_methods(
+        fx.generation_log(spark, sf), fx.best_score_log(spark, sf), keys=_KEYS,
+        expected=fx.generation_log(spark, sf) if batch else None,
+        failed=fx.error_log(spark, sf) if batch else None)
+
+
+@register("compare_methods", "with " + _GEN_LOG + """
+select user_id, day, round(baseline_time, 6) as baseline_time, round(cot_time, 6) as cot_time,
+       round(time_difference, 6) as time_difference, round(best_similarity_score, 6) as best_similarity_score,
+       retrieved_examples_count
+from paired where baseline_time is not null and cot_time is not null""")
+def q_compare_methods(spark, sf):
+    return r6(_fixture_comparisons(spark, sf, False), *_CMP_COLS)
+
+
+@register("batch_compare", "with " + _GEN_LOG + """
+select user_id, day, error, round(baseline_time, 6) as baseline_time, round(cot_time, 6) as cot_time,
+       round(time_difference, 6) as time_difference, round(best_similarity_score, 6) as best_similarity_score,
+       retrieved_examples_count
+from batch_out""")
+def q_batch_compare(spark, sf):
+    return r6(_fixture_comparisons(spark, sf, True), *_CMP_COLS)
+
+
+@register("evaluate", "with " + _GEN_LOG + """
+select count(*) as total_queries, round(avg(baseline_time), 6) as average_baseline_time,
+       round(avg(cot_time), 6) as average_cot_time,
+       round((sum(cot_time) - sum(baseline_time)) / count(*), 6) as average_time_overhead,
+       round(coalesce(avg(best_similarity_score), 0), 6) as average_similarity_score,
+       round(count(best_similarity_score) / count(*), 6) as retrieval_success_rate,
+       round(count_if(best_similarity_score >= 0.5) / count(*), 6) as above_threshold_rate,
+       case when count(*) = 0 then 'No valid comparisons to evaluate' end as error
+from batch_out where error is null""")
+def q_evaluate(spark, sf):
+    m = gen.evaluate(_fixture_comparisons(spark, sf, True))
+    return r6(m, "average_baseline_time", "average_cot_time", "average_time_overhead",
+              "average_similarity_score", "retrieval_success_rate", "above_threshold_rate")
+
+
+@register("comparison_report")
+def q_comparison_report(spark, sf):
+    g, hits = _pipeline_generations(spark, sf)
+    cmp = gen.compare_methods(g, gen.best_scores(hits))
+    return gen.report(cmp)

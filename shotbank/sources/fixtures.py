@@ -83,3 +83,29 @@ def conversation_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("a_text").alias("rationale"),
         F.lit("conversation").alias("task"),
     )
+
+
+def generation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in for timed model calls: (user_id, day, method, generation_time).
+
+    One row per (user, day, method); views are baseline calls, clicks are
+    retrieval-augmented calls. Key of a comparison = (user_id, day).
+    """
+    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click"))
+    method = F.when(F.col("event_type") == "view", F.lit("baseline")).otherwise(F.lit("retrieval_augmented_cot"))
+    return (e.groupBy("user_id", F.to_date("ts").alias("day"), method.alias("method"))
+            .agg(F.avg("value").alias("generation_time")))
+
+
+def error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, day) whose comparison failed."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    return e.select("user_id", F.to_date("ts").alias("day")).distinct()
+
+
+def best_score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, day, best_similarity_score, retrieved_examples_count); a missing day = no example."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    return (e.groupBy("user_id", F.to_date("ts").alias("day"))
+            .agg((F.max("value") / 1000).alias("best_similarity_score"),
+                 F.count(F.lit(1)).alias("retrieved_examples_count")))
