@@ -457,3 +457,74 @@ def q_comparison_report(spark, sf):
     g, hits = _pipeline_generations(spark, sf)
     cmp = gen.compare_methods(g, gen.best_scores(hits))
     return gen.report(cmp)
+
+
+# ------------------------------------------------------------------ IVF index
+
+from shotbank.operators import ivf  # noqa: E402
+
+_CENT = """cent as (
+  select label as cell, list(m order by i) as centroid from (
+    select label, i, avg(x) as m from (
+      select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as i from embeddings)
+    group by label, i) group by label),
+assigned as (
+  select id, cell from (
+    select v.id, c.cell, row_number() over (partition by v.id
+             order by list_dot_product(v.embedding::double[], c.centroid) desc, c.cell) as rn
+    from kb v, cent c) where rn = 1)"""
+
+
+def _ivf_fixture(spark, sf):
+    cents = ivf.label_centroids(fx.table(spark, sf, "embeddings"))
+    return cents, ivf.assign_cells(fx.knowledge_base(spark, sf), cents)
+
+
+@register("ivf_assign", O.with_base(_CENT + "\nselect id, cell from assigned"))
+def q_ivf_assign(spark, sf):
+    _, index = _ivf_fixture(spark, sf)
+    return index.select("id", "cell")
+
+
+@register("index_roundtrip", O.with_base(_CENT + """
+select cell, count(*) as vectors, min(id) as first_id, max(id) as last_id from assigned group by cell"""))
+def q_index_roundtrip(spark, sf):
+    _, index = _ivf_fixture(spark, sf)
+    back = ivf.write_index(index, scratch_path(spark, "ivf-index"))
+    return back.groupBy("cell").agg(F.count(F.lit(1)).alias("vectors"), F.min("id").alias("first_id"),
+                                    F.max("id").alias("last_id"))
+
+
+@register("index_stats", O.with_base(_CENT + """
+select count(*) as total_vectors, max(cast(len(kb.embedding) as integer)) as dimension,
+       count(kb.question) as num_metadata_items, count(distinct a.cell) as num_cells,
+       'IndexIVFFlat' as index_type, true as is_trained
+from assigned a join kb on kb.id = a.id"""))
+def q_index_stats(spark, sf):
+    _, index = _ivf_fixture(spark, sf)
+    meta = fx.knowledge_base(spark, sf).select("id", "question")
+    return stats.index_stats(index.join(meta, "id"), "IndexIVFFlat", cell="cell")
+
+
+@register("ivf_search", O.with_base(_CENT + """,
+probes as (
+  select query_id, cell from (
+    select q.query_id, c.cell, row_number() over (partition by q.query_id
+             order by list_dot_product(q.embedding::double[], c.centroid) desc, c.cell) as pr
+    from qb q, cent c) where pr <= 2),
+cand as (
+  select p.query_id, kb.id, list_dot_product(q.embedding::double[], kb.embedding::double[]) as score
+  from probes p join qb q on q.query_id = p.query_id join assigned a on a.cell = p.cell join kb on kb.id = a.id)
+select query_id, cast(rank as integer) as rank, id, round(score, 6) as score from (
+  select *, row_number() over (partition by query_id order by score desc, id) as rank from cand)
+where rank <= 5"""))
+def q_ivf_search(spark, sf):
+    cents, index = _ivf_fixture(spark, sf)
+    return r6(ivf.ivf_search(fx.query_batch(spark, sf), index, cents, 5, nprobe=2), "score")
+
+
+@register("ivf_train")
+def q_ivf_train(spark, sf):
+    kb = fx.knowledge_base(spark, sf)
+    cents = ivf.train_centroids(kb, seed=42)
+    return ivf.assign_cells(kb, cents).groupBy("cell").agg(F.count(F.lit(1)).alias("vectors"))
