@@ -2,7 +2,8 @@
 
 Output: one row per (query, hit) - ``query_id, rank, id, score`` - with the best
 ``k`` hits of every query, ranked by score (descending for ``ip`` / ``cosine``,
-ascending squared distance for ``l2``), ties broken by ``id`` ascending.
+ascending squared distance for ``l2``), ties broken by ``id`` ascending. Scores
+are rounded to 12 decimals first, so identical vectors always tie.
 
 Physical strategies (picked by ``strategy="auto"`` from counted sizes):
 
@@ -40,6 +41,9 @@ BLOCK_ROWS = 20_000
 QBLOCK_ROWS = 5_000
 # cap on the number of entries of one score matrix held at a time
 _MAX_CELLS = 8_000_000
+# scores are rounded to this many decimals before ranking, so that summation
+# order noise (~1e-16) can never reorder equal scores: equal means tie -> id
+SCORE_DECIMALS = 12
 
 _HIGHER_BETTER = {"ip": True, "cosine": True, "l2": False}
 
@@ -108,7 +112,7 @@ class TopK:
         step = max(1, _MAX_CELLS // max(nq, 1))
         for lo in range(0, c.shape[0], step):
             cb, idb = c[lo:lo + step], ids[lo:lo + step]
-            s = scores(self.q, cb, self.metric)
+            s = np.round(scores(self.q, cb, self.metric), SCORE_DECIMALS)
             key = _sort_key(s, self.metric)
             if self.allowed is not None:
                 key[~self.allowed(groups[lo:lo + step])] = np.inf

@@ -79,7 +79,7 @@ def knn_hits(k: int, metric: str = "ip", queries: str = "qb", corpus: str = "kb"
     else:
         raise ValueError(metric)
     return f"""{name}_all as (
-  select q.{qid} as query_id, c.{cid} as id, {score} as score
+  select q.{qid} as query_id, c.{cid} as id, round({score}, 12) as score
   from {queries} q, {corpus} c
   where q.{qvec} is not null and c.{cvec} is not null),
 {name} as (

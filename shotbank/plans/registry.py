@@ -513,7 +513,7 @@ probes as (
              order by list_dot_product(q.embedding::double[], c.centroid) desc, c.cell) as pr
     from qb q, cent c) where pr <= 2),
 cand as (
-  select p.query_id, kb.id, list_dot_product(q.embedding::double[], kb.embedding::double[]) as score
+  select p.query_id, kb.id, round(list_dot_product(q.embedding::double[], kb.embedding::double[]), 12) as score
   from probes p join qb q on q.query_id = p.query_id join assigned a on a.cell = p.cell join kb on kb.id = a.id)
 select query_id, cast(rank as integer) as rank, id, round(score, 6) as score from (
   select *, row_number() over (partition by query_id order by score desc, id) as rank from cand)
@@ -528,3 +528,59 @@ def q_ivf_train(spark, sf):
     kb = fx.knowledge_base(spark, sf)
     cents = ivf.train_centroids(kb, seed=42)
     return ivf.assign_cells(kb, cents).groupBy("cell").agg(F.count(F.lit(1)).alias("vectors"))
+
+
+# ------------------------------------------------------------------ embedding
+
+from shotbank.functions.text import WS_CLASS_RE2  # noqa: E402
+from shotbank.operators import embed as emb  # noqa: E402
+
+
+def _lex_sql(name: str, src: str, id_col: str, text_col: str) -> str:
+    return f"""{name}_tok as (
+  select {id_col} as id, t from (
+    select {id_col}, unnest(string_split_regex(lower({text_col}), '{WS_CLASS_RE2}+')) as t from {src})
+  where t <> ''),
+{name}_cnt as (
+  select id, cast(('0x' || substr(md5(t), 1, 7))::bigint % 1024 as integer) as bucket, count(*) as c
+  from {name}_tok group by 1, 2),
+{name} as (
+  select id, bucket, c / sqrt(sum(c * c) over (partition by id)) as weight from {name}_cnt)"""
+
+
+_LEX_EMBED_SQL = O.with_base(_lex_sql("lex", "triplets", "id", "question")
+                             + "\nselect id, bucket, round(weight, 6) as weight from lex", kb=False)
+
+
+@register("lexical_embed", _LEX_EMBED_SQL)
+def q_lexical_embed(spark, sf):
+    vecs = emb.lexical_vectors(fx.triplets(spark, sf), "question")
+    return r6(emb.sparse_entries(vecs), "weight")
+
+
+@register("embed_batch", _LEX_EMBED_SQL)
+def q_embed_batch(spark, sf):
+    t = fx.triplets(spark, sf).select("id", "question")
+    vecs = emb.embed(t, lambda: emb.HashingEncoder(emb.LEXICAL_DIM), "question")
+    return r6(emb.sparse_entries(vecs.where(F.col("embedding").isNotNull())), "weight")
+
+
+def _user_turns(spark, sf):
+    c = fx.table(spark, sf, "conversations").where(F.col("role") == "user")
+    return c.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+
+
+@register("lexical_retrieve", O.with_base(
+    _lex_sql("dlex", "triplets", "id", "question") + ",\n"
+    + _lex_sql("qlex", "(select conv_id * 1000000 + turn as query_id, text from conversations where role = 'user')",
+               "query_id", "text") + """,
+sc as (
+  select q.id as query_id, d.id, round(sum(q.weight * d.weight), 12) as score
+  from qlex q join dlex d on d.bucket = q.bucket group by 1, 2)
+select query_id, cast(rank as integer) as rank, id, round(score, 6) as score from (
+  select *, row_number() over (partition by query_id order by score desc, id) as rank from sc)
+where rank <= 3""", kb=False))
+def q_lexical_retrieve(spark, sf):
+    q = emb.lexical_vectors(_user_turns(spark, sf), "query")
+    kb = emb.lexical_vectors(fx.triplets(spark, sf), "question")
+    return r6(knn_op.knn(q, kb, 3, "ip"), "score")
