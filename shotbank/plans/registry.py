@@ -584,3 +584,54 @@ def q_lexical_retrieve(spark, sf):
     q = emb.lexical_vectors(_user_turns(spark, sf), "query")
     kb = emb.lexical_vectors(fx.triplets(spark, sf), "question")
     return r6(knn_op.knn(q, kb, 3, "ip"), "score")
+
+
+# ------------------------------------------------------------------ sources and sinks
+
+from shotbank.sources import corpus as src  # noqa: E402
+
+_SCAN_COLS = "id, nullif(source, '') as source, nullif(target, '') as target, nullif(rationale, '') as rationale, task"
+
+
+def _scanned(spark, sf):
+    """corpus_raw written as keyed JSON objects (1,000 records per file) and read back."""
+    path = scratch_path(spark, "keyed-json")
+    src.write_keyed_json(fx.corpus_raw(spark, sf), path, records_per_file=1000)
+    return src.read_keyed_json(spark, path)
+
+
+@register("corpus_scan", O.with_base(f"x as (select 1) select {_SCAN_COLS} from corpus_raw", kb=False))
+def q_corpus_scan(spark, sf):
+    return _scanned(spark, sf).select("id", "source", "target", "rationale", "task")
+
+
+@register("corpus_first_n", O.with_base(
+    f"x as (select 1) select {_SCAN_COLS} from corpus_raw order by pos limit 100", kb=False))
+def q_corpus_first_n(spark, sf):
+    return src.first_n(_scanned(spark, sf), 100).select("id", "source", "target", "rationale", "task")
+
+
+@register("corpus_peek", O.with_base("x as (select 1) select * from corpus_raw order by pos limit 3", kb=False))
+def q_corpus_peek(spark, sf):
+    path = scratch_path(spark, "json-lines")
+    src.write_json_lines(fx.corpus_raw(spark, sf), path)
+    lines = src.read_json_lines(spark, path, "pos long, id string, source string, target string, "
+                                             "rationale string, task string")
+    return src.first_n(lines, 3)
+
+
+@register("triplets_roundtrip", O.with_base(
+    "x as (select 1) select pos, id, question, rationale, answer, task, source from triplets", kb=False))
+def q_triplets_roundtrip(spark, sf):
+    path = src.save_triplets(fx.triplets(spark, sf), scratch_path(spark, "triplets"))
+    return src.load_triplets(spark, path)
+
+
+@register("vectors_roundtrip", O.with_base("""x as (select 1)
+select 'fixture-embeddings' as model_name, max(cast(len(embedding) as integer)) as embedding_dimension,
+       count(*) as num_embeddings, 32 as batch_size, 512 as max_length, true as normalized from kb"""))
+def q_vectors_roundtrip(spark, sf):
+    path = scratch_path(spark, "vectors")
+    src.save_vectors(fx.knowledge_base(spark, sf), path, "fixture-embeddings")
+    _, manifest = src.load_vectors(spark, path)
+    return manifest
