@@ -173,13 +173,25 @@ def side_sizes(df: DataFrame, vec: str) -> tuple[int, int]:
     return int(row["n"] or 0), int(row["d"] or 0)
 
 
-def collect_side(df: DataFrame, id_col: str, vec: str, extra: str | None = None):
-    """Collect a side whose size was checked against the broadcast budget."""
-    cols = [id_col, vec] + ([extra] if extra else [])
-    pdf = df.select(*cols).toPandas()
-    ids = pdf[id_col].to_numpy()
-    mat = as_matrix(pdf[vec]) if len(pdf) else np.zeros((0, 0))
-    return ids, mat, (pdf[extra].to_numpy() if extra else None)
+def collect_bounded(df: DataFrame, id_col: str, vec: str, budget: int):
+    """Collect (ids, float64 matrix) when the side fits ``budget`` bytes, else None.
+
+    The dimension comes from one row; then at most ``budget / (8 d) + 1`` rows
+    are fetched, so the driver never receives more than the budget allows.
+    """
+    first = df.select(F.size(vec).alias("d")).first()
+    if first is None:
+        return np.zeros(0, dtype=object), np.zeros((0, 0))
+    cap = max(1, budget // (8 * max(int(first["d"]), 1)))
+    pdf = df.select(id_col, vec).limit(cap + 1).toPandas()
+    if len(pdf) > cap:
+        return None
+    return pdf[id_col].to_numpy(), as_matrix(pdf[vec])
+
+
+def _empty(spark, qid_type, cid_type) -> DataFrame:
+    return spark.createDataFrame([], "query_id {}, rank int, id {}, score double".format(
+        qid_type.simpleString(), cid_type.simpleString()))
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
@@ -190,8 +202,10 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
         info: dict | None = None) -> DataFrame:
     """Exact top-k search. Returns (query_id, rank, id, score).
 
-    ``info``, when given, receives the counted sizes and the chosen strategy
-    (callers use ``queries * k`` as the proven bound of the hit table).
+    ``auto`` ships the query side when it fits ``broadcast_bytes`` (fetched once,
+    capped); otherwise it counts the corpus and ships that if it fits, else
+    runs the blocked plan. ``info``, when given, receives the sizes and the
+    chosen strategy (callers use ``max_hits`` as the proven bound of the hits).
     """
     if metric not in _HIGHER_BETTER:
         raise ValueError(f"unknown metric {metric!r}")
@@ -200,27 +214,23 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
     c = corpus.select(F.col(corpus_id).alias("_cid"), F.col(corpus_vec).alias("_vec")).where(F.col("_vec").isNotNull())
     qid_type = queries.schema[query_id].dataType
     cid_type = corpus.schema[corpus_id].dataType
-    nq, dq = side_sizes(q, "_vec")
-    nc, dc = side_sizes(c, "_vec")
-    final_schema = "query_id {}, rank int, id {}, score double".format(
-        qid_type.simpleString(), cid_type.simpleString())
-    if nq == 0 or nc == 0 or k <= 0:
-        if info is not None:
-            info.update(queries=nq, corpus=nc, dim=dq, strategy="empty", max_hits=0)
-        return spark.createDataFrame([], final_schema)
-    if dq != dc:
-        raise ValueError(f"vector dimensions differ: queries {dq}, corpus {dc}")
-    if strategy == "auto":
-        qbytes, cbytes = nq * dq * 8, nc * dc * 8
-        if min(qbytes, cbytes) > broadcast_bytes:
-            strategy = "blocked"
-        else:
-            strategy = "broadcast_corpus" if cbytes <= qbytes else "broadcast_queries"
-    if info is not None:
-        info.update(queries=nq, corpus=nc, dim=dq, strategy=strategy, max_hits=nq * min(k, nc))
-
+    info = {} if info is None else info
+    if k <= 0:
+        info.update(queries=0, strategy="empty", max_hits=0)
+        return _empty(spark, qid_type, cid_type)
+
+    shipped = None
+    if strategy in ("auto", "broadcast_queries"):
+        shipped = collect_bounded(q, "_qid", "_vec", broadcast_bytes)
+        if shipped is None and strategy == "broadcast_queries":
+            raise ValueError("query side exceeds the broadcast budget")
+        if shipped is not None:
+            strategy = "broadcast_queries"
     if strategy == "broadcast_queries":
-        qids, qmat, _ = collect_side(q, "_qid", "_vec")
+        qids, qmat = shipped
+        info.update(queries=len(qids), strategy=strategy, max_hits=len(qids) * k)
+        if len(qids) == 0:
+            return _empty(spark, qid_type, cid_type)
         bc = spark.sparkContext.broadcast((qids, qmat))
 
         def scan(batches):
@@ -235,8 +245,17 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
         cands = c.mapInPandas(scan, _out_schema(qid_type, cid_type, False))
         return rank_candidates(cands, k, metric)
 
+    if strategy in ("auto", "broadcast_corpus"):
+        shipped = collect_bounded(c, "_cid", "_vec", broadcast_bytes)
+        if shipped is None and strategy == "broadcast_corpus":
+            raise ValueError("corpus side exceeds the broadcast budget")
+        if shipped is not None:
+            strategy = "broadcast_corpus"
     if strategy == "broadcast_corpus":
-        cids, cmat, _ = collect_side(c, "_cid", "_vec")
+        cids, cmat = shipped
+        info.update(corpus=len(cids), strategy=strategy, max_hits=None)
+        if len(cids) == 0:
+            return _empty(spark, qid_type, cid_type)
         bc = spark.sparkContext.broadcast((cids, cmat))
 
         def probe(batches):
@@ -252,7 +271,12 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
         out = q.mapInPandas(probe, _out_schema(qid_type, cid_type, True))
         return out.select("query_id", "rank", "id", "score")
 
-    if strategy == "blocked":
+    if strategy in ("auto", "blocked"):
+        nq, _ = side_sizes(q, "_vec")
+        nc, _ = side_sizes(c, "_vec")
+        info.update(queries=nq, corpus=nc, strategy="blocked", max_hits=nq * k)
+        if nq == 0 or nc == 0:
+            return _empty(spark, qid_type, cid_type)
         cb = max(1, math.ceil(nc / block_rows))
         qb = max(1, math.ceil(nq / qblock_rows))
         cs = (c.withColumn("_cb", F.pmod(F.xxhash64("_cid"), F.lit(cb)))

@@ -476,8 +476,13 @@ assigned as (
 
 
 def _ivf_fixture(spark, sf):
-    cents = ivf.label_centroids(fx.table(spark, sf, "embeddings"))
-    return cents, ivf.assign_cells(fx.knowledge_base(spark, sf), cents)
+    """Label-mean centroids and the cell-partitioned index, both written once."""
+    cents = fx.materialized(spark, sf, "ivf-centroids",
+                            lambda: ivf.label_centroids(fx.table(spark, sf, "embeddings")))
+    index = fx.materialized(spark, sf, "ivf-index",
+                            lambda: ivf.assign_cells(fx.knowledge_base(spark, sf), cents),
+                            writer=lambda df, path: df.write.mode("overwrite").partitionBy("cell").parquet(path))
+    return cents, index
 
 
 @register("ivf_assign", O.with_base(_CENT + "\nselect id, cell from assigned"))

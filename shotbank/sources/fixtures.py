@@ -13,6 +13,9 @@ Every view reads whole tables; nothing is sampled or capped.
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,26 @@ from shotbank.functions.text import after_first_line, first_line, last_line
 from shotbank.operators.clean import classify, extract_triplets
 
 FIXTURE_PROVENANCE = "fixture"
+_BUILT: dict[tuple, str] = {}
+
+
+def materialized(spark: SparkSession, sf_dir: str, name: str,
+                 build: Callable[[], DataFrame], writer=None) -> DataFrame:
+    """Build a derived table once per session and scale factor, write it under the
+    checkpoint folder and read it back (build once, query many; cuts the lineage)."""
+    from shotbank.session import scratch_path
+
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    path = _BUILT.get(key)
+    if path is None:
+        path = scratch_path(spark, name)
+        df = build()
+        if writer is None:
+            df.write.mode("overwrite").parquet(path)
+        else:
+            writer(df, path)
+        _BUILT[key] = path
+    return spark.read.parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,13 +65,23 @@ def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_triplets(corpus_raw(spark, sf_dir), FIXTURE_PROVENANCE)
 
 
-def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pos, id, question, rationale, answer, task, source, embedding)."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
     return triplets(spark, sf_dir).join(e, "pos", "inner")
 
 
+def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The knowledge base as a written table (built on first use)."""
+    return materialized(spark, sf_dir, "knowledge-base", lambda: build_knowledge_base(spark, sf_dir))
+
+
 def query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query batch as a written table (built on first use)."""
+    return materialized(spark, sf_dir, "query-batch", lambda: build_query_batch(spark, sf_dir))
+
+
+def build_query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, query, embedding) for embedded documents rejected by cleaning."""
     rejected = (classify(corpus_raw(spark, sf_dir)).where(F.col("status") != "kept")
                 .select(F.col("pos").alias("query_id")))
