@@ -51,13 +51,32 @@ _HIGHER_BETTER = {"ip": True, "cosine": True, "l2": False}
 # ---------------------------------------------------------------- numpy kernel
 
 def as_matrix(values) -> np.ndarray:
-    """Stack a pandas/numpy column of 1-d arrays into a float64 matrix."""
+    """Stack a column of vectors into a float64 matrix.
+
+    A vector is either a 1-d array (dense) or a struct ``(size, indices,
+    values)`` (sparse, e.g. lexical vectors); sparse rows are densified here,
+    one block at a time, so only the non-zero entries travel through Arrow.
+    """
     vals = list(values)
     if not vals:
         return np.zeros((0, 0), dtype=np.float64)
+    first = vals[0]
+    if isinstance(first, dict) or hasattr(first, "keys"):
+        size = int(first["size"])
+        m = np.zeros((len(vals), size), dtype=np.float64)
+        for i, v in enumerate(vals):
+            m[i, np.asarray(v["indices"], dtype=np.int64)] = np.asarray(v["values"], dtype=np.float64)
+        return m
     return np.stack([np.asarray(v, dtype=np.float64) for v in vals])
 
 
+def dim_of(df: DataFrame, vec: str):
+    """Column giving a vector's dimension, dense (array size) or sparse (``size`` field)."""
+    if isinstance(df.schema[vec].dataType, T.StructType):
+        return F.col(vec)["size"]
+    return F.size(vec)
+
+
 def scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     if q.shape[1] != c.shape[1]:
         raise ValueError(f"vector dimensions differ: {q.shape[1]} vs {c.shape[1]}")
@@ -169,7 +188,7 @@ def rank_candidates(cands: DataFrame, k: int, metric: str) -> DataFrame:
 
 def side_sizes(df: DataFrame, vec: str) -> tuple[int, int]:
     """(rows, dimension) of a vector table, one distributed aggregate."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(dim_of(df, vec)).alias("d")).first()
     return int(row["n"] or 0), int(row["d"] or 0)
 
 
@@ -179,7 +198,7 @@ def collect_bounded(df: DataFrame, id_col: str, vec: str, budget: int):
     The dimension comes from one row; then at most ``budget / (8 d) + 1`` rows
     are fetched, so the driver never receives more than the budget allows.
     """
-    first = df.select(F.size(vec).alias("d")).first()
+    first = df.select(dim_of(df, vec).alias("d")).first()
     if first is None:
         return np.zeros(0, dtype=object), np.zeros((0, 0))
     cap = max(1, budget // (8 * max(int(first["d"]), 1)))

@@ -41,7 +41,7 @@ def r6(df: DataFrame, *cols: str) -> DataFrame:
 @register("triplets", O.with_base(
     "x as (select 1) select pos, id, question, rationale, answer, task, source from triplets", kb=False))
 def q_triplets(spark, sf):
-    return fx.triplets(spark, sf)
+    return fx.build_triplets(spark, sf)
 
 
 _REJECTS_SQL = """rej as (
@@ -628,7 +628,7 @@ def q_corpus_peek(spark, sf):
 @register("triplets_roundtrip", O.with_base(
     "x as (select 1) select pos, id, question, rationale, answer, task, source from triplets", kb=False))
 def q_triplets_roundtrip(spark, sf):
-    path = src.save_triplets(fx.triplets(spark, sf), scratch_path(spark, "triplets"))
+    path = src.save_triplets(fx.build_triplets(spark, sf), scratch_path(spark, "triplets"))
     return src.load_triplets(spark, path)
 
 

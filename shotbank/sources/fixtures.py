@@ -61,10 +61,16 @@ def corpus_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean triplets computed from the documents (the cleaning job itself)."""
     return extract_triplets(corpus_raw(spark, sf_dir), FIXTURE_PROVENANCE)
 
 
+def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean triplets as a written table (phase 1 output, built on first use)."""
+    return materialized(spark, sf_dir, "triplets", lambda: build_triplets(spark, sf_dir))
+
+
 def build_knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pos, id, question, rationale, answer, task, source, embedding)."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
