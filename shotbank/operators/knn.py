@@ -208,6 +208,13 @@ def collect_bounded(df: DataFrame, id_col: str, vec: str, budget: int):
     return pdf[id_col].to_numpy(), as_matrix(pdf[vec])
 
 
+def present(df: DataFrame, vec: str):
+    """A usable vector: not NULL, and for a sparse struct a non-NULL ``size``."""
+    if isinstance(df.schema[vec].dataType, T.StructType):
+        return F.col(vec)["size"].isNotNull()
+    return F.col(vec).isNotNull()
+
+
 def _empty(spark, qid_type, cid_type) -> DataFrame:
     return spark.createDataFrame([], "query_id {}, rank int, id {}, score double".format(
         qid_type.simpleString(), cid_type.simpleString()))
@@ -229,8 +236,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
     if metric not in _HIGHER_BETTER:
         raise ValueError(f"unknown metric {metric!r}")
     spark = queries.sparkSession
-    q = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_vec")).where(F.col("_vec").isNotNull())
-    c = corpus.select(F.col(corpus_id).alias("_cid"), F.col(corpus_vec).alias("_vec")).where(F.col("_vec").isNotNull())
+    q = queries.where(present(queries, query_vec)).select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_vec"))
+    c = corpus.where(present(corpus, corpus_vec)).select(F.col(corpus_id).alias("_cid"), F.col(corpus_vec).alias("_vec"))
     qid_type = queries.schema[query_id].dataType
     cid_type = corpus.schema[corpus_id].dataType
     info = {} if info is None else info
