@@ -7,10 +7,12 @@
 * ``write_index`` / ``read_index`` - Parquet partitioned by ``cell``: a search
   reads only the cells its queries probe (partition pruning).
 * ``ivf_search``      - per query the ``nprobe`` nearest cells, then exact top-k
-  inside them. The vectors of a cell and the queries probing it meet in a
-  cogroup keyed by (cell, vector block, query block); a cell holding a large
-  share of the rows (or probed by many queries) is split into blocks of
-  bounded size, so no task ever holds an unbounded group.
+  inside them. A query batch within the broadcast budget is shipped and the
+  index is scanned in place, pruned to the probed cells, with a per-query cell
+  mask (no shuffle of the index). A larger batch meets the vectors in a cogroup
+  keyed by (cell, vector block, query block); a cell holding a large share of
+  the rows (or probed by many queries) is split into blocks of bounded size,
+  so no task ever holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotbank.operators.knn import (BLOCK_ROWS, BROADCAST_BYTES, QBLOCK_ROWS, TopK, as_matrix,
-                                    knn, rank_candidates, _out_schema, _frame)
+                                    collect_bounded, knn, present, rank_candidates, _out_schema, _frame)
 
 MAX_NLIST = 100
 
@@ -62,11 +64,12 @@ def label_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedd
 
 
 def _collect_centroids(centroids: DataFrame, budget: int = BROADCAST_BYTES):
-    pdf = centroids.select("cell", "centroid").orderBy("cell").toPandas()
-    mat = as_matrix(pdf["centroid"]) if len(pdf) else np.zeros((0, 0))
-    if mat.size * 8 > budget:
-        raise ValueError(f"centroid table of {mat.size * 8} bytes exceeds the broadcast budget {budget}")
-    return pdf["cell"].to_numpy().astype(np.int32), mat
+    """The centroid table (nlist x d) for shipping; capped fetch, error beyond the budget."""
+    got = collect_bounded(centroids.orderBy("cell"), "cell", "centroid", budget)
+    if got is None:
+        raise ValueError(f"centroid table exceeds the broadcast budget of {budget} bytes")
+    cells, mat = got
+    return cells.astype(np.int32), mat
 
 
 def assign_cells(vectors: DataFrame, centroids: DataFrame, metric: str = "ip",
@@ -107,17 +110,62 @@ def read_index(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _probe_mask(qmat: np.ndarray, cells: np.ndarray, cmat: np.ndarray, nprobe: int, metric: str) -> np.ndarray:
+    """(nq, nlist) booleans: the ``nprobe`` nearest cells of every query (ties to the lower cell)."""
+    top = TopK(qmat, nprobe, metric)
+    top.add(cmat, cells)
+    qpos, ids, _ = top.result()
+    pos = {int(c): i for i, c in enumerate(cells)}
+    mask = np.zeros((qmat.shape[0], len(cells)), dtype=bool)
+    mask[qpos, [pos[int(c)] for c in ids]] = True
+    return mask
+
+
 def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int,
                nprobe: int = 1, metric: str = "ip", query_id: str = "query_id",
                query_vec: str = "embedding", block_rows: int = BLOCK_ROWS,
-               qblock_rows: int = QBLOCK_ROWS) -> DataFrame:
-    """(query_id, rank, id, score): exact top-k among the vectors of the probed cells."""
+               qblock_rows: int = QBLOCK_ROWS, strategy: str = "auto",
+               broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(query_id, rank, id, score): exact top-k among the vectors of the probed cells.
+
+    ``auto`` ships the query batch when it fits ``broadcast_bytes``: the index is
+    then scanned in place, restricted to the probed cells (partition pruning),
+    and each task masks out the cells a query does not probe - no shuffle of the
+    index. Otherwise the blocked cogroup on (cell, vector block, query block).
+    """
     spark = queries.sparkSession
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("embedding")).where(
-        F.col("embedding").isNotNull())
+    q = queries.where(present(queries, query_vec)).select(
+        F.col(query_id).alias("query_id"), F.col(query_vec).alias("embedding"))
+    cent_side = centroids.select(F.col("cell").alias("id"), F.col("centroid").alias("embedding"))
     # 1. nearest cells per query: the centroid table is the shipped side
-    probes = knn(q, centroids.select(F.col("cell").alias("id"), F.col("centroid").alias("embedding")),
-                 nprobe, metric, strategy="broadcast_corpus").select("query_id", F.col("id").alias("cell"))
+    probes = knn(q, cent_side, nprobe, metric, strategy="broadcast_corpus").select(
+        "query_id", F.col("id").alias("cell"))
+    schema = _out_schema(queries.schema[query_id].dataType, index.schema["id"].dataType, False)
+
+    shipped = collect_bounded(q, "query_id", "embedding", broadcast_bytes) if strategy == "auto" else None
+    if shipped is not None:
+        qids, qmat = shipped
+        if len(qids) == 0:
+            return rank_candidates(spark.createDataFrame([], schema), k, metric)
+        cells, cmat = _collect_centroids(centroids)
+        probed = [int(r.cell) for r in probes.select("cell").distinct().collect()]  # <= nlist values
+        bc = spark.sparkContext.broadcast((qids, qmat, cells, cmat))
+
+        def scan(batches):
+            qids_, qmat_, cells_, cmat_ = bc.value
+            mask = _probe_mask(qmat_, cells_, cmat_, nprobe, metric)
+            col_of = {int(c): i for i, c in enumerate(cells_)}
+            top = TopK(qmat_, k, metric, allowed=lambda g: mask[:, [col_of[int(x)] for x in g]])
+            for pdf in batches:
+                if len(pdf):
+                    top.add(as_matrix(pdf["embedding"]), pdf["id"].to_numpy(), pdf["cell"].to_numpy())
+            qpos, ids, sc = top.result()
+            yield _frame(qids_, qpos, ids, sc)
+
+        cands = (index.where(F.col("cell").isin(probed)).select("id", "embedding", "cell")
+                 .mapInPandas(scan, schema))
+        return rank_candidates(cands, k, metric)
+
     probes = probes.join(q, "query_id")
     # 2. block counts per cell: both tables are bounded by nlist rows
     probed = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("nq")).toPandas()
@@ -152,7 +200,6 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
         qpos, ids, sc = top.result()
         return _frame(qpdf["_qid"].to_numpy(), qpos, ids, sc)
 
-    schema = _out_schema(queries.schema[query_id].dataType, index.schema["id"].dataType, False)
     cands = (p.groupBy("cell", "_vb", "_qb").cogroup(v.groupBy("cell", "_vb", "_qb"))
              .applyInPandas(lambda a, b: block(a, b), schema))
     return rank_candidates(cands, k, metric)

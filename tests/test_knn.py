@@ -99,6 +99,18 @@ def test_plan_shapes(spark):
     assert "WindowGroupLimit" in plan or "Window" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     cents = ivf.label_centroids(fx.table(spark, SF_SMALL, "embeddings"))
-    iplan = ivf.ivf_search(q, ivf.assign_cells(kb, cents), cents, 5)._jdf.queryExecution().executedPlan().toString()
+    iplan = ivf.ivf_search(q, ivf.assign_cells(kb, cents), cents, 5, strategy="blocked")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in iplan and "BroadcastNestedLoopJoin" not in iplan
     assert "FlatMapCoGroupsInPandas" in iplan
+
+
+def test_ivf_strategies_agree(spark):
+    kb = fx.knowledge_base(spark, SF_MID)
+    q = fx.query_batch(spark, SF_MID)
+    cents = ivf.label_centroids(fx.table(spark, SF_MID, "embeddings"))
+    index = ivf.assign_cells(kb, cents)
+    for nprobe in (1, 3):
+        shipped = ivf.ivf_search(q, index, cents, 5, nprobe=nprobe)
+        blocked = ivf.ivf_search(q, index, cents, 5, nprobe=nprobe, strategy="blocked",
+                                 block_rows=15, qblock_rows=3)
+        assert sorted(shipped.collect()) == sorted(blocked.collect())
