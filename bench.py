@@ -40,14 +40,24 @@ def main() -> None:
     QUERIES["extraction_rate"](spark, sf_dir).collect()
 
     times: dict[str, float] = {}
-    rows: dict[str, int] = {}
+    from shotbank.plans import registry
+    from shotbank.sources import fixtures as fx
+
+    if not only:
+        # phase 1, timed on its own: clean triplets, knowledge base (+ embeddings),
+        # query batch and the cell-partitioned IVF index, each written once
+        t0 = time.perf_counter()
+        fx.triplets(spark, sf_dir)
+        fx.knowledge_base(spark, sf_dir)
+        fx.query_batch(spark, sf_dir)
+        registry._ivf_fixture(spark, sf_dir)
+        times["build_knowledge_base"] = round(time.perf_counter() - t0, 3)
     for name in (only or HEADLINE):
         t0 = time.perf_counter()
         df = QUERIES[name](spark, sf_dir)
         df.write.mode("overwrite").format("noop").save()
         times[name] = round(time.perf_counter() - t0, 3)
     # sizes for per-unit figures
-    from shotbank.sources import fixtures as fx
     n_queries = fx.query_batch(spark, sf_dir).count()
     n_docs = fx.table(spark, sf_dir, "documents").count()
     out = {

@@ -31,7 +31,7 @@ def _present(c: Column) -> Column:
 
 
 def classify(raw: DataFrame) -> DataFrame:
-    """Adds stripped fields, the list of missing fields and a ``status``.
+    """The raw columns plus stripped fields, the list of missing fields and a ``status``.
 
     ``raw`` needs pos, id, source, target, rationale and task; an optional
     boolean ``has_task`` says whether the record had the task key (default: yes).
@@ -41,7 +41,7 @@ def classify(raw: DataFrame) -> DataFrame:
     r = F.when(_present(F.col("rationale")), strip("rationale"))
     a = F.when(_present(F.col("target")), strip("target"))
     t = F.when(has_task, strip(F.coalesce(F.col("task"), F.lit("None"))))
-    df = raw.select("pos", "id", q.alias("_q"), r.alias("_r"), a.alias("_a"), t.alias("_t"))
+    df = raw.select("*", q.alias("_q"), r.alias("_r"), a.alias("_a"), t.alias("_t"))
     missing = F.array_compact(F.array(
         F.when(~_present(F.col("_q")), F.lit("question")),
         F.when(~_present(F.col("_r")), F.lit("rationale")),

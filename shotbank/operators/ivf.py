@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotbank.operators.knn import (BLOCK_ROWS, BROADCAST_BYTES, QBLOCK_ROWS, TopK, as_matrix,
-                                    collect_bounded, knn, present, rank_candidates, _out_schema, _frame)
+from shotbank.operators.knn import (BLOCK_ROWS, BROADCAST_BYTES, QBLOCK_ROWS, TopK, arrow_batch,
+                                    arrow_matrix, as_matrix, collect_bounded, knn, present,
+                                    rank_candidates, _out_schema, _frame)
 
 MAX_NLIST = 100
 
@@ -156,14 +157,16 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
             mask = _probe_mask(qmat_, cells_, cmat_, nprobe, metric)
             col_of = {int(c): i for i, c in enumerate(cells_)}
             top = TopK(qmat_, k, metric, allowed=lambda g: mask[:, [col_of[int(x)] for x in g]])
-            for pdf in batches:
-                if len(pdf):
-                    top.add(as_matrix(pdf["embedding"]), pdf["id"].to_numpy(), pdf["cell"].to_numpy())
+            for rb in batches:
+                if rb.num_rows:
+                    top.add(arrow_matrix(rb.column("embedding")),
+                            rb.column("id").to_numpy(zero_copy_only=False),
+                            rb.column("cell").to_numpy(zero_copy_only=False))
             qpos, ids, sc = top.result()
-            yield _frame(qids_, qpos, ids, sc)
+            yield arrow_batch(_frame(qids_, qpos, ids, sc), schema)
 
         cands = (index.where(F.col("cell").isin(probed)).select("id", "embedding", "cell")
-                 .mapInPandas(scan, schema))
+                 .mapInArrow(scan, schema))
         return rank_candidates(cands, k, metric)
 
     probes = probes.join(q, "query_id")

@@ -70,6 +70,32 @@ def as_matrix(values) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vals])
 
 
+def arrow_matrix(col) -> np.ndarray:
+    """float64 matrix from an Arrow list column without per-row objects when all
+    rows have the same length (one flatten + reshape); sparse structs and ragged
+    lists fall back to ``as_matrix``."""
+    import pyarrow as pa
+
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    n = len(col)
+    if n and (pa.types.is_list(col.type) or pa.types.is_large_list(col.type)) and col.null_count == 0:
+        offsets = col.offsets.to_numpy()
+        lengths = np.diff(offsets)
+        if (lengths == lengths[0]).all():
+            flat = col.values.slice(offsets[0], offsets[-1] - offsets[0])
+            return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, int(lengths[0]))
+    return as_matrix(col.to_pylist())
+
+
+def arrow_batch(pdf: pd.DataFrame, schema: T.StructType):
+    """pandas frame -> Arrow record batch with the Spark output schema."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return pa.RecordBatch.from_pandas(pdf, schema=to_arrow_schema(schema), preserve_index=False)
+
+
 def dim_of(df: DataFrame, vec: str):
     """Column giving a vector's dimension, dense (array size) or sparse (``size`` field)."""
     if isinstance(df.schema[vec].dataType, T.StructType):
@@ -259,16 +285,19 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
             return _empty(spark, qid_type, cid_type)
         bc = spark.sparkContext.broadcast((qids, qmat))
 
+        out_schema = _out_schema(qid_type, cid_type, False)
+
         def scan(batches):
             qids_, qmat_ = bc.value
             top = TopK(qmat_, k, metric)
-            for pdf in batches:
-                if len(pdf):
-                    top.add(as_matrix(pdf["_vec"]), pdf["_cid"].to_numpy())
+            for rb in batches:
+                if rb.num_rows:
+                    top.add(arrow_matrix(rb.column("_vec")),
+                            rb.column("_cid").to_numpy(zero_copy_only=False))
             qpos, ids, sc = top.result()
-            yield _frame(qids_, qpos, ids, sc)
+            yield arrow_batch(_frame(qids_, qpos, ids, sc), out_schema)
 
-        cands = c.mapInPandas(scan, _out_schema(qid_type, cid_type, False))
+        cands = c.mapInArrow(scan, out_schema)
         return rank_candidates(cands, k, metric)
 
     if strategy in ("auto", "broadcast_corpus"):

@@ -88,21 +88,14 @@ def query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, query, embedding) for embedded documents rejected by cleaning."""
-    rejected = (classify(corpus_raw(spark, sf_dir)).where(F.col("status") != "kept")
-                .select(F.col("pos").alias("query_id")))
-    d = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("query_id"), first_line("text").alias("query"))
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return rejected.join(d, "query_id").join(e, "query_id")
+    """(query_id, query, embedding) for embedded documents rejected by cleaning.
 
-
-def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every embedding with the first line of its document: (query_id, query, embedding)."""
-    d = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("query_id"), first_line("text").alias("query"))
+    One pass over the documents: the question text is the raw first line that
+    the cleaning already reads."""
+    rejected = (classify(corpus_raw(spark, sf_dir)).where(F.col("status") != "kept")
+                .select(F.col("pos").alias("query_id"), F.col("source").alias("query")))
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return e.join(d, "query_id", "left")
+    return rejected.join(e, "query_id")
 
 
 def conversation_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
