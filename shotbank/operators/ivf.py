@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotbank.operators.knn import (BLOCK_ROWS, BROADCAST_BYTES, QBLOCK_ROWS, TopK, arrow_batch,
+from shotbank.operators.knn import (BLOCK_ROWS, BROADCAST_BYTES, FAN_IN, QBLOCK_ROWS, TopK, arrow_batch,
                                     arrow_matrix, as_matrix, collect_bounded, knn, present,
-                                    rank_candidates, _out_schema, _frame)
+                                    rank_candidates, row_block, _out_schema, _frame)
 
 MAX_NLIST = 100
 
@@ -126,7 +126,7 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
                nprobe: int = 1, metric: str = "ip", query_id: str = "query_id",
                query_vec: str = "embedding", block_rows: int = BLOCK_ROWS,
                qblock_rows: int = QBLOCK_ROWS, strategy: str = "auto",
-               broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+               broadcast_bytes: int = BROADCAST_BYTES, fan_in: int = FAN_IN) -> DataFrame:
     """(query_id, rank, id, score): exact top-k among the vectors of the probed cells.
 
     ``auto`` ships the query batch when it fits ``broadcast_bytes``: the index is
@@ -165,9 +165,9 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
             qpos, ids, sc = top.result()
             yield arrow_batch(_frame(qids_, qpos, ids, sc), schema)
 
-        cands = (index.where(F.col("cell").isin(probed)).select("id", "embedding", "cell")
-                 .mapInArrow(scan, schema))
-        return rank_candidates(cands, k, metric)
+        pruned = index.where(F.col("cell").isin(probed)).select("id", "embedding", "cell")
+        cands = pruned.mapInArrow(scan, schema).withColumn("_src", F.spark_partition_id())
+        return rank_candidates(cands, k, metric, n_sources=pruned.rdd.getNumPartitions(), fan_in=fan_in)
 
     probes = probes.join(q, "query_id")
     # 2. block counts per cell: both tables are bounded by nlist rows
@@ -181,28 +181,33 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
     blocks = probed.merge(sizes, on="cell", how="inner")
     blocks["vb"] = [max(1, math.ceil(n / block_rows)) for n in blocks["nv"]]
     blocks["qb"] = [max(1, math.ceil(n / qblock_rows)) for n in blocks["nq"]]
+    blocks["vbase"] = np.cumsum(blocks["vb"]) - blocks["vb"]  # dense source ids over all cells
+    n_sources = int(blocks["vb"].sum())
     plan = F.broadcast(spark.createDataFrame(
-        [(int(r.cell), int(r.vb), int(r.qb)) for r in blocks.itertuples()], "cell int, vb int, qb int"))
+        [(int(r.cell), int(r.vb), int(r.qb), int(r.vbase)) for r in blocks.itertuples()],
+        "cell int, vb int, qb int, vbase int"))
     # 3. vectors get a block inside their cell and are repeated per query block
     v = (vec_side.select("id", "embedding", "cell").join(plan, "cell")
-         .withColumn("_vb", F.pmod(F.xxhash64("id"), F.col("vb")).cast("int"))
+         .withColumn("_vb", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("vb")).cast("int"))
          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
-         .select("cell", "_vb", "_qb", F.col("id").alias("_cid"), F.col("embedding").alias("_vec")))
+         .select("cell", "_vb", "_qb", (F.col("vbase") + F.col("_vb")).alias("_src"),
+                 F.col("id").alias("_cid"), F.col("embedding").alias("_vec")))
     # 4. probing queries get a block and are repeated per vector block
     p = (probes.join(plan, "cell")
-         .withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int"))
+         .withColumn("_qb", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("qb")).cast("int"))
          .withColumn("_vb", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)))
          .select("cell", "_vb", "_qb", F.col("query_id").alias("_qid"), F.col("embedding").alias("_vec")))
 
     def block(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if not len(qpdf) or not len(cpdf):
             return _frame(np.zeros(0, dtype=object), np.zeros(0, dtype=np.int64),
-                          np.zeros(0, dtype=object), np.zeros(0))
+                          np.zeros(0, dtype=object), np.zeros(0)).assign(_src=np.zeros(0, np.int32))
         top = TopK(as_matrix(qpdf["_vec"]), k, metric)
         top.add(as_matrix(cpdf["_vec"]), cpdf["_cid"].to_numpy())
         qpos, ids, sc = top.result()
-        return _frame(qpdf["_qid"].to_numpy(), qpos, ids, sc)
+        return _frame(qpdf["_qid"].to_numpy(), qpos, ids, sc).assign(_src=np.int32(cpdf["_src"].iloc[0]))
 
+    src_schema = T.StructType(schema.fields + [T.StructField("_src", T.IntegerType())])
     cands = (p.groupBy("cell", "_vb", "_qb").cogroup(v.groupBy("cell", "_vb", "_qb"))
-             .applyInPandas(lambda a, b: block(a, b), schema))
-    return rank_candidates(cands, k, metric)
+             .applyInPandas(lambda a, b: block(a, b), src_schema))
+    return rank_candidates(cands, k, metric, n_sources=n_sources, fan_in=fan_in)

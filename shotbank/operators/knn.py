@@ -41,6 +41,8 @@ BLOCK_ROWS = 20_000
 QBLOCK_ROWS = 5_000
 # cap on the number of entries of one score matrix held at a time
 _MAX_CELLS = 8_000_000
+# sources merged per window group when candidates from many tasks meet
+FAN_IN = 64
 # scores are rounded to this many decimals before ranking, so that summation
 # order noise (~1e-16) can never reorder equal scores: equal means tie -> id
 SCORE_DECIMALS = 12
@@ -203,15 +205,35 @@ def _frame(qids, qpos, ids, score, rank=None) -> pd.DataFrame:
     return pd.DataFrame(data)
 
 
-def rank_candidates(cands: DataFrame, k: int, metric: str) -> DataFrame:
-    """Global top-k per query over per-task candidates (WindowGroupLimit plan)."""
+def rank_candidates(cands: DataFrame, k: int, metric: str, n_sources: int = 1,
+                    fan_in: int = FAN_IN) -> DataFrame:
+    """Global top-k per query over per-source candidates (WindowGroupLimit plans).
+
+    ``cands`` may carry ``_src``, the integer id of the task or block that
+    produced a row (each source emits at most k rows per query). With more than
+    ``fan_in`` sources the merge is a tree: level L keeps the top k per
+    (query, _src div fan_in^L), so no window group ever holds more than
+    ``fan_in * k`` rows of one query, however many tasks scanned the corpus.
+    """
     order = F.col("score").desc() if _HIGHER_BETTER[metric] else F.col("score").asc()
+    width = fan_in
+    while "_src" in cands.columns and width < n_sources:
+        grp = F.floor(F.col("_src") / F.lit(width))
+        w = Window.partitionBy("query_id", grp).orderBy(order, F.col("id").asc())
+        cands = cands.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+        width *= fan_in
     w = Window.partitionBy("query_id").orderBy(order, F.col("id").asc())
     return (cands.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k)
             .select("query_id", "rank", "id", "score"))
 
 
+def row_block(n_blocks: int):
+    """Block number of a row from its position, not its content: repeated ids or
+    exact copies of a row cannot pile up in one block."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int")
+
+
 def side_sizes(df: DataFrame, vec: str) -> tuple[int, int]:
     """(rows, dimension) of a vector table, one distributed aggregate."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.max(dim_of(df, vec)).alias("d")).first()
@@ -251,7 +273,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
         corpus_id: str = "id", corpus_vec: str = "embedding",
         strategy: str = "auto", broadcast_bytes: int = BROADCAST_BYTES,
         block_rows: int = BLOCK_ROWS, qblock_rows: int = QBLOCK_ROWS,
-        info: dict | None = None) -> DataFrame:
+        fan_in: int = FAN_IN, info: dict | None = None) -> DataFrame:
     """Exact top-k search. Returns (query_id, rank, id, score).
 
     ``auto`` ships the query side when it fits ``broadcast_bytes`` (fetched once,
@@ -297,8 +319,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
             qpos, ids, sc = top.result()
             yield arrow_batch(_frame(qids_, qpos, ids, sc), out_schema)
 
-        cands = c.mapInArrow(scan, out_schema)
-        return rank_candidates(cands, k, metric)
+        cands = c.mapInArrow(scan, out_schema).withColumn("_src", F.spark_partition_id())
+        return rank_candidates(cands, k, metric, n_sources=c.rdd.getNumPartitions(), fan_in=fan_in)
 
     if strategy in ("auto", "broadcast_corpus"):
         shipped = collect_bounded(c, "_cid", "_vec", broadcast_bytes)
@@ -334,23 +356,25 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
             return _empty(spark, qid_type, cid_type)
         cb = max(1, math.ceil(nc / block_rows))
         qb = max(1, math.ceil(nq / qblock_rows))
-        cs = (c.withColumn("_cb", F.pmod(F.xxhash64("_cid"), F.lit(cb)))
+        cs = (c.withColumn("_cb", row_block(cb))
               .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-        qs = (q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb)))
+        qs = (q.withColumn("_qb", row_block(qb))
               .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
+        schema = T.StructType(_out_schema(qid_type, cid_type, False).fields
+                              + [T.StructField("_src", T.IntegerType())])
 
         def block(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
             if not len(qpdf) or not len(cpdf):
                 return _frame(np.zeros(0, dtype=object), np.zeros(0, dtype=np.int64),
-                              np.zeros(0, dtype=object), np.zeros(0))
+                              np.zeros(0, dtype=object), np.zeros(0)).assign(_src=np.zeros(0, np.int32))
             top = TopK(as_matrix(qpdf["_vec"]), k, metric)
             top.add(as_matrix(cpdf["_vec"]), cpdf["_cid"].to_numpy())
             qpos, ids, sc = top.result()
-            return _frame(qpdf["_qid"].to_numpy(), qpos, ids, sc)
+            return _frame(qpdf["_qid"].to_numpy(), qpos, ids, sc).assign(_src=np.int32(cpdf["_cb"].iloc[0]))
 
         cands = (qs.groupBy("_qb", "_cb").cogroup(cs.groupBy("_qb", "_cb"))
-                 .applyInPandas(lambda a, b: block(a, b), _out_schema(qid_type, cid_type, False)))
-        return rank_candidates(cands, k, metric)
+                 .applyInPandas(lambda a, b: block(a, b), schema))
+        return rank_candidates(cands, k, metric, n_sources=cb, fan_in=fan_in)
 
     raise ValueError(f"unknown strategy {strategy!r}")
 

@@ -36,7 +36,8 @@ def test_strategies_match_brute_force(spark, strategy, metric):
     queries, q = _vecs(spark, 25, 16, 2, prefix="q")
     queries = queries.withColumn("query_id", F.monotonically_increasing_id()).select(
         F.substring("id", 2, 4).cast("long").alias("query_id"), "embedding")
-    hits = knn(queries, corpus, 7, metric, strategy=strategy, block_rows=64, qblock_rows=8)
+    hits = knn(queries.repartition(3), corpus.repartition(9), 7, metric, strategy=strategy,
+               block_rows=32, qblock_rows=8, fan_in=2)  # 9-10 sources, fan-in 2: a 4-level merge tree
     got = {}
     for r in hits.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.id, round(r.score, 6)))
@@ -92,6 +93,17 @@ def test_ivf_full_probe_equals_exact(spark):
     assert exact == approx
 
 
+def test_merge_tree_bounds_groups(spark):
+    corpus, _ = _vecs(spark, 200, 8, 3)
+    queries, _ = _vecs(spark, 5, 8, 4, prefix="q")
+    queries = queries.select(F.substring("id", 2, 4).cast("long").alias("query_id"), "embedding")
+    flat = knn(queries, corpus.repartition(16), 4)
+    tree = knn(queries, corpus.repartition(16), 4, fan_in=2)
+    assert sorted(flat.collect()) == sorted(tree.collect())
+    plan = tree._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") > flat._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit")
+
+
 def test_plan_shapes(spark):
     kb = fx.knowledge_base(spark, SF_SMALL)
     q = fx.query_batch(spark, SF_SMALL)
@@ -112,5 +124,5 @@ def test_ivf_strategies_agree(spark):
     for nprobe in (1, 3):
         shipped = ivf.ivf_search(q, index, cents, 5, nprobe=nprobe)
         blocked = ivf.ivf_search(q, index, cents, 5, nprobe=nprobe, strategy="blocked",
-                                 block_rows=15, qblock_rows=3)
+                                 block_rows=15, qblock_rows=3, fan_in=2)
         assert sorted(shipped.collect()) == sorted(blocked.collect())
