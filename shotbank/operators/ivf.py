@@ -111,6 +111,16 @@ def read_index(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def rebuild_index(spark, vectors_path: str, out: str, nlist: int | None = None, seed: int = 42,
+                  metric: str = "ip") -> tuple[DataFrame, DataFrame]:
+    """Re-train centroids over stored vectors and overwrite ``out/centroids`` and ``out/index``."""
+    vectors = spark.read.parquet(vectors_path)
+    cents = train_centroids(vectors, nlist=nlist, seed=seed)
+    cents.write.mode("overwrite").parquet(f"{out}/centroids")
+    cents = spark.read.parquet(f"{out}/centroids")
+    return cents, write_index(assign_cells(vectors, cents, metric), f"{out}/index")
+
+
 def _probe_mask(qmat: np.ndarray, cells: np.ndarray, cmat: np.ndarray, nprobe: int, metric: str) -> np.ndarray:
     """(nq, nlist) booleans: the ``nprobe`` nearest cells of every query (ties to the lower cell)."""
     top = TopK(qmat, nprobe, metric)

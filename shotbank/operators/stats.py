@@ -60,6 +60,12 @@ def task_distribution(triplets: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("count")))
 
 
+def task_count(triplets: DataFrame) -> DataFrame:
+    """Number of distinct tasks (missing = ``unknown``) and of triplets, one row."""
+    t = F.coalesce(F.col("task"), F.lit("unknown"))
+    return triplets.agg(F.count_distinct(t).alias("distinct_tasks"), F.count(F.lit(1)).alias("triplets"))
+
+
 def task_topk(triplets: DataFrame, n: int = TOP_TASKS) -> DataFrame:
     """The ``n`` most frequent tasks, ties by task name (a top-n report)."""
     return task_distribution(triplets).orderBy(F.col("count").desc(), F.col("task").asc()).limit(n)

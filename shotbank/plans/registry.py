@@ -230,6 +230,12 @@ def q_task_topk(spark, sf):
     return stats.task_topk(fx.triplets(spark, sf))
 
 
+@register("task_count", O.with_base("""x as (select 1)
+select count(distinct coalesce(task, 'unknown')) as distinct_tasks, count(*) as triplets from triplets""", kb=False))
+def q_task_count(spark, sf):
+    return stats.task_count(fx.triplets(spark, sf))
+
+
 @register("task_distribution", O.with_base("""x as (select 1)
 select coalesce(task, 'unknown') as task, count(*) as count from triplets group by 1""", kb=False))
 def q_task_distribution(spark, sf):

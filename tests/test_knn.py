@@ -126,3 +126,17 @@ def test_ivf_strategies_agree(spark):
         blocked = ivf.ivf_search(q, index, cents, 5, nprobe=nprobe, strategy="blocked",
                                  block_rows=15, qblock_rows=3, fan_in=2)
         assert sorted(shipped.collect()) == sorted(blocked.collect())
+
+
+def test_zero_vectors_and_empty_corpus(spark):
+    from shotbank.functions.vectors import l2_normalize
+
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "query_id long, embedding array<double>")
+    got = {r.query_id: r.u for r in df.select("query_id", l2_normalize("embedding").alias("u")).collect()}
+    assert got[1] is None and got[2] == [0.6, 0.8]
+    corpus = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0])], "id string, embedding array<double>")
+    hits = knn(df, corpus, 5, "cosine").collect()
+    assert {(r.query_id, r.id) for r in hits} == {(2, "a")}  # zero vectors have no cosine
+    empty = spark.createDataFrame([], "id string, embedding array<double>")
+    for strategy in ("auto", "blocked"):
+        assert knn(df, empty, 3, strategy=strategy).count() == 0
