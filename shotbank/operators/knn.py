@@ -30,6 +30,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -246,11 +247,15 @@ def collect_bounded(df: DataFrame, id_col: str, vec: str, budget: int):
     The dimension comes from one row; then at most ``budget / (8 d) + 1`` rows
     are fetched, so the driver never receives more than the budget allows.
     """
-    first = df.select(dim_of(df, vec).alias("d")).first()
-    if first is None:
-        return np.zeros(0, dtype=object), np.zeros((0, 0))
-    cap = max(1, budget // (8 * max(int(first["d"]), 1)))
-    pdf = df.select(id_col, vec).limit(cap + 1).toPandas()
+    side = df.select(id_col, vec).persist(StorageLevel.MEMORY_AND_DISK)  # two actions below
+    try:
+        first = side.select(dim_of(side, vec).alias("d")).first()
+        if first is None:
+            return np.zeros(0, dtype=object), np.zeros((0, 0))
+        cap = max(1, budget // (8 * max(int(first["d"]), 1)))
+        pdf = side.limit(cap + 1).toPandas()
+    finally:
+        side.unpersist()
     if len(pdf) > cap:
         return None
     return pdf[id_col].to_numpy(), as_matrix(pdf[vec])

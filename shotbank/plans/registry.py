@@ -616,6 +616,14 @@ def q_corpus_scan(spark, sf):
     return _scanned(spark, sf).select("id", "source", "target", "rationale", "task")
 
 
+@register("corpus_scan_lines", O.with_base(f"x as (select 1) select pos, {_SCAN_COLS} from corpus_raw", kb=False))
+def q_corpus_scan_lines(spark, sf):
+    """The splittable form: corpus_raw written as JSON lines, read back with the same rules."""
+    path = scratch_path(spark, "corpus-lines")
+    src.write_json_lines(fx.corpus_raw(spark, sf), path)
+    return src.read_json_lines_corpus(spark, path).select("pos", "id", "source", "target", "rationale", "task")
+
+
 @register("corpus_first_n", O.with_base(
     f"x as (select 1) select {_SCAN_COLS} from corpus_raw order by pos limit 100", kb=False))
 def q_corpus_first_n(spark, sf):
