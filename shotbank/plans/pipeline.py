@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotbank.operators import clean, embed as emb, generate as gen, ivf, retrieve as ret
+from shotbank.operators import clean, embed as emb, generate as gen, ivf, retrieve as ret, stats
 from shotbank.sources import corpus as src
 
 
@@ -50,12 +50,9 @@ def build(spark: SparkSession, raw: DataFrame, out: str, *, encoder_factory=None
         raise ValueError("give an encoder_factory or an embeddings table")
     src.save_vectors(vectors, f"{out}/kb", model_name=getattr(encoder_factory, "__name__", "given"))
     kb = KnowledgeBase(triplets=triplets_path, vectors=f"{out}/kb/vectors")
+    stats.assert_dimension(spark.read.parquet(kb.vectors))  # the data's dimension; mixed is an error
     if nlist != 0:
-        stored = spark.read.parquet(kb.vectors)
-        cents = ivf.train_centroids(stored, nlist=nlist, seed=seed)
-        cents.write.mode("overwrite").parquet(f"{out}/centroids")
-        cents = spark.read.parquet(f"{out}/centroids")
-        ivf.write_index(ivf.assign_cells(stored, cents), f"{out}/index")
+        ivf.rebuild_index(spark, kb.vectors, out, nlist=nlist, seed=seed)
         kb.centroids, kb.index = f"{out}/centroids", f"{out}/index"
     return kb
 

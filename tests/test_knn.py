@@ -140,3 +140,18 @@ def test_zero_vectors_and_empty_corpus(spark):
     empty = spark.createDataFrame([], "id string, embedding array<double>")
     for strategy in ("auto", "blocked"):
         assert knn(df, empty, 3, strategy=strategy).count() == 0
+
+
+def test_kernel_scores_equal_jvm_expressions(spark):
+    """The numpy kernel's scores against the Column-expression dot / squared L2."""
+    from shotbank.functions.vectors import dot, sq_l2
+
+    kb = fx.knowledge_base(spark, SF_SMALL)
+    q = fx.query_batch(spark, SF_SMALL)
+    for metric, expr in (("ip", dot), ("l2", sq_l2)):
+        hits = knn(q, kb, 3, metric)
+        joined = (hits.join(q.select("query_id", F.col("embedding").alias("qv")), "query_id")
+                  .join(kb.select("id", F.col("embedding").alias("cv")), "id")
+                  .select("score", expr("qv", "cv").alias("jvm")))
+        assert joined.where(F.abs(F.col("score") - F.col("jvm")) > 1e-9).count() == 0
+        assert joined.count() == hits.count()
