@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotbank.operators.knn import (BLOCK_ROWS, BROADCAST_BYTES, FAN_IN, QBLOCK_ROWS, TopK, arrow_batch,
-                                    arrow_matrix, as_matrix, collect_bounded, knn, present,
+from shotbank.operators.knn import (BLOCK_ROWS, BROADCAST_BYTES, FAN_IN, QBLOCK_ROWS, rows_per_block, TopK, arrow_batch,
+                                    arrow_matrix, as_matrix, collect_bounded, dim_of, knn, present,
                                     rank_candidates, row_block, _out_schema, _frame)
 
 MAX_NLIST = 100
@@ -134,8 +134,8 @@ def _probe_mask(qmat: np.ndarray, cells: np.ndarray, cmat: np.ndarray, nprobe: i
 
 def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int,
                nprobe: int = 1, metric: str = "ip", query_id: str = "query_id",
-               query_vec: str = "embedding", block_rows: int = BLOCK_ROWS,
-               qblock_rows: int = QBLOCK_ROWS, strategy: str = "auto",
+               query_vec: str = "embedding", block_rows: int | None = BLOCK_ROWS,
+               qblock_rows: int | None = QBLOCK_ROWS, strategy: str = "auto",
                broadcast_bytes: int = BROADCAST_BYTES, fan_in: int = FAN_IN) -> DataFrame:
     """(query_id, rank, id, score): exact top-k among the vectors of the probed cells.
 
@@ -187,10 +187,13 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
             queries.schema[query_id].dataType.simpleString(), index.schema["id"].dataType.simpleString()))
     cells = [int(c) for c in probed["cell"]]
     vec_side = index.where(F.col("cell").isin(cells))  # partition pruning on a cell-partitioned index
-    sizes = vec_side.groupBy("cell").agg(F.count(F.lit(1)).alias("nv")).toPandas()
+    sizes = vec_side.groupBy("cell").agg(F.count(F.lit(1)).alias("nv"),
+                                         F.max(dim_of(vec_side, "embedding")).alias("d")).toPandas()
     blocks = probed.merge(sizes, on="cell", how="inner")
-    blocks["vb"] = [max(1, math.ceil(n / block_rows)) for n in blocks["nv"]]
-    blocks["qb"] = [max(1, math.ceil(n / qblock_rows)) for n in blocks["nq"]]
+    d = int(sizes["d"].max()) if len(sizes) else 1
+    vrows, qrows = block_rows or rows_per_block(d), qblock_rows or rows_per_block(d)
+    blocks["vb"] = [max(1, math.ceil(n / vrows)) for n in blocks["nv"]]
+    blocks["qb"] = [max(1, math.ceil(n / qrows)) for n in blocks["nq"]]
     blocks["vbase"] = np.cumsum(blocks["vb"]) - blocks["vb"]  # dense source ids over all cells
     n_sources = int(blocks["vb"].sum())
     plan = F.broadcast(spark.createDataFrame(

@@ -15,10 +15,12 @@ Physical strategies (picked by ``strategy="auto"`` from counted sizes):
 * ``broadcast_corpus`` - the vector table is the small side (e.g. IVF
   centroids): it is shipped and the query table is scanned; the result is final
   without any shuffle.
-* ``blocked`` - neither side fits: both sides get a block key (hash of the id),
-  every query block meets every vector block through a cogroup on
-  ``(qblock, cblock)``; block sizes are bounded by construction, so no group can
-  grow with the data. Each group emits at most ``k`` rows per query.
+* ``blocked`` - neither side fits: both sides get a block key (hash of the row
+  position), every query block meets every vector block through a cogroup on
+  ``(qblock, cblock)``; blocks hold at most ``BLOCK_BYTES`` of vectors per side,
+  so no group can grow with the data. Each group emits at most ``k`` rows per
+  query. The corpus is shuffled once per query block: for a query table far
+  beyond the broadcast budget over a huge corpus, IVF is the plan to use.
 
 No strategy materialises all (query, vector) pairs as rows: scores are a numpy
 matrix product inside a task, and only top-k candidates leave it.
@@ -37,9 +39,10 @@ from pyspark.sql import types as T
 
 # default budget for a shipped (broadcast) side, in bytes of float64 matrix
 BROADCAST_BYTES = 128 * 1024 * 1024
-# rows per vector block / query block in the blocked strategy
-BLOCK_ROWS = 20_000
-QBLOCK_ROWS = 5_000
+# bytes of float64 matrix per side of one blocked group (rows = BLOCK_BYTES / (8 d));
+# the corpus is shuffled once per query block, so blocks are as large as memory allows
+BLOCK_BYTES = 128 * 1024 * 1024
+BLOCK_ROWS = QBLOCK_ROWS = None
 # cap on the number of entries of one score matrix held at a time
 _MAX_CELLS = 8_000_000
 # sources merged per window group when candidates from many tasks meet
@@ -229,6 +232,10 @@ def rank_candidates(cands: DataFrame, k: int, metric: str, n_sources: int = 1,
             .select("query_id", "rank", "id", "score"))
 
 
+def rows_per_block(d: int, block_bytes: int = BLOCK_BYTES) -> int:
+    return max(1, block_bytes // (8 * max(d, 1)))
+
+
 def row_block(n_blocks: int):
     """Block number of a row from its position, not its content: repeated ids or
     exact copies of a row cannot pile up in one block."""
@@ -277,7 +284,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
         query_id: str = "query_id", query_vec: str = "embedding",
         corpus_id: str = "id", corpus_vec: str = "embedding",
         strategy: str = "auto", broadcast_bytes: int = BROADCAST_BYTES,
-        block_rows: int = BLOCK_ROWS, qblock_rows: int = QBLOCK_ROWS,
+        block_rows: int | None = BLOCK_ROWS, qblock_rows: int | None = QBLOCK_ROWS,
         fan_in: int = FAN_IN, info: dict | None = None) -> DataFrame:
     """Exact top-k search. Returns (query_id, rank, id, score).
 
@@ -354,13 +361,13 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
         return out.select("query_id", "rank", "id", "score")
 
     if strategy in ("auto", "blocked"):
-        nq, _ = side_sizes(q, "_vec")
+        nq, d = side_sizes(q, "_vec")
         nc, _ = side_sizes(c, "_vec")
         info.update(queries=nq, corpus=nc, strategy="blocked", max_hits=nq * k)
         if nq == 0 or nc == 0:
             return _empty(spark, qid_type, cid_type)
-        cb = max(1, math.ceil(nc / block_rows))
-        qb = max(1, math.ceil(nq / qblock_rows))
+        cb = max(1, math.ceil(nc / (block_rows or rows_per_block(d))))
+        qb = max(1, math.ceil(nq / (qblock_rows or rows_per_block(d))))
         cs = (c.withColumn("_cb", row_block(cb))
               .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
         qs = (q.withColumn("_qb", row_block(qb))
