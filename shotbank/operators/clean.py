@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from shotbank.functions.text import collapse, strip
 
-# Length limits, counted after strip and before collapse.
+# Length limits, counted after strip and before collapse, and the
+# provenance label stamped on every triplet.
 MIN_QUESTION, MIN_RATIONALE, MIN_ANSWER = 3, 10, 1
 DEFAULT_PROVENANCE = "cot_collection"
 

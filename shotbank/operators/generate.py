@@ -17,19 +17,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BASELINE, COT = "baseline", "retrieval_augmented_cot"
 MAX_EXAMPLES = 5
 DEFAULT_K = 5
 
-# System texts and prompt templates.
+# Method labels, system texts and prompt templates.
+BASELINE, COT = "baseline", "retrieval_augmented_cot"
 BASELINE_SYSTEM = ("You are a helpful assistant that provides direct, concise answers "
                    "without showing reasoning steps.")
 COT_SYSTEM = ("You are a helpful assistant that thinks step-by-step and shows detailed "
               "reasoning before providing the final answer.")
+QUESTION_HEAD = "Question: "
 BASELINE_TAIL = "\n\nGive me the final answer only."
+EXAMPLE_PARTS = ("Example ", ":\nQuestion: ", "\nRationale: ", "\nAnswer: ", "\n\n")
 COT_TAIL = "Now think step by step to solve the question above."
 COT_FALLBACK_TAIL = "\n\nThink step by step to solve this question."
 REPORT_RULE = "=" * 80
+REPORT_QUERY = "QUERY: "
+REPORT_BASELINE = "\n📍 BASELINE APPROACH:"
+REPORT_PROMPT, REPORT_RESPONSE, REPORT_TIME = "Prompt: ", "Response: ", "Time: %.3fs"
+REPORT_COT = "\n🧠 RETRIEVAL-AUGMENTED CoT APPROACH:"
+REPORT_FULL_PROMPT = "Full Prompt: "
+REPORT_ERROR = ("Error processing query '", "': ")
+ERROR_PREFIX = "Error: "
 NO_VALID = "No valid comparisons to evaluate"
 
 Model = Callable[[str, str], str]
@@ -40,12 +49,13 @@ def baseline_prompts(queries: DataFrame) -> DataFrame:
     return queries.select(
         "query_id", F.lit(BASELINE).alias("method"), "query",
         F.lit(BASELINE_SYSTEM).alias("system"),
-        F.concat(F.lit("Question: "), F.col("query"), F.lit(BASELINE_TAIL)).alias("prompt"))
+        F.concat(F.lit(QUESTION_HEAD), F.col("query"), F.lit(BASELINE_TAIL)).alias("prompt"))
 
 
 def _example_text(e: Column) -> Column:
-    return F.concat(F.lit("Example "), e["rank"].cast("string"), F.lit(":\nQuestion: "), e["question"],
-                    F.lit("\nRationale: "), e["rationale"], F.lit("\nAnswer: "), e["answer"], F.lit("\n\n"))
+    p = EXAMPLE_PARTS
+    return F.concat(F.lit(p[0]), e["rank"].cast("string"), F.lit(p[1]), e["question"],
+                    F.lit(p[2]), e["rationale"], F.lit(p[3]), e["answer"], F.lit(p[4]))
 
 
 def example_lists(hits: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
@@ -63,8 +73,8 @@ def cot_prompts(queries: DataFrame, hits: DataFrame, max_examples: int = MAX_EXA
     joined = queries.select("query_id", "query").join(ex, "query_id", "left")
     has = F.coalesce(F.size("examples"), F.lit(0)) > 0
     body = F.array_join(F.transform("examples", _example_text), "")
-    prompt = F.when(has, F.concat(F.lit("Question: "), F.col("query"), F.lit("\n\n"), body, F.lit(COT_TAIL))) \
-        .otherwise(F.concat(F.lit("Question: "), F.col("query"), F.lit(COT_FALLBACK_TAIL)))
+    prompt = F.when(has, F.concat(F.lit(QUESTION_HEAD), F.col("query"), F.lit("\n\n"), body, F.lit(COT_TAIL))) \
+        .otherwise(F.concat(F.lit(QUESTION_HEAD), F.col("query"), F.lit(COT_FALLBACK_TAIL)))
     return joined.select("query_id", F.lit(COT).alias("method"), "query",
                          F.lit(COT_SYSTEM).alias("system"), prompt.alias("prompt"), "examples")
 
@@ -78,7 +88,7 @@ def _call_all(model: Model):
                 try:
                     text, bad = str(model(system, prompt)).strip(), False
                 except Exception as e:  # noqa: BLE001 - one failed call must not fail the batch
-                    text, bad = f"Error: {e}", True
+                    text, bad = f"{ERROR_PREFIX}{e}", True
                 times.append(time.perf_counter() - start)
                 responses.append(text)
                 failed.append(bad)
@@ -190,19 +200,19 @@ def evaluate(comparisons: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def report(comparisons: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """(keys..., report): the readable comparison text, or the error line."""
-    t = lambda c: F.format_string("Time: %.3fs", F.col(c))
+    t = lambda c: F.format_string(REPORT_TIME, F.col(c))
     text = F.concat_ws(
-        "\n", F.lit(REPORT_RULE), F.concat(F.lit("QUERY: "), F.col("query")), F.lit(REPORT_RULE),
-        F.lit("\n📍 BASELINE APPROACH:"),
-        F.concat(F.lit("Prompt: "), F.col("baseline_prompt")),
-        F.concat(F.lit("Response: "), F.col("baseline_response")), t("baseline_time"),
-        F.lit("\n🧠 RETRIEVAL-AUGMENTED CoT APPROACH:"),
-        F.concat(F.lit("Full Prompt: "), F.col("cot_prompt")),
-        F.concat(F.lit("Response: "), F.col("cot_response")), t("cot_time"))
+        "\n", F.lit(REPORT_RULE), F.concat(F.lit(REPORT_QUERY), F.col("query")), F.lit(REPORT_RULE),
+        F.lit(REPORT_BASELINE),
+        F.concat(F.lit(REPORT_PROMPT), F.col("baseline_prompt")),
+        F.concat(F.lit(REPORT_RESPONSE), F.col("baseline_response")), t("baseline_time"),
+        F.lit(REPORT_COT),
+        F.concat(F.lit(REPORT_FULL_PROMPT), F.col("cot_prompt")),
+        F.concat(F.lit(REPORT_RESPONSE), F.col("cot_response")), t("cot_time"))
     if "error" not in comparisons.columns:
         return comparisons.select(*keys, text.alias("report"))
-    err = F.concat(F.lit("Error processing query '"), F.coalesce(F.col("query"), F.lit("")),
-                   F.lit("': "), F.col("error"))
+    err = F.concat(F.lit(REPORT_ERROR[0]), F.coalesce(F.col("query"), F.lit("")),
+                   F.lit(REPORT_ERROR[1]), F.col("error"))
     return comparisons.select(*keys, F.when(F.col("error").isNotNull(), err).otherwise(text).alias("report"))
 
 

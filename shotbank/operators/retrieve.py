@@ -17,7 +17,16 @@ PROMPT_MIN_K = 5
 PROMPT_MAX_EXAMPLES = 5
 META_COLUMNS = ("question", "rationale", "answer", "task", "source")
 
-# Rendering texts.
+# Rendering texts (per hit, lines in this order, each ending in a newline).
+SIMPLE_HEAD = "Example %d (similarity: %.4f):"
+SIMPLE_FIELDS = (("  Question: ", "question"), ("  Rationale: ", "rationale"), ("  Answer: ", "answer"))
+DETAILED_HEAD = "=== Retrieved Example %d ==="
+DETAILED_SCORE = "Similarity Score: %.4f"
+DETAILED_FIELDS = (("Source: ", "source"), ("ID: ", "id"), ("Question: ", "question"),
+                   ("Rationale: ", "rationale"), ("Answer: ", "answer"))
+UNKNOWN = "unknown"
+PROMPT_HEAD = "Example %d:"
+PROMPT_FIELDS = (("Question: ", "question"), ("Rationale: ", "rationale"))
 PROMPT_HEADER = "Here are examples demonstrating how to think step-by-step:\n\n"
 PROMPT_FOOTER = "---\n\nNow, solve the following problem using the same step-by-step thinking:"
 FORMAT_TYPES = ("simple", "detailed", "prompt")
@@ -66,30 +75,27 @@ def _ordered_join(block: Column, sep: str = "\n") -> Column:
     return F.array_join(F.transform(items, lambda x: x["b"]), sep)
 
 
+def _lines(fields, defaults=()) -> list[Column]:
+    out = []
+    for label, col in fields:
+        value = F.coalesce(F.col(col), F.lit(UNKNOWN)) if col in defaults else F.col(col)
+        out += [F.lit(label), value, F.lit("\n")]
+    return out
+
+
 def _simple_block() -> Column:
-    return F.concat(
-        F.format_string("Example %d (similarity: %.4f):", F.col("rank"), F.col("score")), F.lit("\n"),
-        F.lit("  Question: "), F.col("question"), F.lit("\n"),
-        F.lit("  Rationale: "), F.col("rationale"), F.lit("\n"),
-        F.lit("  Answer: "), F.col("answer"), F.lit("\n"))
+    return F.concat(F.format_string(SIMPLE_HEAD, F.col("rank"), F.col("score")), F.lit("\n"),
+                    *_lines(SIMPLE_FIELDS))
 
 
 def _detailed_block() -> Column:
-    return F.concat(
-        F.format_string("=== Retrieved Example %d ===", F.col("rank")), F.lit("\n"),
-        F.format_string("Similarity Score: %.4f", F.col("score")), F.lit("\n"),
-        F.lit("Source: "), F.coalesce(F.col("source"), F.lit("unknown")), F.lit("\n"),
-        F.lit("ID: "), F.coalesce(F.col("id"), F.lit("unknown")), F.lit("\n"),
-        F.lit("Question: "), F.col("question"), F.lit("\n"),
-        F.lit("Rationale: "), F.col("rationale"), F.lit("\n"),
-        F.lit("Answer: "), F.col("answer"), F.lit("\n"))
+    return F.concat(F.format_string(DETAILED_HEAD, F.col("rank")), F.lit("\n"),
+                    F.format_string(DETAILED_SCORE, F.col("score")), F.lit("\n"),
+                    *_lines(DETAILED_FIELDS, defaults=("source", "id")))
 
 
 def _prompt_block() -> Column:
-    return F.concat(
-        F.format_string("Example %d:", F.col("rank")), F.lit("\n"),
-        F.lit("Question: "), F.col("question"), F.lit("\n"),
-        F.lit("Rationale: "), F.col("rationale"), F.lit("\n"))
+    return F.concat(F.format_string(PROMPT_HEAD, F.col("rank")), F.lit("\n"), *_lines(PROMPT_FIELDS))
 
 
 def format_hits(hits: DataFrame, format_type: str = "simple") -> DataFrame:
