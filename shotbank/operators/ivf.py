@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from shotbank.operators.knn import (BLOCK_ROWS, BROADCAST_BYTES, FAN_IN, QBLOCK_ROWS, rows_per_block, TopK, arrow_batch,
                                     arrow_matrix, as_matrix, collect_bounded, dim_of, knn, present,
-                                    rank_candidates, row_block, _out_schema, _frame)
+                                    rank_candidates, row_block, source_count, _out_schema, _frame)
 
 MAX_NLIST = 100
 
@@ -177,7 +177,7 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
 
         pruned = index.where(F.col("cell").isin(probed)).select("id", "embedding", "cell")
         cands = pruned.mapInArrow(scan, schema).withColumn("_src", F.spark_partition_id())
-        return rank_candidates(cands, k, metric, n_sources=pruned.rdd.getNumPartitions(), fan_in=fan_in)
+        return rank_candidates(cands, k, metric, n_sources=source_count(pruned), fan_in=fan_in)
 
     probes = probes.join(q, "query_id")
     # 2. block counts per cell: both tables are bounded by nlist rows

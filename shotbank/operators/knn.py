@@ -29,6 +29,7 @@ matrix product inside a task, and only top-k candidates leave it.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -232,6 +233,25 @@ def rank_candidates(cands: DataFrame, k: int, metric: str, n_sources: int = 1,
             .select("query_id", "rank", "id", "score"))
 
 
+def source_count(df: DataFrame) -> int:
+    """How many tasks will scan ``df``, without running anything.
+
+    A plan without exchanges (a table scan, filters, projections) is planned and
+    its partitions counted; for an adaptive plan (upstream shuffles) that would
+    run those shuffles now, so the count is estimated from plan statistics as
+    size / openCostInBytes, an upper estimate for file scans (more sources only
+    add a merge level, never a larger group).
+    """
+    qe = df._jdf.queryExecution()
+    plan = qe.executedPlan()
+    if "AdaptiveSparkPlan" not in plan.nodeName():
+        return max(1, int(plan.execute().getNumPartitions()))
+    size = int(str(qe.optimizedPlan().stats().sizeInBytes()))
+    open_cost = int(str(df.sparkSession.conf.get("spark.sql.files.openCostInBytes", "4194304")).rstrip("b"))
+    exchanges = [int(n) for n in re.findall(r"[Pp]artitioning\((?:[^()]*?, )?(\d+)\)", plan.toString())]
+    return max(1, min(max([size // max(open_cost, 1), *exchanges]), FAN_IN ** 6))
+
+
 def rows_per_block(d: int, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, block_bytes // (8 * max(d, 1)))
 
@@ -332,7 +352,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
             yield arrow_batch(_frame(qids_, qpos, ids, sc), out_schema)
 
         cands = c.mapInArrow(scan, out_schema).withColumn("_src", F.spark_partition_id())
-        return rank_candidates(cands, k, metric, n_sources=c.rdd.getNumPartitions(), fan_in=fan_in)
+        return rank_candidates(cands, k, metric, n_sources=source_count(c), fan_in=fan_in)
 
     if strategy in ("auto", "broadcast_corpus"):
         shipped = collect_bounded(c, "_cid", "_vec", broadcast_bytes)
