@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shotbank.session import ship_package
+
 MAX_EXAMPLES = 5
 DEFAULT_K = 5
 
@@ -105,6 +107,7 @@ def generate(prompts: DataFrame, model: Model, parallelism: int | None = None) -
     ``parallelism`` caps concurrent model calls (partitions), e.g. for a rate
     limited service; otherwise the input partitioning is kept (no shuffle).
     """
+    ship_package(prompts.sparkSession)
     cols = prompts.select("query_id", "method", "query", "system", "prompt")
     if parallelism:
         cols = cols.repartition(parallelism, "query_id")

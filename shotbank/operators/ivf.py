@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shotbank.session import ship_package
+
 from shotbank.operators.knn import (BLOCK_ROWS, BROADCAST_BYTES, FAN_IN, QBLOCK_ROWS, rows_per_block, TopK, arrow_batch,
                                     arrow_matrix, as_matrix, collect_bounded, dim_of, knn, present,
                                     rank_candidates, row_block, source_count, _out_schema, _frame)
@@ -77,6 +79,7 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame, metric: str = "ip",
                  id_col: str = "id", vec: str = "embedding") -> DataFrame:
     """(id, embedding, cell): the nearest centroid of every vector, ties to the lower cell."""
     spark = vectors.sparkSession
+    ship_package(spark)
     cells, cmat = _collect_centroids(centroids)
     bc = spark.sparkContext.broadcast((cells, cmat))
     src = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("embedding")).where(

@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shotbank.session import ship_package
+
 # default budget for a shipped (broadcast) side, in bytes of float64 matrix
 BROADCAST_BYTES = 128 * 1024 * 1024
 # bytes of float64 matrix per side of one blocked group (rows = BLOCK_BYTES / (8 d));
@@ -68,6 +70,9 @@ def as_matrix(values) -> np.ndarray:
     if not vals:
         return np.zeros((0, 0), dtype=np.float64)
     first = vals[0]
+    if hasattr(first, "asDict"):  # a Row (collected without Arrow)
+        vals = [v.asDict() for v in vals]
+        first = vals[0]
     if isinstance(first, dict) or hasattr(first, "keys"):
         size = int(first["size"])
         m = np.zeros((len(vals), size), dtype=np.float64)
@@ -280,12 +285,12 @@ def collect_bounded(df: DataFrame, id_col: str, vec: str, budget: int):
         if first is None:
             return np.zeros(0, dtype=object), np.zeros((0, 0))
         cap = max(1, budget // (8 * max(int(first["d"]), 1)))
-        pdf = side.limit(cap + 1).toPandas()
+        table = side.limit(cap + 1).toArrow()  # Arrow whatever the session's conversion setting
     finally:
         side.unpersist()
-    if len(pdf) > cap:
+    if table.num_rows > cap:
         return None
-    return pdf[id_col].to_numpy(), as_matrix(pdf[vec])
+    return table.column(id_col).to_numpy(zero_copy_only=False), arrow_matrix(table.column(vec))
 
 
 def present(df: DataFrame, vec: str):
@@ -316,6 +321,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
     if metric not in _HIGHER_BETTER:
         raise ValueError(f"unknown metric {metric!r}")
     spark = queries.sparkSession
+    ship_package(spark)
     q = queries.where(present(queries, query_vec)).select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_vec"))
     c = corpus.where(present(corpus, corpus_vec)).select(F.col(corpus_id).alias("_cid"), F.col(corpus_vec).alias("_vec"))
     qid_type = queries.schema[query_id].dataType

@@ -28,7 +28,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return v if os.environ.get("ORACLE_EXACT") else round(v, 6)
     if hasattr(v, "tolist"):
         return _norm(v.tolist())
     if isinstance(v, (list, tuple)):
@@ -56,8 +56,15 @@ def main() -> int:
     import __spark_entry__ as entry
     from shotbank.session import build_session
 
-    spark = build_session("local[8]", shuffle_partitions=8,
-                          extra={"spark.ui.showConsoleProgress": "false"})
+    if os.environ.get("ORACLE_PLAIN"):  # a bare session, as an outside driver would build it
+        from pyspark.sql import SparkSession
+
+        spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+                 .getOrCreate())
+    else:
+        spark = build_session("local[8]", shuffle_partitions=8,
+                              extra={"spark.ui.showConsoleProgress": "false"})
     con = duckdb.connect()
     for t in TABLES:
         path = f"{sf_dir}/{t}.parquet"
