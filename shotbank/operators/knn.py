@@ -152,7 +152,13 @@ def select_topk(qpos: np.ndarray, ids: np.ndarray, key: np.ndarray, k: int):
 
 
 class TopK:
-    """Running top-k per query over successive blocks of vectors."""
+    """Running top-k per query over successive blocks of vectors.
+
+    Per chunk only the entries that can still be in a query's top k are kept
+    (strictly better than the k-th key, plus just enough of the ties at it,
+    smallest ids first); chunks are buffered and merged once the buffer holds
+    several times ``queries x k`` entries, so the id sort runs rarely.
+    """
 
     def __init__(self, q: np.ndarray, k: int, metric: str, allowed=None):
         self.q, self.k, self.metric = q, k, metric
@@ -161,6 +167,9 @@ class TopK:
         self.ids = np.zeros(0, dtype=object)
         self.score = np.zeros(0, dtype=np.float64)
         self.key = np.zeros(0, dtype=np.float64)
+        self._pending: list[tuple] = []
+        self._pending_n = 0
+        self._merge_at = max(4 * q.shape[0] * k, 100_000)
 
     def add(self, c: np.ndarray, ids: np.ndarray, groups=None) -> None:
         nq = self.q.shape[0]
@@ -173,25 +182,45 @@ class TopK:
             key = _sort_key(s, self.metric)
             if self.allowed is not None:
                 key[~self.allowed(groups[lo:lo + step])] = np.inf
-            kk = min(self.k, cb.shape[0])
-            if kk < cb.shape[0]:
-                thr = np.partition(key, kk - 1, axis=1)[:, kk - 1]
-                mask = key <= thr[:, None]
-            else:
-                mask = np.ones(key.shape, dtype=bool)
-            mask &= np.isfinite(key)
+            mask = self._candidates(key, idb)
             qi, ci = np.nonzero(mask)
-            self._merge(qi.astype(np.int64), idb[ci], s[qi, ci], key[qi, ci])
-
-    def _merge(self, qpos, ids, score, key) -> None:
-        qpos = np.concatenate([self.qpos, qpos])
-        ids = np.concatenate([self.ids, ids.astype(object)])
-        score = np.concatenate([self.score, score])
-        key = np.concatenate([self.key, key])
+            self._pending.append((qi.astype(np.int64), idb[ci].astype(object), s[qi, ci], key[qi, ci]))
+            self._pending_n += len(qi)
+            if self._pending_n >= self._merge_at:
+                self._flush()
+
+    def _candidates(self, key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        n = key.shape[1]
+        kk = min(self.k, n)
+        finite = np.isfinite(key)
+        if kk == n:
+            return finite
+        thr = np.partition(key, kk - 1, axis=1)[:, kk - 1]
+        strict = key < thr[:, None]
+        tied = (key == thr[:, None]) & finite
+        need = kk - strict.sum(axis=1)
+        if tied.sum() > need.sum():  # more ties at the k-th key than places left: smallest ids
+            id_rank = np.unique(ids, return_inverse=True)[1].reshape(-1)
+            t = np.where(tied, id_rank[None, :], n)
+            low = np.sort(np.partition(t, kk - 1, axis=1)[:, :kk], axis=1)
+            cut = low[np.arange(key.shape[0]), np.maximum(need, 1) - 1]
+            tied &= t <= cut[:, None]
+        return strict | tied
+
+    def _flush(self) -> None:
+        if not self._pending:
+            return
+        parts = [(self.qpos, self.ids, self.score, self.key)] + self._pending
+        qpos = np.concatenate([p[0] for p in parts])
+        ids = np.concatenate([p[1] for p in parts])
+        score = np.concatenate([p[2] for p in parts])
+        key = np.concatenate([p[3] for p in parts])
         keep, _ = select_topk(qpos, ids, key, self.k)
         self.qpos, self.ids, self.score, self.key = qpos[keep], ids[keep], score[keep], key[keep]
+        self._pending, self._pending_n = [], 0
 
     def result(self, with_rank: bool = False):
+        self._flush()
         keep, rank = select_topk(self.qpos, self.ids, self.key, self.k)
         out = (self.qpos[keep], self.ids[keep], self.score[keep])
         return out + (rank,) if with_rank else out
