@@ -177,7 +177,7 @@ def q_format_prompt(spark, sf):
 # ------------------------------------------------------------------ statistics and inspection
 
 from shotbank.functions import vectors as V  # noqa: E402
-from shotbank.operators import inspect as insp, stats  # noqa: E402
+from shotbank.operators import inspection as insp, stats  # noqa: E402
 
 _AVG_LENS = """round(avg(length(question)), 6) as avg_question_length,
        round(avg(length(rationale)), 6) as avg_rationale_length,
