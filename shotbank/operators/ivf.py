@@ -139,7 +139,8 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
                nprobe: int = 1, metric: str = "ip", query_id: str = "query_id",
                query_vec: str = "embedding", block_rows: int | None = BLOCK_ROWS,
                qblock_rows: int | None = QBLOCK_ROWS, strategy: str = "auto",
-               broadcast_bytes: int = BROADCAST_BYTES, fan_in: int = FAN_IN) -> DataFrame:
+               broadcast_bytes: int = BROADCAST_BYTES, fan_in: int = FAN_IN,
+               info: dict | None = None) -> DataFrame:
     """(query_id, rank, id, score): exact top-k among the vectors of the probed cells.
 
     ``auto`` ships the query batch when it fits ``broadcast_bytes``: the index is
@@ -157,8 +158,11 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
     schema = _out_schema(queries.schema[query_id].dataType, index.schema["id"].dataType, False)
 
     shipped = collect_bounded(q, "query_id", "embedding", broadcast_bytes) if strategy == "auto" else None
+    info = {} if info is None else info
+    info.update(strategy="shipped" if shipped is not None else "blocked", max_hits=None)
     if shipped is not None:
         qids, qmat = shipped
+        info.update(queries=len(qids), max_hits=len(qids) * k)
         if len(qids) == 0:
             return rank_candidates(spark.createDataFrame([], schema), k, metric)
         cells, cmat = _collect_centroids(centroids)

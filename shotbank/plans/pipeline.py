@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotbank.operators import clean, embed as emb, generate as gen, ivf, retrieve as ret, stats
+from shotbank.operators.knn import attach
 from shotbank.sources import corpus as src
 
 
@@ -65,8 +66,9 @@ def answer(spark: SparkSession, queries: DataFrame, kb: KnowledgeBase, k: int |
     vectors, cents, index = kb.load(spark)
     if nprobe and index is not None:
         k = ret.DEFAULT_K if k is None else k
-        hits = ret.apply_threshold(ivf.ivf_search(queries, index, cents, k, nprobe=nprobe), threshold)
-        hits = hits.join(vectors.select("id", *ret.META_COLUMNS), "id")
+        info: dict = {}
+        hits = ret.apply_threshold(ivf.ivf_search(queries, index, cents, k, nprobe=nprobe, info=info), threshold)
+        hits = attach(hits, vectors, columns=ret.META_COLUMNS, max_rows=info.get("max_hits"))
     elif format_type:
         return ret.retrieve_and_format(queries, vectors, k=k, format_type=format_type, threshold=threshold)
     else:
