@@ -50,3 +50,10 @@ def test_no_hits_gives_empty_text(spark, kb):
     q = spark.createDataFrame([(7, "x", None)], "query_id long, query string, embedding array<double>")
     rows = retrieve_and_format(q, kb, format_type="prompt").collect()
     assert [(r.query_id, r.text) for r in rows] == [(7, "")]
+
+
+def test_l2_threshold_is_on_similarity(spark, kb, queries):
+    # unit vectors: squared distance d and cosine c satisfy c = 1 - d / 2
+    hits = retrieve(queries, kb, k=3, threshold=0.5, metric="l2").orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id) for r in hits] == [(1, "e1"), (1, "e2"), (2, "e1")]
+    assert hits[0].score == 0.0 and abs(hits[1].score - 0.4) < 1e-12  # distances ascend
