@@ -25,12 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shotbank.operators.knn import (BLOCK_ROWS, BROADCAST_BYTES, FAN_IN, QBLOCK_ROWS, TopK, _frame,
+                                    _out_schema, arrow_batch, arrow_matrix, as_matrix, collect_bounded,
+                                    dim_of, knn, present, rank_candidates, rows_per_block, source_count)
 from shotbank.session import ship_package
 
-from shotbank.operators.knn import (BLOCK_ROWS, BROADCAST_BYTES, FAN_IN, QBLOCK_ROWS, rows_per_block, TopK, arrow_batch,
-                                    arrow_matrix, as_matrix, collect_bounded, dim_of, knn, present,
-                                    rank_candidates, row_block, source_count, _out_schema, _frame)
-
 MAX_NLIST = 100
 
 
@@ -42,7 +41,7 @@ def train_centroids(vectors: DataFrame, nlist: int | None = None, seed: int = 42
                     vec: str = "embedding", max_iter: int = 20) -> DataFrame:
     """(cell, centroid array<double>) from k-means over the vectors (distributed, iterative)."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     data = vectors.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
     if nlist is None:

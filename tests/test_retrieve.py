@@ -1,9 +1,8 @@
 """Threshold / fallback semantics and golden texts of the three formats."""
 
 import pytest
-from pyspark.sql import functions as F
 
-from shotbank.operators.retrieve import apply_threshold, format_hits, retrieve, retrieve_and_format
+from shotbank.operators.retrieve import retrieve, retrieve_and_format
 
 KB = [("e1", [1.0, 0.0], "Q one", "R one", "A one", "t", "src"),
       ("e2", [0.8, 0.6], "Q two", "R two", "A two", "t", "src"),
