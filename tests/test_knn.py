@@ -155,3 +155,14 @@ def test_kernel_scores_equal_jvm_expressions(spark):
                   .select("score", expr("qv", "cv").alias("jvm")))
         assert joined.where(F.abs(F.col("score") - F.col("jvm")) > 1e-9).count() == 0
         assert joined.count() == hits.count()
+
+
+def test_source_count_never_underestimates(spark):
+    from shotbank.operators.knn import source_count
+
+    docs = fx.table(spark, SF_SMALL, "documents")
+    assert source_count(docs) == docs.rdd.getNumPartitions()  # a plain scan: exact
+    for df in (docs.repartition(7), docs.repartition(5, "doc_id"),
+               docs.join(fx.table(spark, SF_SMALL, "embeddings"), docs.doc_id == F.col("vec_id"))):
+        actual = df.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert source_count(df) >= actual
