@@ -166,3 +166,15 @@ def test_source_count_never_underestimates(spark):
                docs.join(fx.table(spark, SF_SMALL, "embeddings"), docs.doc_id == F.col("vec_id"))):
         actual = df.select(F.spark_partition_id().alias("p")).distinct().count()
         assert source_count(df) >= actual
+
+
+def test_sparse_vectors_in_every_plan(spark):
+    from shotbank.operators import embed as emb
+
+    kb = emb.lexical_vectors(fx.triplets(spark, SF_SMALL), "question", dim=128)
+    q = emb.lexical_vectors(fx.table(spark, SF_SMALL, "benchmark").selectExpr("item_id as query_id", "text"),
+                            "text", dim=128)
+    want = sorted(knn(q, kb, 3, strategy="broadcast_queries").collect())
+    for strategy in ("broadcast_corpus", "blocked"):
+        got = sorted(knn(q, kb, 3, strategy=strategy, block_rows=50, qblock_rows=7).collect())
+        assert got == want, strategy
