@@ -84,23 +84,30 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame, metric: str = "ip",
     src = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("embedding")).where(
         F.col("embedding").isNotNull())
 
+    schema = T.StructType([T.StructField("id", vectors.schema[id_col].dataType),
+                           T.StructField("embedding", vectors.schema[vec].dataType),
+                           T.StructField("cell", T.IntegerType())])
+
     def assign(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
         cells_, cmat_ = bc.value
-        for pdf in batches:
-            if not len(pdf):
+        out_schema = to_arrow_schema(schema)
+        for rb in batches:
+            if not rb.num_rows:
                 continue
-            v = as_matrix(pdf["embedding"])
+            v = arrow_matrix(rb.column("embedding"))
             if metric == "l2":
-                d = (cmat_ * cmat_).sum(1)[None, :] - 2.0 * (v @ cmat_.T)
-                best = np.argmin(d, axis=1)
+                best = np.argmin((cmat_ * cmat_).sum(1)[None, :] - 2.0 * (v @ cmat_.T), axis=1)
             else:
                 best = np.argmax(v @ cmat_.T, axis=1)
-            yield pd.DataFrame({"id": pdf["id"], "embedding": pdf["embedding"], "cell": cells_[best]})
+            # id and vector pass through as Arrow arrays; only the cell is new
+            yield pa.RecordBatch.from_arrays(
+                [rb.column("id"), rb.column("embedding"), pa.array(cells_[best], type=pa.int32())],
+                schema=out_schema)
 
-    schema = T.StructType([T.StructField("id", vectors.schema[id_col].dataType),
-                           T.StructField("embedding", vectors.schema[vec].dataType),
-                           T.StructField("cell", T.IntegerType())])
-    return src.mapInPandas(assign, schema)
+    return src.mapInArrow(assign, schema)
 
 
 def write_index(index: DataFrame, path: str) -> DataFrame:
