@@ -91,3 +91,15 @@ def test_clean_is_idempotent_and_rate(spark):
     assert extract_triplets(again, "fixture").exceptAll(t).count() == 0
     r = extraction_rate(fx.corpus_raw(spark, SF_SMALL)).first()
     assert r.total == 200 and r.kept == 174 and r.kept + r.dropped_missing + r.dropped_short == r.total
+
+
+def test_keyed_json_order_across_files(spark):
+    d = tempfile.mkdtemp(prefix="kj-multi-", dir="/tmp")
+    rec = lambda q: {"source": q, "target": "a", "rationale": R10}
+    with open(os.path.join(d, "part-b.json"), "w") as f:
+        f.write(json.dumps({"z": rec("zzz"), "a": rec("aaa")}))
+    with open(os.path.join(d, "part-a.json"), "w") as f:
+        f.write('{"m": %s, "m": %s}' % (json.dumps(rec("first")), json.dumps(rec("last"))))
+    raw = read_keyed_json(spark, d)
+    assert [r.id for r in raw.orderBy("pos").collect()] == ["m", "z", "a"]  # file path order, then key order
+    assert {r.id: r.question for r in extract_triplets(raw).collect()} == {"m": "last", "z": "zzz", "a": "aaa"}
