@@ -56,3 +56,19 @@ def test_report_text(spark):
     assert rep[1] == ("=" * 80 + "\nQUERY: Q?\n" + "=" * 80 + "\n\n📍 BASELINE APPROACH:\nPrompt: P1\nResponse: R1\n"
                       "Time: 0.500s\n\n🧠 RETRIEVAL-AUGMENTED CoT APPROACH:\nFull Prompt: P2\nResponse: R2\nTime: 1.250s")
     assert rep[2] == "Error processing query 'Bad?': boom"
+
+
+def test_generation_runs_once_and_is_reused(spark):
+    import tempfile
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(system, prompt):
+        calls.add(1)
+        return "answer"
+
+    q = spark.createDataFrame([(i, f"q{i}") for i in range(6)], "query_id long, query string")
+    g = gen.generate_to(gen.baseline_prompts(q), model, tempfile.mkdtemp(dir="/tmp") + "/gen")
+    assert calls.value == 6
+    g.count(), g.collect(), gen.compare_methods(g).count()  # downstream reads use the written table
+    assert calls.value == 6
