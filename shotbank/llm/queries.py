@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shotbank.llm import radix_repeats, url_markov, warc_revisit, wu_manber
+from shotbank.llm import backoff_lm, radix_repeats, url_markov, warc_revisit, wu_manber
 from shotbank.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,11 @@ def _query(fn):
     return fn
 
 
+@_query
+def op5_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.contamination_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
