@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shotbank.llm import backoff_lm, radix_repeats, url_markov, warc_revisit, wu_manber
+from shotbank.llm import backoff_lm, mil_quality, radix_repeats, surrogates, url_markov, warc_revisit, wu_manber
 from shotbank.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,16 @@ def _query(fn):
     return fn
 
 
+@_query
+def op2_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil_quality.score_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op5_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score_corpus(table(spark, sf_dir, "documents"))
