@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shotbank.llm import backoff_lm, mil_quality, radix_repeats, surrogates, url_markov, warc_revisit, wu_manber
+from shotbank.llm import backoff_lm, mil_quality, radix_repeats, sp_scan, surrogates, url_markov, warc_revisit, wu_manber
 from shotbank.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,11 @@ from d left join hit using (doc_id) left join its using (doc_id)
 """
 
 
+@_query
+def op7_max_plus_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_scan.digest(sp_scan.decode(sp_scan.encode(table(spark, sf_dir, "documents"))))
+
+
 @_query
 def op8_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_markov.judge(table(spark, sf_dir, "pages"))
