@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,22 @@ def held_out(id_col, mod: int, rest: int = 2):
     return (F.crc32(text.cast("binary")) % mod) == rest
 
 
+def forest(ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For links between places p and q of ``ids``, the place each is led to: one place for every set that
+    hangs together. An id that stands at several places counts as one."""
+    _, first, back = np.unique(ids, return_index=True, return_inverse=True)
+    same = first[back]
+    p, q, low = same[p], same[q], same.copy()
+    while True:
+        before = low.copy()
+        least = np.minimum(low[p], low[q])
+        np.minimum.at(low, p, least)
+        np.minimum.at(low, q, least)
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges(a, b)``.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shotbank.llm import backoff_lm, mil_quality, radix_repeats, sp_scan, surrogates, url_markov, warc_revisit, wu_manber
+from shotbank.llm import backoff_lm, chosen_path, mil_quality, radix_repeats, sp_scan, subspace_join, surrogates, url_markov, warc_revisit, wu_manber
 from shotbank.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,11 +18,36 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op1_subspace_join"] = """
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+    and len([x for x in embedding if x <> 0]) > 0),
+ links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+           and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+ reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+ comp as (select a, min(b) as m from reach group by a),
+ n as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(m, vec_id)) as component_id,
+       vec_id = least(vec_id, coalesce(m, vec_id)) as kept
+from embeddings left join n on n.a = vec_id left join comp on comp.a = vec_id
+"""
+
+
 @_query
 def op2_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.score_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@_query
+def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace(table(spark, sf_dir, "documents"))
