@@ -37,8 +37,6 @@ GRAM = 48
 BLOCKS = (64, 8, 1)
 #: Bytes of a text whose anchors are found at once (with an overlap); bounds a task's memory.
 CHUNK = 1 << 22
-#: Rows per document are shipped to the scan of the texts up to this many bytes, and joined by a shuffle beyond.
-SHIP_BYTES = 32 << 20
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _INV = np.uint64(pow(int(_MUL), -1, 1 << 64))
@@ -111,11 +109,8 @@ def _raw(col) -> list[bytes]:
 
 
 def _join_texts(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """``docs`` with the written ``rows`` (one per document), shipped if small, else shuffled."""
-    n = rows.agg(F.sum(F.size("runs") * 24 + 40)).first()[0] or 0
+    """``docs`` with ``rows`` (one per document): the same shuffled join at every size."""
     rows = rows.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "runs")
-    if n <= SHIP_BYTES:
-        rows = F.broadcast(rows)
     return docs.join(rows, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), how).drop("d", "t")
 
 
