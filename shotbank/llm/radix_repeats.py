@@ -167,7 +167,8 @@ def repeated_runs(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Data
     """
     runs = written(map_rows(docs.where(F.octet_length("text") >= depth),
                             "doc_id long, th long, h long, q long, lo long, hi long", _find_anchors(depth, gram)), "runs")
-    shared = runs.groupBy("h").count().where("count > 1").select(F.col("h").alias("g"))
+    # groups are written before they are joined with their rows, so that Spark can split a hot one
+    shared = written(runs.groupBy("h").count().where("count > 1").select(F.col("h").alias("g")), "shared")
     runs = runs.join(shared, F.col("h") == F.col("g"))
     out = None
     for size in BLOCKS:
@@ -177,10 +178,13 @@ def repeated_runs(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Data
                                  _cut(size, depth)), "blocks")
         hulls = nodes.groupBy("hull").agg(F.count("*").alias("n"), F.min("core").alias("core"),
                                           F.min(F.struct("doc_id", "th", "q", "s", "e")).alias("one"))
+        hulls = written(hulls, "hulls")
         same = hulls.where("n > 1").select(F.col("hull").alias("g"))
         settled = nodes.join(same, F.col("hull") == F.col("g")).select("doc_id", "th", "s", "e")
         out = settled if out is None else out.union(settled)
-        open_cores = hulls.groupBy("core").count().where("count > 1").select(F.col("core").alias("g"))
+        if size == BLOCKS[-1]:
+            break
+        open_cores = written(hulls.groupBy("core").count().where("count > 1").select(F.col("core").alias("g")), "cores")
         runs = (hulls.join(open_cores, F.col("core") == F.col("g"))
                 .select("one.doc_id", "one.th", "one.q", F.col("one.s").alias("lo"), F.col("one.e").alias("hi")))
     return out
