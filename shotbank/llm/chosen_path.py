@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotbank.llm.common import components, forest, map_rows, written
+from shotbank.llm.common import components, forest, fresh, map_rows, written
 
 WORDS = 5
 MIN_JACCARD = 0.8
@@ -291,8 +291,8 @@ def _verify(min_jaccard: float):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_jaccard: float = MIN_JACCARD,
                     runs: int | None = None, tile: int = TILE) -> DataFrame:
-    """(doc_id, class_id, n_links, kept) of every row: the smallest doc_id reachable over links, the
-    number of other rows linked directly, and whether the row is its class's first.
+    """(doc_id, class_id, n_links, kept, h1, h2) of every row: the smallest doc_id reachable over links, the
+    number of other rows linked directly, whether the row is its class's first, and two hashes of its text.
 
     Null texts and texts without words link with nothing. Rows with equal texts are linked, repeated rows
     too. A null doc_id is never a class id unless all ids of a class are null. Other columns are ignored.
@@ -326,7 +326,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.coalesce("class_id", "doc_id")
     return (rows.join(known, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
             .select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                    F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept")))
+                    F.col("doc_id").eqNullSafe(own).alias("kept"), "h1", "h2"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the first of their class; of rows that agree in id and
+    text one stays."""
+    found = near_duplicates(docs, id_col, text_col, **options).where("kept")
+    known = [fresh(docs, n) for n in ("first_id", "first_h1", "first_h2", "first_n")]
+    first = written(found.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n")).toDF(*known), "first")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col(known[0])) & (F.xxhash64(text) == F.col(known[1]))
+                     & (F.xxhash64(F.lit("second"), text) == F.col(known[2])))
+    once = rows.where(F.col(known[3]) == 1)
+    if not first.where(F.col(known[3]) > 1).isEmpty():
+        once = once.union(rows.where(F.col(known[3]) > 1).dropDuplicates(known))
+    return once.select(*docs.columns)
 
 
 def _whole_sets(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, needed: DataFrame) -> DataFrame:

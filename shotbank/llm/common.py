@@ -46,6 +46,27 @@ def map_rows(df: DataFrame, schema: str, fn) -> DataFrame:
     return df.mapInArrow(run, struct)
 
 
+def keep_rows(df: DataFrame, needs: list[str], fn) -> DataFrame:
+    """The rows of ``df``, all columns, for which ``fn(columns: dict of arrays) -> list of booleans`` holds.
+
+    ``needs`` names the columns that ``fn`` sees."""
+    places = [df.columns.index(n) for n in needs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(fn({n: batch.column(i) for n, i in zip(needs, places)}), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _arrow_schema(struct) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

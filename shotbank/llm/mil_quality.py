@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotbank.llm.common import held_out, map_rows
+from shotbank.llm.common import held_out, keep_rows, map_rows
 
 PASSAGE = 64
 #: Labelled texts of each class that are trained on, at most (those of the smallest hash of their id).
@@ -248,6 +248,19 @@ def score(docs: DataFrame, model: Model | None, mod: int = 4, rest: int = 2) ->
     return map_rows(rows, "doc_id long, held_out boolean, score double, predicted int, n_passages int, attended int", run)
 
 
+def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches the threshold; without a model all rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(cols: dict) -> list[bool]:
+        m, out = shared.value, []
+        for raws in _chunks(cols["text"]):
+            out += [True] * len(raws) if m is None else (m.forward(*encode(raws))[0] >= THRESHOLD).tolist()
+        return out
+
+    return keep_rows(docs, ["text"], run)
+
+
 def score_corpus(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labelled training rows and score every row (see :func:`train`, :func:`score`)."""
     return score(docs, train(docs, labels))

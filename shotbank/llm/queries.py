@@ -45,7 +45,7 @@ def op2_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents")).drop("h1", "h2")
 
 
 @_query

@@ -13,10 +13,11 @@ import hashlib
 import hmac
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotbank.llm.common import map_rows, written
+from shotbank.llm.common import fresh, map_rows, written
 
 KEY = b"replace this key in production"
 #: Redrawn entities are shipped to the tasks up to this many, and joined by a shuffle beyond.
@@ -261,8 +262,45 @@ def redrawn(found: DataFrame, key: bytes = KEY) -> DataFrame | None:
     raise RuntimeError("redrawn: a kind has more entities than surrogates of its format")
 
 
-OUT = ("text string, n_entities int, "
-       "entities array<struct<kind: string, start: int, end: int, surrogate: string>>")
+def _draws(docs: DataFrame, text_col: str, key: bytes) -> tuple[DataFrame, str | None, dict]:
+    """(docs, column, draws): the redrawn entities to ship, or, if they are too many, a column of each
+    row's own; a row is known by the hash of its text."""
+    late = redrawn(written(entities(docs, text_col), "entities"), key)
+    if late is None:
+        return docs, None, {}
+    if late.count() <= SHIP_ROWS:
+        return docs, None, {(r["kind"], r["canon"]): r["draw"] for r in late.collect()}
+
+    def run(cols: dict) -> dict:
+        out = {"t": [], "k": [], "c": []}
+        for th, t in zip(cols["th"].to_pylist(), cols["text"].to_pylist()):
+            for k, c in {(k, canonical(k, t[a:b])) for a, b, k in find(t)} if t else ():
+                out["t"].append(th)
+                out["k"].append(k)
+                out["c"].append(c)
+        return out
+
+    th, own = F.xxhash64(F.col(text_col).cast("string")), fresh(docs, "draws")
+    found = (map_rows(docs.select(th.alias("th"), F.col(text_col).cast("string").alias("text")), "t long, k string, c string", run)
+             .distinct().join(late, (F.col("k") == F.col("kind")) & (F.col("c") == F.col("canon"))))
+    key_col = fresh(docs, "text_hash")
+    per_text = found.groupBy(F.col("t").alias(key_col)).agg(F.collect_list(F.struct("kind", "canon", "draw")).alias(own))
+    return docs.withColumn(key_col, th).join(per_text, key_col, "left").drop(key_col), own, {}
+
+
+def _rewriter(key: bytes, shared):
+    def run(text: str | None, mine: list | None) -> tuple[str | None, list]:
+        known = shared.value if mine is None else {(x["kind"], x["canon"]): x["draw"] for x in mine}
+        new, at, ents = [], 0, []
+        for a, b, kind in find(text) if text else ():
+            canon = canonical(kind, text[a:b])
+            s = dress(kind, text[a:b], surrogate(key, kind, canon, known.get((kind, canon), 0)))
+            new += [text[at:a], s]
+            at = b
+            ents.append({"kind": kind, "start": a, "end": b, "surrogate": s})
+        return ("".join([*new, text[at:]]) if ents else text), ents
+
+    return run
 
 
 def replace(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,51 +312,32 @@ def replace(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col:
     unless so many entities collide that their draws can't be shipped.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    late = redrawn(written(entities(rows), "entities"), key)
-    draws: dict = {}
-    if late is not None:
-        if late.count() > SHIP_ROWS:
-            rows = _with_draws(rows, late)
-        else:
-            draws = {(r["kind"], r["canon"]): r["draw"] for r in late.collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(draws)
+    rows, own, draws = _draws(rows, "text", key)
+    rewrite_one = _rewriter(key, docs.sparkSession.sparkContext.broadcast(draws))
 
     def run(cols: dict) -> dict:
-        texts, out = cols["text"].to_pylist(), {"text": [], "n_entities": [], "entities": []}
-        own = cols["draws"].to_pylist() if "draws" in cols else [None] * len(texts)
-        for t, mine in zip(texts, own):
-            known = shared.value if mine is None else {(x["kind"], x["canon"]): x["draw"] for x in mine}
-            new, at, ents = [], 0, []
-            for a, b, kind in find(t) if t else ():
-                raw = t[a:b]
-                canon = canonical(kind, raw)
-                s = dress(kind, raw, surrogate(key, kind, canon, known.get((kind, canon), 0)))
-                new += [t[at:a], s]
-                at = b
-                ents.append({"kind": kind, "start": a, "end": b, "surrogate": s})
-            out["text"].append("".join([*new, t[at:]]) if ents else t)
-            out["n_entities"].append(len(ents))
-            out["entities"].append(ents)
-        return {"doc_id": cols["doc_id"], **out}
-
-    return map_rows(rows, "doc_id long, " + OUT, run)
-
-
-def _with_draws(rows: DataFrame, late: DataFrame) -> DataFrame:
-    """Adds each row's own redrawn entities; a row is known by the hash of its text."""
-    rows = rows.withColumn("th", F.xxhash64("text"))
+        texts = cols["text"].to_pylist()
+        done = [rewrite_one(t, m) for t, m in zip(texts, cols[own].to_pylist() if own else [None] * len(texts))]
+        return {"doc_id": cols["doc_id"], "text": [t for t, _ in done], "n_entities": [len(e) for _, e in done],
+                "entities": [e for _, e in done]}
 
-    def run(cols: dict) -> dict:
-        out = {"t": [], "k": [], "c": []}
-        for th, t in zip(cols["th"].to_pylist(), cols["text"].to_pylist()):
-            for k, c in {(k, canonical(k, t[a:b])) for a, b, k in find(t)} if t else ():
-                out["t"].append(th)
-                out["k"].append(k)
-                out["c"].append(c)
-        return out
+    return map_rows(rows, "doc_id long, text string, n_entities int, "
+                          "entities array<struct<kind: string, start: int, end: int, surrogate: string>>", run)
+
+
+def rewrite(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with surrogates in ``text_col`` (see :func:`replace`)."""
+    rows, own, draws = _draws(docs, text_col, key)
+    rewrite_one = _rewriter(key, docs.sparkSession.sparkContext.broadcast(draws))
+
+    names, schema = rows.columns, docs.schema
+
+    def run(batches):
+        for batch in batches:
+            cols = {n: batch.column(i) for i, n in enumerate(names)}
+            texts = cols[text_col].to_pylist()
+            mine = cols[own].to_pylist() if own else [None] * len(texts)
+            cols[text_col] = pa.array([rewrite_one(t, m)[0] for t, m in zip(texts, mine)], pa.string())
+            yield pa.RecordBatch.from_arrays([cols[f.name] for f in schema], names=[f.name for f in schema])
 
-    own = (map_rows(rows.select("th", "text"), "t long, k string, c string", run).distinct()
-           .join(late, (F.col("k") == F.col("kind")) & (F.col("c") == F.col("canon")))
-           .groupBy("t").agg(F.collect_list(F.struct("kind", "canon", "draw")).alias("draws")))
-    return (rows.join(own, F.col("th") == F.col("t"), "left")
-            .select("doc_id", "text", F.coalesce("draws", F.array().cast("array<struct<kind:string,canon:string,draw:int>>")).alias("draws")))
+    return rows.mapInArrow(run, schema)

@@ -16,15 +16,13 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotbank.llm.common import map_rows, written
+from shotbank.llm.common import keep_rows, map_rows
 
 WINDOW = 13
-#: Bytes of benchmark text in one broadcast searcher; a larger benchmark takes several passes.
+#: Bytes of benchmark text in one broadcast searcher; a task holds one of them at a time.
 BLOCK_BYTES = 16 << 20
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-HIT_SCHEMA = "doc_id long, n_words long, spans array<long>, items array<string>"
-
 
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text: A-Z lower-cased; digits, a-z and everything beyond ASCII."""
@@ -111,57 +109,69 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
     yield block
 
 
+def ship(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> list:
+    """Searchers of the benchmark as broadcasts, each of at most ``block_bytes`` of benchmark text."""
+    sc = benchmark.sparkSession.sparkContext
+    return [sc.broadcast(pickle.dumps(build(b))) for b in item_blocks(benchmark, item_col, item_text, block_bytes)]
+
+
+def _scanner(shared: list):
+    """A function from texts to [(n_words, runs, items)]. A task holds one block of searchers at a time."""
+    loaded: list = []
+
+    def run(texts: list) -> list[tuple[int, list[int], set]]:
+        out = [(0, [], set())] * len(texts)
+        for block in shared:
+            if len(shared) == 1 and loaded:
+                searchers = loaded[0]
+            else:
+                searchers = pickle.loads(block.value)
+                loaded[:] = [searchers]
+            for i, t in enumerate(texts):
+                ws = words_of(t)
+                runs, its = scan(searchers, ws)
+                old = out[i][1]
+                if old:
+                    runs = merge(list(zip(runs[::2], runs[1::2])) + list(zip(old[::2], old[1::2])))
+                out[i] = (len(ws), runs, its | out[i][2])
+        return out
+
+    return run
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-              item_col: str = "item_id", item_text: str = "text",
-              block_bytes: int = BLOCK_BYTES) -> DataFrame:
+              item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, spans, items): the hit word runs [start, end) of every document, flat, and
     the sorted ids of the items found.
 
-    Documents are scanned where they lie; nothing is shuffled. The searcher is broadcast in blocks
-    of at most ``block_bytes`` of benchmark text: with more, one pass follows another, each written.
-    Null or empty texts have no words; an item without words has no window; an item without an
-    id still hits, but isn't listed. Repeated rows are judged one by one.
+    Documents are scanned where they lie; nothing is shuffled. The searchers are broadcast in blocks
+    of at most ``block_bytes`` of benchmark text, and a task holds one block at a time. Null or empty
+    texts have no words; an item without words has no window; an item without an id still hits, but isn't
+    listed. Repeated rows are judged one by one. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    first = True
-    blocks = item_blocks(benchmark, item_col, item_text, block_bytes)
-    block = next(blocks)
-    while block is not None:
-        ahead = next(blocks, None)
-        shared = spark.sparkContext.broadcast(pickle.dumps(build(block)))
-        keep = ", text string" if ahead is not None else ""
-        out = map_rows(out, HIT_SCHEMA + keep, _pass(shared, first))
-        if keep:
-            out = written(out, "hits")
-        block, first = ahead, False
-    return out.select("doc_id", "n_words", "spans", "items")
-
-
-def _pass(shared, first: bool):
-    loaded: list = []
+    scanner = _scanner(ship(benchmark, item_col, item_text, block_bytes))
 
     def run(cols: dict) -> dict:
-        if not loaded:
-            loaded.append(pickle.loads(shared.value))
-        texts = cols["text"].to_pylist()
-        n_words, spans, items = [], [], []
-        old_spans = None if first else cols["spans"].to_pylist()
-        old_items = None if first else cols["items"].to_pylist()
-        for i, t in enumerate(texts):
-            ws = words_of(t)
-            runs, its = scan(loaded[0], ws)
-            if not first:
-                old = old_spans[i]
-                runs = merge(list(zip(runs[::2], runs[1::2])) + list(zip(old[::2], old[1::2])))
-                its = its | set(old_items[i])
-            n_words.append(len(ws))
-            spans.append(runs)
-            items.append(sorted(x for x in its if x is not None))
-        return {"doc_id": cols["doc_id"], "n_words": n_words, "spans": spans, "items": items,
-                "text": cols["text"]}
+        found = scanner(cols["text"].to_pylist())
+        return {"doc_id": cols["doc_id"], "n_words": [n for n, _, _ in found], "spans": [r for _, r, _ in found],
+                "items": [sorted(x for x in its if x is not None) for _, _, its in found]}
 
-    return run
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")),
+                    "doc_id long, n_words long, spans array<long>, items array<string>", run)
+
+
+def is_contaminated(n_hit: int, n_words: int) -> bool:
+    return n_hit > 0 and 20 * n_hit >= n_words
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, that aren't contaminated."""
+    scanner = _scanner(ship(benchmark, block_bytes=block_bytes))
+
+    def run(cols: dict) -> list[bool]:
+        return [not is_contaminated(sum(r[1::2]) - sum(r[::2]), n) for n, r, _ in scanner(cols[text_col].to_pylist())]
+
+    return keep_rows(docs, [text_col], run)
 
 
 def contamination(hits: DataFrame) -> DataFrame:
@@ -174,7 +184,7 @@ def contamination(hits: DataFrame) -> DataFrame:
         return {"doc_id": cols["doc_id"], "n_words": cols["n_words"], "n_hit": n_hit,
                 "n_items": [len(x) for x in its],
                 "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in its],
-                "contaminated": [h > 0 and 20 * h >= n for h, n in zip(n_hit, cols["n_words"].to_pylist())]}
+                "contaminated": [is_contaminated(h, n) for h, n in zip(n_hit, cols["n_words"].to_pylist())]}
 
     return map_rows(hits, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, "
                           "contaminated boolean", run)
