@@ -113,12 +113,13 @@ def find(text: str) -> list[tuple[int, int, str]]:
             if not w[0].isupper():
                 break
             words.append(w)
-        for i, w in enumerate(words):
+        for i, whole in enumerate(words):
+            w = re.sub("['’]s$", "", whole)  # a possessive is not part of the name
             kind = "name_family" if i == len(words) - 1 else f"name_{gender}"
             spans.append((at, at + len(w), kind))
             if len(w) > 2:
                 names.setdefault(w, kind)
-            at += len(w) + 1
+            at += len(whole) + 1
     if spans:
         left = claim(spans)
     if names:  # other mentions of the same people without a title
