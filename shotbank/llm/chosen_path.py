@@ -106,14 +106,16 @@ def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return same / np.maximum(some, 1)
 
 
-def children(key: int, sketch: np.ndarray) -> list[int]:
-    """The children of bucket ``key`` that a set goes to."""
-    bins = np.flatnonzero(sketch)
-    tokens = mix((bins.astype(np.uint64) << np.uint64(32)) | sketch[bins].astype(np.uint64))
-    h = mix(tokens ^ np.uint64(key & 0xFFFFFFFFFFFFFFFF))
-    p = 1 / (LAMBDA * max(1, len(bins)))
-    chosen = h if p >= 1 else h[h < np.uint64(int(p * 2.0 ** 64))]
-    return mix(chosen * _ODD + np.uint64(1)).view(np.int64).tolist()
+def children(keys: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child): the children of bucket ``keys[row]`` that the set of that row goes to."""
+    bins = np.arange(BINS, dtype=np.uint64) << np.uint64(32)
+    tokens = mix(bins | sketches.astype(np.uint64))
+    used = sketches > 0
+    h = mix(tokens ^ keys.view(np.uint64)[:, None])
+    share = 1 / (LAMBDA * np.maximum(used.sum(1), 1))
+    chosen = used & ((h < (np.minimum(share, 0.999) * 2.0 ** 64).astype(np.uint64)[:, None]) | (share >= 1)[:, None])
+    row, b = np.nonzero(chosen)
+    return row, mix(h[row, b] * _ODD + np.uint64(1)).view(np.int64)
 
 
 def _sketches(raw) -> np.ndarray:
@@ -145,13 +147,20 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
 
 def _split(cols: dict) -> dict:
     """Children of (key, cid, sk) rows."""
-    out = {"key": [], "cid": []}
-    sk = _sketches(cols["sk"].to_pylist())
-    for key, cid, s in zip(cols["key"].to_pylist(), cols["cid"].to_pylist(), sk):
-        got = children(key, s)
-        out["key"] += got
-        out["cid"] += [cid] * len(got)
-    return out
+    row, child = children(cols["key"].to_numpy(), _sketches(cols["sk"].to_pylist()))
+    return {"key": pa.array(child), "cid": cols["cid"].take(pa.array(row))}
+
+
+def _start(seeds: list[int]):
+    """Children of the roots of all runs."""
+
+    def run(cols: dict) -> dict:
+        sk = _sketches(cols["sk"].to_pylist())
+        got = [children(np.full(len(sk), s, np.int64), sk) for s in seeds]
+        return {"key": pa.array(np.concatenate([c for _, c in got])),
+                "cid": cols["cid"].take(pa.array(np.concatenate([r for r, _ in got])))}
+
+    return run
 
 
 def _dense(rows: pd.DataFrame) -> pd.DataFrame:
@@ -167,8 +176,7 @@ def buckets(classes: DataFrame, runs: int | None = None) -> DataFrame:
     runs = runs or runs_for()
     sk = classes.select(F.col("cid").alias("c"), "sk")
     seeds = mix(np.arange(1, runs + 1, dtype=np.uint64) * _ODD).view(np.int64).tolist()
-    start = classes.select("cid", "sk", F.explode(F.array(*map(F.lit, seeds))).alias("key"))
-    rows, done = map_rows(start, "key long, cid long", _split), None
+    rows, done = map_rows(classes.select("cid", "sk"), "key long, cid long", _start(seeds)), None
     for depth in range(1, MAX_DEPTH + 1):
         rows = written(rows, "paths")
         sizes = rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("k"), "count")
@@ -191,8 +199,67 @@ def buckets(classes: DataFrame, runs: int | None = None) -> DataFrame:
     return done
 
 
+def over_groups(df: DataFrame, group: list[str], schema: str, fn, rows: int = 20_000) -> DataFrame:
+    """``fn(frame, starts) -> frame`` over whole groups, many small ones at a time.
+
+    Groups are dealt and sorted by Spark; a call gets groups of about ``rows`` rows together, each one
+    contiguous from its place in ``starts`` on. No group may be larger than memory: they are tiles."""
+    from pyspark.sql.types import StructType
+
+    from shotbank.llm.common import _arrow_schema
+
+    struct = StructType.fromDDL(schema)
+    out_schema, names = _arrow_schema(struct), df.columns
+
+    def run(batches):
+        held: list = []
+        count = 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= rows:
+                frame = pa.Table.from_batches(held).combine_chunks()
+                cut = _last_start(frame, group)
+                if cut:
+                    yield from _call(frame.slice(0, cut))
+                    held = frame.slice(cut).to_batches()
+                    count -= cut
+        if count:
+            yield from _call(pa.Table.from_batches(held).combine_chunks())
+
+    def _call(frame: pa.Table):
+        got = fn(frame.to_pandas(), _starts(frame, group))
+        yield from pa.Table.from_pandas(got, schema=out_schema, preserve_index=False).to_batches()
+
+    return df.repartition(*group).sortWithinPartitions(*group).select(*names).mapInArrow(run, struct)
+
+
+def _starts(frame: pa.Table, group: list[str]) -> np.ndarray:
+    new = np.zeros(frame.num_rows, bool)
+    new[0] = True
+    for g in group:
+        v = frame.column(g).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def _last_start(frame: pa.Table, group: list[str]) -> int:
+    return int(_starts(frame, group)[-1])
+
+
+def _meets(x: list, y: list, key: int) -> bool:
+    """Whether ``key`` is the smallest bucket that two members share (their buckets are sorted)."""
+    i = j = 0
+    while x[i] != y[j]:
+        if x[i] < y[j]:
+            i += 1
+        else:
+            j += 1
+    return x[i] == key
+
+
 def _owned(x_keys, y_keys, key: int) -> np.ndarray:
-    """Pairs whose smallest common bucket is ``key``."""
+    """All pairs of two tiles, whether ``key`` is the smallest bucket that they share."""
     out = np.ones((len(x_keys), len(y_keys)), bool)
     at: dict[int, tuple[list, list]] = {}
     for side, all_keys in enumerate((x_keys, y_keys)):
@@ -207,84 +274,102 @@ def _owned(x_keys, y_keys, key: int) -> np.ndarray:
     return out
 
 
-def _sides(rows: pd.DataFrame):
-    one = rows["t1"].iloc[0] == rows["t2"].iloc[0]
-    left = rows[rows["t"] == rows["t1"]].reset_index(drop=True)
-    right = left if one else rows[rows["t"] == rows["t2"]].reset_index(drop=True)
-    return left, right, one
-
-
-def _pairs(left, right, one, min_jaccard: float) -> np.ndarray:
-    x, y = left["size"].to_numpy(), right["size"].to_numpy()
-    ok = np.minimum(x[:, None], y[None]) >= min_jaccard * np.maximum(x[:, None], y[None])
-    ok &= _owned(left["keys"], right["keys"], int(left["key"].iloc[0]))
-    return np.triu(ok, 1) if one else ok
+def candidate_pairs(f: pd.DataFrame, starts: np.ndarray, min_jaccard: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (p, q) of the pairs that are worth verifying in their group: sizes allow the similarity,
+    the embeddings agree far enough, and the pair belongs to this bucket."""
+    size, key, keys = f["size"].to_numpy(), f["key"].to_numpy(), f["keys"].to_list()
+    t, t1, t2 = f["t"].to_numpy(), f["t1"].to_numpy(), f["t2"].to_numpy()
+    sk = _sketches(f["sk"])
+    ends = np.append(starts[1:], len(f))
+    out_p, out_q = [], []
+    small = (ends - starts) <= SMALL
+    # all pairs of all small groups at once: each row with those after it in its group
+    after = np.zeros(len(f), np.int64)
+    for a, b in zip(starts[small], ends[small]):
+        after[a:b] = np.arange(b - a)[::-1]
+    p = np.repeat(np.arange(len(f)), after)
+    q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(after) - after, after)
+    # of two tiles, only pairs across; of one, all
+    ok = ((t1[p] == t2[p]) | (t[p] != t[q])) & (np.minimum(size[p], size[q]) >= min_jaccard * np.maximum(size[p], size[q]))
+    p, q = p[ok], q[ok]
+    for lo in range(0, len(p), 1 << 17):
+        x, y = sk[p[lo:lo + (1 << 17)]], sk[q[lo:lo + (1 << 17)]]
+        used = (x > 0) | (y > 0)
+        near = ((x == y) & used).sum(1) >= CANDIDATE * used.sum(1)
+        i, j = p[lo:lo + (1 << 17)][near], q[lo:lo + (1 << 17)][near]
+        mine = np.array([_meets(keys[a], keys[b], k) for a, b, k in zip(i, j, key[i])], bool)
+        out_p.append(i[mine])
+        out_q.append(j[mine])
+    for a, b in zip(starts[~small], ends[~small]):
+        one = t1[a] == t2[a]
+        left = a + np.flatnonzero(t[a:b] == t1[a])
+        right = left if one else a + np.flatnonzero(t[a:b] == t2[a])
+        x, y = size[left], size[right]
+        good = np.minimum(x[:, None], y[None]) >= min_jaccard * np.maximum(x[:, None], y[None])
+        good &= _owned([keys[i] for i in left], [keys[i] for i in right], int(key[a]))
+        good = np.triu(good, 1) if one else good
+        if good.any():
+            good &= alike(sk[left], sk[right]) >= CANDIDATE
+        i, j = np.nonzero(good)
+        out_p.append(left[i])
+        out_q.append(right[j])
+    return np.concatenate(out_p or [np.zeros(0, np.int64)]), np.concatenate(out_q or [np.zeros(0, np.int64)])
 
 
 def _candidates(min_jaccard: float):
-    """Members with a pair that is worth verifying here."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right, one = _sides(rows)
-        out = rows.iloc[:0]
-        if len(left) and len(right):
-            ok = _pairs(left, right, one, min_jaccard)
-            if ok.any():
-                ok &= alike(_sketches(left["sk"]), _sketches(right["sk"])) >= CANDIDATE
-                if one:
-                    out = left[ok.any(0) | ok.any(1)]
-                else:
-                    out = pd.concat([left[ok.any(1)], right[ok.any(0)]])
-        return out[["key", "t1", "t2", "t", "cid", "n", "size", "keys"]]
+    """Members with a pair that is worth verifying."""
+
+    def run(f: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        p, q = candidate_pairs(f, starts, min_jaccard)
+        return f.iloc[np.unique(np.concatenate([p, q]))]
 
     return run
 
 
-def _shared(x: list[np.ndarray], y: list[np.ndarray], ok: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the pairs ``ok``."""
-    p, q = np.nonzero(ok)
-    if len(p) <= 4 * (len(x) + len(y)):
-        return np.array([len(np.intersect1d(x[i], y[j], True)) for i, j in zip(p, q)], np.int64)
-    sets = [*x, *y]
+def shared_counts(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs (p, q) of sets of one group."""
+    if len(p) <= 4 * len(sets):
+        return np.array([len(np.intersect1d(sets[i], sets[j], True)) for i, j in zip(p, q)], np.int64)
     who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    token, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     often = count > 1
-    place = np.cumsum(often) - 1
     keep = often[back]
-    who, back = who[keep], place[back[keep]]
-    out = np.zeros((len(x), len(y)), np.float32)
+    who, back = who[keep], (np.cumsum(often) - 1)[back[keep]]
     order = np.argsort(back, kind="stable")
     who, back = who[order], back[order]
-    step = 4096
-    for a in range(0, int(often.sum()), step):
-        lo, hi = np.searchsorted(back, [a, a + step])
-        m = np.zeros((len(sets), step), np.float32)
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(often.sum()), 4096):
+        lo, hi = np.searchsorted(back, [a, a + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
         m[who[lo:hi], back[lo:hi] - a] = 1
-        out += m[:len(x)] @ m[len(x):].T
-    return np.rint(out[p, q]).astype(np.int64)
+        both += m @ m.T
+    return np.rint(both[p, q]).astype(np.int64)
 
 
 def _verify(min_jaccard: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right, one = _sides(rows)
-        if not len(left) or not len(right):
-            return pd.DataFrame({"cid": [], "links": [], "low": []})
-        ok = _pairs(left, right, one, min_jaccard)
-        x = [np.frombuffer(s, np.uint64) for s in left["set"]]
-        y = x if one else [np.frombuffer(s, np.uint64) for s in right["set"]]
-        both = _shared(x, y, ok)
-        p, q = np.nonzero(ok)
-        nx, ny = left["size"].to_numpy()[p], right["size"].to_numpy()[q]
-        linked = both >= min_jaccard * (nx + ny - both) - 1e-9
-        p, q = p[linked], q[linked] + len(left)
-        ids = np.concatenate([left["cid"].to_numpy(), right["cid"].to_numpy()])
-        n = np.concatenate([left["n"].to_numpy(), right["n"].to_numpy()])
-        links = np.zeros(len(ids), np.int64)
+    """Per member and group: how many rows it links with here, and the member its links lead it to."""
+
+    def run(f: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        p, q = candidate_pairs(f, starts, min_jaccard)
+        group = np.searchsorted(starts, p, "right") - 1
+        order = np.argsort(group, kind="stable")
+        p, q, group = p[order], q[order], group[order]
+        cid, n, size = f["cid"].to_numpy(), f["n"].to_numpy(), f["size"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in f["set"]]
+        ends = np.append(starts[1:], len(f))
+        both = np.zeros(len(p), np.int64)
+        for g in np.unique(group):
+            lo, hi = np.searchsorted(group, [g, g + 1])
+            a, b = starts[g], ends[g]
+            both[lo:hi] = shared_counts(sets[a:b], p[lo:hi] - a, q[lo:hi] - a)
+        linked = both >= min_jaccard * (size[p] + size[q] - both) - 1e-9
+        p, q = p[linked], q[linked]
+        links = np.zeros(len(f), np.int64)
         np.add.at(links, p, n[q])
         np.add.at(links, q, n[p])
-        low = forest(ids, p, q)
+        low = forest(cid, p, q)
         some = links > 0
-        return pd.DataFrame({"cid": ids[some], "links": links[some], "low": ids[low[some]]})
+        return pd.DataFrame({"cid": cid[some], "links": links[some], "low": cid[low[some]]})
 
     return run
 
@@ -309,11 +394,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select("key", "cid", "t", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"))
              .join(info, F.col("cid") == F.col("c")).drop("c"))
     group = ["key", "t1", "t2"]
-    worth = written(tiled.groupBy(*group).applyInPandas(
-        _candidates(min_jaccard), "key long, t1 int, t2 int, t int, cid long, n long, size int, keys array<long>"), "worth")
+    schema = ("key long, cid long, t int, t1 int, t2 int, n long, size int, sk binary, keys array<long>")
+    worth = written(over_groups(tiled, group, schema, _candidates(min_jaccard)), "worth")
     sets = _whole_sets(docs, id_col, text_col, classes, worth.select(F.col("cid").alias("c")).distinct())
-    found = written(worth.join(sets, F.col("cid") == F.col("c")).drop("c").groupBy(*group)
-                    .applyInPandas(_verify(min_jaccard), "cid long, links long, low long"), "links")
+    found = written(over_groups(worth.join(sets, F.col("cid") == F.col("c")).drop("c"), group,
+                                "cid long, links long, low long", _verify(min_jaccard)), "links")
     links = found.groupBy(F.col("cid").alias("l")).agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("cid").alias("a"), F.col("low").alias("b")))
     first = (comp.join(classes.select("cid", "rep"), F.col("node") == F.col("cid"))
