@@ -88,7 +88,7 @@ from d left join hit using (doc_id) left join its using (doc_id)
 
 @_query
 def op7_max_plus_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_scan.digest(sp_scan.decode(sp_scan.encode(table(spark, sf_dir, "documents"))))
+    return sp_scan.digest(sp_scan.encode(table(spark, sf_dir, "documents")))
 
 
 @_query

@@ -30,10 +30,12 @@ from shotbank.llm.common import map_rows, written
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Texts of more characters are encoded in chunks of ``CHUNK`` characters.
-GIANT = 1 << 16
-CHUNK = 1 << 14
+GIANT = 1 << 15
+CHUNK = 1 << 13
+#: Longer units are encoded by the best path, whose time is linear.
+UNIT = 64
 #: Units that a worker remembers, at most.
-REMEMBER = 300_000
+REMEMBER = 400_000
 
 State = tuple[int, int]  # a piece from a to b; (0, 0) before the first
 
@@ -45,6 +47,8 @@ class Vocabulary:
         self.pieces, self.kinds = pieces, kinds
         self.ids = {p: i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == "piece"}
         self.score = {p: scores[i] for p, i in self.ids.items()}
+        self.loss = {p: -x for p, x in self.score.items()}
+        self.no_piece = float("inf")
         self.unknown = kinds.index("unknown")
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == "byte"}
         self.longest = max(map(len, self.ids), default=1)
@@ -53,11 +57,24 @@ class Vocabulary:
             sizes.setdefault(p[-1], set()).add(len(p))
         self.sizes = {c: tuple(sorted(s | {1}, reverse=True)) for c, s in sizes.items()}
         self.pairs = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
-        alone = not any("\n" in p for p in self.ids) and not any(a != SPACE and b == SPACE for a, b in self.pairs)
-        self.unit = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if alone else "(?s).+")
+        self.unit = self._unit_pattern()
         self.fits: dict = {}
         self.units = _Units(self)
 
+    def _unit_pattern(self) -> re.Pattern:
+        """Pieces of text between places that no piece reaches over: before a space that follows something
+        else, around line ends, and after a run of letters. Only what holds in this vocabulary is used."""
+        if any("\n" in p for p in self.ids) or any(a != SPACE and b == SPACE for a, b in self.pairs):
+            return re.compile("(?s).+")
+        letter = re.compile(r"[^\W\d_]")
+        letters = {c for p in self.ids for c in p if letter.match(c)}
+        joined: set[str] = set()  # letters that some piece joins with a following other character
+        while more := {a for a, b in self.pairs if a in letters - joined and b not in letters - joined}:
+            joined |= more
+        not_joined = "".join(map(re.escape, sorted(joined)))
+        run = rf"[^\W\d_{not_joined}]"
+        return re.compile(rf"\n|{SPACE}*{run}+|{SPACE}*(?:(?!{run})[^{SPACE}\n])(?:[^{SPACE}\n])*|{SPACE}+")
+
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
         import sentencepiece
@@ -72,17 +89,23 @@ class Vocabulary:
         return Vocabulary, (self.pieces, [self.score.get(p, 0.0) for p in self.pieces], self.kinds)
 
     def merged(self, s: str) -> list[str]:
-        """The encoding of a short string by its definition: join the neighbours with the best score."""
+        """The encoding of a short string by its definition: join the neighbours with the best score, the
+        first of them, until no two make a piece."""
         parts = list(s)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                x = self.score.get(parts[i] + parts[i + 1])
-                if x is not None and (best is None or x > best):
-                    best, at = x, i
-            if at < 0:
-                return parts
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        get, none = self.loss.get, self.no_piece
+        loss = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while loss:
+            least = min(loss)
+            if least == none:
+                break
+            i = loss.index(least)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del loss[i]
+            if i:
+                loss[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(loss):
+                loss[i] = get(parts[i] + parts[i + 1], none)
+        return parts
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether both stay as they are side by side (an empty ``left``: at a unit's start)."""
@@ -128,9 +151,12 @@ class Vocabulary:
         return [self.unknown]
 
     def encode_unit(self, unit: str) -> bytes:
+        """Ids of a unit. All paths meet at both its ends, so it is encoded alone: a short one by the
+        definition, a long one by the best path."""
+        if len(unit) <= UNIT:
+            return np.array([i for p in self.merged(unit) for i in self.ids_of(p)], np.int32).tobytes()
         last = self.walk(unit, (0, 0), len(unit))
-        ids = [i for a, b in self.back(last, len(unit), 0) for i in self.ids_of(unit[a:b])]
-        return np.array(ids, np.int32).tobytes()
+        return np.array([i for a, b in self.back(last, len(unit), 0) for i in self.ids_of(unit[a:b])], np.int32).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a normalised text (see :func:`normal`)."""
@@ -214,16 +240,18 @@ class Vocabulary:
 
 
 class _Units(dict):
-    """Encodings of units, found when first asked for."""
+    """Encodings of units, found when first asked for. When full, those not asked for since the last
+    time go."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older = vocabulary, {}
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= REMEMBER:
-            self.clear()
-        out = self.vocabulary.encode_unit(unit)
-        if len(unit) <= 64:
+        out = self.older.get(unit) or self.vocabulary.encode_unit(unit)
+        if len(unit) <= UNIT:
+            if len(self) >= REMEMBER:
+                self.older = dict(self)
+                self.clear()
             self[unit] = out
         return out
 
@@ -353,16 +381,20 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return map_rows(encoded, "doc_id long, text string, ids array<int>, n_chunks int, decoded string", run)
 
 
-def digest(decoded: DataFrame) -> DataFrame:
+def digest(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, n_chars, n_tokens, n_chunks, ids_sha256, round_trip); the hash is over the ids as
-    little-endian 32-bit integers. A null text has 0 characters."""
+    little-endian 32-bit integers, ``round_trip`` whether they decode to the text. A null text has 0 characters."""
+    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
     def run(cols: dict) -> dict:
-        return {"doc_id": cols["doc_id"], "n_tokens": cols["n_tokens"], "n_chars": cols["n_chars"], "n_chunks": cols["n_chunks"],
-                "round_trip": cols["round_trip"],
-                "ids_sha256": [hashlib.sha256(x.values.to_numpy().astype("<i4").tobytes()).hexdigest() for x in cols["ids"]]}
-
-    text = F.coalesce("text", F.lit(""))
-    return map_rows(decoded.select("doc_id", "ids", "n_chunks", F.size("ids").alias("n_tokens"), F.length(text).alias("n_chars"),
-                                   (F.col("decoded") == text).alias("round_trip")),
+        v, out = shared.value, {k: [] for k in ("n_chars", "n_tokens", "ids_sha256", "round_trip")}
+        for text, ids in zip(cols["text"], cols["ids"]):
+            text, ids = text.as_py() or "", ids.values
+            out["n_chars"].append(len(text))
+            out["n_tokens"].append(len(ids))
+            out["ids_sha256"].append(hashlib.sha256(ids.to_numpy().astype("<i4", copy=False).tobytes()).hexdigest())
+            out["round_trip"].append(v.decode(ids.tolist()) == text)
+        return {"doc_id": cols["doc_id"], "n_chunks": cols["n_chunks"], **out}
+
+    return map_rows(encoded.select("doc_id", "text", "ids", "n_chunks"),
                     "doc_id long, n_chars int, n_tokens int, n_chunks int, ids_sha256 string, round_trip boolean", run)
