@@ -1,7 +1,7 @@
 """Prompt assembly, batch generation through a pluggable model, comparison and evaluation.
 
 The model is a user callable ``model(system, prompt) -> str`` run inside
-``mapInPandas``: one Python call per prompt (a model call is the unit of work),
+``mapInArrow``: one Python call per prompt (a model call is the unit of work),
 each isolated by try/except so one failure becomes an ``Error: ...`` response
 instead of failing the job. Generation is neither cheap nor repeatable, so
 ``generate_to`` writes the result once and everything downstream reads it.
@@ -12,7 +12,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,8 +55,9 @@ def baseline_prompts(queries: DataFrame) -> DataFrame:
 
 def _example_text(e: Column) -> Column:
     p = EXAMPLE_PARTS
-    return F.concat(F.lit(p[0]), e["rank"].cast("string"), F.lit(p[1]), e["question"],
-                    F.lit(p[2]), e["rationale"], F.lit(p[3]), e["answer"], F.lit(p[4]))
+    field = lambda name: F.coalesce(e[name].cast("string"), F.lit(""))
+    return F.concat(F.lit(p[0]), field("rank"), F.lit(p[1]), field("question"),
+                    F.lit(p[2]), field("rationale"), F.lit(p[3]), field("answer"), F.lit(p[4]))
 
 
 def example_lists(hits: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
@@ -81,11 +81,15 @@ def cot_prompts(queries: DataFrame, hits: DataFrame, max_examples: int = MAX_EXA
                          F.lit(COT_SYSTEM).alias("system"), prompt.alias("prompt"), "examples")
 
 
-def _call_all(model: Model):
+def _call_all(model: Model, schema: T.StructType):
     def run(batches):
-        for pdf in batches:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out_schema = to_arrow_schema(schema)
+        for rb in batches:
             responses, times, failed = [], [], []
-            for system, prompt in zip(pdf["system"], pdf["prompt"]):
+            for system, prompt in zip(rb.column("system").to_pylist(), rb.column("prompt").to_pylist()):
                 start = time.perf_counter()
                 try:
                     text, bad = str(model(system, prompt)).strip(), False
@@ -94,30 +98,27 @@ def _call_all(model: Model):
                 times.append(time.perf_counter() - start)
                 responses.append(text)
                 failed.append(bad)
-            yield pd.DataFrame({
-                "query_id": pdf["query_id"], "method": pdf["method"], "query": pdf["query"],
-                "system": pdf["system"], "prompt": pdf["prompt"], "response": responses,
-                "generation_time": times, "failed": failed})
+            # all other columns pass through as Arrow arrays
+            yield pa.RecordBatch.from_arrays(
+                [*rb.columns, pa.array(responses, pa.string()), pa.array(times, pa.float64()), pa.array(failed, pa.bool_())],
+                schema=out_schema)
     return run
 
 
 def generate(prompts: DataFrame, model: Model, parallelism: int | None = None) -> DataFrame:
-    """(query_id, method, query, system, prompt, response, generation_time, failed).
+    """(query_id, method, query, system, prompt[, examples], response, generation_time, failed).
 
     ``parallelism`` caps concurrent model calls (partitions), e.g. for a rate
     limited service; otherwise the input partitioning is kept (no shuffle).
     """
     ship_package(prompts.sparkSession)
-    cols = prompts.select("query_id", "method", "query", "system", "prompt")
+    cols = prompts.select("query_id", "method", "query", "system", "prompt",
+                          *[c for c in ("examples",) if c in prompts.columns])
     if parallelism:
         cols = cols.repartition(parallelism, "query_id")
-    qid_type = prompts.schema["query_id"].dataType
-    schema = T.StructType([
-        T.StructField("query_id", qid_type), T.StructField("method", T.StringType()),
-        T.StructField("query", T.StringType()), T.StructField("system", T.StringType()),
-        T.StructField("prompt", T.StringType()), T.StructField("response", T.StringType()),
-        T.StructField("generation_time", T.DoubleType()), T.StructField("failed", T.BooleanType())])
-    return cols.mapInPandas(_call_all(model), schema)
+    schema = T.StructType([*cols.schema.fields, T.StructField("response", T.StringType()),
+                           T.StructField("generation_time", T.DoubleType()), T.StructField("failed", T.BooleanType())])
+    return cols.mapInArrow(_call_all(model, schema), schema)
 
 
 def generate_to(prompts: DataFrame, model: Model, path: str, parallelism: int | None = None) -> DataFrame:
@@ -136,47 +137,61 @@ def best_scores(hits: DataFrame) -> DataFrame:
 def compare_methods(generations: DataFrame, best: DataFrame | None = None,
                     keys: tuple[str, ...] = ("query_id",),
                     expected: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:
-    """One row per key pairing the two methods (conditional aggregation: one exchange).
+    """One row per key pairing the two methods, with an ``error`` text instead of numbers where a key
+    has only one of them (or, with ``failed``, where its comparison raised).
 
-    ``best`` adds retrieved_examples_count (0 when absent) and the nullable
-    best_similarity_score. With ``expected`` (all keys asked) and ``failed``
-    (keys whose comparison raised), the result is the batch form: every asked
-    key, with an ``error`` text instead of numbers when it could not be paired.
+    The keys are those of ``generations``, ``expected`` and ``failed``. ``best`` adds retrieved_examples_count
+    (0 when absent) and the nullable best_similarity_score. The query stays on error rows, from ``expected``
+    where nothing was generated. All inputs are tagged, put together and aggregated by key once (one
+    exchange); only numbers are aggregated, and the two methods' texts are joined to the result.
     """
-    def pick(method: str, col: str) -> Column:
-        return F.max(F.when(F.col("method") == method, F.col(col)))
-
-    agg = [pick(BASELINE, "generation_time").alias("baseline_time"),
-           pick(COT, "generation_time").alias("cot_time")]
-    if "query" in generations.columns:
-        agg.append(F.max("query").alias("query"))
-    for c in ("prompt", "response"):
-        if c in generations.columns:
-            agg += [pick(BASELINE, c).alias(f"baseline_{c}"), pick(COT, c).alias(f"cot_{c}")]
-    paired = generations.groupBy(*keys).agg(*agg).withColumn(
-        "time_difference", F.col("cot_time") - F.col("baseline_time"))
+    blank = {"m": F.lit(None).cast("string"), "t": F.lit(None).cast("double"), "bad": F.lit(None).cast("boolean"),
+             "s": F.lit(None).cast("double"), "n": F.lit(None).cast("long")}
+
+    def tagged(df: DataFrame, **cols) -> DataFrame:
+        return df.select(*keys, *[{**blank, **cols}[c].alias(f"_{c}") for c in blank])
+
+    rows = tagged(generations, m=F.col("method"), t=F.col("generation_time"))
     if best is not None:
-        paired = (paired.join(best, list(keys), "left")
-                  .withColumn("retrieved_examples_count",
-                              F.coalesce(F.col("retrieved_examples_count"), F.lit(0)).cast("long")))
-    if expected is None and failed is None:
-        return paired.where(F.col("baseline_time").isNotNull() & F.col("cot_time").isNotNull())
-    asked = (expected if expected is not None else generations).select(*keys)
-    if failed is not None:
-        asked = asked.unionByName(failed.select(*keys))
-    out = asked.distinct().join(paired, list(keys), "left")
+        rows = rows.unionByName(tagged(best, s=F.col("best_similarity_score"), n=F.col("retrieved_examples_count").cast("long")))
+    if expected is not None:
+        rows = rows.unionByName(tagged(expected, bad=F.lit(False)))
     if failed is not None:
-        flagged = failed.select(*keys).distinct().withColumn("_failed", F.lit(True))
-        out = out.join(flagged, list(keys), "left")
-    else:
-        out = out.withColumn("_failed", F.lit(None).cast("boolean"))
-    error = (F.when(F.col("_failed"), F.lit("comparison failed"))
+        rows = rows.unionByName(tagged(failed, bad=F.lit(True)))
+    time_of = lambda method: F.max(F.when(F.col("_m") == method, F.col("_t")))
+    agg = [time_of(BASELINE).alias("baseline_time"), time_of(COT).alias("cot_time"),
+           F.max("_bad").alias("_bad"), F.max(F.col("_m").isNotNull()).alias("_any")]
+    if best is not None:
+        agg += [F.max("_s").alias("best_similarity_score"), F.coalesce(F.max("_n"), F.lit(0)).alias("retrieved_examples_count")]
+    out = rows.groupBy(*keys).agg(*agg)
+    out = out.where(F.col("_any") | F.col("_bad").isNotNull())  # a best score alone asks nothing
+    error = (F.when(F.col("_bad"), F.lit("comparison failed"))
              .when(F.col("baseline_time").isNull(), F.lit("missing baseline result"))
              .when(F.col("cot_time").isNull(), F.lit("missing retrieval_augmented_cot result")))
-    out = out.withColumn("error", error).drop("_failed")
-    value_cols = [c for c in out.columns if c not in keys and c != "error"]
-    return out.select(*keys, "error",
-                      *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in value_cols])
+    out = out.withColumn("error", error).withColumn("time_difference", F.col("cot_time") - F.col("baseline_time"))
+    values = ["baseline_time", "cot_time", "time_difference",
+              *(["best_similarity_score", "retrieved_examples_count"] if best is not None else [])]
+    out = out.select(*keys, "error", *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in values])
+    return _with_texts(out, generations, keys, expected)
+
+
+def _with_texts(out: DataFrame, generations: DataFrame, keys: tuple[str, ...], expected: DataFrame | None) -> DataFrame:
+    """The methods' texts beside their times, where ``generations`` carries texts."""
+    if "prompt" not in generations.columns:
+        return out
+    per = ["prompt", "response"] + [c for c in ("examples",) if c in generations.columns]
+    for method, short in ((BASELINE, "baseline"), (COT, "cot")):
+        cols = [F.col(c).alias(f"{short}_{c}") for c in per if not (c == "examples" and method == BASELINE)]
+        text = generations.where(F.col("method") == method).select(*keys, F.col("query").alias(f"_{short}"), *cols)
+        out = out.join(text.dropDuplicates(list(keys)), list(keys), "left")
+    asked = [F.col("_baseline"), F.col("_cot")]
+    if expected is not None and "query" in expected.columns:
+        names = expected.select(*keys, F.col("query").alias("_asked")).dropDuplicates(list(keys))
+        out, asked = out.join(names, list(keys), "left"), [*asked, F.col("_asked")]
+    texts = [c for c in out.columns if c.startswith(("baseline_", "cot_")) and not c.endswith("_time")]
+    rest = [c for c in out.columns if c not in texts and not c.startswith("_") and c not in (*keys, "error")]
+    return out.select(*keys, F.coalesce(*asked).alias("query"), "error", *rest,
+                      *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in texts])
 
 
 def evaluate(comparisons: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -186,9 +201,13 @@ def evaluate(comparisons: DataFrame, threshold: float = 0.5) -> DataFrame:
     score, 1.0 whenever the index is non-empty because of the top-1 fallback);
     above_threshold_rate beside it counts best scores >= ``threshold``.
     """
-    valid = comparisons.where(F.col("error").isNull()) if "error" in comparisons.columns else comparisons
-    n = F.count(F.lit(1))
+    if "error" in comparisons.columns:
+        valid = comparisons.withColumn("_ok", F.col("error").isNull())
+    else:
+        valid = comparisons.withColumn("_ok", F.lit(True))
+    n = F.count_if("_ok")
     m = valid.agg(
+        F.count(F.lit(1)).alias("_seen"),  # errors too, which carry no numbers
         n.alias("total_queries"),
         F.avg("baseline_time").alias("average_baseline_time"),
         F.avg("cot_time").alias("average_cot_time"),
@@ -198,7 +217,8 @@ def evaluate(comparisons: DataFrame, threshold: float = 0.5) -> DataFrame:
         F.try_divide(F.count_if(F.col("best_similarity_score") >= threshold).cast("double"), n)
         .alias("above_threshold_rate"),
     )
-    return m.withColumn("error", F.when(F.col("total_queries") == 0, F.lit(NO_VALID)))
+    # empty input has no metrics and no error; input of errors only says so
+    return m.withColumn("error", F.when((F.col("total_queries") == 0) & (F.col("_seen") > 0), F.lit(NO_VALID))).drop("_seen")
 
 
 def report(comparisons: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:

@@ -1,18 +1,16 @@
 """Inverted-file (IVF) index: coarse cells, each vector stored in its nearest cell.
 
-* ``train_centroids`` - k-means (``pyspark.ml``), nlist = max(1, min(100, n // 10)).
+* ``train_centroids`` - k-means (``pyspark.ml``), by cosine for ``ip`` (unit centroids), by
+  distance for ``l2``.
 * ``label_centroids`` - mean vector per label: a deterministic centroid table.
-* ``assign_cells``    - nearest centroid per vector (centroid table is shipped;
-  its size is nlist x d and is checked), narrow ``mapInPandas`` on (id, vector).
-* ``write_index`` / ``read_index`` - Parquet partitioned by ``cell``: a search
-  reads only the cells its queries probe (partition pruning).
-* ``ivf_search``      - per query the ``nprobe`` nearest cells, then exact top-k
-  inside them. A query batch within the broadcast budget is shipped and the
-  index is scanned in place, pruned to the probed cells, with a per-query cell
-  mask (no shuffle of the index). A larger batch meets the vectors in a cogroup
-  keyed by (cell, vector block, query block); a cell holding a large share of
-  the rows (or probed by many queries) is split into blocks of bounded size,
-  so no task ever holds an unbounded group.
+* ``assign_cells``    - nearest centroid per vector; the centroid table is shipped in tiles of
+  bounded size, the vectors pass through a narrow ``mapInArrow``.
+* ``write_index`` / ``read_index`` - Parquet partitioned by ``cell``, with a manifest: a search
+  reads only the cells its queries probe (partition pruning). A cell is written by as many
+  tasks as its rows need, so there are neither tasks x cells small files nor one task per hot cell.
+* ``ivf_search``      - per query the ``nprobe`` nearest cells, then exact top-k inside them.
+  Queries are shipped in blocks of bounded size with their cells; the index is scanned in place,
+  pruned to the cells of the block, and a vector is scored only against the queries that probe its cell.
 """
 
 from __future__ import annotations
@@ -20,220 +18,221 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotbank.operators.knn import (BLOCK_ROWS, BROADCAST_BYTES, FAN_IN, QBLOCK_ROWS, TopK, _frame,
-                                    _out_schema, arrow_batch, arrow_matrix, as_matrix, collect_bounded,
-                                    dim_of, knn, present, rank_candidates, rows_per_block, source_count)
-from shotbank.session import ship_package
+from shotbank.operators.knn import (BROADCAST_BYTES, TopK, _empty, arrow_batch, arrow_matrix, fetch_blocks,
+                                    hit_frame, hit_schema, knn, present, rank_candidates, rows_per_block,
+                                    side_sizes)
+from shotbank.session import scratch_path, ship_package
 
-MAX_NLIST = 100
+#: Vectors per cell that ``default_nlist`` aims at, and rows of a cell that one task writes.
+CELL_ROWS = 10
+FILE_ROWS = 1_000_000
 
 
-def default_nlist(n: int) -> int:
-    return max(1, min(MAX_NLIST, n // 10))
+def default_nlist(n: int, max_nlist: int | None = None) -> int:
+    """One cell per ``CELL_ROWS`` vectors for small tables, about 4 sqrt(n) for large ones;
+    ``max_nlist`` caps it (the reference's cap is 100)."""
+    nlist = max(1, min(n // CELL_ROWS, math.ceil(4 * math.sqrt(n))))
+    return min(nlist, max_nlist) if max_nlist else nlist
 
 
 def train_centroids(vectors: DataFrame, nlist: int | None = None, seed: int = 42,
-                    vec: str = "embedding", max_iter: int = 20) -> DataFrame:
-    """(cell, centroid array<double>) from k-means over the vectors (distributed, iterative)."""
+                    vec: str = "embedding", max_iter: int = 20, metric: str = "ip",
+                    max_nlist: int | None = None) -> DataFrame:
+    """(cell, centroid array<double>) from k-means over the vectors (distributed, iterative).
+
+    For ``ip`` and ``cosine`` the clustering is by cosine and the centroids have unit length, so the
+    nearest centroid by inner product is the nearest by angle; zero vectors, which have no direction,
+    are left out of the training (``assign_cells`` still gives them a cell)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = vectors.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
+    col = F.col(vec).cast("array<double>")
+    data = vectors.where(F.col(vec).isNotNull())
+    if metric != "l2":
+        data = data.where(F.exists(vec, lambda x: x != 0))
+    data = data.select(array_to_vector(col).alias("features"))
     if nlist is None:
-        nlist = default_nlist(data.count())
-    model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features").fit(data)
-    spark = vectors.sparkSession
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(rows, "cell int, centroid array<double>")
+        nlist = default_nlist(data.count(), max_nlist)
+    measure = "euclidean" if metric == "l2" else "cosine"
+    model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features", distanceMeasure=measure).fit(data)
+    rows = []
+    for i, c in enumerate(model.clusterCenters()):
+        norm = np.sqrt((c * c).sum())
+        rows.append((i, [float(x) for x in (c / norm if metric != "l2" and norm > 0 else c)]))
+    return vectors.sparkSession.createDataFrame(rows, "cell int, centroid array<double>")
 
 
 def label_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
     """(cell, centroid): the mean vector of every label; cell = label.
 
-    posexplode + a partial aggregate per (label, position): the shuffle carries
-    nlist x d partial sums per task, independent of the number of vectors.
-    """
-    means = (vectors.select(F.col(label).cast("int").alias("cell"), F.posexplode(vec).alias("i", "x"))
-             .groupBy("cell", "i").agg(F.avg(F.col("x").cast("double")).alias("m")))
-    return (means.groupBy("cell")
-            .agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("_c"))
-            .select("cell", F.transform("_c", lambda s: s["m"]).alias("centroid")))
+    One partial aggregate per label (a mean vector per task): the shuffle does not grow with the vectors."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
-
-def _collect_centroids(centroids: DataFrame, budget: int = BROADCAST_BYTES):
-    """The centroid table (nlist x d) for shipping; capped fetch, error beyond the budget."""
-    got = collect_bounded(centroids.orderBy("cell"), "cell", "centroid", budget)
-    if got is None:
-        raise ValueError(f"centroid table exceeds the broadcast budget of {budget} bytes")
-    cells, mat = got
-    return cells.astype(np.int32), mat
+    data = vectors.where(F.col(vec).isNotNull()).select(F.col(label).cast("int").alias("cell"),
+                                                        array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
+    return data.groupBy("cell").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("centroid"))
 
 
 def assign_cells(vectors: DataFrame, centroids: DataFrame, metric: str = "ip",
-                 id_col: str = "id", vec: str = "embedding") -> DataFrame:
-    """(id, embedding, cell): the nearest centroid of every vector, ties to the lower cell."""
+                 id_col: str = "id", vec: str = "embedding", block_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(id, embedding, cell): the nearest centroid of every vector, ties to the lower cell.
+
+    A centroid table of more than ``block_bytes`` is shipped in tiles; the best cell so far travels
+    with the vectors, and the table is written between two tiles."""
     spark = vectors.sparkSession
     ship_package(spark)
-    cells, cmat = _collect_centroids(centroids)
-    bc = spark.sparkContext.broadcast((cells, cmat))
-    src = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("embedding")).where(
-        F.col("embedding").isNotNull())
-
-    schema = T.StructType([T.StructField("id", vectors.schema[id_col].dataType),
-                           T.StructField("embedding", vectors.schema[vec].dataType),
-                           T.StructField("cell", T.IntegerType())])
-
-    def assign(batches):
+    n, d = side_sizes(centroids, "centroid")
+    out = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("embedding")).where(
+        F.col("embedding").isNotNull()).select("*", F.lit(None).cast("int").alias("cell"), F.lit(None).cast("double").alias("_key"))
+    schema = out.schema
+    side = centroids.select(F.col("cell").cast("int").alias("cell"), "centroid")
+    for i, block in enumerate(fetch_blocks(side, n, rows_per_block(d, block_bytes))):
+        if i:
+            path = scratch_path(spark, "cells")
+            out.write.parquet(path)
+            out = spark.read.schema(schema).parquet(path)
+        order = np.argsort(block.column("cell").to_numpy())
+        shared = spark.sparkContext.broadcast((block.column("cell").to_numpy()[order],
+                                               arrow_matrix(block.column("centroid"))[order]))
+        out = out.mapInArrow(_nearest(shared, metric, schema), schema)
+    return out.drop("_key")
+
+
+def _nearest(shared, metric: str, schema: T.StructType):
+    def run(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        cells_, cmat_ = bc.value
+        cells, cmat = shared.value
         out_schema = to_arrow_schema(schema)
         for rb in batches:
             if not rb.num_rows:
                 continue
-            v = arrow_matrix(rb.column("embedding"))
-            if metric == "l2":
-                best = np.argmin((cmat_ * cmat_).sum(1)[None, :] - 2.0 * (v @ cmat_.T), axis=1)
-            else:
-                best = np.argmax(v @ cmat_.T, axis=1)
-            # id and vector pass through as Arrow arrays; only the cell is new
+            top = TopK(arrow_matrix(rb.column("embedding")), 1, metric)
+            top.add(cmat, cells)
+            qpos, ids, _ = top.result()
+            best, key = np.full(rb.num_rows, -1), np.full(rb.num_rows, np.inf)
+            best[qpos], key[qpos] = ids.astype(np.int64), top.key
+            best[best < 0] = cells[0]  # no centroid is comparable (a zero vector by cosine): the lowest cell
+            old_key = rb.column("_key").to_numpy(zero_copy_only=False)
+            old = rb.column("cell").to_numpy(zero_copy_only=False)
+            keep = ~np.isnan(old_key) & ((old_key < key) | ((old_key == key) & (old < best)))
+            best, key = np.where(keep, old, best), np.where(keep, old_key, key)
+            # id and vector pass through as Arrow arrays
             yield pa.RecordBatch.from_arrays(
-                [rb.column("id"), rb.column("embedding"), pa.array(cells_[best], type=pa.int32())],
+                [rb.column("id"), rb.column("embedding"), pa.array(best.astype(np.int32)), pa.array(key)],
                 schema=out_schema)
 
-    return src.mapInArrow(assign, schema)
+    return run
+
+
+def write_index(index: DataFrame, path: str, metric: str = "ip", nlist: int | None = None,
+                file_rows: int = FILE_ROWS) -> DataFrame:
+    """Write (id, embedding, cell) partitioned by cell under ``path/index`` and a one-row manifest
+    (index_type, metric, nlist, dimension, rows) under ``path/manifest``; return the written table.
 
+    Rows are dealt by (cell, part): a cell has one part per ``file_rows`` rows."""
+    spark = index.sparkSession
+    sizes = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / file_rows).cast("int").alias("_parts"))
+    dealt = (index.join(sizes, "cell")
+             .withColumn("_part", F.pmod(F.xxhash64("id", "embedding"), F.col("_parts")).cast("int"))
+             .repartition("cell", "_part"))
+    dealt.select(*index.columns).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/index")
+    stored = _load(spark, f"{path}/index")
+    manifest = stored.agg(F.lit("IndexIVFFlat").alias("index_type"), F.lit(metric).alias("metric"),
+                          F.lit(nlist).cast("int").alias("nlist") if nlist is not None
+                          else F.count_distinct("cell").cast("int").alias("nlist"),
+                          F.max(F.size("embedding")).alias("dimension"), F.count(F.lit(1)).alias("rows"))
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    return stored
 
-def write_index(index: DataFrame, path: str) -> DataFrame:
-    """Write (id, embedding, cell) partitioned by cell and return the written table."""
-    index.write.mode("overwrite").partitionBy("cell").parquet(path)
-    return read_index(index.sparkSession, path)
+
+def _load(spark, path: str) -> DataFrame:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+            raise FileNotFoundError(f"index not found: {path}") from e
+        raise
 
 
 def read_index(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The index written under ``path``; ``FileNotFoundError`` if there is none."""
+    return _load(spark, f"{path}/index")
+
+
+def read_manifest(spark, path: str) -> DataFrame:
+    return _load(spark, f"{path}/manifest")
 
 
 def rebuild_index(spark, vectors_path: str, out: str, nlist: int | None = None, seed: int = 42,
-                  metric: str = "ip") -> tuple[DataFrame, DataFrame]:
-    """Re-train centroids over stored vectors and overwrite ``out/centroids`` and ``out/index``."""
-    vectors = spark.read.parquet(vectors_path)
-    cents = train_centroids(vectors, nlist=nlist, seed=seed)
+                  metric: str = "ip", max_nlist: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Re-train centroids over stored vectors and overwrite ``out/centroids``, ``out/index`` and ``out/manifest``."""
+    vectors = _load(spark, vectors_path)
+    cents = train_centroids(vectors, nlist=nlist, seed=seed, metric=metric, max_nlist=max_nlist)
     cents.write.mode("overwrite").parquet(f"{out}/centroids")
     cents = spark.read.parquet(f"{out}/centroids")
-    return cents, write_index(assign_cells(vectors, cents, metric), f"{out}/index")
-
-
-def _probe_mask(qmat: np.ndarray, cells: np.ndarray, cmat: np.ndarray, nprobe: int, metric: str) -> np.ndarray:
-    """(nq, nlist) booleans: the ``nprobe`` nearest cells of every query (ties to the lower cell)."""
-    top = TopK(qmat, nprobe, metric)
-    top.add(cmat, cells)
-    qpos, ids, _ = top.result()
-    pos = {int(c): i for i, c in enumerate(cells)}
-    mask = np.zeros((qmat.shape[0], len(cells)), dtype=bool)
-    mask[qpos, [pos[int(c)] for c in ids]] = True
-    return mask
+    return cents, write_index(assign_cells(vectors, cents, metric), out, metric, cents.count())
 
 
 def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int,
                nprobe: int = 1, metric: str = "ip", query_id: str = "query_id",
-               query_vec: str = "embedding", block_rows: int | None = BLOCK_ROWS,
-               qblock_rows: int | None = QBLOCK_ROWS, strategy: str = "auto",
-               broadcast_bytes: int = BROADCAST_BYTES, fan_in: int = FAN_IN,
-               info: dict | None = None) -> DataFrame:
+               query_vec: str = "embedding", block_bytes: int = BROADCAST_BYTES,
+               block_rows: int | None = None, info: dict | None = None) -> DataFrame:
     """(query_id, rank, id, score): exact top-k among the vectors of the probed cells.
 
-    ``auto`` ships the query batch when it fits ``broadcast_bytes``: the index is
-    then scanned in place, restricted to the probed cells (partition pruning),
-    and each task masks out the cells a query does not probe - no shuffle of the
-    index. Otherwise the blocked cogroup on (cell, vector block, query block).
+    Every query row probes its own cells; rows with the same id are ranked together, as in ``knn``. The
+    result does not depend on ``block_bytes`` or ``block_rows``.
     """
     spark = queries.sparkSession
-    q = queries.where(present(queries, query_vec)).select(
-        F.col(query_id).alias("query_id"), F.col(query_vec).alias("embedding"))
-    cent_side = centroids.select(F.col("cell").alias("id"), F.col("centroid").alias("embedding"))
-    # 1. nearest cells per query: the centroid table is the shipped side
-    probes = knn(q, cent_side, nprobe, metric, strategy="broadcast_corpus").select(
-        "query_id", F.col("id").alias("cell"))
-    schema = _out_schema(queries.schema[query_id].dataType, index.schema["id"].dataType, False)
-
-    shipped = collect_bounded(q, "query_id", "embedding", broadcast_bytes) if strategy == "auto" else None
+    ship_package(spark)
+    qid_type, cid_type = queries.schema[query_id].dataType, index.schema["id"].dataType
+    q = queries.where(present(queries, query_vec)).select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("embedding"))
+    nq, d = side_sizes(q, "embedding")
     info = {} if info is None else info
-    info.update(strategy="shipped" if shipped is not None else "blocked", max_hits=None)
-    if shipped is not None:
-        qids, qmat = shipped
-        info.update(queries=len(qids), max_hits=len(qids) * k)
-        if len(qids) == 0:
-            return rank_candidates(spark.createDataFrame([], schema), k, metric)
-        cells, cmat = _collect_centroids(centroids)
-        probed = [int(r.cell) for r in probes.select("cell").distinct().collect()]  # <= nlist values
-        bc = spark.sparkContext.broadcast((qids, qmat, cells, cmat))
-
-        def scan(batches):
-            qids_, qmat_, cells_, cmat_ = bc.value
-            mask = _probe_mask(qmat_, cells_, cmat_, nprobe, metric)
-            col_of = {int(c): i for i, c in enumerate(cells_)}
-            top = TopK(qmat_, k, metric, allowed=lambda g: mask[:, [col_of[int(x)] for x in g]])
-            for rb in batches:
-                if rb.num_rows:
-                    top.add(arrow_matrix(rb.column("embedding")),
-                            rb.column("id").to_numpy(zero_copy_only=False),
-                            rb.column("cell").to_numpy(zero_copy_only=False))
-            qpos, ids, sc = top.result()
-            yield arrow_batch(_frame(qids_, qpos, ids, sc), schema)
-
-        pruned = index.where(F.col("cell").isin(probed)).select("id", "embedding", "cell")
-        cands = pruned.mapInArrow(scan, schema).withColumn("_src", F.spark_partition_id())
-        return rank_candidates(cands, k, metric, n_sources=source_count(pruned), fan_in=fan_in)
-
-    probes = probes.join(q, "query_id")
-    # 2. block counts per cell: both tables are bounded by nlist rows
-    probed = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("nq")).toPandas()
-    if probed.empty:
-        return spark.createDataFrame([], "query_id {}, rank int, id {}, score double".format(
-            queries.schema[query_id].dataType.simpleString(), index.schema["id"].dataType.simpleString()))
-    cells = [int(c) for c in probed["cell"]]
-    vec_side = index.where(F.col("cell").isin(cells))  # partition pruning on a cell-partitioned index
-    sizes = vec_side.groupBy("cell").agg(F.count(F.lit(1)).alias("nv"),
-                                         F.max(dim_of(vec_side, "embedding")).alias("d")).toPandas()
-    blocks = probed.merge(sizes, on="cell", how="inner")
-    d = int(sizes["d"].max()) if len(sizes) else 1
-    vrows, qrows = block_rows or rows_per_block(d), qblock_rows or rows_per_block(d)
-    blocks["vb"] = [max(1, math.ceil(n / vrows)) for n in blocks["nv"]]
-    blocks["qb"] = [max(1, math.ceil(n / qrows)) for n in blocks["nq"]]
-    blocks["vbase"] = np.cumsum(blocks["vb"]) - blocks["vb"]  # dense source ids over all cells
-    n_sources = int(blocks["vb"].sum())
-    plan = F.broadcast(spark.createDataFrame(
-        [(int(r.cell), int(r.vb), int(r.qb), int(r.vbase)) for r in blocks.itertuples()],
-        "cell int, vb int, qb int, vbase int"))
-    # 3. vectors get a block inside their cell and are repeated per query block
-    v = (vec_side.select("id", "embedding", "cell").join(plan, "cell")
-         .withColumn("_vb", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("vb")).cast("int"))
-         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
-         .select("cell", "_vb", "_qb", (F.col("vbase") + F.col("_vb")).alias("_src"),
-                 F.col("id").alias("_cid"), F.col("embedding").alias("_vec")))
-    # 4. probing queries get a block and are repeated per vector block
-    p = (probes.join(plan, "cell")
-         .withColumn("_qb", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("qb")).cast("int"))
-         .withColumn("_vb", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)))
-         .select("cell", "_vb", "_qb", F.col("query_id").alias("_qid"), F.col("embedding").alias("_vec")))
-
-    def block(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if not len(qpdf) or not len(cpdf):
-            return _frame(np.zeros(0, dtype=object), np.zeros(0, dtype=np.int64),
-                          np.zeros(0, dtype=object), np.zeros(0)).assign(_src=np.zeros(0, np.int32))
-        top = TopK(as_matrix(qpdf["_vec"]), k, metric)
-        top.add(as_matrix(cpdf["_vec"]), cpdf["_cid"].to_numpy())
-        qpos, ids, sc = top.result()
-        return _frame(qpdf["_qid"].to_numpy(), qpos, ids, sc).assign(_src=np.int32(cpdf["_src"].iloc[0]))
-
-    src_schema = T.StructType(schema.fields + [T.StructField("_src", T.IntegerType())])
-    cands = (p.groupBy("cell", "_vb", "_qb").cogroup(v.groupBy("cell", "_vb", "_qb"))
-             .applyInPandas(lambda a, b: block(a, b), src_schema))
-    return rank_candidates(cands, k, metric, n_sources=n_sources, fan_in=fan_in)
+    info.update(strategy="shipped", queries=nq, max_hits=nq * k)
+    if nq == 0 or k <= 0:
+        return _empty(spark, qid_type, cid_type)
+    schema = hit_schema(qid_type, cid_type)
+    cents = centroids.select(F.col("cell").cast("int").alias("id"), F.col("centroid").alias("embedding"))
+    parts = None
+    for block in fetch_blocks(q, nq, block_rows or rows_per_block(d, block_bytes)):
+        qids, qmat = block.column("query_id").to_numpy(), arrow_matrix(block.column("embedding"))
+        # the nearest cells of each row of the block, numbered by its place
+        place = spark.createDataFrame(block.select(["embedding"]).append_column("n", [list(range(len(qids)))]))
+        near = knn(place, cents, nprobe, metric, query_id="n", strategy="broadcast_corpus", block_bytes=block_bytes).toArrow()
+        probes = np.stack([near.column("query_id").to_numpy(), near.column("id").to_numpy()], 1).astype(np.int64)
+        cells = np.unique(probes[:, 1])
+        shared = spark.sparkContext.broadcast((qids, qmat, probes))
+        pruned = index.where(F.col("cell").isin([int(c) for c in cells])).select("id", "embedding", "cell")
+        found = pruned.mapInArrow(_scan_cells(shared, k, metric, schema), schema)
+        parts = found if parts is None else parts.union(found)
+    return rank_candidates(parts, k, metric)
+
+
+def _scan_cells(shared, k: int, metric: str, schema: T.StructType):
+    def run(batches):
+        qids, qmat, probes = shared.value
+        by = np.argsort(probes[:, 1], kind="stable")
+        cells, first = np.unique(probes[by, 1], return_index=True)
+        probing = dict(zip(cells.tolist(), np.split(probes[by, 0], first[1:])))
+        top = TopK(qmat, k, metric)
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            c, ids = arrow_matrix(rb.column("embedding")), rb.column("id").to_numpy(zero_copy_only=False)
+            cell = rb.column("cell").to_numpy(zero_copy_only=False)
+            order = np.argsort(cell, kind="stable")
+            here, at = np.unique(cell[order], return_index=True)
+            for x, rows in zip(here.tolist(), np.split(order, at[1:])):
+                if x in probing:
+                    top.add(c[rows], ids[rows], np.sort(probing[x]))
+        yield arrow_batch(hit_frame(qids, *top.result()), schema)
+
+    return run

@@ -2,57 +2,52 @@
 
 Output: one row per (query, hit) - ``query_id, rank, id, score`` - with the best
 ``k`` hits of every query, ranked by score (descending for ``ip`` / ``cosine``,
-ascending squared distance for ``l2``), ties broken by ``id`` ascending. Scores
-are rounded to 12 decimals first, so identical vectors always tie.
-
-Physical strategies (picked by ``strategy="auto"`` from counted sizes):
-
-* ``broadcast_queries`` - the query matrix has a checked size bound, so it is
-  shipped to every task; the vector table is scanned where it lies (no shuffle
-  of the corpus), each task keeps a running top-k per query across its Arrow
-  batches and emits at most ``k`` rows per query; a ``row_number`` window
-  (planned as WindowGroupLimit partial -> exchange -> final) merges them.
-* ``broadcast_corpus`` - the vector table is the small side (e.g. IVF
-  centroids): it is shipped and the query table is scanned; the result is final
-  without any shuffle.
-* ``blocked`` - neither side fits: both sides get a block key (hash of the row
-  position), every query block meets every vector block through a cogroup on
-  ``(qblock, cblock)``; blocks hold at most ``BLOCK_BYTES`` of vectors per side,
-  so no group can grow with the data. Each group emits at most ``k`` rows per
-  query. The corpus is shuffled once per query block: for a query table far
-  beyond the broadcast budget over a huge corpus, IVF is the plan to use.
-
-No strategy materialises all (query, vector) pairs as rows: scores are a numpy
+ascending squared distance for ``l2``), ties broken by ``id`` ascending. Scores are
+computed pair by pair in double precision and rounded to 12 decimals, so they do not
+depend on how the tables are cut and identical vectors always tie.
+
+Rows with the same ``query_id`` are one query asked in several forms: the hits of all
+of them are ranked together. Every vector row is a hit of its own.
+
+There is one physical plan: one side is shipped in blocks of at most ``block_bytes``
+and the other side is scanned where it lies, once per block, without a shuffle. Each task
+keeps a running top-k and emits at most ``k`` rows per query; one ``row_number`` window
+(planned as WindowGroupLimit partial -> exchange -> final) merges them.
+
+* ``broadcast_queries`` ships the queries, ``broadcast_corpus`` the vectors (e.g. IVF
+  centroids); ``auto`` counts both sides and takes the one that scans fewer bytes.
+* A side of several blocks is written once with its block number and fetched block by block,
+  so the driver and the tasks hold one block at a time.
+
+No plan materialises all (query, vector) pairs as rows: candidates come from a numpy
 matrix product inside a task, and only top-k candidates leave it.
 """
 
 from __future__ import annotations
 
 import math
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotbank.session import ship_package
+from shotbank.session import scratch_path, ship_package
 
-# default budget for a shipped (broadcast) side, in bytes of float64 matrix
+# bytes of float64 matrix that are shipped at a time
 BROADCAST_BYTES = 128 * 1024 * 1024
-# bytes of float64 matrix per side of one blocked group (rows = BLOCK_BYTES / (8 d));
-# the corpus is shuffled once per query block, so blocks are as large as memory allows
-BLOCK_BYTES = 128 * 1024 * 1024
-BLOCK_ROWS = QBLOCK_ROWS = None
-# cap on the number of entries of one score matrix held at a time
-_MAX_CELLS = 8_000_000
-# sources merged per window group when candidates from many tasks meet
-FAN_IN = 64
-# scores are rounded to this many decimals before ranking, so that summation
-# order noise (~1e-16) can never reorder equal scores: equal means tie -> id
+# rows per side of one score matrix held at a time
+TILE_ROWS = 2048
+# pairs that are scored exactly at a time
+_PAIRS = 1 << 16
+# scores are rounded to this many decimals before ranking
 SCORE_DECIMALS = 12
+# hits are shipped to the metadata scan up to this many bytes
+HIT_BYTES = 32 * 1024 * 1024
+_HIT_ROW = 64
 
 _HIGHER_BETTER = {"ip": True, "cosine": True, "l2": False}
 
@@ -60,49 +55,37 @@ _HIGHER_BETTER = {"ip": True, "cosine": True, "l2": False}
 # ---------------------------------------------------------------- numpy kernel
 
 def as_matrix(values) -> np.ndarray:
-    """Stack a column of vectors into a float64 matrix.
-
-    A vector is either a 1-d array (dense) or a struct ``(size, indices,
-    values)`` (sparse, e.g. lexical vectors); sparse rows are densified here,
-    one block at a time, so only the non-zero entries travel through Arrow.
-    """
+    """Stack a sequence of dense vectors into a float64 matrix."""
     vals = list(values)
     if not vals:
         return np.zeros((0, 0), dtype=np.float64)
-    first = vals[0]
-    if hasattr(first, "asDict"):  # a Row (collected without Arrow)
-        vals = [v.asDict() for v in vals]
-        first = vals[0]
-    if isinstance(first, dict) or hasattr(first, "keys"):
-        size = int(first["size"])
-        m = np.zeros((len(vals), size), dtype=np.float64)
-        for i, v in enumerate(vals):
-            m[i, np.asarray(v["indices"], dtype=np.int64)] = np.asarray(v["values"], dtype=np.float64)
-        return m
     return np.stack([np.asarray(v, dtype=np.float64) for v in vals])
 
 
 def arrow_matrix(col) -> np.ndarray:
-    """float64 matrix from an Arrow list column without per-row objects when all
-    rows have the same length (one flatten + reshape); sparse structs and ragged
-    lists fall back to ``as_matrix``."""
-    import pyarrow as pa
+    """float64 matrix from an Arrow column of vectors, without per-row objects.
 
+    A vector is a list (dense) or a struct ``(size, indices, values)`` (sparse, e.g. lexical
+    vectors; densified here, one batch at a time)."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     n = len(col)
-    if n and (pa.types.is_list(col.type) or pa.types.is_large_list(col.type)) and col.null_count == 0:
-        offsets = col.offsets.to_numpy()
-        lengths = np.diff(offsets)
-        if (lengths == lengths[0]).all():
-            flat = col.values.slice(offsets[0], offsets[-1] - offsets[0])
-            return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, int(lengths[0]))
-    return as_matrix(col.to_pylist())
+    if not n:
+        return np.zeros((0, 0), dtype=np.float64)
+    if pa.types.is_struct(col.type):
+        size, indices, values = (col.field(f) for f in ("size", "indices", "values"))
+        lengths = np.diff(indices.offsets.to_numpy())
+        m = np.zeros((n, int(size[0].as_py())), dtype=np.float64)
+        m[np.repeat(np.arange(n), lengths), indices.flatten().to_numpy()] = values.flatten().to_numpy()
+        return m
+    lengths = np.diff(col.offsets.to_numpy())
+    if (lengths != lengths[0]).any():
+        raise ValueError(f"vector dimensions differ: {lengths.min()} vs {lengths.max()}")
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, int(lengths[0]))
 
 
 def arrow_batch(pdf: pd.DataFrame, schema: T.StructType):
     """pandas frame -> Arrow record batch with the Spark output schema."""
-    import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return pa.RecordBatch.from_pandas(pdf, schema=to_arrow_schema(schema), preserve_index=False)
@@ -115,20 +98,34 @@ def dim_of(df: DataFrame, vec: str):
     return F.size(vec)
 
 
-def scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+def _check(q: np.ndarray, c: np.ndarray, metric: str) -> None:
+    if metric not in _HIGHER_BETTER:
+        raise ValueError(f"unknown metric {metric!r}")
     if q.shape[1] != c.shape[1]:
         raise ValueError(f"vector dimensions differ: {q.shape[1]} vs {c.shape[1]}")
-    if metric == "ip":
-        return q @ c.T
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return m / np.sqrt((m * m).sum(1))[:, None]
+
+
+def pair_scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of the pairs (q[i], c[i]), each from its two rows alone. ``cosine`` takes unit rows."""
+    out = np.empty(len(q))
+    for lo in range(0, len(q), _PAIRS):
+        a, b = q[lo:lo + _PAIRS], c[lo:lo + _PAIRS]
+        out[lo:lo + _PAIRS] = ((a - b) ** 2).sum(1) if metric == "l2" else (a * b).sum(1)
+    return np.round(out, SCORE_DECIMALS)
+
+
+def scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """All scores between two matrices (small inputs; the kernel scores candidates only)."""
+    _check(q, c, metric)
     if metric == "cosine":
-        with np.errstate(divide="ignore", invalid="ignore"):
-            qn = q / np.linalg.norm(q, axis=1, keepdims=True)
-            cn = c / np.linalg.norm(c, axis=1, keepdims=True)
-        return qn @ cn.T
-    if metric == "l2":
-        d = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * (q @ c.T)
-        return np.maximum(d, 0.0)
-    raise ValueError(f"unknown metric {metric!r}")
+        q, c = _unit(q), _unit(c)
+    i, j = np.divmod(np.arange(len(q) * len(c)), len(c))
+    return pair_scores(q[i], c[j], metric).reshape(len(q), len(c))
 
 
 def _sort_key(s: np.ndarray, metric: str) -> np.ndarray:
@@ -154,69 +151,84 @@ def select_topk(qpos: np.ndarray, ids: np.ndarray, key: np.ndarray, k: int):
 class TopK:
     """Running top-k per query over successive blocks of vectors.
 
-    Per chunk only the entries that can still be in a query's top k are kept
-    (strictly better than the k-th key, plus just enough of the ties at it,
-    smallest ids first); chunks are buffered and merged once the buffer holds
-    several times ``queries x k`` entries, so the id sort runs rarely.
+    Both sides are cut into tiles. In a tile a matrix product gives approximate keys; only
+    pairs that reach the query's k-th best key so far (or, before there is one, the tile's own
+    k-th), with a margin for the product's rounding, are scored exactly. Candidates are merged
+    whenever as many wait as the answer holds.
     """
 
-    def __init__(self, q: np.ndarray, k: int, metric: str, allowed=None):
-        self.q, self.k, self.metric = q, k, metric
-        self.allowed = allowed  # optional callable(block_groups) -> bool mask (nq, nc)
+    def __init__(self, q: np.ndarray, k: int, metric: str):
+        self.k, self.metric = k, metric
+        self.q = _unit(q) if metric == "cosine" else q
+        n = q.shape[0]
+        self.kth = np.full(n, np.inf)
         self.qpos = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=object)
         self.score = np.zeros(0, dtype=np.float64)
         self.key = np.zeros(0, dtype=np.float64)
+        self.kept = 0  # candidates that were scored exactly
         self._pending: list[tuple] = []
         self._pending_n = 0
-        self._merge_at = max(4 * q.shape[0] * k, 100_000)
+        self._merge_at = max(n * k, 1)
 
-    def add(self, c: np.ndarray, ids: np.ndarray, groups=None) -> None:
-        nq = self.q.shape[0]
-        if nq == 0 or c.shape[0] == 0:
+    def add(self, c: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Offer vectors to all queries, or to those at ``rows``."""
+        rows = np.arange(len(self.q)) if rows is None else rows
+        if len(rows) == 0 or len(c) == 0:
             return
-        step = max(1, _MAX_CELLS // max(nq, 1))
-        for lo in range(0, c.shape[0], step):
-            cb, idb = c[lo:lo + step], ids[lo:lo + step]
-            s = np.round(scores(self.q, cb, self.metric), SCORE_DECIMALS)
-            key = _sort_key(s, self.metric)
-            if self.allowed is not None:
-                key[~self.allowed(groups[lo:lo + step])] = np.inf
-            mask = self._candidates(key, idb)
-            qi, ci = np.nonzero(mask)
-            self._pending.append((qi.astype(np.int64), idb[ci].astype(object), s[qi, ci], key[qi, ci]))
-            self._pending_n += len(qi)
+        _check(self.q, c, self.metric)
+        c = _unit(c) if self.metric == "cosine" else c
+        for lo in range(0, len(c), TILE_ROWS):
+            for qlo in range(0, len(rows), TILE_ROWS):
+                self._tile(rows[qlo:qlo + TILE_ROWS], c[lo:lo + TILE_ROWS], ids[lo:lo + TILE_ROWS])
             if self._pending_n >= self._merge_at:
                 self._flush()
 
-    def _candidates(self, key: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        n = key.shape[1]
-        kk = min(self.k, n)
-        finite = np.isfinite(key)
-        if kk == n:
-            return finite
-        thr = np.partition(key, kk - 1, axis=1)[:, kk - 1]
-        strict = key < thr[:, None]
-        tied = (key == thr[:, None]) & finite
-        need = kk - strict.sum(axis=1)
-        if tied.sum() > need.sum():  # more ties at the k-th key than places left: smallest ids
-            id_rank = np.unique(ids, return_inverse=True)[1].reshape(-1)
-            t = np.where(tied, id_rank[None, :], n)
-            low = np.sort(np.partition(t, kk - 1, axis=1)[:, :kk], axis=1)
-            cut = low[np.arange(key.shape[0]), np.maximum(need, 1) - 1]
-            tied &= t <= cut[:, None]
-        return strict | tied
+    def _tile(self, rows: np.ndarray, c: np.ndarray, ids: np.ndarray) -> None:
+        q = self.q[rows]
+        key = q @ c.T
+        size_q, size_c = (q * q).sum(1), (c * c).sum(1)
+        if self.metric == "l2":
+            key = size_q[:, None] + size_c[None, :] - 2.0 * key
+        else:
+            key = -key
+        key[np.isnan(key)] = np.inf
+        with np.errstate(invalid="ignore"):
+            scale = np.nan_to_num(size_q) + np.nan_to_num(size_c).max(initial=0.0)
+        margin = 1e-13 * len(q[0]) * scale + 2 * 10.0 ** -SCORE_DECIMALS
+        limit = self.kth[rows]
+        new = ~np.isfinite(limit)
+        if new.any() and key.shape[1] > self.k:
+            limit[new] = np.partition(key[new], self.k - 1, axis=1)[:, self.k - 1]
+        i, j = np.nonzero((key <= (limit + margin)[:, None]) & np.isfinite(key))
+        self.kept += len(i)
+        for lo in range(0, len(i), TILE_ROWS * 512):  # bounded, however many tie
+            a, b = i[lo:lo + TILE_ROWS * 512], j[lo:lo + TILE_ROWS * 512]
+            s = self._exact(q, c, a, b)
+            exact = _sort_key(s, self.metric)
+            ok = exact <= limit[a] + 10.0 ** -SCORE_DECIMALS + margin[a]
+            a, b, s, exact = a[ok], b[ok], s[ok], exact[ok]
+            if len(a) > 4 * len(rows) * self.k:
+                keep, _ = select_topk(a, ids[b], exact, self.k)
+                a, b, s, exact = a[keep], b[keep], s[keep], exact[keep]
+            self._pending.append((rows[a], ids[b].astype(object), s, exact))
+            self._pending_n += len(a)
+
+    def _exact(self, q, c, a, b) -> np.ndarray:
+        out = np.empty(len(a))
+        for lo in range(0, len(a), _PAIRS):
+            out[lo:lo + _PAIRS] = pair_scores(q[a[lo:lo + _PAIRS]], c[b[lo:lo + _PAIRS]], self.metric)
+        return out
 
     def _flush(self) -> None:
         if not self._pending:
             return
         parts = [(self.qpos, self.ids, self.score, self.key)] + self._pending
-        qpos = np.concatenate([p[0] for p in parts])
-        ids = np.concatenate([p[1] for p in parts])
-        score = np.concatenate([p[2] for p in parts])
-        key = np.concatenate([p[3] for p in parts])
-        keep, _ = select_topk(qpos, ids, key, self.k)
+        qpos, ids, score, key = (np.concatenate([p[x] for p in parts]) for x in range(4))
+        keep, rank = select_topk(qpos, ids, key, self.k)
         self.qpos, self.ids, self.score, self.key = qpos[keep], ids[keep], score[keep], key[keep]
+        last = rank == self.k
+        self.kth[self.qpos[last]] = self.key[last]
         self._pending, self._pending_n = [], 0
 
     def result(self, with_rank: bool = False):
@@ -226,100 +238,50 @@ class TopK:
         return out + (rank,) if with_rank else out
 
 
-# ---------------------------------------------------------------- Spark plans
-
-def _out_schema(qid_type, cid_type, with_rank: bool) -> T.StructType:
-    fields = [T.StructField("query_id", qid_type), T.StructField("id", cid_type),
-              T.StructField("score", T.DoubleType())]
-    if with_rank:
-        fields.append(T.StructField("rank", T.IntegerType()))
-    return T.StructType(fields)
+# ---------------------------------------------------------------- Spark plan
 
+def hit_schema(qid_type, cid_type) -> T.StructType:
+    return T.StructType([T.StructField("query_id", qid_type), T.StructField("id", cid_type),
+                         T.StructField("score", T.DoubleType())])
 
-def _frame(qids, qpos, ids, score, rank=None) -> pd.DataFrame:
-    data = {"query_id": qids[qpos] if len(qpos) else qids[:0],
-            "id": ids, "score": score}
-    if rank is not None:
-        data["rank"] = rank.astype(np.int32)
-    return pd.DataFrame(data)
 
+def hit_frame(qids, qpos, ids, score) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": qids[qpos] if len(qpos) else qids[:0], "id": ids, "score": score})
 
-def rank_candidates(cands: DataFrame, k: int, metric: str, n_sources: int = 1,
-                    fan_in: int = FAN_IN) -> DataFrame:
-    """Global top-k per query over per-source candidates (WindowGroupLimit plans).
 
-    ``cands`` may carry ``_src``, the integer id of the task or block that
-    produced a row (each source emits at most k rows per query). With more than
-    ``fan_in`` sources the merge is a tree: level L keeps the top k per
-    (query, _src div fan_in^L), so no window group ever holds more than
-    ``fan_in * k`` rows of one query, however many tasks scanned the corpus.
-    """
+def rank_candidates(cands: DataFrame, k: int, metric: str) -> DataFrame:
+    """Global top-k per query over per-task candidates (at most k per query and task, and Spark
+    limits each group again before the exchange)."""
     order = F.col("score").desc() if _HIGHER_BETTER[metric] else F.col("score").asc()
-    width = fan_in
-    while "_src" in cands.columns and width < n_sources:
-        grp = F.floor(F.col("_src") / F.lit(width))
-        w = Window.partitionBy("query_id", grp).orderBy(order, F.col("id").asc())
-        cands = cands.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
-        width *= fan_in
     w = Window.partitionBy("query_id").orderBy(order, F.col("id").asc())
     return (cands.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k)
             .select("query_id", "rank", "id", "score"))
 
 
-def source_count(df: DataFrame) -> int:
-    """How many tasks will scan ``df``, without running anything.
-
-    A plan without exchanges (a table scan, filters, projections) is planned and
-    its partitions counted; for an adaptive plan (upstream shuffles) that would
-    run those shuffles now, so the count is estimated from plan statistics as
-    size / openCostInBytes, an upper estimate for file scans (more sources only
-    add a merge level, never a larger group).
-    """
-    qe = df._jdf.queryExecution()
-    plan = qe.executedPlan()
-    if "AdaptiveSparkPlan" not in plan.nodeName():
-        return max(1, int(plan.execute().getNumPartitions()))
-    size = int(str(qe.optimizedPlan().stats().sizeInBytes()))
-    open_cost = int(str(df.sparkSession.conf.get("spark.sql.files.openCostInBytes", "4194304")).rstrip("b"))
-    exchanges = [int(n) for n in re.findall(r"[Pp]artitioning\((?:[^()]*?, )?(\d+)\)", plan.toString())]
-    return max(1, min(max([size // max(open_cost, 1), *exchanges]), FAN_IN ** 6))
-
-
-def rows_per_block(d: int, block_bytes: int = BLOCK_BYTES) -> int:
+def rows_per_block(d: int, block_bytes: int = BROADCAST_BYTES) -> int:
     return max(1, block_bytes // (8 * max(d, 1)))
 
 
-def row_block(n_blocks: int):
-    """Block number of a row from its position, not its content: repeated ids or
-    exact copies of a row cannot pile up in one block."""
-    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int")
-
-
 def side_sizes(df: DataFrame, vec: str) -> tuple[int, int]:
     """(rows, dimension) of a vector table, one distributed aggregate."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.max(dim_of(df, vec)).alias("d")).first()
     return int(row["n"] or 0), int(row["d"] or 0)
 
 
-def collect_bounded(df: DataFrame, id_col: str, vec: str, budget: int):
-    """Collect (ids, float64 matrix) when the side fits ``budget`` bytes, else None.
-
-    The dimension comes from one row; then at most ``budget / (8 d) + 1`` rows
-    are fetched, so the driver never receives more than the budget allows.
-    """
-    side = df.select(id_col, vec).persist(StorageLevel.MEMORY_AND_DISK)  # two actions below
-    try:
-        first = side.select(dim_of(side, vec).alias("d")).first()
-        if first is None:
-            return np.zeros(0, dtype=object), np.zeros((0, 0))
-        cap = max(1, budget // (8 * max(int(first["d"]), 1)))
-        table = side.limit(cap + 1).toArrow()  # Arrow whatever the session's conversion setting
-    finally:
-        side.unpersist()
-    if table.num_rows > cap:
-        return None
-    return table.column(id_col).to_numpy(zero_copy_only=False), arrow_matrix(table.column(vec))
+def fetch_blocks(side: DataFrame, n: int, rows: int) -> Iterator[pa.Table]:
+    """The ``n`` rows of ``side`` in Arrow tables of about ``rows`` rows. More than one block: the
+    side is written with a block number (so the numbers hold) and read block by block."""
+    blocks = max(1, math.ceil(n / rows))
+    if blocks == 1:
+        yield side.toArrow()
+        return
+    path = scratch_path(side.sparkSession, "blocks")
+    number = F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")
+    side.withColumn("_block", number).write.partitionBy("_block").parquet(path)
+    stored = side.sparkSession.read.schema(T.StructType([*side.schema.fields, T.StructField("_block", T.IntegerType())])).parquet(path)
+    for b in range(blocks):
+        yield stored.where(F.col("_block") == b).drop("_block").toArrow()
 
 
 def present(df: DataFrame, vec: str):
@@ -337,18 +299,18 @@ def _empty(spark, qid_type, cid_type) -> DataFrame:
 def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
         query_id: str = "query_id", query_vec: str = "embedding",
         corpus_id: str = "id", corpus_vec: str = "embedding",
-        strategy: str = "auto", broadcast_bytes: int = BROADCAST_BYTES,
-        block_rows: int | None = BLOCK_ROWS, qblock_rows: int | None = QBLOCK_ROWS,
-        fan_in: int = FAN_IN, info: dict | None = None) -> DataFrame:
+        strategy: str = "auto", block_bytes: int = BROADCAST_BYTES,
+        block_rows: int | None = None, info: dict | None = None) -> DataFrame:
     """Exact top-k search. Returns (query_id, rank, id, score).
 
-    ``auto`` ships the query side when it fits ``broadcast_bytes`` (fetched once,
-    capped); otherwise it counts the corpus and ships that if it fits, else
-    runs the blocked plan. ``info``, when given, receives the sizes and the
-    chosen strategy (callers use ``max_hits`` as the proven bound of the hits).
+    The result is the same whatever ``strategy``, ``block_bytes`` and ``block_rows`` (rows of the
+    shipped side per block, instead of bytes). ``info``, when given, receives the sizes and the plan
+    (callers use ``max_hits`` as the proven bound of the hits).
     """
     if metric not in _HIGHER_BETTER:
         raise ValueError(f"unknown metric {metric!r}")
+    if strategy not in ("auto", "broadcast_queries", "broadcast_corpus"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     spark = queries.sparkSession
     ship_package(spark)
     q = queries.where(present(queries, query_vec)).select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_vec"))
@@ -359,103 +321,70 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
     if k <= 0:
         info.update(queries=0, strategy="empty", max_hits=0)
         return _empty(spark, qid_type, cid_type)
+    nq, d = side_sizes(q, "_vec")
+    nc = None
+    rows = block_rows or rows_per_block(d, block_bytes)
+    if strategy == "auto":
+        strategy = "broadcast_queries"
+        if nq > rows:
+            nc, _ = side_sizes(c, "_vec")
+            if math.ceil(nc / rows) * nq < math.ceil(nq / rows) * nc:
+                strategy = "broadcast_corpus"
+    if strategy == "broadcast_corpus" and nc is None:
+        nc, _ = side_sizes(c, "_vec")
+    info.update(queries=nq, strategy=strategy, max_hits=nq * k)
+    if nq == 0 or nc == 0:
+        return _empty(spark, qid_type, cid_type)
 
-    shipped = None
-    if strategy in ("auto", "broadcast_queries"):
-        shipped = collect_bounded(q, "_qid", "_vec", broadcast_bytes)
-        if shipped is None and strategy == "broadcast_queries":
-            raise ValueError("query side exceeds the broadcast budget")
-        if shipped is not None:
-            strategy = "broadcast_queries"
+    schema = hit_schema(qid_type, cid_type)
+    parts = []
     if strategy == "broadcast_queries":
-        qids, qmat = shipped
-        info.update(queries=len(qids), strategy=strategy, max_hits=len(qids) * k)
-        if len(qids) == 0:
-            return _empty(spark, qid_type, cid_type)
-        bc = spark.sparkContext.broadcast((qids, qmat))
-
-        out_schema = _out_schema(qid_type, cid_type, False)
-
-        def scan(batches):
-            qids_, qmat_ = bc.value
-            top = TopK(qmat_, k, metric)
-            for rb in batches:
-                if rb.num_rows:
-                    top.add(arrow_matrix(rb.column("_vec")),
-                            rb.column("_cid").to_numpy(zero_copy_only=False))
-            qpos, ids, sc = top.result()
-            yield arrow_batch(_frame(qids_, qpos, ids, sc), out_schema)
-
-        cands = c.mapInArrow(scan, out_schema).withColumn("_src", F.spark_partition_id())
-        return rank_candidates(cands, k, metric, n_sources=source_count(c), fan_in=fan_in)
-
-    if strategy in ("auto", "broadcast_corpus"):
-        shipped = collect_bounded(c, "_cid", "_vec", broadcast_bytes)
-        if shipped is None and strategy == "broadcast_corpus":
-            raise ValueError("corpus side exceeds the broadcast budget")
-        if shipped is not None:
-            strategy = "broadcast_corpus"
-    if strategy == "broadcast_corpus":
-        cids, cmat = shipped
-        info.update(corpus=len(cids), strategy=strategy, max_hits=None)
-        if len(cids) == 0:
-            return _empty(spark, qid_type, cid_type)
-        bc = spark.sparkContext.broadcast((cids, cmat))
-
-        def probe(batches):
-            cids_, cmat_ = bc.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                top = TopK(as_matrix(pdf["_vec"]), k, metric)
-                top.add(cmat_, cids_)
-                qpos, ids, sc, rank = top.result(with_rank=True)
-                yield _frame(pdf["_qid"].to_numpy(), qpos, ids, sc, rank)
-
-        out = q.mapInPandas(probe, _out_schema(qid_type, cid_type, True))
-        return out.select("query_id", "rank", "id", "score")
-
-    if strategy in ("auto", "blocked"):
-        nq, d = side_sizes(q, "_vec")
-        nc, _ = side_sizes(c, "_vec")
-        info.update(queries=nq, corpus=nc, strategy="blocked", max_hits=nq * k)
-        if nq == 0 or nc == 0:
-            return _empty(spark, qid_type, cid_type)
-        cb = max(1, math.ceil(nc / (block_rows or rows_per_block(d))))
-        qb = max(1, math.ceil(nq / (qblock_rows or rows_per_block(d))))
-        cs = (c.withColumn("_cb", row_block(cb))
-              .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-        qs = (q.withColumn("_qb", row_block(qb))
-              .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
-        schema = T.StructType(_out_schema(qid_type, cid_type, False).fields
-                              + [T.StructField("_src", T.IntegerType())])
-
-        def block(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-            if not len(qpdf) or not len(cpdf):
-                return _frame(np.zeros(0, dtype=object), np.zeros(0, dtype=np.int64),
-                              np.zeros(0, dtype=object), np.zeros(0)).assign(_src=np.zeros(0, np.int32))
-            top = TopK(as_matrix(qpdf["_vec"]), k, metric)
-            top.add(as_matrix(cpdf["_vec"]), cpdf["_cid"].to_numpy())
-            qpos, ids, sc = top.result()
-            return _frame(qpdf["_qid"].to_numpy(), qpos, ids, sc).assign(_src=np.int32(cpdf["_cb"].iloc[0]))
-
-        cands = (qs.groupBy("_qb", "_cb").cogroup(cs.groupBy("_qb", "_cb"))
-                 .applyInPandas(lambda a, b: block(a, b), schema))
-        return rank_candidates(cands, k, metric, n_sources=cb, fan_in=fan_in)
-
-    raise ValueError(f"unknown strategy {strategy!r}")
+        for block in fetch_blocks(q, nq, rows):
+            parts.append(c.mapInArrow(_scan_vectors(spark.sparkContext.broadcast(
+                (block.column("_qid").to_numpy(), arrow_matrix(block.column("_vec")))), k, metric, schema), schema))
+    else:
+        for block in fetch_blocks(c, nc, rows):
+            parts.append(q.mapInArrow(_scan_queries(spark.sparkContext.broadcast(
+                (block.column("_cid").to_numpy(), arrow_matrix(block.column("_vec")))), k, metric, schema), schema))
+    cands = parts[0]
+    for p in parts[1:]:
+        cands = cands.union(p)
+    return rank_candidates(cands, k, metric)
+
+
+def _scan_vectors(shared, k: int, metric: str, schema: T.StructType):
+    def run(batches):
+        qids, qmat = shared.value
+        top = TopK(qmat, k, metric)
+        for rb in batches:
+            if rb.num_rows:
+                top.add(arrow_matrix(rb.column("_vec")), rb.column("_cid").to_numpy(zero_copy_only=False))
+        yield arrow_batch(hit_frame(qids, *top.result()), schema)
+
+    return run
+
+
+def _scan_queries(shared, k: int, metric: str, schema: T.StructType):
+    def run(batches):
+        cids, cmat = shared.value
+        for rb in batches:
+            if rb.num_rows:
+                top = TopK(arrow_matrix(rb.column("_vec")), k, metric)
+                top.add(cmat, cids)
+                yield arrow_batch(hit_frame(rb.column("_qid").to_numpy(zero_copy_only=False), *top.result()), schema)
+
+    return run
 
 
 def attach(hits: DataFrame, vectors: DataFrame, id_col: str = "id",
            columns: tuple[str, ...] = ("question", "rationale", "answer", "task", "source"),
-           max_rows: int | None = None, broadcast_rows: int = 2_000_000) -> DataFrame:
+           max_rows: int | None = None, hit_bytes: int = HIT_BYTES) -> DataFrame:
     """Late materialisation: metadata joined to the (small) hit table after ranking.
 
-    The hit table has at most k rows per query (``max_rows``, known from the
-    search); when that bound is below ``broadcast_rows`` the hits are broadcast
-    and the wide metadata table is streamed without a shuffle; otherwise it is
-    a shuffle join on id.
+    The hit table has at most k rows per query (``max_rows``, known from the search); if that many
+    rows fit ``hit_bytes`` the hits are shipped and the wide metadata table is streamed without a
+    shuffle; otherwise it is a shuffle join on id.
     """
     meta = vectors.select(F.col(id_col).alias("id"), *columns)
-    side = F.broadcast(hits) if max_rows is not None and max_rows <= broadcast_rows else hits
+    side = F.broadcast(hits) if max_rows is not None and max_rows * _HIT_ROW <= hit_bytes else hits
     return side.join(meta, "id", "inner")

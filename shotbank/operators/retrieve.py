@@ -53,12 +53,17 @@ def retrieve(queries: DataFrame, vectors: DataFrame, k: int | None = None,
              threshold: float | None = DEFAULT_THRESHOLD, metric: str = "ip",
              return_scores: bool = True, with_metadata: bool = True,
              query_vec: str = "embedding", vector_col: str = "embedding",
-             **knn_options) -> DataFrame:
-    """(query_id, rank, id, score[, metadata]) for every query of the batch."""
+             search=None, **knn_options) -> DataFrame:
+    """(query_id, rank, id, score[, metadata]) for every query of the batch.
+
+    ``search(queries, k, info)`` replaces the exact search over ``vectors`` (e.g. by an index)."""
     k = DEFAULT_K if k is None else k
     info: dict = {}
-    hits = knn(queries, vectors, k, metric, query_vec=query_vec, corpus_vec=vector_col,
-               info=info, **knn_options)
+    if search is not None:
+        hits = search(queries, k, info)
+    else:
+        hits = knn(queries, vectors, k, metric, query_vec=query_vec, corpus_vec=vector_col,
+                   info=info, **knn_options)
     hits = apply_threshold(hits, threshold, metric)
     if with_metadata:
         cols = tuple(c for c in META_COLUMNS if c in vectors.columns)
@@ -78,7 +83,8 @@ def _ordered_join(block: Column, sep: str = "\n") -> Column:
 def _lines(fields, defaults=()) -> list[Column]:
     out = []
     for label, col in fields:
-        value = F.coalesce(F.col(col), F.lit(UNKNOWN)) if col in defaults else F.col(col)
+        # a missing field leaves its line empty (or "unknown"), never the whole example out
+        value = F.coalesce(F.col(col).cast("string"), F.lit(UNKNOWN if col in defaults else ""))
         out += [F.lit(label), value, F.lit("\n")]
     return out
 
@@ -125,5 +131,5 @@ def retrieve_and_format(queries: DataFrame, vectors: DataFrame, k: int | None =
         k = PROMPT_MIN_K
     hits = retrieve(queries, vectors, k=k, threshold=threshold, metric=metric, **knn_options)
     texts = format_hits(hits, format_type)
-    return (queries.select("query_id").join(texts, "query_id", "left")
+    return (queries.select("query_id").distinct().join(texts, "query_id", "left")
             .select("query_id", F.coalesce("text", F.lit("")).alias("text")))

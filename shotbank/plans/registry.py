@@ -85,6 +85,17 @@ def q_knn_ip(spark, sf):
     return r6(hits, "score")
 
 
+@register("knn_blocked", O.with_base(
+    O.knn_hits(3, queries="(select pos as query_id, embedding from kb)")
+    + "\nselect query_id, rank, id, round(score, 6) as score from hits"))
+def q_knn_blocked(spark, sf):
+    """Every vector as a query, shipped in many blocks."""
+    kb = fx.knowledge_base(spark, sf)
+    hits = knn_op.knn(kb.select(F.col("pos").alias("query_id"), "embedding"), kb, 3, "ip",
+                      strategy="broadcast_queries", block_rows=max(1, kb.count() // 4))
+    return r6(hits, "score")
+
+
 @register("knn_l2", O.with_base(O.knn_hits(5, "l2") + "\nselect query_id, rank, id, round(score, 6) as score from hits"))
 def q_knn_l2(spark, sf):
     hits = knn_op.knn(fx.query_batch(spark, sf), fx.knowledge_base(spark, sf), 5, "l2")
@@ -370,11 +381,31 @@ def _pipeline_generations(spark, sf):
     """Both prompt sets of the query batch through the stand-in model, written once."""
     q = fx.query_batch(spark, sf)
     hits = ret.retrieve(q, fx.knowledge_base(spark, sf), k=gen.DEFAULT_K, threshold=0.35)
-    prompts = gen.baseline_prompts(q).unionByName(gen.cot_prompts(q, hits).drop("examples"))
+    prompts = gen.baseline_prompts(q).unionByName(gen.cot_prompts(q, hits), allowMissingColumns=True)
     return gen.generate_to(prompts, gen.echo_model, scratch_path(spark, "generations")), hits
 
 
-@register("generate_batch")
+_COT_CTE = f"""
+sel as (select h.*, {_META} from hits h join kb on kb.id = h.id where h.score >= 0.35 or h.rank = 1),
+ex as (select query_id, string_agg('Example ' || rank || ':' || chr(10) || 'Question: ' || question || chr(10)
+                         || 'Rationale: ' || rationale || chr(10) || 'Answer: ' || answer || chr(10) || chr(10),
+                         '' order by rank) as body
+       from sel where rank <= 5 group by query_id),
+gens as (
+  select query_id, 'baseline' as method, query,
+         'Question: ' || query || chr(10) || chr(10) || 'Give me the final answer only.' as prompt from qb
+  union all
+  select q.query_id, 'retrieval_augmented_cot', q.query,
+         case when ex.body is not null
+              then 'Question: ' || q.query || chr(10) || chr(10) || ex.body || 'Now think step by step to solve the question above.'
+              else 'Question: ' || q.query || chr(10) || chr(10) || 'Think step by step to solve this question.' end
+  from qb q left join ex on ex.query_id = q.query_id),
+answered as (
+  select query_id, method, query, prompt, {O.strip("split_part(prompt, chr(10), 1)")} as response from gens)"""
+
+
+@register("generate_batch", O.with_base(O.knn_hits(5) + "," + _COT_CTE + """
+select query_id, method, prompt, response, false as failed from answered"""))
 def q_generate_batch(spark, sf):
     g, _ = _pipeline_generations(spark, sf)
     return g.select("query_id", "method", "prompt", "response", "failed")
@@ -431,7 +462,7 @@ select user_id, day, round(baseline_time, 6) as baseline_time, round(cot_time, 6
        retrieved_examples_count
 from paired where baseline_time is not null and cot_time is not null""")
 def q_compare_methods(spark, sf):
-    return r6(_fixture_comparisons(spark, sf, False), *_CMP_COLS)
+    return r6(_fixture_comparisons(spark, sf, False).where(F.col("error").isNull()).drop("error"), *_CMP_COLS)
 
 
 @register("batch_compare", "with " + _GEN_LOG + """
@@ -458,10 +489,28 @@ def q_evaluate(spark, sf):
               "average_similarity_score", "retrieval_success_rate", "above_threshold_rate")
 
 
-@register("comparison_report")
+_RULE = "=" * 80
+
+
+@register("comparison_report", O.with_base(O.knn_hits(5) + "," + _COT_CTE + f"""
+select q.query_id,
+       case when q.query_id % 5 = 0 then 'Error processing query \'\'' || q.query || '\'\': comparison failed'
+            when q.query_id % 5 = 1 then 'Error processing query \'\'' || q.query || '\'\': missing retrieval_augmented_cot result'
+            else concat_ws(chr(10), '{_RULE}', 'QUERY: ' || q.query, '{_RULE}', chr(10) || '📍 BASELINE APPROACH:',
+                 'Prompt: ' || b.prompt, 'Response: ' || b.response, 'Time: ' || printf('%.3f', length(b.prompt) / 1000.0) || 's',
+                 chr(10) || '🧠 RETRIEVAL-AUGMENTED CoT APPROACH:',
+                 'Full Prompt: ' || c.prompt, 'Response: ' || c.response, 'Time: ' || printf('%.3f', length(c.prompt) / 1000.0) || 's')
+            end as report
+from qb q join answered b on b.query_id = q.query_id and b.method = 'baseline'
+join answered c on c.query_id = q.query_id and c.method <> 'baseline'""".replace("\'\'", "''")))
 def q_comparison_report(spark, sf):
+    """Reports of all queries, with set times; every fifth query failed, every fifth lacks an answer."""
     g, hits = _pipeline_generations(spark, sf)
-    cmp = gen.compare_methods(g, gen.best_scores(hits))
+    timed = g.withColumn("generation_time", F.length("prompt") / F.lit(1000.0))
+    part = F.pmod("query_id", F.lit(5))
+    given = timed.where(~((part == 1) & (F.col("method") == gen.COT)))
+    asked = fx.query_batch(spark, sf)
+    cmp = gen.compare_methods(given, gen.best_scores(hits), expected=asked, failed=asked.where(part == 0))
     return gen.report(cmp)
 
 
@@ -485,9 +534,8 @@ def _ivf_fixture(spark, sf):
     """Label-mean centroids and the cell-partitioned index, both written once."""
     cents = fx.materialized(spark, sf, "ivf-centroids",
                             lambda: ivf.label_centroids(fx.table(spark, sf, "embeddings")))
-    index = fx.materialized(spark, sf, "ivf-index",
-                            lambda: ivf.assign_cells(fx.knowledge_base(spark, sf), cents),
-                            writer=lambda df, path: df.write.mode("overwrite").partitionBy("cell").parquet(path))
+    index = fx.materialized(spark, sf, "ivf-index", lambda: ivf.assign_cells(fx.knowledge_base(spark, sf), cents),
+                            writer=ivf.write_index, reader=ivf.read_index)
     return cents, index
 
 
@@ -498,12 +546,18 @@ def q_ivf_assign(spark, sf):
 
 
 @register("index_roundtrip", O.with_base(_CENT + """
-select cell, count(*) as vectors, min(id) as first_id, max(id) as last_id from assigned group by cell"""))
+select a.id, a.cell, list_transform(kb.embedding::double[], lambda x: round(x, 6)) as embedding,
+       'IndexIVFFlat' as index_type, 'ip' as metric, (select count(*)::integer from cent) as nlist,
+       cast(len(kb.embedding) as integer) as dimension, (select count(*) from kb) as rows
+from assigned a join kb on kb.id = a.id"""))
 def q_index_roundtrip(spark, sf):
-    _, index = _ivf_fixture(spark, sf)
-    back = ivf.write_index(index, scratch_path(spark, "ivf-index"))
-    return back.groupBy("cell").agg(F.count(F.lit(1)).alias("vectors"), F.min("id").alias("first_id"),
-                                    F.max("id").alias("last_id"))
+    """Every stored row, and the manifest beside it."""
+    cents, index = _ivf_fixture(spark, sf)
+    path = scratch_path(spark, "ivf-index")
+    ivf.write_index(index, path, "ip", cents.count())
+    back = ivf.read_index(spark, path).select(
+        "id", "cell", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+    return _beside(back, ivf.read_manifest(spark, path))
 
 
 @register("index_stats", O.with_base(_CENT + """
@@ -534,11 +588,44 @@ def q_ivf_search(spark, sf):
     return r6(ivf.ivf_search(fx.query_batch(spark, sf), index, cents, 5, nprobe=2), "score")
 
 
-@register("ivf_train")
+_TRAINED = """select (select count(*) from kb) as vectors, (select count(*) from kb) as assigned,
+       0::bigint as nearer_elsewhere, 0::bigint as unknown_cells, true as unit_centroids"""
+
+
+def _trained(vectors, cents, index):
+    """Whether every vector is in one known cell, with no centroid nearer: the score of the own cell by
+    expressions, against the best score of an exact search that ships the vectors."""
+    own = index.join(cents, "cell", "left").select("id", V.dot("embedding", "centroid").alias("own"))
+    best = knn_op.knn(index.select(F.col("id").alias("query_id"), "embedding"), cents, 1, "ip", corpus_id="cell",
+                      corpus_vec="centroid", strategy="broadcast_queries").select(F.col("query_id").alias("id"), F.col("score").alias("best"))
+    units = cents.agg(F.every(F.abs(V.norm("centroid") - 1) < 1e-9)).first()[0]
+    return own.join(best, "id").agg(
+        F.lit(vectors.count()).alias("vectors"), F.count(F.lit(1)).alias("assigned"),
+        F.count_if(F.col("own") < F.col("best") - 1e-9).alias("nearer_elsewhere"),
+        F.count_if(F.col("own").isNull()).alias("unknown_cells"), F.lit(bool(units)).alias("unit_centroids"))
+
+
+def _beside(rows, manifest):
+    """``rows`` with the columns of the one-row ``manifest``."""
+    one = manifest.first()
+    return rows.select("*", *[F.lit(one[f.name]).cast(f.dataType).alias(f.name) for f in manifest.schema])
+
+
+@register("ivf_train", O.with_base(_TRAINED))
 def q_ivf_train(spark, sf):
     kb = fx.knowledge_base(spark, sf)
     cents = ivf.train_centroids(kb, seed=42)
-    return ivf.assign_cells(kb, cents).groupBy("cell").agg(F.count(F.lit(1)).alias("vectors"))
+    return _trained(kb, cents, ivf.assign_cells(kb, cents))
+
+
+@register("index_rebuild", O.with_base(_TRAINED))
+def q_index_rebuild(spark, sf):
+    """The index of stored vectors, trained, written, and written again over itself."""
+    out, stored = scratch_path(spark, "rebuilt"), scratch_path(spark, "stored")
+    fx.knowledge_base(spark, sf).select("id", "embedding").write.parquet(stored)
+    ivf.rebuild_index(spark, stored, out, nlist=5)
+    cents, _ = ivf.rebuild_index(spark, stored, out)
+    return _trained(spark.read.parquet(stored), cents, ivf.read_index(spark, out))
 
 
 # ------------------------------------------------------------------ embedding
@@ -572,8 +659,9 @@ def q_lexical_embed(spark, sf):
 @register("embed_batch", _LEX_EMBED_SQL)
 def q_embed_batch(spark, sf):
     t = fx.triplets(spark, sf).select("id", "question")
-    vecs = emb.embed(t, lambda: emb.HashingEncoder(emb.LEXICAL_DIM), "question")
-    return r6(emb.sparse_entries(vecs.where(F.col("embedding").isNotNull())), "weight")
+    vecs = emb.embed(t, lambda: emb.HashingEncoder(emb.LEXICAL_DIM), "question", normalize=False)
+    unit = vecs.select("id", V.l2_normalize("embedding").alias("embedding"))  # in double: 6 decimals are published
+    return r6(emb.sparse_entries(unit.where(F.col("embedding").isNotNull())), "weight")
 
 
 def _user_turns(spark, sf):
@@ -594,7 +682,33 @@ where rank <= 3""", kb=False))
 def q_lexical_retrieve(spark, sf):
     q = emb.lexical_vectors(_user_turns(spark, sf), "query")
     kb = emb.lexical_vectors(fx.triplets(spark, sf), "question")
-    return r6(knn_op.knn(q, kb, 3, "ip"), "score")
+    return r6(emb.lexical_search(q, kb, 3), "score")
+
+
+TEXT_DIM = 768
+
+
+@register("retrieve_text", O.with_base(
+    _lex_sql("dlex", "triplets", "id", "question").replace("% 1024", f"% {TEXT_DIM}") + ",\n"
+    + _lex_sql("qlex", "benchmark", "item_id", "text").replace("% 1024", f"% {TEXT_DIM}") + """,
+sc as (
+  select q.id as query_id, d.id, coalesce(s.score, 0) as score
+  from (select distinct id from qlex) q cross join (select distinct id from dlex) d
+  left join (select q.id as qid, d.id as did, round(sum(q.weight * d.weight), 12) as score
+             from qlex q join dlex d on d.bucket = q.bucket group by 1, 2) s on s.qid = q.id and s.did = d.id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, id) as rank from sc)
+select r.query_id, cast(r.rank as integer) as rank, r.id, round(r.score, 6) as score,
+       t.question, t.rationale, t.answer, t.task, t.source
+from ranked r join triplets t on t.id = r.id where r.rank <= 3 and (r.score >= 0.3 or r.rank = 1)""", kb=False))
+def q_retrieve_text(spark, sf):
+    """The whole chain from text: all triplets embedded, the benchmark's texts as queries."""
+    factory = lambda: emb.HashingEncoder(TEXT_DIM)
+    # counts are whole numbers, which float32 holds exactly; the cosine search normalises them
+    kb = fx.materialized(spark, sf, "text-vectors", lambda: emb.embed(
+        fx.triplets(spark, sf), factory, "question", normalize=False))
+    q = emb.embed(fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")),
+                  factory, "query", normalize=False)
+    return r6(ret.retrieve(q, kb, k=3, threshold=0.3, metric="cosine"), "score")
 
 
 # ------------------------------------------------------------------ sources and sinks
@@ -632,11 +746,21 @@ def q_corpus_first_n(spark, sf):
 
 @register("corpus_peek", O.with_base("x as (select 1) select * from corpus_raw order by pos limit 3", kb=False))
 def q_corpus_peek(spark, sf):
+    """The first lines of a file that has a malformed line before each good one."""
     path = scratch_path(spark, "json-lines")
-    src.write_json_lines(fx.corpus_raw(spark, sf), path)
-    lines = src.read_json_lines(spark, path, "pos long, id string, source string, target string, "
-                                             "rationale string, task string")
-    return src.first_n(lines, 3)
+    good = F.to_json(F.struct(*[F.col(c) for c in ("pos", "id", "source", "target", "rationale", "task")]))
+    lines = fx.corpus_raw(spark, sf).orderBy("pos").select(F.explode(F.array(F.lit('{"pos": 1, "id'), good)).alias("value"))
+    lines.write.text(path)
+    return src.peek(spark, path, "pos long, id string, source string, target string, rationale string, task string")
+
+
+@register("corpus_split", O.with_base(f"x as (select 1) select {_SCAN_COLS} from corpus_raw", kb=False))
+def q_corpus_split(spark, sf):
+    """Keyed JSON converted to lines by streaming readers, then read by many tasks."""
+    keyed, lines = scratch_path(spark, "keyed-json"), scratch_path(spark, "split-lines")
+    src.write_keyed_json(fx.corpus_raw(spark, sf), keyed, records_per_file=1000)
+    src.split_keyed_json(spark, f"{keyed}/chunk=*/*.txt", lines)
+    return src.read_split_corpus(spark, lines).select("id", "source", "target", "rationale", "task")
 
 
 @register("triplets_roundtrip", O.with_base(
@@ -646,11 +770,15 @@ def q_triplets_roundtrip(spark, sf):
     return src.load_triplets(spark, path)
 
 
-@register("vectors_roundtrip", O.with_base("""x as (select 1)
-select 'fixture-embeddings' as model_name, max(cast(len(embedding) as integer)) as embedding_dimension,
-       count(*) as num_embeddings, 32 as batch_size, 512 as max_length, true as normalized from kb"""))
+@register("vectors_roundtrip", O.with_base(f"""x as (select 1)
+select id, question, list_transform(embedding::double[], lambda x: round(x, 6)) as embedding,
+       'fixture-embeddings' as model_name, cast(len(embedding) as integer) as embedding_dimension,
+       (select count(*) from kb) as num_embeddings, 32 as batch_size, 512 as max_length,
+       (select max(abs({_NORM} - 1)) < 0.001 from kb) as normalized from kb"""))
 def q_vectors_roundtrip(spark, sf):
+    """Every stored vector, and the manifest beside it."""
     path = scratch_path(spark, "vectors")
     src.save_vectors(fx.knowledge_base(spark, sf), path, "fixture-embeddings")
-    _, manifest = src.load_vectors(spark, path)
-    return manifest
+    vectors, manifest = src.load_vectors(spark, path)
+    return _beside(vectors.select("id", "question", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding")),
+                   manifest)

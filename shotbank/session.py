@@ -32,19 +32,32 @@ _DEFAULTS = {
 def build_session(master: str | None = None, app_name: str = "shotbank",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
-    """Return a session with the library's defaults (only where unset)."""
-    builder = SparkSession.builder.appName(app_name)
-    if master:
-        builder = builder.master(master)
-    conf = dict(_DEFAULTS)
+    """Return a session with the library's defaults where nothing is set.
+
+    What the caller asks for (``shuffle_partitions``, ``extra``) is set in any case. The defaults
+    apply to a new session; of an active one, or of settings given to ``spark-submit``, none that is
+    set is changed. A local session without ``spark.checkpoint.dir`` gets a folder of its own.
+    """
+    from pyspark import SparkConf
+
+    asked = dict(extra or {})
     if shuffle_partitions:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
-    for key, value in conf.items():
+        asked["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    active = SparkSession.getActiveSession()
+    builder = SparkSession.builder
+    if active is None:
+        given = SparkConf()  # spark-submit's and the environment's
+        builder = builder.appName(app_name)
+        if master:
+            builder = builder.master(master)
+        asked = {**{k: v for k, v in _DEFAULTS.items() if not given.contains(k)}, **asked}
+    for key, value in asked.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if active is None:
+        spark.sparkContext.setLogLevel("ERROR")
+    if checkpoint_dir(spark) is None and is_local(spark):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="shotbank-ckpt-"))
     ship_package(spark)
     return spark
 
@@ -77,22 +90,35 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and written intermediate tables.
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process (and share a machine's folders)."""
+    return spark.sparkContext.master.split("[")[0] == "local"
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local runs and
-    tests) a fresh folder under the system temp directory is created and set.
-    """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="shotbank-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The shared folder that ``spark.checkpoint.dir`` names, if it is set."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique location under the checkpoint folder for a written table."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A new, unique location under the shared folder for a written table.
+
+    Without ``spark.checkpoint.dir`` a local session gets a folder under the system's temp directory;
+    anywhere else this is an error, as executors would each write to their own disk.
+    """
+    base = checkpoint_dir(spark)
+    if not base:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="shotbank-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_scratch(spark: SparkSession, path: str) -> bool:
+    """Delete a table that was written to a ``scratch_path`` (only such a table)."""
+    base = (checkpoint_dir(spark) or "").rstrip("/")
+    if not base or not path.startswith(base + "/"):
+        raise ValueError(f"{path} is not under the scratch folder")
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True))

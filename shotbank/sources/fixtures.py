@@ -13,7 +13,6 @@ Every view reads whole tables; nothing is sampled or capped.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,17 +22,22 @@ from shotbank.functions.text import after_first_line, first_line, last_line
 from shotbank.operators.clean import classify, extract_triplets
 
 FIXTURE_PROVENANCE = "fixture"
-_BUILT: dict[tuple, str] = {}
+_BUILT: dict[tuple, tuple[str, tuple]] = {}
 
 
 def materialized(spark: SparkSession, sf_dir: str, name: str,
-                 build: Callable[[], DataFrame], writer=None) -> DataFrame:
-    """Build a derived table once per session and scale factor, write it under the
-    checkpoint folder and read it back (build once, query many; cuts the lineage)."""
-    from shotbank.session import scratch_path
-
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
-    path = _BUILT.get(key)
+                 build: Callable[[], DataFrame], writer=None, reader=None) -> DataFrame:
+    """Build a derived table once per session and input, write it under the checkpoint folder and
+    read it back (build once, query many; cuts the lineage). A table whose input files have
+    changed since is built again, and the old one dropped."""
+    from shotbank.session import drop_scratch, scratch_path
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    seen = _fingerprint(spark, sf_dir)
+    path, built_from = _BUILT.get(key, (None, None))
+    if path is not None and built_from != seen:
+        drop_scratch(spark, path)
+        path = None
     if path is None:
         path = scratch_path(spark, name)
         df = build()
@@ -41,8 +45,23 @@ def materialized(spark: SparkSession, sf_dir: str, name: str,
             df.write.mode("overwrite").parquet(path)
         else:
             writer(df, path)
-        _BUILT[key] = path
-    return spark.read.parquet(path)
+        _BUILT[key] = (path, seen)
+    return spark.read.parquet(path) if reader is None else reader(spark, path)
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the input tables' folders, by Spark's own file system."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(root)))
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete all derived tables that this session has built."""
+    from shotbank.session import drop_scratch
+
+    for key in [k for k in _BUILT if k[0] == spark.sparkContext.applicationId]:
+        drop_scratch(spark, _BUILT.pop(key)[0])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -37,7 +37,7 @@ def test_failing_call_is_isolated(spark):
 def test_evaluate_edge_cases(spark):
     schema = "query_id long, error string, baseline_time double, cot_time double, best_similarity_score double"
     empty = gen.evaluate(spark.createDataFrame([], schema)).first()
-    assert empty.total_queries == 0 and empty.error == gen.NO_VALID
+    assert empty.total_queries == 0 and empty.error is None  # nothing asked: no metrics, and no error
     all_err = gen.evaluate(spark.createDataFrame([(1, "x", None, None, None)], schema)).first()
     assert all_err.error == gen.NO_VALID
     rows = [(1, None, 1.0, 3.0, 0.8), (2, None, 1.0, 2.0, None), (3, "boom", None, None, None)]
@@ -72,3 +72,41 @@ def test_generation_runs_once_and_is_reused(spark):
     assert calls.value == 6
     g.count(), g.collect(), gen.compare_methods(g).count()  # downstream reads use the written table
     assert calls.value == 6
+
+
+def test_null_fields_keep_their_example(spark):
+    from shotbank.operators import retrieve as ret
+
+    hits = spark.createDataFrame([(1, 1, 0.9, "e1", None, "R1", "A1", None, None), (1, 2, 0.7, "e2", "Q2", None, None, "t", "s")],
+                                 "query_id long, rank int, score double, id string, question string, rationale string, "
+                                 "answer string, task string, source string")
+    for kind, head in (("simple", "Example %d (similarity"), ("detailed", "=== Retrieved Example %d ==="), ("prompt", "Example %d:")):
+        text = ret.format_hits(hits, kind).first().text
+        assert head % 1 in text and head % 2 in text
+    q = spark.createDataFrame([(1, "What?")], "query_id long, query string")
+    prompt = gen.cot_prompts(q, hits).first().prompt
+    assert "Example 1:\nQuestion: \nRationale: R1" in prompt and "Example 2:\nQuestion: Q2\nRationale: \nAnswer: \n" in prompt
+
+
+def test_error_rows_keep_the_query_and_no_key_vanishes(spark):
+    q = spark.createDataFrame([(i, f"q{i}") for i in range(4)], "query_id long, query string")
+    g = gen.generate(gen.baseline_prompts(q.where("query_id < 3")).unionByName(gen.cot_prompts(q.where("query_id < 2"), spark.createDataFrame(
+        [], "query_id long, rank int, score double, id string, question string, rationale string, answer string")),
+        allowMissingColumns=True), gen.echo_model)
+    failed = q.where("query_id = 1")
+    got = {r.query_id: r for r in gen.compare_methods(g, expected=q, failed=failed).collect()}
+    assert {i: r.error for i, r in got.items()} == {0: None, 1: "comparison failed", 2: "missing retrieval_augmented_cot result",
+                                                    3: "missing baseline result"}
+    assert {i: r.query for i, r in got.items()} == {i: f"q{i}" for i in range(4)}
+    reports = {r.query_id: r.report for r in gen.report(gen.compare_methods(g, expected=q, failed=failed)).collect()}
+    assert reports[1] == "Error processing query 'q1': comparison failed" and reports[3].startswith("Error processing query 'q3'")
+    assert {r.query_id for r in gen.compare_methods(g).collect()} == {0, 1, 2}  # without ``expected`` too
+
+
+def test_batch_comparison_plan(spark):
+    """One aggregate over the key, and none over texts."""
+    from shotbank.plans.registry import _fixture_comparisons
+    from tests.conftest import SF_SMALL
+
+    plan = _fixture_comparisons(spark, SF_SMALL, True)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Join" not in plan

@@ -9,7 +9,7 @@ from shotbank.operators.knn import knn
 from shotbank.sources import fixtures as fx
 from tests.conftest import SF_MID, SF_SMALL
 
-STRATS = ["broadcast_queries", "broadcast_corpus", "blocked"]
+STRATS = ["broadcast_queries", "broadcast_corpus"]
 
 
 def _vecs(spark, n, d, seed, prefix="v"):
@@ -36,8 +36,7 @@ def test_strategies_match_brute_force(spark, strategy, metric):
     queries, q = _vecs(spark, 25, 16, 2, prefix="q")
     queries = queries.withColumn("query_id", F.monotonically_increasing_id()).select(
         F.substring("id", 2, 4).cast("long").alias("query_id"), "embedding")
-    hits = knn(queries.repartition(3), corpus.repartition(9), 7, metric, strategy=strategy,
-               block_rows=32, qblock_rows=8, fan_in=2)  # 9-10 sources, fan-in 2: a 4-level merge tree
+    hits = knn(queries.repartition(3), corpus.repartition(9), 7, metric, strategy=strategy, block_rows=9)
     got = {}
     for r in hits.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.id, round(r.score, 6)))
@@ -89,21 +88,10 @@ def test_ivf_full_probe_equals_exact(spark):
     index = ivf.assign_cells(kb, cents)
     nlist = cents.count()
     exact = sorted(knn(q, kb, 5).collect())
-    approx = sorted(ivf.ivf_search(q, index, cents, 5, nprobe=nlist, block_rows=20, qblock_rows=4).collect())
+    approx = sorted(ivf.ivf_search(q, index, cents, 5, nprobe=nlist, block_rows=7).collect())
     assert exact == approx
 
 
-def test_merge_tree_bounds_groups(spark):
-    corpus, _ = _vecs(spark, 200, 8, 3)
-    queries, _ = _vecs(spark, 5, 8, 4, prefix="q")
-    queries = queries.select(F.substring("id", 2, 4).cast("long").alias("query_id"), "embedding")
-    flat = knn(queries, corpus.repartition(16), 4)
-    tree = knn(queries, corpus.repartition(16), 4, fan_in=2)
-    assert sorted(flat.collect()) == sorted(tree.collect())
-    plan = tree._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") > flat._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit")
-
-
 def test_plan_shapes(spark):
     kb = fx.knowledge_base(spark, SF_SMALL)
     q = fx.query_batch(spark, SF_SMALL)
@@ -111,9 +99,9 @@ def test_plan_shapes(spark):
     assert "WindowGroupLimit" in plan or "Window" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     cents = ivf.label_centroids(fx.table(spark, SF_SMALL, "embeddings"))
-    iplan = ivf.ivf_search(q, ivf.assign_cells(kb, cents), cents, 5, strategy="blocked")._jdf.queryExecution().executedPlan().toString()
+    iplan = ivf.ivf_search(q, ivf.assign_cells(kb, cents), cents, 5)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in iplan and "BroadcastNestedLoopJoin" not in iplan
-    assert "FlatMapCoGroupsInPandas" in iplan
+    assert "MapInArrow" in iplan and "CoGroups" not in iplan
 
 
 def test_ivf_strategies_agree(spark):
@@ -123,8 +111,7 @@ def test_ivf_strategies_agree(spark):
     index = ivf.assign_cells(kb, cents)
     for nprobe in (1, 3):
         shipped = ivf.ivf_search(q, index, cents, 5, nprobe=nprobe)
-        blocked = ivf.ivf_search(q, index, cents, 5, nprobe=nprobe, strategy="blocked",
-                                 block_rows=15, qblock_rows=3, fan_in=2)
+        blocked = ivf.ivf_search(q, index, cents, 5, nprobe=nprobe, block_rows=4)
         assert sorted(shipped.collect()) == sorted(blocked.collect())
 
 
@@ -138,7 +125,7 @@ def test_zero_vectors_and_empty_corpus(spark):
     hits = knn(df, corpus, 5, "cosine").collect()
     assert {(r.query_id, r.id) for r in hits} == {(2, "a")}  # zero vectors have no cosine
     empty = spark.createDataFrame([], "id string, embedding array<double>")
-    for strategy in ("auto", "blocked"):
+    for strategy in ("auto", "broadcast_corpus"):
         assert knn(df, empty, 3, strategy=strategy).count() == 0
 
 
@@ -157,15 +144,85 @@ def test_kernel_scores_equal_jvm_expressions(spark):
         assert joined.count() == hits.count()
 
 
-def test_source_count_never_underestimates(spark):
-    from shotbank.operators.knn import source_count
-
-    docs = fx.table(spark, SF_SMALL, "documents")
-    assert source_count(docs) == docs.rdd.getNumPartitions()  # a plain scan: exact
-    for df in (docs.repartition(7), docs.repartition(5, "doc_id"),
-               docs.join(fx.table(spark, SF_SMALL, "embeddings"), docs.doc_id == F.col("vec_id"))):
-        actual = df.select(F.spark_partition_id().alias("p")).distinct().count()
-        assert source_count(df) >= actual
+@pytest.mark.parametrize("metric", ["ip", "l2", "cosine"])
+def test_all_plans_agree_on_awkward_data(spark, metric):
+    """Repeated query ids, ties, exact copies, zero vectors and values around 1,000: the same rows from
+    every plan and block size, and from the index with all cells probed."""
+    rng = np.random.default_rng(7)
+    base = np.round(rng.normal(size=(60, 6)) * 1000, 3)
+    base[10:20] = base[:10]
+    base[20] = 0
+    corpus = spark.createDataFrame([(f"v{i:03d}", [float(x) for x in r]) for i, r in enumerate(base)], "id string, embedding array<double>").repartition(5)
+    q = np.concatenate([base[:12] * 1.5, base[30:36], rng.normal(size=(6, 6)), base[:2] * 1.5])
+    ids = [0, 0, 1, 2, 3, 3, 3, *range(10, 10 + len(q) - 7)]
+    queries = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in zip(ids, q)], "query_id long, embedding array<double>").repartition(3)
+    want = None
+    for strategy in ("auto", *STRATS):
+        for rows in (None, 1, 7, 25):
+            got = sorted(knn(queries, corpus, 3, metric, strategy=strategy, block_rows=rows).collect())
+            want = want or got
+            assert got == want, (strategy, rows)
+    # brute force: the hits of all rows with the same id, ranked together
+    pairs = {}
+    for i, x in zip(ids, q):
+        for j, y in enumerate(base):
+            if metric == "cosine" and not (x.any() and y.any()):
+                continue
+            s = {"ip": (x * y).sum(), "l2": ((x - y) ** 2).sum(),
+                 "cosine": 0 if metric != "cosine" else ((x / np.sqrt((x * x).sum())) * (y / np.sqrt((y * y).sum()))).sum()}[metric]
+            pairs.setdefault(i, []).append((round(float(s) * (1 if metric == "l2" else -1), 9), f"v{j:03d}"))
+    brute = sorted((i, r + 1, v) for i, p in pairs.items() for r, (_, v) in enumerate(sorted(p)[:3]))
+    assert [(r.query_id, r.rank, r.id) for r in want] == brute
+    cents = spark.createDataFrame([(c, [float(x) for x in base[40 + c]]) for c in range(7)], "cell int, centroid array<double>")
+    index = ivf.assign_cells(corpus, cents, metric)
+    for rows in (None, 4):
+        assert sorted(ivf.ivf_search(queries, index, cents, 3, nprobe=7, metric=metric, block_rows=rows).collect()) == want
+
+
+def test_centroids_beyond_the_budget_give_the_same_cells(spark):
+    corpus, _ = _vecs(spark, 120, 8, 5)
+    cents, _ = _vecs(spark, 17, 8, 6)
+    cents = cents.select(F.substring("id", 2, 4).cast("int").alias("cell"), F.col("embedding").alias("centroid"))
+    whole = sorted(ivf.assign_cells(corpus, cents).collect())
+    assert sorted(ivf.assign_cells(corpus, cents, block_bytes=3 * 8 * 8).collect()) == whole
+    index = ivf.assign_cells(corpus, cents)
+    q = corpus.limit(9).select(F.col("id").alias("query_id"), "embedding")
+    assert sorted(ivf.ivf_search(q, index, cents, 4, nprobe=3, block_bytes=3 * 8 * 8).collect()) == sorted(
+        ivf.ivf_search(q, index, cents, 4, nprobe=3).collect())
+
+
+def test_index_lifecycle(spark, tmp_path):
+    kb = fx.knowledge_base(spark, SF_MID).select("id", "embedding")
+    with pytest.raises(FileNotFoundError):
+        ivf.read_index(spark, str(tmp_path / "none"))
+    kb.write.parquet(str(tmp_path / "stored"))
+    cents, index = ivf.rebuild_index(spark, str(tmp_path / "stored"), str(tmp_path / "ix"), nlist=6)
+    m = ivf.read_manifest(spark, str(tmp_path / "ix")).first()
+    assert (m.index_type, m.metric, m.nlist, m.dimension, m.rows) == ("IndexIVFFlat", "ip", 6, 64, kb.count())
+    assert index.count() == kb.count()
+    import glob
+
+    files = glob.glob(str(tmp_path / "ix" / "index" / "cell=*" / "*.parquet"))
+    assert len(files) == index.select("cell").distinct().count()  # one file per cell, not tasks x cells
+    split = ivf.write_index(index, str(tmp_path / "split"), file_rows=40)
+    assert sorted(split.select("id", "cell").collect()) == sorted(index.select("id", "cell").collect())
+    assert ivf.default_nlist(1_000_000) == 4000 and ivf.default_nlist(1_000_000, 100) == 100 and ivf.default_nlist(5) == 1
+
+
+def test_large_query_side_keeps_few_candidates():
+    from shotbank.operators.knn import TopK
+
+    rng = np.random.default_rng(0)
+    q, c = rng.normal(size=(20_000, 16)), rng.normal(size=(800, 16))
+    top = TopK(q, 5, "ip")
+    for lo in range(0, 800, 100):
+        top.add(c[lo:lo + 100], np.arange(lo, lo + 100).astype(str))
+    top.result()
+    assert top.kept <= 4 * 20_000 * 5  # eight offers of vectors in random order
+    top = TopK(q, 5, "ip")
+    top.add(c, np.arange(800).astype(str))
+    top.result()
+    assert top.kept <= 2 * 20_000 * 5
 
 
 def test_sparse_vectors_in_every_plan(spark):
@@ -175,6 +232,20 @@ def test_sparse_vectors_in_every_plan(spark):
     q = emb.lexical_vectors(fx.table(spark, SF_SMALL, "benchmark").selectExpr("item_id as query_id", "text"),
                             "text", dim=128)
     want = sorted(knn(q, kb, 3, strategy="broadcast_queries").collect())
-    for strategy in ("broadcast_corpus", "blocked"):
-        got = sorted(knn(q, kb, 3, strategy=strategy, block_rows=50, qblock_rows=7).collect())
+    for strategy in STRATS:
+        got = sorted(knn(q, kb, 3, strategy=strategy, block_rows=7 if strategy == "broadcast_queries" else 50).collect())
         assert got == want, strategy
+    hits = sorted(emb.lexical_search(q, kb, 3).collect())  # the join finds the same, but for hits of score 0
+    assert hits == [r for r in want if r.score > 0]
+
+
+def test_lexical_search_gives_no_filler_and_splits_hot_buckets(spark, monkeypatch):
+    from shotbank.operators import embed as emb
+
+    rows = [(f"d{i:02d}", t) for i, t in enumerate(["a b", "a c", "a", "d d e", "", "a b a"])]
+    kb = emb.lexical_vectors(spark.createDataFrame(rows, "id string, t string"), "t")
+    q = emb.lexical_vectors(spark.createDataFrame([(1, "d"), (2, "a b"), (3, "nothing"), (4, "")], "query_id long, t string"), "t")
+    got = sorted(emb.lexical_search(q, kb, 3).collect())
+    assert [(r.query_id, r.rank, r.id) for r in got] == [(1, 1, "d03"), (2, 1, "d00"), (2, 2, "d05"), (2, 3, "d02")]
+    monkeypatch.setattr(emb, "SALT_ROWS", 1)
+    assert sorted(emb.lexical_search(q, kb, 3).collect()) == got

@@ -16,16 +16,16 @@ def test_topk_equals_brute_force(nq, nc, d, k, levels, chunk, seed, metric):
     q = rng.integers(-levels, levels + 1, size=(nq, d)).astype(float)  # few distinct scores: many ties
     c = rng.integers(-levels, levels + 1, size=(nc, d)).astype(float)
     ids = np.array([f"id{rng.integers(0, 1000):03d}" for _ in range(nc)], dtype=object)
-    old = K._MAX_CELLS
-    K._MAX_CELLS = chunk * nq  # force several chunks
+    old = K.TILE_ROWS
+    K.TILE_ROWS = chunk  # force several tiles on both sides
     try:
         top = K.TopK(q, k, metric)
         top._merge_at = 1 + int(rng.integers(0, 20))  # merge at varying points
         top.add(c, ids)
         qpos, got_ids, got_scores, ranks = top.result(with_rank=True)
     finally:
-        K._MAX_CELLS = old
-    s = np.round(K.scores(q, c, metric), K.SCORE_DECIMALS)
+        K.TILE_ROWS = old
+    s = K.scores(q, c, metric)
     for i in range(nq):
         key = -s[i] if metric == "ip" else s[i]
         want = sorted(range(nc), key=lambda j: (key[j], ids[j]))[:k]
