@@ -31,6 +31,11 @@ def _present(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
+def _once(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with its columns yielded by a one-row generator."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def classify(raw: DataFrame) -> DataFrame:
     """The raw columns plus stripped fields, the list of missing fields and a ``status``.
 
@@ -38,11 +43,13 @@ def classify(raw: DataFrame) -> DataFrame:
     boolean ``has_task`` says whether the record had the task key (default: yes).
     """
     has_task = F.col("has_task") if "has_task" in raw.columns else F.lit(True)
+    # a generator is a wall for filter pushdown: what it yields is computed once per row, not once per test
+    raw = _once(raw, *raw.columns)
     q = F.when(_present(F.col("source")), strip("source"))
     r = F.when(_present(F.col("rationale")), strip("rationale"))
     a = F.when(_present(F.col("target")), strip("target"))
     t = F.when(has_task, strip(F.coalesce(F.col("task"), F.lit("None"))))
-    df = raw.select("*", q.alias("_q"), r.alias("_r"), a.alias("_a"), t.alias("_t"))
+    df = _once(raw.select("*", q.alias("_q"), r.alias("_r"), a.alias("_a"), t.alias("_t")), *raw.columns, "_q", "_r", "_a", "_t")
     missing = F.array_compact(F.array(
         F.when(~_present(F.col("_q")), F.lit("question")),
         F.when(~_present(F.col("_r")), F.lit("rationale")),
