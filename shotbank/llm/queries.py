@@ -101,23 +101,6 @@ def op9_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_repeats.dedup_digest(table(spark, sf_dir, "documents"))
 
 
-ORACLE["op9_radix_repeats"] = """
-with d as (select doc_id, hex(encode(coalesce(text, ''))) as hx from documents),
- win as (select doc_id, p, md5(substr(hx, 2 * p + 1, 800)) as k from d, unnest(range(0, length(hx) // 2 - 399)) as t(p)),
- rep as (select doc_id, p from win where k in (select k from win group by k having count(*) > 1)),
- bytes as (select d.doc_id, i, substr(hx, 2 * i + 1, 2) as b, rep.p from d, unnest(range(0, length(hx) // 2)) as t(i)
-           left join rep on rep.doc_id = d.doc_id and rep.p = i),
- cov as (select doc_id, i, b, max(p) over (partition by doc_id order by i rows between 399 preceding and current row)
-                is not null as gone from bytes),
- edge as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as starts from cov),
- sums as (select doc_id, count(*) filter (where gone) as n_removed, count(*) filter (where starts) as n_spans,
-                 coalesce(string_agg(b, '' order by i) filter (where not gone), '') as kept from edge group by doc_id)
-select d.doc_id, length(hx) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
-       sha256(unhex(coalesce(kept, ''))) as kept_sha256
-from d left join sums using (doc_id)
-"""
-
-
 @_query
 def op10_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_revisit.archived(table(spark, sf_dir, "pages")).select(
