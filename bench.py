@@ -23,7 +23,7 @@ sys.path.insert(0, ROOT)
 HEADLINE = [
     "triplets", "extraction_rate", "retrieve", "retrieve_threshold", "knn_ip", "self_knn",
     "ivf_search", "format_prompt", "prompt_cot", "lexical_retrieve", "embed_batch",
-    "batch_compare", "evaluate", "corpus_scan",
+    "batch_compare", "evaluate", "corpus_scan", "retrieve_text",
 ]
 
 
