@@ -179,7 +179,8 @@ def buckets(classes: DataFrame, runs: int | None = None) -> DataFrame:
     rows, done = map_rows(classes.select("cid", "sk"), "key long, cid long", _start(seeds)), None
     for depth in range(1, MAX_DEPTH + 1):
         rows = written(rows, "paths")
-        sizes = rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("k"), "count")
+        # written before it is joined with its rows, so that Spark can split a hot bucket
+        sizes = written(rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("k"), "count"), "sizes")
         shared = rows.join(sizes, F.col("key") == F.col("k")).select("key", "cid", "count")
         if depth == MAX_DEPTH:
             done = done.union(shared.select("key", "cid"))
@@ -386,8 +387,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(buckets(classes, runs).distinct(), "members")
     keys = members.groupBy(F.col("cid").alias("i")).agg(F.sort_array(F.collect_list("key")).alias("keys"))
     info = classes.select(F.col("cid").alias("c"), "n", "size", "sk").join(keys, F.col("c") == F.col("i")).drop("i")
-    tiles = (members.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m"))
-             .select("k", F.ceil(F.col("m") / tile).cast("int").alias("tiles")))
+    tiles = written(members.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m"))
+                    .select("k", F.ceil(F.col("m") / tile).cast("int").alias("tiles")), "tiles")
     tiled = (members.join(tiles, F.col("key") == F.col("k"))
              .select("key", "cid", "tiles", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int").alias("t"))
              .select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
