@@ -26,8 +26,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, schema: str, fn) -> DataFrame:
-    """``mapInArrow`` where ``fn(columns: dict of lists) -> dict of lists`` works on one batch.
+def map_rows(df: DataFrame, schema: str, fn, slice_bytes: int | None = None) -> DataFrame:
+    """``mapInArrow`` where ``fn(columns: dict of arrays) -> dict of lists`` works on one batch, or on
+    parts of it of about ``slice_bytes``.
 
     The result holds only the columns of ``schema``."""
     from pyspark.sql.types import StructType
@@ -37,7 +38,7 @@ def map_rows(df: DataFrame, schema: str, fn) -> DataFrame:
     arrow = _arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in _parts(b, slice_bytes)):
             out = fn({n: batch.column(i) for i, n in enumerate(names)})
             yield pa.RecordBatch.from_arrays(
                 [out[f.name] if isinstance(out[f.name], pa.Array) and out[f.name].type == f.type
@@ -46,6 +47,13 @@ def map_rows(df: DataFrame, schema: str, fn) -> DataFrame:
     return df.mapInArrow(run, struct)
 
 
+def _parts(batch: pa.RecordBatch, slice_bytes: int | None) -> Iterator[pa.RecordBatch]:
+    n = batch.num_rows
+    step = n if not slice_bytes or not n else max(1, n * slice_bytes // max(1, batch.nbytes))
+    for a in range(0, max(n, 1), max(step, 1)):
+        yield batch.slice(a, step)
+
+
 def keep_rows(df: DataFrame, needs: list[str], fn) -> DataFrame:
     """The rows of ``df``, all columns, for which ``fn(columns: dict of arrays) -> list of booleans`` holds.
 

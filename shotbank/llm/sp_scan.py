@@ -30,12 +30,14 @@ from shotbank.llm.common import map_rows, written
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Texts of more characters are encoded in chunks of ``CHUNK`` characters.
-GIANT = 1 << 15
-CHUNK = 1 << 13
+GIANT = 1 << 16
+CHUNK = 1 << 14
 #: Longer units are encoded by the best path, whose time is linear.
 UNIT = 64
 #: Units that a worker remembers, at most.
-REMEMBER = 400_000
+REMEMBER = 150_000
+#: Bytes of rows that a worker has in hand at a time.
+SLICE = 4 << 20
 
 State = tuple[int, int]  # a piece from a to b; (0, 0) before the first
 
@@ -316,7 +318,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
                 "n_chunks": [1 if len(x) else 0 for x in ids]}
 
     schema = "doc_id long, text string, ids array<int>, n_chunks int"
-    done = map_rows(rows.where(~large), schema, small)
+    done = map_rows(rows.where(~large), schema, small, SLICE)
     giants = written(rows.where(large).select(F.monotonically_increasing_id().alias("uid"), "*"), "giants")
     return done.union(_encode_giants(giants, shared, chunk).select("doc_id", "text", "ids", "n_chunks"))
 
@@ -352,7 +354,7 @@ def _encode_giants(giants: DataFrame, shared, chunk: int) -> DataFrame:
         return pd.DataFrame({"u": rows["uid"].to_numpy(), "j": rows["i"].to_numpy(),
                              "states": [[*s, *t] for s, t in states]})
 
-    mats = map_rows(parts, "uid long, i int, m array<long>", transfer)
+    mats = map_rows(parts, "uid long, i int, m array<long>", transfer, SLICE)
     states = mats.groupBy("uid").applyInPandas(path, "u long, j int, states array<long>")
 
     def back(cols: dict) -> dict:
@@ -363,7 +365,7 @@ def _encode_giants(giants: DataFrame, shared, chunk: int) -> DataFrame:
         return {"uid": cols["uid"], "i": cols["i"], "ids": out}
 
     ids = (map_rows(parts.join(states, (F.col("uid") == F.col("u")) & (F.col("i") == F.col("j")))
-                    .select("uid", "i", "at", "part", "states"), "uid long, i int, ids array<int>", back)
+                    .select("uid", "i", "at", "part", "states"), "uid long, i int, ids array<int>", back, SLICE)
            .groupBy(F.col("uid").alias("u")).agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("parts")))
     return giants.join(ids, F.col("uid") == F.col("u")).select(
         "doc_id", "text", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), F.size("parts").alias("n_chunks"))
@@ -378,7 +380,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         return {**{c: cols[c] for c in ("doc_id", "text", "ids", "n_chunks")},
                 "decoded": [v.decode(x.values.tolist()) for x in cols["ids"]]}
 
-    return map_rows(encoded, "doc_id long, text string, ids array<int>, n_chunks int, decoded string", run)
+    return map_rows(encoded, "doc_id long, text string, ids array<int>, n_chunks int, decoded string", run, SLICE)
 
 
 def digest(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -397,4 +399,4 @@ def digest(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         return {"doc_id": cols["doc_id"], "n_chunks": cols["n_chunks"], **out}
 
     return map_rows(encoded.select("doc_id", "text", "ids", "n_chunks"),
-                    "doc_id long, n_chars int, n_tokens int, n_chunks int, ids_sha256 string, round_trip boolean", run)
+                    "doc_id long, n_chars int, n_tokens int, n_chunks int, ids_sha256 string, round_trip boolean", run, SLICE)
