@@ -37,7 +37,15 @@ SCRIPTS = {
 
 _TITLE = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 _NAME_WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
-NAME = re.compile(rf"\b({_TITLE})\.? +({_NAME_WORD}(?: {_NAME_WORD}){{0,2}})")
+TITLE = re.compile(rf"\b({_TITLE})\.? +")
+# Small words inside family names, and articles that only follow one of them
+_PARTICLE = (r"(?:von und zu|von|vom|van|de|del|della|di|da|du|do|dos|bin|ibn|al|el|ter|ten|af|av|y)"
+             r"(?: +(?:der|den|dem|het|la|las|los|le|les|zu))?")
+#: A name's next word, after its particles. A title starts another name, but for Don, which is a first name too.
+NEXT = re.compile(rf"(?:{_PARTICLE} +)?(?!(?:{'|'.join(t for t in _TITLE.split('|') if t != 'Don')})\b)({_NAME_WORD})")
+INITIAL, AFTER_INITIAL, SPACES = re.compile(r"[^\W\d_]\."), re.compile(r"\.(?:-| *)"), re.compile(" +")
+# Words that mostly open a sentence, so that after an initial they may not be part of the name
+OPENERS = set("The This That He She It They We You In On At And But If When Der Die Das Er Sie Es El Ella Il Elle Он Она".split())
 #: Kinds in the order in which they claim a piece of text.
 PATTERNS = [
     ("email", re.compile(r"[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")),
@@ -50,7 +58,8 @@ PATTERNS = [
     ("phone", re.compile(r"(?<![\w+])(?:(?:\+?1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w)")),
 ]
 BLANK = "\uffff"
-_DIGIT_OR_AT = re.compile("[0-9@]")
+#: Without one of these no pattern matches.
+_SIGNS = re.compile("[0-9@]|A[KS]IA")
 
 
 def luhn(digits: str) -> bool:
@@ -89,7 +98,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
             at = b
         return "".join([*parts, left[at:]])
 
-    if _DIGIT_OR_AT.search(text):
+    if _SIGNS.search(text):
         for kind, pattern in PATTERNS:
             spans = []
             for m in pattern.finditer(left):
@@ -104,30 +113,52 @@ def find(text: str) -> list[tuple[int, int, str]]:
             if spans:
                 left = claim(spans)
     names: dict[str, str] = {}
-    spans = []
-    for m in NAME.finditer(left):
-        at = m.start(2)
+    spans, end = [], 0
+    for m in TITLE.finditer(left):
+        if m.start() < end:
+            continue  # a word of the name before
         gender = "m" if m[1] in MALE else "f" if m[1] in FEMALE else "n"
-        words = []
-        for w in m[2].split(" "):
-            if not w[0].isupper():
-                break
-            words.append(w)
-        for i, whole in enumerate(words):
-            w = re.sub("['’]s$", "", whole)  # a possessive is not part of the name
+        words = name_words(left, m.end())
+        for i, (a, b) in enumerate(words):
             kind = "name_family" if i == len(words) - 1 else f"name_{gender}"
-            spans.append((at, at + len(w), kind))
-            if len(w) > 2:
-                names.setdefault(w, kind)
-            at += len(whole) + 1
+            spans.append((a, b, kind))
+            end = b
+            # an opener after an initial is masked here, but isn't looked for elsewhere
+            if not (i and words[i - 1][1] - words[i - 1][0] == 1 and left[a:b] in OPENERS):
+                names.setdefault(left[a:b], kind)
     if spans:
         left = claim(spans)
     if names:  # other mentions of the same people without a title
-        for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")\b", left):
-            taken.append((*m.span(), names[m[0]]))
+        long = "|".join(map(re.escape, sorted((w for w in names if len(w) > 1), key=len, reverse=True)))
+        short = "".join(map(re.escape, (w for w in names if len(w) == 1)))
+        # a single letter is a mention only as an initial before a name: "I" and "A" are words
+        either = [rf"(?:{long})\b"] * bool(long) + [rf"[{short}](?=\.(?:[ -]?[^\W\d_]\.)* ?(?:{long})\b)"] * bool(long and short)
+        if either:
+            for m in re.finditer(rf"\b(?:{'|'.join(either)})", left):
+                taken.append((*m.span(), names[m[0]]))
     return sorted(taken)
 
 
+def name_words(text: str, at: int) -> list[tuple[int, int]]:
+    """Where the words of the name are that begins at ``at``: capitalised words and initials, however many.
+    Particles between them are passed over, a possessive or a title ends the name."""
+    out = []
+    while m := NEXT.match(text, at):
+        w = m[1]
+        if not (w[0].isupper() or any(x[0].isupper() for x in re.split("['’-]", w)[1:])):  # d'Artagnan, al-Masri
+            break
+        bare = re.sub("['’]s$", "", w)  # a possessive is not part of the name
+        out.append((m.start(1), m.start(1) + len(bare)))
+        if bare != w:
+            break
+        at = m.end()
+        step = (AFTER_INITIAL if INITIAL.match(text, m.start(1)) else SPACES).match(text, at)
+        if not step:
+            break
+        at = step.end()
+    return out
+
+
 def _iban_ok(s: str) -> bool:
     if not 15 <= len(s) <= 34:
         return False
