@@ -4,17 +4,23 @@ A surrogate is a function of the key, the kind and the canonical form of an enti
 entity, in any document and any notation, get the same one (coreference). It has the length, script and
 character classes of the original: digits stay digits, check digits stay right, a name keeps its script
 and the gender of its title. Two entities never share a surrogate and no surrogate is an entity of the
-corpus: colliding ones are found over the whole corpus and drawn again.
+corpus: colliding ones are found over the whole corpus and drawn again, and after a few draws the free
+values of the format are dealt out. Where a format has fewer free values than entities (such as one-letter
+names, when most letters are names), it is widened (any letter of the script, any digit); where that is
+full too, the entities left swap their forms, so a surrogate may there be another entity of the corpus,
+but still is never shared and never one's own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import json
+import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotbank.llm.common import fresh, map_rows, written
@@ -22,7 +28,10 @@ from shotbank.llm.common import fresh, map_rows, written
 KEY = b"replace this key in production"
 #: Redrawn entities are shipped to the tasks up to this many, and joined by a shuffle beyond.
 SHIP_ROWS = 100_000
-MAX_DRAWS = 20
+#: After so many draws, what still collides is dealt the free values of its format.
+MAX_DRAWS = 6
+#: Values of a format that are looked at first, at most at a time, and by one row.
+FIRST_WALK, MAX_WALK, STEP = 1024, 1 << 24, 64
 
 # Titles, by the gender they tell
 MALE = ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Don", "господин", "г-н"]
@@ -34,6 +43,8 @@ SCRIPTS = {
     "cyrillic": ("аеиоу", "бвгдзклмнпрст", "а"),
     "greek": ("αεηιο", "βγδκλμνπρστφ", "α"),
 }
+ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+DIGITS = "0123456789"
 
 _TITLE = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 _NAME_WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
@@ -228,6 +239,10 @@ def surrogate(key: bytes, kind: str, canon: str, draw: int = 0) -> str:
     return d.like(canon)
 
 
+def _script(code: int) -> str:
+    return "cyrillic" if 0x400 <= code < 0x530 else "greek" if 0x370 <= code < 0x400 else "latin"
+
+
 def _name(d: _Draw, canon: str, kind: str) -> str:
     out = []
     for part in re.split(r"(['’-])", canon):
@@ -235,7 +250,7 @@ def _name(d: _Draw, canon: str, kind: str) -> str:
             out.append(part)
             continue
         code = ord(part[0])
-        vowels, others, female = SCRIPTS["cyrillic" if 0x400 <= code < 0x530 else "greek" if 0x370 <= code < 0x400 else "latin"]
+        vowels, others, female = SCRIPTS[_script(code)]
         flip = d.below(2)
         s = [d.of(vowels if (i + flip) % 2 else others) for i in range(len(part))]
         if kind in ("name_f", "name_m") and len(s) > 1:
@@ -244,6 +259,79 @@ def _name(d: _Draw, canon: str, kind: str) -> str:
     return "".join(out)
 
 
+def slots(key: bytes, kind: str, canon: str, wide: bool) -> list:
+    """The format of an entity: the values that each place of its surrogates may take. All that is drawn
+    is in the wide format; wide formats of a kind are equal or have no value in common."""
+    if kind == "email":
+        local, _, domain = canon.rpartition("@")
+        return _like(local, wide) + list("@" + surrogate(key, kind, canon).rpartition("@")[2])
+    if kind == "aws_key":
+        return [*canon[:4], *["ABCDEFGHIJKLMNOPQRSTUVWXYZ" + (DIGITS if wide else "234567")] * (len(canon) - 4)]
+    if kind == "ip":
+        out, octets = [], canon.split(".")
+        keep = 0 if wide else 2 if canon.startswith("192.168.") else 1 if octets[0] in ("10", "127") else 0
+        for i, o in enumerate(octets):
+            low, high = {1: (0 if i or wide else 1, 9), 2: (10, 99), 3: (100, 255 if i or wide else 223)}[len(o)]
+            out += [".", [o] if i < keep else [str(x) for x in range(low, high + 1)]]
+        return out[1:]
+    if kind == "card":  # the check digit follows
+        return [DIGITS if wide else canon[0], *[DIGITS] * (len(canon) - 2)]
+    if kind == "iban":  # so do the check digits
+        return [*canon[:2], *_like(canon[4:], wide)]
+    if kind == "phone":
+        out = [DIGITS if wide else canon[0], *[DIGITS] * (len(canon) - 1)]
+        if not wide and len(out) >= 10 and canon[-7:-4] == "555":
+            out[-7:-4] = "555"
+        return out
+    if kind == "ssn":
+        return [DIGITS] * len(canon)
+    if kind.startswith("name"):
+        out = []
+        for part in re.split(r"(['’-])", canon):
+            if part in "'’-":
+                out += part
+                continue
+            script = _script(ord(part[0]))
+            out += [ALPHABETS[script]] * len(part)
+            if not wide and kind in ("name_f", "name_m") and len(part) > 1:
+                out[-1] = SCRIPTS[script][2 if kind == "name_f" else 1]
+        return out
+    return _like(canon, wide)
+
+
+def _like(s: str, wide: bool) -> list[str]:
+    hexa = not wide and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s) is not None and not s.isdigit()
+    low = "abcdef" if hexa else ALPHABETS["latin"]
+    return [DIGITS if c.isdigit() else low if c.islower() else low.upper() if c.isupper() else c for c in s]
+
+
+def _checked(kind: str, s: str) -> str:
+    """A value of a format with its check digits."""
+    if kind == "card":
+        return next(s + c for c in DIGITS if luhn(s + c))
+    if kind == "iban":
+        return f"{s[:2]}{98 - int(''.join(str(int(c, 36)) for c in s[2:] + s[:2] + '00')) % 97:02d}{s[2:]}"
+    return s
+
+
+def walk(key: bytes, kind: str, fmt: str, at: int, n: int) -> list[str]:
+    """The values of a format (:func:`slots` as JSON) from place ``at`` on, in an order given by the key; no value comes twice."""
+    places = json.loads(fmt)
+    size = math.prod(map(len, places))
+    h = hmac.new(key, f"walk\0{kind}\0{fmt}".encode("utf-8", "replace"), hashlib.sha512).digest()
+    step, start = int.from_bytes(h[:32], "big") % size, int.from_bytes(h[32:], "big") % size
+    while math.gcd(step, size) != 1:
+        step += 1
+    out = []
+    for i in range(at, min(size, at + n)):
+        v, parts = (start + i * step) % size, []
+        for p in places:
+            v, x = divmod(v, len(p))
+            parts.append(p[x])
+        out.append(_checked(kind, "".join(parts)))
+    return out
+
+
 def dress(kind: str, raw: str, made: str) -> str:
     """The surrogate in the notation of one mention (case, spaces, punctuation)."""
     if kind in ("card", "ssn", "phone", "iban"):
@@ -263,11 +351,12 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def redrawn(found: DataFrame, key: bytes = KEY) -> DataFrame | None:
-    """(kind, canon, draw): the entities whose first surrogate collides, with the draw that does
-    not; None if there is none. ``found`` is what :func:`entities` returns, written.
+    """(kind, canon, made): the entities whose first surrogate collides, with the one that does not;
+    None if there is none. ``found`` is what :func:`entities` returns, written.
 
     Of entities with equal surrogates the first (in order) keeps it; a surrogate that is itself an
-    entity of the corpus is never kept. Each round is two joins over distinct entities only.
+    entity of the corpus is never kept. Each round is two joins over distinct entities only. What
+    collides after ``MAX_DRAWS`` rounds is settled by :func:`_dealt`.
     """
     def made(rows: DataFrame) -> DataFrame:
         def run(cols: dict) -> dict:
@@ -277,7 +366,7 @@ def redrawn(found: DataFrame, key: bytes = KEY) -> DataFrame | None:
         return map_rows(rows.select("kind", "canon", "draw"), "kind string, canon string, draw int, made string", run)
 
     assigned = written(made(found.select("kind", "canon", F.lit(0).alias("draw"))), "surrogates")
-    for _ in range(MAX_DRAWS):
+    for n in range(MAX_DRAWS + 1):
         # earlier draws and smaller names go first, so who has settled stays
         first = assigned.groupBy("kind", "made").agg(F.min(F.struct("draw", "canon")).alias("first"))
         real = found.select(F.col("kind").alias("rk"), F.col("canon").alias("rc"))
@@ -285,23 +374,107 @@ def redrawn(found: DataFrame, key: bytes = KEY) -> DataFrame | None:
                   .join(real, (F.col("kind") == F.col("rk")) & (F.col("made") == F.col("rc")), "left")
                   .withColumn("again", F.col("rc").isNotNull() | (F.col("first.canon") != F.col("canon"))))
         judged = written(judged.select("kind", "canon", "draw", "made", "again"), "surrogates")
-        again = judged.where("again")
-        if again.isEmpty():
-            late = judged.where("draw > 0").select("kind", "canon", "draw")
-            return None if late.isEmpty() else late
-        assigned = written(judged.where("not again").select("kind", "canon", "draw", "made").union(
-            made(again.withColumn("draw", (F.col("draw") + 1).cast("int")))), "surrogates")
-    raise RuntimeError("redrawn: a kind has more entities than surrogates of its format")
+        again, settled = judged.where("again"), judged.where("not again").select("kind", "canon", "draw", "made")
+        if n == MAX_DRAWS or again.isEmpty():
+            break
+        assigned = written(settled.union(made(again.withColumn("draw", (F.col("draw") + 1).cast("int")))), "surrogates")
+    if not again.isEmpty():
+        settled = _dealt(found, settled, again.select("kind", "canon"), key)
+    late = settled.where("draw > 0").select("kind", "canon", "made")
+    return None if late.isEmpty() else late
+
+
+def _formats(rows: DataFrame, key: bytes, wide: bool) -> DataFrame:
+    """(kind, canon, fmt, room, place): the format of each entity, how many values it has, and a keyed hash of the entity."""
+
+    def run(cols: dict) -> dict:
+        out = {"fmt": [], "room": [], "place": []}
+        for k, c in zip(cols["kind"].to_pylist(), cols["canon"].to_pylist()):
+            f = slots(key, k, c, wide)
+            out["fmt"].append(json.dumps(f))
+            out["room"].append(min(math.prod(map(len, f)), 1 << 62))
+            out["place"].append(_Draw(key, "place", f"{k}\0{c}", 0).below(1 << 31))
+        return {"kind": cols["kind"], "canon": cols["canon"], **out}
+
+    return map_rows(rows.select("kind", "canon"), "kind string, canon string, fmt string, room long, place long", run)
+
+
+def _ranked(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with their ``rank`` in (kind, fmt), from 0 on. Ranges are sorted apart and counted, so a format is no task's alone."""
+    group = ["kind", "fmt"]
+    rows = written(rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+                   .withColumn("at", F.monotonically_increasing_id()).withColumn("task", F.shiftright("at", 33)), "ranked")
+    parts = rows.groupBy(*group, "task").agg(F.min("at").alias("low"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*group).orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    parts = written(parts.select(*group, "task", (F.coalesce(before, F.lit(0)) - F.col("low")).alias("shift")), "ranges")
+    return rows.join(parts, [*group, "task"]).withColumn("rank", F.col("at") + F.col("shift")).drop("at", "task", "shift")
+
+
+def _dealt(found: DataFrame, settled: DataFrame, left: DataFrame, key: bytes) -> DataFrame:
+    """``settled`` (kind, canon, draw, made) with all of ``left`` (kind, canon) added: entities are ranked in
+    their format, its values are walked in a keyed order, and the entity of each rank gets the free value of that rank."""
+    cols, late = ["kind", "canon", "draw", "made"], F.lit(MAX_DRAWS + 1).alias("draw")
+    for wide in (False, True):
+        rows, at, n = written(_formats(left, key, wide), "left"), 0, FIRST_WALK
+        while not rows.where(F.col("room") > at).isEmpty():
+            end = F.least("room", F.lit(at + n)) - 1
+            steps = (rows.where(F.col("room") > at).groupBy("kind", "fmt").agg(F.max("room").alias("room"))
+                     .select("kind", "fmt", F.explode(F.sequence(F.lit(at).cast("long"), end, F.lit(STEP).cast("long"))).alias("lo")))
+
+            def run(cols: dict, top: int = at + n) -> dict:
+                out = {"kind": [], "fmt": [], "made": [], "place": []}
+                for k, f, lo in zip(*(cols[x].to_pylist() for x in ("kind", "fmt", "lo"))):
+                    values = walk(key, k, f, lo, min(STEP, top - lo))
+                    out["kind"] += [k] * len(values)
+                    out["fmt"] += [f] * len(values)
+                    out["made"] += values
+                    out["place"] += range(lo, lo + len(values))
+                return out
+
+            values = map_rows(steps.repartition("kind", "fmt", "lo"), "kind string, fmt string, made string, place long", run, 1 << 18)
+            taken = settled.select("kind", "made").union(found.select("kind", "canon"))
+            free = (values.join(taken, ["kind", "made"], "left_anti")
+                    .groupBy("kind", "made").agg(F.min(F.struct("fmt", "place")).alias("f")).select("kind", "made", "f.fmt", "f.place"))
+            got = _ranked(rows, ["place", "canon"]).drop("place").join(
+                _ranked(free, ["place"]).select("kind", "fmt", "rank", "made"), ["kind", "fmt", "rank"])
+            got = written(got.select("kind", "canon", late, "made"), "dealt")
+            settled = written(settled.union(got), "surrogates")
+            rows = written(rows.join(got, ["kind", "canon"], "left_anti").select(*rows.columns), "left")
+            at, n = at + n, min(8 * n, MAX_WALK)
+        left = rows
+    if left.isEmpty():
+        return settled
+    # the wide format is full: those left take each other's form
+    size = written(left.groupBy("kind", "fmt").agg(F.count("*").alias("n")), "full")
+    rows = written(_ranked(left, ["place", "canon"]).join(size, ["kind", "fmt"]), "left")
+    after = rows.select("kind", "fmt", F.pmod(F.col("rank") - 1, F.col("n")).alias("rank"), F.col("canon").alias("made"))
+    new = rows.where("n > 1").join(after, ["kind", "fmt", "rank"]).select("kind", "canon", late, "made")
+    lone = written(rows.where("n = 1").select("kind", "fmt", F.col("canon").alias("one")), "lone")
+    if not lone.isEmpty():
+        # one that is left alone takes the surrogate of a settled one, which takes its form
+        mates = (_formats(settled, key, True).join(lone, ["kind", "fmt"]).join(settled, ["kind", "canon"])
+                 .groupBy("kind", "fmt").agg(F.min(F.struct("canon", "made")).alias("mate")))
+        pairs = written(lone.join(mates, ["kind", "fmt"], "left"), "mates")
+
+        def first(cols: dict) -> dict:  # without such a one no value of the format is a surrogate yet
+            made = [next(v for v in walk(key, k, f, 0, 2) if v != c) for k, f, c in zip(*(cols[x].to_pylist() for x in ("kind", "fmt", "one")))]
+            return {"kind": cols["kind"], "canon": cols["one"], "draw": [MAX_DRAWS + 1] * len(made), "made": made}
+
+        moved = pairs.where("mate is not null").select("kind", F.col("mate.canon").alias("canon"), late, F.col("one").alias("made"))
+        new = (new.union(moved).union(pairs.where("mate is not null").select("kind", F.col("one").alias("canon"), late, F.col("mate.made").alias("made")))
+               .union(map_rows(pairs.where("mate is null").select("kind", "fmt", "one"), "kind string, canon string, draw int, made string", first)))
+        settled = settled.join(moved.select("kind", "canon"), ["kind", "canon"], "left_anti").select(*cols)
+    return written(settled.union(new.select(*cols)), "surrogates")
 
 
 def _draws(docs: DataFrame, text_col: str, key: bytes) -> tuple[DataFrame, str | None, dict]:
-    """(docs, column, draws): the redrawn entities to ship, or, if they are too many, a column of each
+    """(docs, column, made): the redrawn entities to ship, or, if they are too many, a column of each
     row's own; a row is known by the hash of its text."""
     late = redrawn(written(entities(docs, text_col), "entities"), key)
     if late is None:
         return docs, None, {}
     if late.count() <= SHIP_ROWS:
-        return docs, None, {(r["kind"], r["canon"]): r["draw"] for r in late.collect()}
+        return docs, None, {(r["kind"], r["canon"]): r["made"] for r in late.collect()}
 
     def run(cols: dict) -> dict:
         out = {"t": [], "k": [], "c": []}
@@ -316,17 +489,17 @@ def _draws(docs: DataFrame, text_col: str, key: bytes) -> tuple[DataFrame, str |
     found = (map_rows(docs.select(th.alias("th"), F.col(text_col).cast("string").alias("text")), "t long, k string, c string", run)
              .distinct().join(late, (F.col("k") == F.col("kind")) & (F.col("c") == F.col("canon"))))
     key_col = fresh(docs, "text_hash")
-    per_text = found.groupBy(F.col("t").alias(key_col)).agg(F.collect_list(F.struct("kind", "canon", "draw")).alias(own))
+    per_text = found.groupBy(F.col("t").alias(key_col)).agg(F.collect_list(F.struct("kind", "canon", "made")).alias(own))
     return docs.withColumn(key_col, th).join(per_text, key_col, "left").drop(key_col), own, {}
 
 
 def _rewriter(key: bytes, shared):
     def run(text: str | None, mine: list | None) -> tuple[str | None, list]:
-        known = shared.value if mine is None else {(x["kind"], x["canon"]): x["draw"] for x in mine}
+        known = shared.value if mine is None else {(x["kind"], x["canon"]): x["made"] for x in mine}
         new, at, ents = [], 0, []
         for a, b, kind in find(text) if text else ():
             canon = canonical(kind, text[a:b])
-            s = dress(kind, text[a:b], surrogate(key, kind, canon, known.get((kind, canon), 0)))
+            s = dress(kind, text[a:b], known.get((kind, canon)) or surrogate(key, kind, canon))
             new += [text[at:a], s]
             at = b
             ents.append({"kind": kind, "start": a, "end": b, "surrogate": s})

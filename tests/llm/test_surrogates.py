@@ -90,6 +90,38 @@ def test_collisions_are_drawn_again(spark, monkeypatch, ship):
     assert {(r["doc_id"], r["text"]) for r in whole.collect()} == {(r["doc_id"], r["text"]) for r in got}
 
 
+@pytest.mark.parametrize("walk", [s.FIRST_WALK, 2])
+def test_full_formats_get_surrogates(spark, monkeypatch, walk):
+    """More entities than the drawn letters, or any letters, leave room for."""
+    monkeypatch.setattr(s, "FIRST_WALK", walk)
+    few = list("BCDFGHKLMNPQ")  # narrow letters run out, other letters are free
+    every = "абвгдежзийклмнопрстуфхцчшщъыьэюя".upper()  # all letters of the script: they swap
+    texts = [f"Dr. {n}" for n in few] + [f"Dr. {n}" for n in every] + [f"{c}@mail.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(x["kind"], texts[r["doc_id"]][x["start"]:x["end"]].lower(), x["surrogate"].lower()) for r in s.replace(docs).collect() for x in r["entities"]]
+    assert len(got) == len(texts) and len({(k, m) for k, _, m in got}) == len(got)
+    assert all(raw != made and len(raw) == len(made) for _, raw, made in got)
+    real = {raw for _, raw, _ in got}
+    assert all(made not in real for _, raw, made in got if raw.upper() not in every)
+
+
+def test_one_left_alone_swaps_with_a_settled_one(spark):
+    found = spark.createDataFrame([("name_family", c) for c in s.ALPHABETS["latin"][:13]], "kind string, canon string")
+    rest = s.ALPHABETS["latin"][13:]
+    settled = spark.createDataFrame([("name_family", c, 0, m) for c, m in zip(s.ALPHABETS["latin"], rest[:12])]
+                                    + [("name_family", "zz", 0, rest[12])], "kind string, canon string, draw int, made string")
+    got = {r["canon"]: r["made"] for r in s._dealt(found, settled, found.where("canon = 'm'"), s.KEY).collect()}
+    assert len(got) == 14 and len(set(got.values())) == 14 and all(c != m for c, m in got.items())
+
+
+def test_a_walk_meets_every_value_once():
+    for kind, canon in [("phone", "1555"), ("ip", "1.2.3.4"), ("name_f", "ab"), ("iban", "DE8912")]:
+        fmt = s.json.dumps(s.slots(s.KEY, kind, canon, True))
+        values = s.walk(s.KEY, kind, fmt, 0, 100_000)
+        assert len(set(values)) == len(values) == s.math.prod(map(len, s.json.loads(fmt)))
+        assert all(s.surrogate(s.KEY, kind, canon, n) in values for n in range(20))
+
+
 def test_whole_table_leaves_nothing_found(documents):
     before = {r["doc_id"]: r["text"] for r in documents.collect()}
     for r in s.replace(documents).collect():
