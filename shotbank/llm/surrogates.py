@@ -68,6 +68,11 @@ PATTERNS = [
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w+])(?:(?:\+?1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w)")),
 ]
+# Lengths of IBANs, by country
+IBAN_LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}.items() for c in cs.split()}
 BLANK = "\uffff"
 #: Without one of these no pattern matches.
 _SIGNS = re.compile("[0-9@]|A[KS]IA")
@@ -112,14 +117,14 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if _SIGNS.search(text):
         for kind, pattern in PATTERNS:
             spans = []
-            for m in pattern.finditer(left):
+            if kind == "iban":
+                spans = [(a, b, kind) for a, b in _ibans(left, pattern)]
+            for m in pattern.finditer(left) if kind != "iban" else ():
                 g = 1 if kind == "secret" else 0
                 if kind == "secret" and not re.search("[0-9]", m[g]):
                     continue
                 if kind == "card" and not luhn(canonical(kind, m[0])):
                     continue
-                if kind == "iban" and not _iban_ok(m[0].replace(" ", "")):
-                    continue
                 spans.append((*m.span(g), kind))
             if spans:
                 left = claim(spans)
@@ -170,6 +175,23 @@ def name_words(text: str, at: int) -> list[tuple[int, int]]:
     return out
 
 
+def _ibans(text: str, pattern: re.Pattern) -> list[tuple[int, int]]:
+    """IBANs of a text. What follows may look like one more group, so the whole words of a match are tried from
+    all of them down to one, those of the country's length first; the search goes on after the IBAN's end, or
+    within a match that holds none at its start."""
+    out, at = [], 0
+    while m := pattern.search(text, at):
+        ends = [i for i in range(m.end(), m.start() + 14, -1) if i == len(text) or not re.match(r"\w", text[i])]
+        ends = [i for i in ends if text[i - 1] != " "]
+        length = IBAN_LENGTHS.get(m[0][:2])
+        ends.sort(key=lambda i: len(text[m.start():i].replace(" ", "")) != length)
+        end = next((i for i in ends if _iban_ok(text[m.start():i].replace(" ", ""))), None)
+        if end:
+            out.append((m.start(), end))
+        at = end or m.start() + 1
+    return out
+
+
 def _iban_ok(s: str) -> bool:
     if not 15 <= len(s) <= 34:
         return False
