@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotbank.llm.common import map_rows
+from shotbank.llm.common import map_rows, written
 from shotbank.session import scratch_path
 
 #: Payload bytes in one archive file, about; a reader holds one file at a time.
@@ -32,15 +32,9 @@ def digest_of(payload: bytes) -> str:
 
 
 def headers(pages: DataFrame) -> DataFrame:
-    """(page_id, payload_digest, payload_bytes) of every page; a null html is an empty payload."""
-
-    def run(cols: dict) -> dict:
-        raw = cols["html"].cast(pa.binary()).to_pylist()
-        return {"page_id": cols["page_id"], "payload_digest": [digest_of(x or b"") for x in raw],
-                "payload_bytes": [len(x or b"") for x in raw]}
-
-    return map_rows(_pages(pages).select("page_id", "html"),
-                    "page_id long, payload_digest string, payload_bytes long", run)
+    """(page_id, url, html, payload_sha1, payload_bytes) of every page; a null html is an empty payload."""
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    return _pages(pages).select("*", F.sha1(payload).alias("payload_sha1"), F.octet_length(payload).cast("long").alias("payload_bytes"))
 
 
 def _pages(pages: DataFrame) -> DataFrame:
@@ -49,19 +43,16 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 
 def resolve(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to): the revisits among ``heads``. Of records with equal payloads of at least
-    ``min_bytes`` that with the largest page_id is the response, the others revisit it.
+    """(d, refers_to): each SHA-1 of at least ``min_bytes`` that several records have, and the largest
+    page_id among them. A record of that page_id is the response, the others revisit it; a null page_id
+    ranks below all others.
 
     One aggregation over headers (max per digest, combined before the shuffle, so a payload that a
-    third of all pages share costs one row per task), and one join back on the digest, whose large
-    partitions Spark can split.
+    third of all pages share costs one row per task).
     """
-    big = heads.where(F.col("payload_bytes") >= min_bytes)
-    top = (big.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
-           .where("n > 1").select(F.col("payload_digest").alias("d"), "refers_to"))
-    return (big.join(top, F.col("payload_digest") == F.col("d"))
-            .where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-            .select("page_id", "refers_to").distinct())
+    return (heads.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_sha1")
+            .agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
+            .where("n > 1").select(F.col("payload_sha1").alias("d"), "refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
@@ -74,12 +65,15 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes:
     page_id, url and html are ignored.
     """
     heads = headers(pages)
-    found = resolve(heads, min_bytes).select(F.col("page_id").alias("p"), "refers_to")
+    # written before it is joined with its rows, so that Spark can split a hot payload
+    found = written(resolve(heads, min_bytes), "revisited")
     # records in one archive, by the mean payload
     n, size = heads.agg(F.count("*"), F.sum("payload_bytes")).first()
     per_file = max(1, file_bytes * n // max(1, size or 0))
-    rows = _pages(pages).join(found, F.col("page_id").eqNullSafe(F.col("p")), "left")
-    records = map_rows(rows.select("page_id", "url", "html", "refers_to", F.col("p").isNotNull().alias("again")),
+    # by the row's own payload: a page_id may be null or stand at several payloads
+    rows = heads.join(found, F.col("payload_sha1") == F.col("d"), "left")
+    again = F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+    records = map_rows(rows.select("page_id", "url", "html", "refers_to", again.alias("again")),
                        "value string", _record)
     (records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
      .option("maxRecordsPerFile", per_file).text(path))

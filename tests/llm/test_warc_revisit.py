@@ -33,6 +33,15 @@ def test_matches_brute_force(spark):
     assert digest(warc_revisit.archived(pages, min_bytes=5)) == brute(ROWS, 5)
 
 
+def test_null_ids_and_ids_with_two_payloads(spark):
+    rows = [(None, "a", "x"), (None, "b", "x"), (None, "c", "y"), (5, "d", "x"), (6, "e", "y"), (7, "f", "x"), (7, "g", "alone"),
+            (6, "h", "x"), (7, "i", "y"), (8, "j", "z"), (None, "k", "z"), (None, "l", "n"), (None, "m", "n")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc_revisit.archived(pages)
+    assert digest(got) == brute(rows)
+    assert sorted(r["url"] for r in got.collect()) == list("abcdefghijklm")
+
+
 def test_whole_table(spark, sf):
     pages = table(spark, sf, "pages")
     rows = [(r["page_id"], r["url"], r["html"]) for r in pages.collect()]
