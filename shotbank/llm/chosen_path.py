@@ -6,7 +6,7 @@ similarity. A run starts with all sets in one bucket; a bucket is split by sampl
 of each of its tokens whose hash, together with the bucket's path, falls below 1 / (LAMBDA * tokens). Similar sets
 sample the same tokens, so a pair at the threshold meets in at least one child on average at each level,
 while others part. Buckets that are small, or whose members are alike on average, are compared by brute
-force; runs are repeated until the target recall. All links are verified on the whole shingle sets.
+force; there are as many runs as the target recall takes at the greatest depth. All links are verified on the whole shingle sets.
 
 Equal texts are one set. A pair is judged in the bucket with the smallest key that both are in, so
 nothing is counted twice; tasks return counts and a spanning forest of the links, never all pairs.
@@ -31,8 +31,7 @@ BINS = 64
 #: Sampling: a set goes to 1 / LAMBDA children on average.
 LAMBDA = 0.7
 RECALL = 0.999
-#: Depth up to which the recall is guaranteed for pairs at the threshold; unlike sets part within it.
-RECALL_DEPTH = 3
+#: Buckets are split up to this depth, and the runs are enough for pairs at the threshold that must meet there.
 MAX_DEPTH = 8
 #: Larger buckets are split, unless their members are alike: mean similarity of ``PROBE`` of them from DENSE on.
 SMALL = 64
@@ -55,7 +54,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def runs_for(recall: float = RECALL, depth: int = RECALL_DEPTH) -> int:
+def runs_for(recall: float = RECALL, depth: int = MAX_DEPTH) -> int:
     """Runs after which a pair at the threshold has met with probability ``recall``, if it must meet at ``depth``."""
     p = 1.0
     for _ in range(depth):

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from shotbank.llm import chosen_path
 
 from .conftest import DOC_SCHEMA, awkward_rows, doc, words
@@ -64,6 +66,58 @@ def test_split_buckets_and_tiles_lose_nothing(spark, monkeypatch):
     check(spark, corpus(7), tile=3, runs=40)
 
 
+def deep_corpus(n=1500, seed=11):
+    """Texts of 12 of 30 long passages, so that buckets stay large over many splits, each with a near copy."""
+    rng = random.Random(seed)
+    pool = [[f"w{rng.randrange(5000)}" for _ in range(25)] for _ in range(30)]
+    out = []
+    for _ in range(n):
+        base = [w for i in sorted(rng.sample(range(30), 12)) for w in pool[i]]
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), 6):
+            copy[at] = f"x{rng.randrange(10 ** 6)}"
+        out.append((" ".join(base), " ".join(copy)))
+    return out
+
+
+def lost_pairs(spark, **options):
+    """(lost, all) pairs of :func:`deep_corpus` that link by the whole sets and meet in no bucket."""
+    memo = chosen_path._Hashes()
+    pairs = [tuple(chosen_path.shingles(t, memo) for t in p) for p in deep_corpus()]
+    pairs = [p for p in pairs if len(np.intersect1d(*p)) >= 0.8 * len(np.union1d(*p))]
+    rows = [(2 * i + k, bytearray(chosen_path.embed(s).tobytes())) for i, p in enumerate(pairs) for k, s in enumerate(p)]
+    classes = chosen_path.written(spark.createDataFrame(rows, "cid long, sk binary"), "deep")
+    met = (chosen_path.buckets(classes, **options).selectExpr("key", "cid div 2 as pair", "cid").distinct()
+           .groupBy("key", "pair").count().where("count = 2").select("pair").distinct().count())
+    return len(pairs) - met, len(pairs)
+
+
+def test_recall_in_deep_buckets(spark):
+    """Production parameters against the whole sets."""
+    lost, n = lost_pairs(spark)
+    assert n > 1000 and lost <= 0.001 * n
+
+
+def test_pairs_that_must_meet_at_the_greatest_depth():
+    """Pairs at the threshold, followed to MAX_DEPTH through buckets that never become small."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    x = rng.integers(1, 1 << 32, (n, chosen_path.BINS), np.uint32)
+    y = np.where(rng.random(x.shape) < 0.8, x, rng.integers(1, 1 << 32, x.shape, np.uint32))
+    met = np.zeros(n, bool)
+    for seed in chosen_path.mix(np.arange(1, chosen_path.runs_for() + 1, dtype=np.uint64) * chosen_path._ODD).view(np.int64):
+        at, key = np.arange(n), np.full(n, seed)
+        for _ in range(chosen_path.MAX_DEPTH):
+            both = []
+            for z in (x, y):
+                row, child = chosen_path.children(key, z[at])
+                both.append(set(zip(at[row].tolist(), child.tolist())))
+            both = sorted(both[0] & both[1])
+            at, key = np.array([a for a, _ in both], np.int64), np.array([k for _, k in both], np.int64)
+        met[at] = True
+    assert met.mean() >= chosen_path.RECALL
+
+
 def test_keep_first(spark, awkward):
     rows = awkward_rows()
     got = chosen_path.keep_first(awkward)
@@ -80,3 +134,4 @@ def test_empty_table(spark, no_docs):
 
 def test_runs_reach_the_recall():
     assert chosen_path.runs_for(0.999, 1) == 7 and chosen_path.runs_for(0.999, 3) > chosen_path.runs_for(0.999, 2)
+    assert chosen_path.runs_for() == chosen_path.runs_for(chosen_path.RECALL, chosen_path.MAX_DEPTH)
