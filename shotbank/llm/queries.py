@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shotbank.llm import backoff_lm, chosen_path, mil_quality, radix_repeats, sp_scan, subspace_join, surrogates, url_markov, warc_revisit, wu_manber
+from shotbank.llm import backoff_lm, chosen_path, cyk_repair, mil_quality, radix_repeats, sp_scan, subspace_join, surrogates, url_markov, warc_revisit, wu_manber
 from shotbank.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,85 @@ def op9_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_revisit.archived(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query
+def op13_cyk_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cyk_repair.repair(cyk_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+# the rows from the last to the first: the cheapest rest of a repair from each of the four states (nothing yet, after
+# s, after u, after a); n insertions, then an edit; a rest that starts with another never costs the same
+def _repair_sql() -> str:
+    step = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    role = {"u": "'user'", "a": "'assistant'"}
+    # states reached by insertions alone, with what they cost, their audit and their lines
+    reach = {p: [(p, 0, "", "''")] for p in range(4)}
+    for p in range(4):
+        q, n, text = p, 0, []
+        for _ in range(2):
+            moves = [(r, t) for (s, r), t in step.items() if s == q and r != "s"]
+            r, q = moves[0]
+            n, text = n + 1, [*text, f"chr(10) || {role[r]} || ':'"]
+            reach[p].append((q, n, "I" * n, " || ".join(text)))
+
+    def option(cost: str, audit: str, text: str) -> str:
+        return "{" + f"'c': {cost}, 'a': {audit}, 't': {text}" + "}"
+
+    def best(p: int) -> str:
+        found = []
+        for q, n, ins, text in reach[p]:
+            found.append(option(f"{3 * n} + 4 + s{q}.c", f"'{ins}D' || s{q}.a", f"{text} || s{q}.t"))
+            for (s, r), t in step.items():
+                if s == q:
+                    keep = option(f"{3 * n} + more + s{t}.c", f"'{ins}K' || s{t}.a", f"{text} || chr(10) || role || ':' || text || s{t}.t")
+                    found.append(f"case when not gone and ini = '{r}' then {keep} end")
+                    if r != "s":
+                        new = option(f"{3 * n + 3} + more + s{t}.c", f"'{ins}R' || s{t}.a",
+                                     f"{text} || chr(10) || {role[r]} || ':' || text || s{t}.t")
+                        found.append(f"case when not gone then {new} end")
+        return f"least({', '.join(found)})"
+
+    def last(p: int) -> str:
+        if p in (0, 3):
+            return option("0::bigint", "''", "''")
+        q, n, ins, text = next(x for x in reach[p] if x[0] == 3)
+        return option(f"{3 * n}::bigint", f"'{ins}'", text)
+
+    some = "coalesce({}::varchar, ' ')".format
+    space = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+with recursive tab as (select list_transform(range(256), lambda n: list_reduce([n] || range(8),
+     lambda c, b: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as tab),
+ raw as (select conv_id, turn, {some('role')} as role, {some('text')} as text,
+   xor(list_reduce([4294967295::bigint] || list_transform(string_split({some('conv_id')} || ':' || {some('turn')}, ''), lambda x: ascii(x)::bigint),
+     lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1])), 4294967295) % 20 as d from conversations, tab),
+ rows as (select conv_id, turn, case when d = 4 then 'user' else role end as role,
+   case when d = 1 then '' when d = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+   from raw, range(2) as r(copy) where d <> 0 and (copy = 0 or d = 3)),
+ numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
+   count(*) over (partition by conv_id) as n, left(role, 1) as ini,
+   lag(left(role, 1)) over (partition by conv_id order by turn nulls first, role, text) as before,
+   rtrim(text, {space}) as shown from rows),
+ first as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again from numbered),
+ judged as (select *, shown = '' as blank, again and shown <> '' as dup,
+   shown <> '' and not again and right(shown, 1) not in ('.', '!', '?') as cut from first),
+ facts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+   count(*) filter (blank) as blank, count(*) filter (dup) as duplicate, count(*) filter (cut) as truncated,
+   count(*) filter (before is not null and before || ini not in ('su', 'ua', 'au')) as illegal from judged group by conv_id),
+ steps as (select conv_id, n as left_rows, {', '.join(f'{last(p)} as s{p}' for p in range(4))}
+     from (select distinct conv_id, n from numbered)
+   union all
+   select conv_id, i - 1, {', '.join(f'{best(p)} as s{p}' for p in range(4))}
+   from (select st.*, j.i, j.role, j.text, j.ini, j.blank or j.dup as gone, case when j.cut then 3 else 0 end as more
+         from steps st join judged j on j.conv_id is not distinct from st.conv_id and j.i = st.left_rows)),
+ roots as (select conv_id, s0 as r from steps where left_rows = 0)
+select distinct o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(r.c, 0)::bigint as cost, coalesce(r.a, '') as audit,
+  sha256(coalesce(r.t[2:], '')) as repaired_sha256
+from conversations o left join facts on o.conv_id is not distinct from facts.conv_id
+ left join roots on o.conv_id is not distinct from roots.conv_id
+"""
+
+
+ORACLE["op13_cyk_repair"] = _repair_sql()
