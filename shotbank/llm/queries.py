@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shotbank.llm import backoff_lm, chosen_path, cyk_repair, mil_quality, radix_repeats, sp_scan, subspace_join, surrogates, token_alignment, url_markov, warc_revisit, wu_manber
+from shotbank.llm import backoff_lm, chosen_path, cyk_repair, mil_quality, noisy_toxicity, radix_repeats, sp_scan, subspace_join, surrogates, token_alignment, url_markov, warc_revisit, wu_manber
 from shotbank.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +107,11 @@ def op10_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@_query
+def op11_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return noisy_toxicity.score_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @_query
 def op12_identity_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"))
