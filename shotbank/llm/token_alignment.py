@@ -7,7 +7,9 @@ A's vocabulary, which is summed and shipped whatever the corpus. Only the other
 are shuffled as pairs: each chunk of texts counts its own first, sends every pair once, and gets back the corpus-wide
 count of the pairs it has.
 
-The texts are encoded once; their ids are written by chunk and aligned again to look up the counts.
+Both tokenizers can be cut at most spaces, so a text is a sequence of units, mostly words. A chunk of texts encodes
+and aligns each distinct unit once and keeps the texts as numbers of units; it is written, and read again to look up
+the counts.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from shotbank.llm.common import _arrow_schema, written
 MODEL_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text in one chunk, at least (a longer text is a chunk of its own).
-CHUNK = 4 << 20
-#: A text is encoded in slices of about so many characters, and slices of this many are aligned at a time.
+CHUNK = 8 << 20
+#: Characters of distinct units that are encoded, and of those that are aligned, at a time.
 SLICE = 1 << 18
 PIECE = 2 << 20
 
@@ -39,6 +41,8 @@ PIECE = 2 << 20
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: A place where both tokenizers can be cut: a space after a character that is no white space in either's sense.
 _CUT = re.compile(r"(?<=[^\s▁]) (?=.)", re.S)
+#: Texts where some space is no such place.
+_UNEVEN = re.compile(r"^ |[\s▁] | \Z")
 
 
 def byte_values() -> dict[str, int]:
@@ -47,6 +51,12 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in _PLAIN} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def _even(text: str) -> list[str]:
+    """Pieces of ``text`` that all start with the space that it starts with or was cut before."""
+    at = [0, *(m.start() for m in _CUT.finditer(text)), len(text)]
+    return [text[x:y] for x, y in zip(at, at[1:])]
+
+
 class Vocabularies:
     """Both tokenizers, the bytes of their ids, and the id of B with the same bytes as each id of A (or -1)."""
 
@@ -91,24 +101,36 @@ class Vocabularies:
             cls._known[key] = cls(*files)
         return cls._known[key]
 
-    def slices(self, text: str) -> list[str]:
-        """The text with the space before it, cut where neither tokenizer reaches over; every slice starts with a space."""
-        out, at, text = [], 0, " " + text
-        while self.cuttable and len(text) - at > SLICE and (cut := _CUT.search(text, at + SLICE)):
-            out.append(text[at:cut.start()])
-            at = cut.start()
-        return [*out, text[at:]]
-
-    def encode(self, slices: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[bool]]:
-        """Ids of both per slice, and whether both give back its bytes."""
-        a = [np.array(e.ids, self.dtype_a) for e in self.a.encode_batch_fast(slices, add_special_tokens=False)]
-        b = [np.array(ids, self.dtype_b) for ids in self.b.encode([s[1:] for s in slices], num_threads=1)]
-        right = []
-        for s, x, y in zip(slices, a, b):
-            raw = s.encode()
-            right.append(b"".join(map(self.bytes_a.__getitem__, x.tolist())) == raw
-                         and b"".join(map(self.bytes_b.__getitem__, y.tolist())) == raw)
-        return a, b, right
+    def units(self, text: str) -> list[str]:
+        """The text cut where neither tokenizer reaches over; a space, which is left out, is before each unit."""
+        if not self.cuttable:
+            return [text]
+        if _UNEVEN.search(text):
+            return [u[1:] for u in _even(" " + text)]
+        return text.split(" ")
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of A, how many per unit, ids of B, how many, whether both give back the unit) of units with the space
+        before them. They are encoded as one text and found again by their bytes; if any isn't given back, one by one."""
+        text = " ".join(units)
+        raw = (" " + text).encode()
+        a = np.array(self.a.encode(" " + text, add_special_tokens=False).ids, self.dtype_a)
+        b = np.array(self.b.encode(text), self.dtype_b)
+        if (b"".join([self.bytes_a[i] for i in a.tolist()]) == raw and b"".join([self.bytes_b[i] for i in b.tolist()]) == raw):
+            ends = np.cumsum([len(u.encode()) + 1 for u in units])
+            ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+            at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+            if (ends_a[at_a] == ends).all() and (ends_b[at_b] == ends).all():
+                return a, np.diff(at_a, prepend=-1), b, np.diff(at_b, prepend=-1), np.ones(len(units), bool)
+        if len(units) > 1:
+            return tuple(np.concatenate(x) for x in zip(*(self.encode([u]) for u in units)))
+        return a, np.array([len(a)]), b, np.array([len(b)]), np.zeros(1, bool)
+
+
+class _Numbers(dict):
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 class Alignment:
@@ -150,7 +172,7 @@ def _pieces(sizes: list[int], limit: int) -> Iterator[slice]:
 
 
 _CHUNKS = ("chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, "
-           "slice_doc array<int>, slice_a array<long>, slice_b array<long>, a binary, b binary, "
+           "units array<long>, unit binary, unit_a array<int>, unit_b array<int>, a binary, b binary, "
            "same array<int>, same_links array<long>, pair array<long>, pair_links array<long>")
 
 
@@ -161,47 +183,64 @@ def _counted(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
     return code, np.bincount(back, np.concatenate(counts), len(code)).astype(np.int64)
 
 
+def _sums(per_unit: np.ndarray, unit: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """Per text the sum over its units; ``units`` are how many each has."""
+    return np.diff(np.concatenate([[0], np.cumsum(per_unit[unit])])[np.concatenate([[0], np.cumsum(units)])])
+
+
+def _no_units(v: Vocabularies) -> tuple:
+    none = np.zeros(0, np.int64)
+    return none.astype(v.dtype_a), none, none.astype(v.dtype_b), none, none.astype(bool)
+
+
 def encode_chunk(v: Vocabularies, ids: list, texts: list[str]) -> dict:
-    """One row of chunks: the ids of its texts and its own link counts."""
-    slices, of = [], []
-    for i, t in enumerate(texts):
-        for s in v.slices(t) if t else ():
-            slices.append(s)
-            of.append(i)
-    a, b, right = [], [], np.ones(len(texts), bool)
-    for part in _pieces([len(s) for s in slices], SLICE):
-        x, y, good = v.encode(slices[part])
-        a, b = a + x, b + y
-        right[np.array(of[part])[~np.array(good, bool)]] = False
-    keep = [i for i, d in enumerate(of) if right[d]]
-    size = [len(slices[i]) for i in keep]
-    of, a, b = [of[i] for i in keep], [a[i] for i in keep], [b[i] for i in keep]
-    n = {k: np.zeros(len(texts), np.int64) for k in ("n_a", "n_b", "n_groups")}
-    hashes = [hashlib.sha256() for _ in texts]
+    """One row of chunks: its distinct units with their ids, its texts as units, and its own link counts."""
+    number = _Numbers()
+    of = [np.fromiter(map(number.__getitem__, v.units(t)), np.int32) if t else np.zeros(0, np.int32) for t in texts]
+    distinct = list(number)
+    # units at whose end a text can't be cut are encoded alone
+    odd = np.array([not u or u[-1] == "▁" or u[-1].isspace() for u in distinct], bool)
+    by = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+    distinct, many = [distinct[i] for i in by], int((~odd).sum())
+    parts = [v.encode(distinct[:many][p]) for p in _pieces([len(u) + 1 for u in distinct[:many]], SLICE)]
+    parts += [v.encode([u]) for u in distinct[many:]]
+    a, unit_a, b, unit_b, right = (np.concatenate(x) for x in zip(*parts)) if parts else _no_units(v)
+    place = np.empty(len(by), np.int32)
+    place[by] = np.arange(len(by))
+    of = [place[u] for u in of]
+    # a text with a unit that isn't given back has no tokens at all
+    of = [u if right[u].all() else u[:0] for u in of]
+    unit, units = np.concatenate([np.zeros(0, np.int32), *of]), np.array([len(u) for u in of], np.int64)
+    times = np.bincount(unit, minlength=len(distinct))
+    kept = times > 0
+    a, b = a[np.repeat(kept, unit_a)], b[np.repeat(kept, unit_b)]
+    unit, times, unit_a, unit_b = (np.cumsum(kept) - 1)[unit].astype(np.int32), times[kept], unit_a[kept], unit_b[kept]
+    at_a, at_b = np.concatenate([[0], np.cumsum(unit_a)]), np.concatenate([[0], np.cumsum(unit_b)])
     same: tuple[list, list] = ([], [])
     pairs: tuple[list, list] = ([], [])
-    for part in _pieces(size, PIECE):
-        al = Alignment(v, np.concatenate(a[part]), np.concatenate(b[part]))
+    groups, shown = np.zeros(len(times), np.int64), []
+    for part in _pieces((unit_a + unit_b).tolist(), PIECE):
+        al = Alignment(v, a[at_a[part.start]:at_a[part.stop]], b[at_b[part.start]:at_b[part.stop]])
         x, y = al.links()
+        ends = np.cumsum(unit_a[part])
+        often = times[part][np.searchsorted(ends, al.link_a, "right")]
         plain = v.same[x] == y
-        for (codes, counts), got in ((same, x[plain]), (pairs, (x * len(v.bytes_b) + y)[~plain])):
-            c, m = np.unique(got, return_counts=True)
-            codes.append(c)
-            counts.append(m)
-        shown, groups = al.texts(), np.concatenate([[0], np.cumsum(al.last_a)])
-        at, at_a = 0, 0
-        for d, p, q in zip(of[part], a[part], b[part]):
-            first = not n["n_a"][d]
-            n["n_a"][d] += len(p)
-            n["n_b"][d] += len(q)
-            n["n_groups"][d] += groups[at_a + len(p)] - groups[at_a]
-            hashes[d].update(f"{'' if first else ';'}{''.join(shown[at:at + len(p) + len(q)])[:-1]}".encode())
-            at, at_a = at + len(p) + len(q), at_a + len(p)
+        for (codes, counts), got, n in ((same, x[plain], often[plain]), (pairs, (x * len(v.bytes_b) + y)[~plain], often[~plain])):
+            codes.append(got)
+            counts.append(n)
+        groups[part] = np.diff(np.concatenate([[0], np.cumsum(al.last_a)[ends - 1]]))
+        text = al.texts()
+        at = np.cumsum(unit_a[part] + unit_b[part]).tolist()
+        shown += ["".join(text[lo:hi]) for lo, hi in zip([0, *at], at)]
+    hashes, at = [], 0
+    for n in units.tolist():
+        # groups end with a semicolon, the last one of a text without
+        hashes.append(hashlib.sha256("".join([shown[u] for u in unit[at:at + n].tolist()])[:-1].encode()).hexdigest() if n else "")
+        at += n
     (s, s_n), (p, p_n) = _counted(*same), _counted(*pairs)
-    return {"doc_id": ids, **{k: x.tolist() for k, x in n.items()},
-            "groups_sha256": [h.hexdigest() if k else "" for h, k in zip(hashes, n["n_a"])],
-            "slice_doc": of, "slice_a": [len(x) for x in a], "slice_b": [len(x) for x in b],
-            "a": b"".join(x.tobytes() for x in a), "b": b"".join(x.tobytes() for x in b),
+    return {"doc_id": ids, "n_a": _sums(unit_a, unit, units), "n_b": _sums(unit_b, unit, units),
+            "n_groups": _sums(groups, unit, units), "groups_sha256": hashes, "units": units, "unit": unit.tobytes(),
+            "unit_a": unit_a, "unit_b": unit_b, "a": a.tobytes(), "b": b.tobytes(),
             "same": s, "same_links": s_n, "pair": p, "pair_links": p_n}
 
 
@@ -267,9 +306,8 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row.
 
     Null and empty texts and those whose tokens don't join to their bytes have zeros and an empty hash. Repeated
-    rows are texts of their own and count each. A long text is cut into slices where no token of either reaches
-    over, so tasks hold the tokens of a chunk of texts or of one longer text. Other columns are ignored; an empty
-    table gives none.
+    rows are texts of their own and count each. Tasks hold a chunk of texts or one longer text as numbers of units, and
+    its distinct units. Other columns are ignored; an empty table gives none.
     """
     spark = docs.sparkSession
     encoded = chunks(docs, id_col, text_col, model_a, model_b)
@@ -287,7 +325,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
     found = (_pairs(encoded).select("chunk", F.col("pair").alias("p")).join(total, F.col("p") == F.col("pair"))
              .groupBy(F.col("chunk").alias("c")).agg(F.collect_list(F.struct("pair", "total")).alias("found")))
     rows = (encoded.drop("same", "same_links", "pair", "pair_links").join(found, F.col("chunk") == F.col("c"), "left")
-            .select("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "slice_doc", "slice_a", "slice_b", "a", "b",
+            .select("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "units", "unit", "unit_a", "unit_b", "a", "b",
                     F.col("found.pair").alias("pair"), F.col("found.total").alias("total")))
     names = rows.columns
     struct = StructType.fromDDL("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
@@ -306,20 +344,22 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
             pair, total = pair[by], total[by]
             a = np.frombuffer(col["a"][0].as_py(), v.dtype_a)
             b = np.frombuffer(col["b"][0].as_py(), v.dtype_b)
-            of, n_a, n_b = (values[n].to_numpy() for n in ("slice_doc", "slice_a", "slice_b"))
-            docs = len(values["doc_id"])
-            n_best, count_sum = np.zeros(docs, np.int64), np.zeros(docs, np.int64)
+            unit = np.frombuffer(col["unit"][0].as_py(), np.int32)
+            units, n_a, n_b = (values[n].to_numpy().astype(np.int64) for n in ("units", "unit_a", "unit_b"))
+            best_of, count_of = np.zeros(len(n_a), np.int64), np.zeros(len(n_a), np.int64)
             at_a, at_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
-            for part in _pieces((n_a + n_b).tolist(), PIECE // 2):
+            for part in _pieces((n_a + n_b).tolist(), PIECE):
                 lo, hi = part.start, part.stop
                 al = Alignment(v, a[at_a[lo]:at_a[hi]], b[at_b[lo]:at_b[hi]])
                 x, y = al.links()
                 plain = v.same[x] == y
                 count = same[x]
                 count[~plain] = total[np.searchsorted(pair, x[~plain] * len(v.bytes_b) + y[~plain])]
-                doc = of[np.searchsorted(at_a[lo + 1:hi + 1] - at_a[lo], al.link_a, "right") + lo]
-                n_best += np.bincount(doc, count == best[y], docs).astype(np.int64)
-                np.add.at(count_sum, doc, count)
+                mine = np.searchsorted(at_a[lo + 1:hi + 1] - at_a[lo], al.link_a, "right")
+                best_of[part] = np.bincount(mine, count == best[y], hi - lo).astype(np.int64)
+                # whole numbers, summed exactly
+                count_of[part] = np.diff(np.concatenate([[0], np.cumsum(count)])[np.searchsorted(mine, np.arange(hi - lo + 1))])
+            n_best, count_sum = _sums(best_of, unit, units), _sums(count_of, unit, units)
             out = {n: values[n] for n in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")}
             tokens = (values[n].to_numpy() for n in ("n_a", "n_b", "n_groups"))
             out |= {"n_links": next(tokens) + next(tokens) - next(tokens), "n_best": n_best, "count_sum": count_sum}

@@ -100,21 +100,17 @@ def test_brute_force(spark, awkward, tools):
     assert {(r["a"], r["b"]): r["links"] for r in ta.pair_counts(ta.chunks(df)).collect()} == dict(pairs)
 
 
-def test_slices_and_chunks_change_nothing(awkward, spark, tools, monkeypatch):
+def test_pieces_and_chunks_change_nothing(awkward, spark, monkeypatch):
     df = frame(spark, awkward).coalesce(1)
-    want = values(ta.align(df))
     v = ta.Vocabularies.of(ta._files(ta.MODEL_A, ta.MODEL_B))
     ids, texts = zip(*((r["doc_id"], r["text"] or "") for r in df.collect()))
+    assert all(" " + " ".join(v.units(t)) == " " + t for t in texts) and max(len(v.units(t)) for t in texts) > 1000
     whole = ta.encode_chunk(v, list(ids), list(texts))
     for k, n in (("SLICE", 7), ("PIECE", 40)):
         monkeypatch.setattr(ta, k, n)
-    assert max(len(v.slices(t)) for t in texts) > 1000 and all("".join(v.slices(t)) == " " + t for t in texts)
     cut = ta.encode_chunk(v, list(ids), list(texts))
-    for k in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "a", "b"):
-        assert whole[k] == cut[k], k
-    for k in ("same", "same_links", "pair", "pair_links"):
-        assert whole[k].tolist() == cut[k].tolist(), k
-    assert len(want) == len(ids)
+    for k in whole:
+        assert list(whole[k]) == list(cut[k]), k
 
 
 def test_documents(spark, documents, tools, sf):
