@@ -36,7 +36,7 @@ FEATURES, HASHED = 3000, 1 << 20
 BEGINNINGS = (3, 4, 5, 6, 7)
 STEPS, RATE, DECAY = 300, 0.05, 3e-3
 #: Distinct tokens that a task remembers, and characters of a text that are read at a time.
-MEMO, SLICE = 200_000, 1 << 20
+MEMO, SLICE = 400_000, 1 << 20
 
 OTHER, DIGIT, END = 26, 27, 28
 SYMBOLS = 29
@@ -71,14 +71,21 @@ FOLD = _Folded()
 
 def count_words(words: Counter) -> np.ndarray:
     """How often each symbol follows each three (places of a flat table) in the words, with three ends before each word."""
-    codes, weights = [], []
-    for w, n in words.items():
-        s = END * (SYMBOLS * SYMBOLS + SYMBOLS + 1)
-        for c in [*map(FOLD.__getitem__, w), END]:
-            codes.append(s * SYMBOLS + c)
-            weights.append(n)
-            s = (s * SYMBOLS + c) % CONTEXT
-    return np.bincount(np.array(codes, np.int64), np.array(weights, float), CONTEXT * SYMBOLS)
+    if not words:
+        return np.zeros(CONTEXT * SYMBOLS)
+    pad = "\0" * 3
+    points = np.frombuffer((pad + pad.join(words) + pad).encode("utf-32-le", "replace"), np.uint32)
+    known, back = np.unique(points, return_inverse=True)
+    s = np.array([FOLD[chr(c)] if c else END for c in known], np.int64)[back]
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    # each word's letters and the first end after it are counted, not the next two
+    counted = np.ones(len(s), bool)
+    counted[:3] = False
+    ends = 3 + np.cumsum(length + 3) - 3
+    counted[ends + 1] = counted[ends + 2] = False
+    codes = ((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:]
+    times = np.repeat(np.fromiter(words.values(), float, len(words)), length + 1)
+    return np.bincount(codes[counted[3:]], times, CONTEXT * SYMBOLS)
 
 
 class CharModel:
@@ -158,7 +165,7 @@ class Reader:
     """Restored tokens of texts, with a memory of those seen."""
 
     def __init__(self, model: CharModel):
-        self.model, self.memo = model, {}
+        self.model, self.memo, self.hashes = model, {}, _Hashes()
 
     def token(self, t: str) -> str:
         """What a token stands for."""
@@ -190,9 +197,9 @@ class Reader:
             for t, n in Counter(part).items():
                 got = self.memo.get(t)
                 if got is None:
-                    got = [h for w in _LETTERS.findall(self.token(t)) for h in hashed(w)]
+                    got = [h for w in _LETTERS.findall(self.token(t)) for h in self.hashes.of(w)]
                     if places is not None:
-                        got = [places[h] for h in got if h in places]
+                        got = [places[h] for h in got if h in places] or _NONE
                     if len(t) <= 64:
                         if len(self.memo) >= MEMO:
                             self.memo.clear()
@@ -202,9 +209,25 @@ class Reader:
         return out
 
 
-def hashed(word: str) -> list[int]:
-    return [xxhash.xxh32_intdigest(x.encode("utf-8", "replace")) % HASHED
-            for x in ["=" + word, *(word[:k] for k in BEGINNINGS if len(word) >= k)]]
+_NONE: list[int] = []
+
+
+def hashed(feature: str) -> int:
+    return xxhash.xxh32_intdigest(feature.encode("utf-8", "replace")) % HASHED
+
+
+class _Hashes(dict):
+    """The hashes of beginnings, remembered."""
+
+    def __missing__(self, beginning: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        self[beginning] = h = hashed(beginning)
+        return h
+
+    def of(self, word: str) -> list[int]:
+        """The features of a word: the whole, and its beginnings."""
+        return [hashed("=" + word), *[self[word[:k]] for k in BEGINNINGS if len(word) >= k]]
 
 
 class Model:

@@ -125,9 +125,9 @@ def test_held_out_documents(spark, base, chars, trained):
     for r in docs.limit(30).collect():  # the score by its definition, from the whole restored text
         x = dict.fromkeys(range(len(places)), 0)
         for w in nt._LETTERS.findall(reader.restored(r["text"])):
-            for h in nt.hashed(w):
-                if h in places:
-                    x[places[h]] += 1
+            for f in ['=' + w, *(w[:k] for k in nt.BEGINNINGS if len(w) >= k)]:
+                if nt.hashed(f) in places:
+                    x[places[nt.hashed(f)]] += 1
         z = trained.b + sum(trained.w[f] * math.log(1 + n) for f, n in x.items())
         assert abs(got[r["doc_id"]]["score"] - 1 / (1 + math.exp(-z))) < 1e-9
 
