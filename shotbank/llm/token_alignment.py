@@ -32,10 +32,10 @@ from shotbank.llm.common import _arrow_schema, written
 MODEL_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text in one chunk, at least (a longer text is a chunk of its own).
-CHUNK = 8 << 20
-#: Characters of distinct units that are encoded, and of those that are aligned, at a time.
+CHUNK = 4 << 20
+#: Characters of distinct units that are encoded at a time, and their tokens that are aligned.
 SLICE = 1 << 18
-PIECE = 2 << 20
+PIECE = 300_000
 
 # Fixed values of byte-level entries: bytes that stand for themselves; the others follow from U+0100 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -172,7 +172,7 @@ def _pieces(sizes: list[int], limit: int) -> Iterator[slice]:
 
 
 _CHUNKS = ("chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, "
-           "units array<long>, unit binary, unit_a array<int>, unit_b array<int>, a binary, b binary, "
+           "units array<long>, packed array<binary>, sizes array<long>, "
            "same array<int>, same_links array<long>, pair array<long>, pair_links array<long>")
 
 
@@ -239,11 +239,20 @@ def encode_chunk(v: Vocabularies, ids: list, texts: list[str]) -> dict:
         at += n
     (s, s_n), (p, p_n) = _counted(*same), _counted(*pairs)
     return {"doc_id": ids, "n_a": _sums(unit_a, unit, units), "n_b": _sums(unit_b, unit, units),
-            "n_groups": _sums(groups, unit, units), "groups_sha256": hashes, "units": units, "unit": unit.tobytes(),
-            "unit_a": unit_a, "unit_b": unit_b, "a": a.tobytes(), "b": b.tobytes(),
+            "n_groups": _sums(groups, unit, units), "groups_sha256": hashes, "units": units, **_packed(unit, unit_a.astype(np.int32), unit_b.astype(np.int32), a, b),
             "same": s, "same_links": s_n, "pair": p, "pair_links": p_n}
 
 
+def _packed(*arrays: np.ndarray) -> dict:
+    """Each array, compressed, and its bytes."""
+    return {"packed": [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in arrays], "sizes": [x.nbytes for x in arrays]}
+
+
+def _unpacked(packed: list[bytes], sizes: list[int], v: Vocabularies) -> list[np.ndarray]:
+    kinds = (np.int32, np.int32, np.int32, v.dtype_a, v.dtype_b)
+    return [np.frombuffer(pa.decompress(x, n, "zstd") if n else b"", t) for x, n, t in zip(packed, sizes, kinds)]
+
+
 def _files(model_a: str, model_b: str) -> tuple[bytes, bytes]:
     with open(model_a, "rb") as f, open(model_b, "rb") as g:
         return f.read(), g.read()
@@ -325,7 +334,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
     found = (_pairs(encoded).select("chunk", F.col("pair").alias("p")).join(total, F.col("p") == F.col("pair"))
              .groupBy(F.col("chunk").alias("c")).agg(F.collect_list(F.struct("pair", "total")).alias("found")))
     rows = (encoded.drop("same", "same_links", "pair", "pair_links").join(found, F.col("chunk") == F.col("c"), "left")
-            .select("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "units", "unit", "unit_a", "unit_b", "a", "b",
+            .select("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "units", "packed", "sizes",
                     F.col("found.pair").alias("pair"), F.col("found.total").alias("total")))
     names = rows.columns
     struct = StructType.fromDDL("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
@@ -342,10 +351,8 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
             pair, total = (values[n].to_numpy() for n in ("pair", "total"))
             by = np.argsort(pair)
             pair, total = pair[by], total[by]
-            a = np.frombuffer(col["a"][0].as_py(), v.dtype_a)
-            b = np.frombuffer(col["b"][0].as_py(), v.dtype_b)
-            unit = np.frombuffer(col["unit"][0].as_py(), np.int32)
-            units, n_a, n_b = (values[n].to_numpy().astype(np.int64) for n in ("units", "unit_a", "unit_b"))
+            unit, n_a, n_b, a, b = _unpacked(values["packed"].to_pylist(), values["sizes"].to_pylist(), v)
+            units = values["units"].to_numpy()
             best_of, count_of = np.zeros(len(n_a), np.int64), np.zeros(len(n_a), np.int64)
             at_a, at_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
             for part in _pieces((n_a + n_b).tolist(), PIECE):
