@@ -220,6 +220,10 @@ class TopK:
             out[lo:lo + _PAIRS] = pair_scores(q[a[lo:lo + _PAIRS]], c[b[lo:lo + _PAIRS]], self.metric)
         return out
 
+    def settle(self) -> None:
+        """Merge what waits, so that ``kth`` holds each query's k-th best key so far."""
+        self._flush()
+
     def _flush(self) -> None:
         if not self._pending:
             return

@@ -631,7 +631,7 @@ def q_index_rebuild(spark, sf):
 # ------------------------------------------------------------------ embedding
 
 from shotbank.functions.text import WS_CLASS_RE2  # noqa: E402
-from shotbank.operators import embed as emb  # noqa: E402
+from shotbank.operators import embed as emb, lexical  # noqa: E402
 
 
 def _lex_sql(name: str, src: str, id_col: str, text_col: str) -> str:
@@ -680,9 +680,14 @@ select query_id, cast(rank as integer) as rank, id, round(score, 6) as score fro
   select *, row_number() over (partition by query_id order by score desc, id) as rank from sc)
 where rank <= 3""", kb=False))
 def q_lexical_retrieve(spark, sf):
-    q = emb.lexical_vectors(_user_turns(spark, sf), "query")
-    kb = emb.lexical_vectors(fx.triplets(spark, sf), "question")
-    return r6(emb.lexical_search(q, kb, 3), "score")
+    q = emb.lexical_vectors(_user_turns(spark, sf), "query").select("query_id", "embedding")
+    return r6(lexical.search(q, lexical_index(spark, sf), 3), "score")
+
+
+def lexical_index(spark, sf):
+    """The block index of the triplets' questions, written once."""
+    return fx.materialized(spark, sf, "lexical-index", lambda: lexical.build_index(
+        emb.lexical_vectors(fx.triplets(spark, sf).select("id", "question"), "question")))
 
 
 TEXT_DIM = 768
