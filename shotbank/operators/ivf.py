@@ -8,7 +8,8 @@
 * ``write_index`` / ``read_index`` - Parquet partitioned by ``cell``, with a manifest: a search
   reads only the cells its queries probe (partition pruning). A cell is written by as many
   tasks as its rows need, so there are neither tasks x cells small files nor one task per hot cell.
-* ``ivf_search``      - per query the ``nprobe`` nearest cells, then exact top-k inside them.
+* ``bounded_search``  - exact top-k: the nearest cells, then those whose bound reaches the k-th hit.
+* ``ivf_search``      - approximate: per query the ``nprobe`` nearest cells, then exact top-k inside them.
   Queries are shipped in blocks of bounded size with their cells; the index is scanned in place,
   pruned to the cells of the block, and a vector is scored only against the queries that probe its cell.
 """
@@ -216,6 +217,15 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
     return rank_candidates(parts, k, metric)
 
 
+def bounded_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int, nprobe: int = 1, metric: str = "ip",
+                   query_id: str = "query_id", query_vec: str = "embedding", info: dict | None = None) -> DataFrame:
+    """(query_id, rank, id, score): the exact top-k. After the ``nprobe`` nearest cells a query visits just the others
+    whose bound (from their widest angle or radius) reaches its k-th score; see :mod:`shotbank.operators.pivot`."""
+    from shotbank.operators import pivot
+
+    return pivot.search(queries, index, pivot.cell_stats(index, centroids), k, metric, nprobe, query_id, query_vec, info=info)
+
+
 def _scan_cells(shared, k: int, metric: str, schema: T.StructType):
     def run(batches):
         qids, qmat, probes = shared.value

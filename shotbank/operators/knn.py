@@ -148,6 +148,20 @@ def select_topk(qpos: np.ndarray, ids: np.ndarray, key: np.ndarray, k: int):
     return order[keep], within[keep] + 1
 
 
+def approximate_keys(q: np.ndarray, c: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all pairs by a matrix product, and per row of ``q`` how far rounding may move them. ``cosine`` takes unit rows."""
+    key = q @ c.T
+    size_q, size_c = (q * q).sum(1), (c * c).sum(1)
+    if metric == "l2":
+        key = size_q[:, None] + size_c[None, :] - 2.0 * key
+    else:
+        key = -key
+    key[np.isnan(key)] = np.inf
+    with np.errstate(invalid="ignore"):
+        scale = np.nan_to_num(size_q) + np.nan_to_num(size_c).max(initial=0.0)
+    return key, 1e-13 * len(q[0]) * scale + 2 * 10.0 ** -SCORE_DECIMALS
+
+
 class TopK:
     """Running top-k per query over successive blocks of vectors.
 
@@ -186,16 +200,11 @@ class TopK:
 
     def _tile(self, rows: np.ndarray, c: np.ndarray, ids: np.ndarray) -> None:
         q = self.q[rows]
-        key = q @ c.T
-        size_q, size_c = (q * q).sum(1), (c * c).sum(1)
-        if self.metric == "l2":
-            key = size_q[:, None] + size_c[None, :] - 2.0 * key
-        else:
-            key = -key
-        key[np.isnan(key)] = np.inf
-        with np.errstate(invalid="ignore"):
-            scale = np.nan_to_num(size_q) + np.nan_to_num(size_c).max(initial=0.0)
-        margin = 1e-13 * len(q[0]) * scale + 2 * 10.0 ** -SCORE_DECIMALS
+        self.pick(rows, c, ids, *approximate_keys(q, c, self.metric))
+
+    def pick(self, rows: np.ndarray, c: np.ndarray, ids: np.ndarray, key: np.ndarray, margin: np.ndarray) -> None:
+        """Score exactly what may be a hit, given approximate keys of the queries at ``rows`` with ``c``."""
+        q = self.q[rows]
         limit = self.kth[rows]
         new = ~np.isfinite(limit)
         if new.any() and key.shape[1] > self.k:
@@ -380,6 +389,58 @@ def _scan_queries(shared, k: int, metric: str, schema: T.StructType):
     return run
 
 
+def self_knn(vectors: DataFrame, k: int, metric: str = "ip", *, query_id: str = "id", id_col: str = "id", vec: str = "embedding",
+             tile_bytes: int = 32 * 1024 * 1024, info: dict | None = None) -> DataFrame:
+    """Exact top-k of every vector among all (itself included): (query_id, rank, id, score), as ``knn`` of the table
+    with itself.
+
+    Rows are dealt into tiles of about ``tile_bytes`` and every two tiles meet once, in one task: a score is
+    computed once and offered to both of its vectors. Each row is sent once per tile; nothing passes the driver.
+    ``info`` receives ``queries``, ``max_hits`` and the accumulator ``pairs`` of the scores computed."""
+    if metric not in _HIGHER_BETTER:
+        raise ValueError(f"unknown metric {metric!r}")
+    spark = vectors.sparkSession
+    ship_package(spark)
+    rows = vectors.where(present(vectors, vec)).select(F.col(query_id).alias("query_id"), F.col(id_col).alias("id"), F.col(vec).alias("vec"))
+    n, d = side_sizes(rows, "vec")
+    info = {} if info is None else info
+    info.update(queries=n, max_hits=n * max(k, 0), strategy="tile pairs", pairs=spark.sparkContext.accumulator(0))
+    schema = hit_schema(vectors.schema[query_id].dataType, vectors.schema[id_col].dataType)
+    if not n or k <= 0:
+        return _empty(spark, schema["query_id"].dataType, schema["id"].dataType)
+    tiles = math.ceil(n / rows_per_block(d, tile_bytes))
+    path = scratch_path(spark, "tiles")  # the tile of a row is drawn from its place, so it is written
+    rows.withColumn("tile", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(tiles)).cast("int")).write.parquet(path)
+    dealt = spark.read.parquet(path).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    pairs = dealt.select("query_id", "id", "vec", "tile", F.least("tile", "_other").alias("_a"), F.greatest("tile", "_other").alias("_b"))
+    found = pairs.groupBy("_a", "_b").applyInArrow(_meet(k, metric, schema, info["pairs"]), schema)
+    return rank_candidates(found, k, metric)
+
+
+def _meet(k: int, metric: str, schema: T.StructType, counted):
+    def run(rows: pa.Table) -> pa.Table:
+        a, b = (rows.column(c)[0].as_py() for c in ("_a", "_b"))
+        tile = rows.column("tile").to_numpy()
+        m = arrow_matrix(rows.column("vec"))
+        qids, ids = rows.column("query_id").to_numpy(), rows.column("id").to_numpy()
+        top = TopK(m, k, metric)
+        left, right = np.flatnonzero(tile == a), np.flatnonzero(tile == b)
+        for lo in range(0, len(left), TILE_ROWS):
+            x = left[lo:lo + TILE_ROWS]
+            for at in range(lo if a == b else 0, len(right), TILE_ROWS):
+                y = right[at:at + TILE_ROWS]
+                same = a == b and at == lo
+                approx, margin = approximate_keys(top.q[x], top.q[y], metric)
+                counted.add(len(x) * (len(x) + 1) // 2 if same else len(x) * len(y))
+                top.pick(x, top.q[y], ids[y], approx, margin)
+                if not same:  # the same scores, for the other side
+                    top.pick(y, top.q[x], ids[x], approx.T, np.full(len(y), margin.max(initial=0.0)))
+                top.settle()
+        return pa.Table.from_batches([arrow_batch(hit_frame(qids, *top.result()), schema)])
+
+    return run
+
+
 def attach(hits: DataFrame, vectors: DataFrame, id_col: str = "id",
            columns: tuple[str, ...] = ("question", "rationale", "answer", "task", "source"),
            max_rows: int | None = None, hit_bytes: int = HIT_BYTES) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotbank.operators import clean, knn as knn_op, retrieve as ret
+from shotbank.operators import clean, knn as knn_op, pivot, retrieve as ret
 from shotbank.plans import oracle as O
 from shotbank.sources import fixtures as fx
 
@@ -89,11 +89,9 @@ def q_knn_ip(spark, sf):
     O.knn_hits(3, queries="(select pos as query_id, embedding from kb)")
     + "\nselect query_id, rank, id, round(score, 6) as score from hits"))
 def q_knn_blocked(spark, sf):
-    """Every vector as a query, shipped in many blocks."""
+    """Every vector as a query, both sides dealt by pivots."""
     kb = fx.knowledge_base(spark, sf)
-    hits = knn_op.knn(kb.select(F.col("pos").alias("query_id"), "embedding"), kb, 3, "ip",
-                      strategy="broadcast_queries", block_rows=max(1, kb.count() // 4))
-    return r6(hits, "score")
+    return r6(pivot.knn_join(kb.select(F.col("pos").alias("query_id"), "embedding"), kb, 3, "ip"), "score")
 
 
 @register("knn_l2", O.with_base(O.knn_hits(5, "l2") + "\nselect query_id, rank, id, round(score, 6) as score from hits"))
@@ -106,9 +104,7 @@ def q_knn_l2(spark, sf):
     O.knn_hits(3, queries="(select pos as query_id, embedding from kb)")
     + "\nselect query_id, rank, id, round(score, 6) as score from hits"))
 def q_self_knn(spark, sf):
-    kb = fx.knowledge_base(spark, sf)
-    hits = knn_op.knn(kb.select(F.col("pos").alias("query_id"), "embedding"), kb, 3, "ip")
-    return r6(hits, "score")
+    return r6(knn_op.self_knn(fx.knowledge_base(spark, sf), 3, "ip", query_id="pos"), "score")
 
 
 @register("knn_with_metadata", O.with_base(O.knn_hits(3) + f"""
@@ -571,7 +567,7 @@ def q_index_stats(spark, sf):
     return stats.index_stats(index.join(meta, "id"), "IndexIVFFlat", cell="cell")
 
 
-@register("ivf_search", O.with_base(_CENT + """,
+@register("ivf_probe", O.with_base(_CENT + """,
 probes as (
   select query_id, cell from (
     select q.query_id, c.cell, row_number() over (partition by q.query_id
@@ -583,11 +579,19 @@ cand as (
 select query_id, cast(rank as integer) as rank, id, round(score, 6) as score from (
   select *, row_number() over (partition by query_id order by score desc, id) as rank from cand)
 where rank <= 5"""))
-def q_ivf_search(spark, sf):
+def q_ivf_probe(spark, sf):
+    """Approximate: the two nearest cells only (recall@5 in the README)."""
     cents, index = _ivf_fixture(spark, sf)
     return r6(ivf.ivf_search(fx.query_batch(spark, sf), index, cents, 5, nprobe=2), "score")
 
 
+@register("ivf_search", O.with_base(O.knn_hits(5) + "\nselect query_id, rank, id, round(score, 6) as score from hits"))
+def q_ivf_search(spark, sf):
+    """The same index with bounds: every hit of the exact search, which is its oracle."""
+    cents, index = _ivf_fixture(spark, sf)
+    return r6(ivf.bounded_search(fx.query_batch(spark, sf), index, cents, 5, nprobe=2), "score")
+
+
 _TRAINED = """select (select count(*) from kb) as vectors, (select count(*) from kb) as assigned,
        0::bigint as nearer_elsewhere, 0::bigint as unknown_cells, true as unit_centroids"""
 
