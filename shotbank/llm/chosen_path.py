@@ -6,7 +6,9 @@ similarity. A run starts with all sets in one bucket; a bucket is split by sampl
 of each of its tokens whose hash, together with the bucket's path, falls below 1 / (LAMBDA * tokens). Similar sets
 sample the same tokens, so a pair at the threshold meets in at least one child on average at each level,
 while others part. Buckets that are small, or whose members are alike on average, are compared by brute
-force; there are as many runs as the target recall takes at the greatest depth. All links are verified on the whole shingle sets.
+force. A set takes part in as many runs as the target recall needs at the greatest depth that one of its buckets
+reached: all sets in the first runs, and only those of deep buckets in the rest. Of buckets with the same members one is compared.
+All links are verified on the whole shingle sets.
 
 Equal texts are one set. A pair is judged in the bucket with the smallest key that both are in, so
 nothing is counted twice; tasks return counts and a spanning forest of the links, never all pairs.
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotbank.llm.common import components, forest, fresh, map_rows, written
+from shotbank.llm.common import _parts, components, dropped, forest, fresh, map_rows, written
 
 WORDS = 5
 MIN_JACCARD = 0.8
@@ -33,13 +35,17 @@ LAMBDA = 0.7
 RECALL = 0.999
 #: Buckets are split up to this depth, and the runs are enough for pairs at the threshold that must meet there.
 MAX_DEPTH = 8
+#: Depths for which runs are added: to the last one for sets with a bucket that is split beyond the one before.
+WAVES = (1, 3, MAX_DEPTH)
 #: Larger buckets are split, unless their members are alike: mean similarity of ``PROBE`` of them from DENSE on.
-SMALL = 64
+SMALL = 256
 PROBE = 32
 DENSE = 0.5
 #: Pairs are verified if their embeddings agree at least this far (five deviations below the threshold).
 CANDIDATE = 0.55
 TILE = 1024
+#: Bytes of shingle sets in a tile, and of the groups that are compared at a time.
+TILE_BYTES = 16 << 20
 SHIP_ROWS = 500_000
 
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -64,7 +70,7 @@ def runs_for(recall: float = RECALL, depth: int = MAX_DEPTH) -> int:
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
         return h
@@ -171,20 +177,52 @@ def _dense(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def buckets(classes: DataFrame, runs: int | None = None) -> DataFrame:
-    """(key, cid): the members of all buckets to be compared, each with two members or more."""
-    runs = runs or runs_for()
+    """Written (key, cid): the members of all buckets to be compared, each with two members or more.
+
+    ``runs``, when given, is the number of runs of all sets."""
+    waves = [(runs, None)] if runs else [(runs_for(depth=d), d) for d in WAVES]
+    active, done, before, deep = classes, [], 0, []
+    for upto, depth in waves:
+        members, split = _run(active, classes, range(before + 1, upto + 1))
+        done.append(members)
+        deep.append(split)
+        before = upto
+        # sets whose buckets were split beyond this depth, in these runs or earlier ones
+        beyond = [t for s in deep for d, t in s.items() if depth and d >= depth]
+        if depth in (None, MAX_DEPTH) or not beyond:
+            break
+        ids = beyond[0]
+        for t in beyond[1:]:
+            ids = ids.union(t)
+        active = written(classes.join(ids.distinct(), F.col("cid") == F.col("s"), "left_semi"), "active")
+    members = done[0]
+    for m in done[1:]:
+        members = members.union(m)
+    members = written(members.distinct(), "all-members")
+    # similar sets meet again and again: of buckets with the same members one is enough
+    same = (members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("x1"),
+                                       F.bit_xor(F.xxhash64(F.lit("second"), "cid")).alias("x2"))
+            .groupBy("n", "x1", "x2").agg(F.min("key").alias("k")).select("k"))
+    once = written(members.join(written(same, "once"), F.col("key") == F.col("k"), "left_semi"), "members")
+    dropped(members, *done)
+    return once
+
+
+def _run(active: DataFrame, classes: DataFrame, runs: range) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """(members of the buckets to be compared, sets by the depth at which a bucket of theirs was split further)."""
     sk = classes.select(F.col("cid").alias("c"), "sk")
-    seeds = mix(np.arange(1, runs + 1, dtype=np.uint64) * _ODD).view(np.int64).tolist()
-    rows, done = map_rows(classes.select("cid", "sk"), "key long, cid long", _start(seeds)), None
+    seeds = mix(np.array(runs, np.uint64) * _ODD).view(np.int64).tolist()
+    rows, done, split, used = map_rows(active.select("cid", "sk"), "key long, cid long", _start(seeds)), None, {}, []
     for depth in range(1, MAX_DEPTH + 1):
         rows = written(rows, "paths")
         # written before it is joined with its rows, so that Spark can split a hot bucket
         sizes = written(rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("k"), "count"), "sizes")
-        shared = rows.join(sizes, F.col("key") == F.col("k")).select("key", "cid", "count")
+        shared = written(rows.join(sizes, F.col("key") == F.col("k")).select("key", "cid", "count"), "buckets")
+        dropped(rows, sizes)
+        used.append(shared)
         if depth == MAX_DEPTH:
             done = done.union(shared.select("key", "cid"))
             break
-        shared = written(shared, "buckets")
         ready, large = shared.where(F.col("count") <= SMALL).select("key", "cid"), shared.where(F.col("count") > SMALL)
         done = ready if done is None else done.union(ready)
         if large.isEmpty():
@@ -193,17 +231,21 @@ def buckets(classes: DataFrame, runs: int | None = None) -> DataFrame:
         probe = (large.select("key", "cid").withColumn("place", place).where(F.col("place") <= PROBE)
                  .join(sk, F.col("cid") == F.col("c")).select("key", "sk"))
         dense = written(probe.groupBy("key").applyInPandas(_dense, "k long"), "dense")
+        used.append(dense)
         done = done.union(large.join(dense, F.col("key") == F.col("k"), "left_semi").select("key", "cid"))
-        rows = map_rows(large.join(dense, F.col("key") == F.col("k"), "left_anti").join(sk, F.col("cid") == F.col("c"))
-                        .select("key", "cid", "sk"), "key long, cid long", _split)
-    return done
+        further = large.join(dense, F.col("key") == F.col("k"), "left_anti")
+        split[depth] = written(further.select(F.col("cid").alias("s")).distinct(), "split")
+        rows = map_rows(further.join(sk, F.col("cid") == F.col("c")).select("key", "cid", "sk"), "key long, cid long", _split)
+    members = written(done, "members")
+    dropped(*used)
+    return members, split
 
 
-def over_groups(df: DataFrame, group: list[str], schema: str, fn, rows: int = 20_000) -> DataFrame:
+def over_groups(df: DataFrame, group: list[str], schema: str, fn, rows: int = 20_000, size: int = 2 * TILE_BYTES) -> DataFrame:
     """``fn(frame, starts) -> frame`` over whole groups, many small ones at a time.
 
-    Groups are dealt and sorted by Spark; a call gets groups of about ``rows`` rows together, each one
-    contiguous from its place in ``starts`` on. No group may be larger than memory: they are tiles."""
+    Groups are dealt and sorted by Spark; a call gets groups of about ``rows`` rows or ``size`` bytes together, each
+    one contiguous from its place in ``starts`` on. No group may be larger than memory: they are tiles."""
     from pyspark.sql.types import StructType
 
     from shotbank.llm.common import _arrow_schema
@@ -213,17 +255,19 @@ def over_groups(df: DataFrame, group: list[str], schema: str, fn, rows: int = 20
 
     def run(batches):
         held: list = []
-        count = 0
-        for batch in batches:
+        count = weight = 0
+        for batch in (part for b in batches for part in _parts(b, size // 2)):
             held.append(batch)
             count += batch.num_rows
-            if count >= rows:
+            weight += batch.nbytes
+            if count >= rows or weight >= size:
                 frame = pa.Table.from_batches(held).combine_chunks()
                 cut = _last_start(frame, group)
                 if cut:
                     yield from _call(frame.slice(0, cut))
-                    held = frame.slice(cut).to_batches()
+                    held = frame.slice(cut).combine_chunks().to_batches()
                     count -= cut
+                    weight = sum(x.nbytes for x in held)
         if count:
             yield from _call(pa.Table.from_batches(held).combine_chunks())
 
@@ -383,11 +427,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     too. A null doc_id is never a class id unless all ids of a class are null. Other columns are ignored.
     """
     rows, classes = sets_of(docs, id_col, text_col)
-    members = written(buckets(classes, runs).distinct(), "members")
+    members = buckets(classes, runs)
     keys = members.groupBy(F.col("cid").alias("i")).agg(F.sort_array(F.collect_list("key")).alias("keys"))
     info = classes.select(F.col("cid").alias("c"), "n", "size", "sk").join(keys, F.col("c") == F.col("i")).drop("i")
-    tiles = written(members.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m"))
-                    .select("k", F.ceil(F.col("m") / tile).cast("int").alias("tiles")), "tiles")
+    sizes = members.join(classes.select(F.col("cid").alias("c"), "size"), F.col("cid") == F.col("c"))
+    by_rows, by_bytes = F.ceil(F.count("*") / tile), F.ceil(F.sum("size") * 8 / TILE_BYTES)
+    tiles = written(sizes.groupBy(F.col("key").alias("k")).agg(F.greatest(by_rows, by_bytes).cast("int").alias("tiles")), "tiles")
     tiled = (members.join(tiles, F.col("key") == F.col("k"))
              .select("key", "cid", "tiles", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int").alias("t"))
              .select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
@@ -399,6 +444,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = _whole_sets(docs, id_col, text_col, classes, worth.select(F.col("cid").alias("c")).distinct())
     found = written(over_groups(worth.join(sets, F.col("cid") == F.col("c")).drop("c"), group,
                                 "cid long, links long, low long", _verify(min_jaccard)), "links")
+    dropped(members, tiles, worth)
     links = found.groupBy(F.col("cid").alias("l")).agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("cid").alias("a"), F.col("low").alias("b")))
     first = (comp.join(classes.select("cid", "rep"), F.col("node") == F.col("cid"))

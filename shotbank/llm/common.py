@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotbank.session import scratch_path, ship_package
+from shotbank.session import drop_scratch, scratch_path, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     and a lost executor never makes an earlier step run again)."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables from :func:`written` that nothing will read any more."""
+    for t in tables:
+        drop_scratch(t.sparkSession, t._scratch)
 
 
 def map_rows(df: DataFrame, schema: str, fn, slice_bytes: int | None = None) -> DataFrame:
@@ -132,7 +140,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     before = None
     for _ in range(max_rounds):
-        e = written(small_star(large_star(e)), "edges")
+        last, e = e, written(small_star(large_star(e)), "edges")
+        dropped(last)
         # a fixed point: every larger node hangs on one centre, and no centre hangs on another
         now = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == before:
