@@ -204,22 +204,34 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, text, spans): the maximal byte runs [a, b) of each text that strings of ``depth`` bytes
     cover which also start elsewhere, in the same text or another.
 
-    A null text counts as the empty one. Rows with equal id and text are each other's copies. Other
+    A null text counts as the empty one. Rows with equal id and text are each other's copies: one of them is
+    sorted with the others' suffixes, and all of them are covered as a whole. Other
     columns are ignored. Group sizes never matter: all groups are aggregated to one row or joined, and
     rows are collected per document only (at most one for each byte of its text).
     """
     keyed = _keyed(docs, id_col, text_col)
-    found = written(_per_doc(repeated_runs(keyed, depth).distinct(), "s", "e"), "spans")
+    # ids and hashes only
+    again = written(keyed.groupBy(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th")).agg(F.count("*").alias("rows"))
+                    .where("rows > 1"), "again")
+    same = F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th"))
+    once = keyed
+    if not again.isEmpty():
+        once = keyed.join(again, same, "left_anti").union(keyed.join(again, same, "left_semi").dropDuplicates(["doc_id", "th"]))
+    found = written(_per_doc(repeated_runs(once, depth).distinct(), "s", "e"), "spans")
 
     def run(cols: dict) -> dict:
-        return {"doc_id": cols["doc_id"], "text": cols["text"],
-                "spans": [[{"a": a, "b": b} for a, b in _merge(r or [], depth)] for r in cols["runs"].to_pylist()]}
+        spans = []
+        for size, r, n in zip(cols["size"].to_pylist(), cols["runs"].to_pylist(), cols["rows"].to_pylist()):
+            pairs = [(0, size)] if n and size >= depth else _merge(r or [], depth)
+            spans.append([{"a": a, "b": b} for a, b in pairs])
+        return {"doc_id": cols["doc_id"], "text": cols["text"], "spans": spans}
 
-    return map_rows(_join_texts(keyed, found, "left"), "doc_id long, text string, spans array<struct<a: long, b: long>>", run)
+    rows = _join_texts(keyed, found, "left").join(again, same, "left").withColumn("size", F.octet_length("text").cast("long"))
+    return map_rows(rows.select("doc_id", "text", "size", "runs", "rows"), "doc_id long, text string, spans array<struct<a: long, b: long>>", run)
 
 
 def dedup_digest(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The digest columns of :func:`removed_spans`, and a hash of the bytes that are left."""
+    """The digest columns of :func:`removed_spans`, a hash of the bytes that are left, and whether any were removed."""
 
     def run(cols: dict) -> dict:
         out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
@@ -231,7 +243,7 @@ def dedup_digest(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             sha.update(raw[at:])
             for k, v in zip(out, (len(raw), gone, len(spans), sha.hexdigest())):
                 out[k].append(v)
-        return {"doc_id": cols["doc_id"], **out}
+        return {"doc_id": cols["doc_id"], **out, "removed": [n > 0 for n in out["n_removed"]]}
 
     return map_rows(removed_spans(docs, depth=depth),
-                    "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", run)
+                    "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed boolean", run)

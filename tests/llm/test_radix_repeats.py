@@ -20,7 +20,7 @@ def brute(rows, depth):
                 gone[i:i + depth] = [True] * depth
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
         kept = bytes(b for b, g in zip(raw, gone) if not g)
-        out.append((r[0], len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((r[0], len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest(), any(gone)))
     return sorted(out, key=str)
 
 
@@ -48,5 +48,17 @@ def test_matches_brute_force(spark, monkeypatch, chunk):
     assert sorted((tuple(r) for r in got), key=str) == want
 
 
+def test_many_equal_rows(spark):
+    """Equal in id and text, null ids among them; what they share with others counts too."""
+    rng = random.Random(3)
+    text = " ".join(words(rng, 200))
+    rows = [doc(1, text)] * 50 + [doc(None, text)] * 20 + [doc(2, "short")] * 30 + [doc(3, None)] * 5 + [
+        doc(4, "x" + text[100:700] + "y"), doc(5, " ".join(words(rng, 200)))]
+    frame = spark.createDataFrame(rows, DOC_SCHEMA).repartition(5)
+    assert sorted((tuple(r) for r in radix_repeats.dedup_digest(frame).collect()), key=str) == brute(rows, 400)
+    equal = radix_repeats._keyed(spark.createDataFrame([doc(1, text)] * 50, DOC_SCHEMA), "doc_id", "text")
+    assert radix_repeats.repeated_runs(equal.dropDuplicates(["doc_id", "th"])).count() == 0
+
+
 def test_empty_table(no_docs):
     assert radix_repeats.dedup_digest(no_docs).count() == 0
