@@ -36,11 +36,15 @@ RECALL = 0.999
 #: Buckets are split up to this depth, and the runs are enough for pairs at the threshold that must meet there.
 MAX_DEPTH = 8
 #: Depths for which runs are added: to the last one for sets with a bucket that is split beyond the one before.
-WAVES = (1, 3, MAX_DEPTH)
-#: Larger buckets are split, unless their members are alike: mean similarity of ``PROBE`` of them from DENSE on.
+WAVES = (2, MAX_DEPTH)
+#: Larger buckets are split, unless their members are alike: mean similarity of ``PROBE`` of them from DENSE on. Where
+#: some of the probe (a share of CORE_SHARE) are like one of them, members from CORE on are compared as a bucket of their
+#: own, and only those up to APART go on: if two sets have 0.8 in common and one is below CORE, the other is below 0.7,
+#: and APART leaves room for two and a half deviations of an estimate.
 SMALL = 256
 PROBE = 32
 DENSE = 0.5
+CORE, CORE_SHARE, APART = 0.5, 0.125, 0.85
 #: Pairs are verified if their embeddings agree at least this far (five deviations below the threshold).
 CANDIDATE = 0.55
 TILE = 1024
@@ -150,10 +154,35 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     return rows.drop("sk"), classes
 
 
-def _split(cols: dict) -> dict:
-    """Children of (key, cid, sk) rows."""
-    row, child = children(cols["key"].to_numpy(), _sketches(cols["sk"].to_pylist()))
-    return {"key": pa.array(child), "cid": cols["cid"].take(pa.array(row))}
+DONE, CHILD, SPLIT = 0, 1, 2
+
+
+def _split(depth_counts: bool):
+    """Rows (kind, key, cid) from members of large buckets with their bucket's head: members of buckets to be compared,
+    children, and with ``depth_counts`` the sets that were split."""
+
+    def run(cols: dict) -> dict:
+        key, cid = cols["key"].to_numpy(), cols["cid"].to_numpy()
+        sk = _sketches(cols["sk"].to_pylist())
+        dense = cols["dense"].to_numpy(zero_copy_only=False).astype(bool)
+        heads = cols["head"].to_pylist()
+        like = np.zeros(len(key))
+        some = np.flatnonzero([h is not None for h in heads])
+        if len(some):
+            x, y = sk[some], _sketches([heads[i] for i in some])
+            used = (x > 0) | (y > 0)
+            like[some] = ((x == y) & used).sum(1) / np.maximum(used.sum(1), 1)
+        core = ~dense & (like >= CORE)
+        further = np.flatnonzero(~dense & (like < APART))
+        row, child = children(key[further], sk[further])
+        parts = [(DONE, key[dense], cid[dense]), (DONE, mix(key[core].view(np.uint64) ^ _ODD).view(np.int64), cid[core]),
+                 (CHILD, child, cid[further][row])]
+        if depth_counts:
+            parts.append((SPLIT, np.zeros(len(further), np.int64), cid[further]))
+        return {"kind": pa.array(np.repeat([k for k, _, _ in parts], [len(c) for _, _, c in parts]), pa.int32()),
+                "key": pa.array(np.concatenate([k for _, k, _ in parts])), "cid": pa.array(np.concatenate([c for _, _, c in parts]))}
+
+    return run
 
 
 def _start(seeds: list[int]):
@@ -168,12 +197,16 @@ def _start(seeds: list[int]):
     return run
 
 
-def _dense(rows: pd.DataFrame) -> pd.DataFrame:
+def _head(rows: pd.DataFrame) -> pd.DataFrame:
+    """Whether a probe's members are alike, else the one that most of the others are like, if enough are."""
     x = _sketches(rows["sk"])
     a = alike(x, x)
     n = len(x)
-    mean = (a.sum() - n) / max(1, n * (n - 1))
-    return pd.DataFrame({"k": rows["key"].iloc[:1]} if mean >= DENSE else {"k": np.zeros(0, np.int64)})
+    dense = (a.sum() - n) / max(1, n * (n - 1)) >= DENSE
+    near = (a >= (CORE + 1) / 2).sum(1)
+    best = int(near.argmax())
+    head = rows["sk"].iloc[best] if not dense and near[best] >= max(2, CORE_SHARE * n) else None
+    return pd.DataFrame({"k": rows["key"].iloc[:1], "dense": [bool(dense)], "head": [head]})
 
 
 def buckets(classes: DataFrame, runs: int | None = None) -> DataFrame:
@@ -212,31 +245,38 @@ def _run(active: DataFrame, classes: DataFrame, runs: range) -> tuple[DataFrame,
     """(members of the buckets to be compared, sets by the depth at which a bucket of theirs was split further)."""
     sk = classes.select(F.col("cid").alias("c"), "sk")
     seeds = mix(np.array(runs, np.uint64) * _ODD).view(np.int64).tolist()
-    rows, done, split, used = map_rows(active.select("cid", "sk"), "key long, cid long", _start(seeds)), None, {}, []
+    rows, done, split, used = map_rows(active.select("cid", "sk"), "key long, cid long", _start(seeds)), [], {}, []
     for depth in range(1, MAX_DEPTH + 1):
-        rows = written(rows, "paths")
         # written before it is joined with its rows, so that Spark can split a hot bucket
+        if depth == 1:
+            rows = written(rows, "paths")
+            used.append(rows)
         sizes = written(rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("k"), "count"), "sizes")
         shared = written(rows.join(sizes, F.col("key") == F.col("k")).select("key", "cid", "count"), "buckets")
-        dropped(rows, sizes)
-        used.append(shared)
+        used += [sizes, shared]
         if depth == MAX_DEPTH:
-            done = done.union(shared.select("key", "cid"))
+            done.append(shared.select("key", "cid"))
             break
-        ready, large = shared.where(F.col("count") <= SMALL).select("key", "cid"), shared.where(F.col("count") > SMALL)
-        done = ready if done is None else done.union(ready)
+        large = shared.where(F.col("count") > SMALL).select("key", "cid")
+        done.append(shared.where(F.col("count") <= SMALL).select("key", "cid"))
         if large.isEmpty():
             break
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("cid"), "cid"))
-        probe = (large.select("key", "cid").withColumn("place", place).where(F.col("place") <= PROBE)
+        probe = (large.withColumn("place", place).where(F.col("place") <= PROBE)
                  .join(sk, F.col("cid") == F.col("c")).select("key", "sk"))
-        dense = written(probe.groupBy("key").applyInPandas(_dense, "k long"), "dense")
-        used.append(dense)
-        done = done.union(large.join(dense, F.col("key") == F.col("k"), "left_semi").select("key", "cid"))
-        further = large.join(dense, F.col("key") == F.col("k"), "left_anti")
-        split[depth] = written(further.select(F.col("cid").alias("s")).distinct(), "split")
-        rows = map_rows(further.join(sk, F.col("cid") == F.col("c")).select("key", "cid", "sk"), "key long, cid long", _split)
-    members = written(done, "members")
+        heads = written(probe.groupBy("key").applyInPandas(_head, "k long, dense boolean, head binary"), "heads")
+        members = large.join(heads, F.col("key") == F.col("k")).join(sk, F.col("cid") == F.col("c"))
+        paths = written(map_rows(members.select("key", "cid", "sk", "dense", "head"), "kind int, key long, cid long",
+                                 _split(depth in WAVES)), "paths")
+        used += [heads, paths]
+        done.append(paths.where(F.col("kind") == DONE).select("key", "cid"))
+        rows = paths.where(F.col("kind") == CHILD).select("key", "cid")
+        if depth in WAVES:
+            split[depth] = written(paths.where(F.col("kind") == SPLIT).select(F.col("cid").alias("s")).distinct(), "split")
+    members = done[0]
+    for d in done[1:]:
+        members = members.union(d)
+    members = written(members, "members")
     dropped(*used)
     return members, split
 
