@@ -1,38 +1,41 @@
 """A backoff language model as a weighted automaton, learned from and applied to whole corpora.
 
-States are the kept n-grams (and the start of a text); an arc (state, word) carries a log-probability,
-and every state has a failure arc to its longest proper suffix that carries its backoff weight. A text is
-scored in one traversal: in each state, take the word's arc, or follow failure arcs, adding their
-weights, down to the unigram state, which has an arc for every word.
-
-All counts are taken over all training texts. What a task must hold is bounded by relative frequency
-and not by the size of the corpus: words with at least ``WORD_SHARE`` of all tokens can be states (at
-most 1 / WORD_SHARE of them), n-grams with at least ``ARC_SHARE`` of them become arcs (at most
-1 / ARC_SHARE per order). Every other word keeps its exact unigram arc; those arcs stay distributed,
-and the tokens that need them are joined with the counts.
+States are the n-grams of the training texts (and the start of a text); an arc (state, word) carries a probability, and
+every state has a failure arc to its longest proper suffix with a weight. The probabilities are smoothed by a prior
+of ``PRIOR`` occurrences that are drawn from the shorter context (Dirichlet): with c(h) occurrences of a state, the arc to w has
+(c(hw) + K p(w | shorter)) / (c(h) + K) and the failure arc weighs K / (c(h) + K), so each state's probabilities sum to
+one. The unigram state has an arc for every word. A text is read from left to right: the state after a token is the
+bigram that ends there, and its arc or, by the failure arcs, the arcs of shorter states give the next token's probability.
+
+Every n-gram of every training text counts, once or a million times, at every size: nothing is cut and no model is
+shipped. Texts are dealt into chunks, which number their distinct words, bigrams and trigrams. An n-gram of a chunk goes
+into one shuffle by its hash, where the counts of all chunks are added up; only n-grams that other chunks hold too
+come back, as the chunk knows the rest. A trigram is sent only if other chunks hold both of its bigrams.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from shotbank.llm.common import held_out, map_rows, written
+from shotbank.llm.common import _arrow_schema, dropped, held_out, written
 
-ORDER = 3
-WORD_SHARE = 1e-6
-ARC_SHARE = 1e-6
-#: Absolute discount of each arc's count.
-DISCOUNT = 0.75
-#: Tokens that a task looks up at a time.
-CHUNK_TOKENS = 1 << 18
+#: Occurrences that the shorter context counts for in a bigram and in a trigram.
+PRIOR = (2000.0, 3.0)
+#: Bytes of text in a chunk, at least (a longer text is a chunk of its own), and rows sent at a time.
+CHUNK = 8 << 20
+ROWS = 1 << 17
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 END = b""  # no word is empty
+START = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -42,223 +45,254 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
-def hash_of(word: bytes) -> int:
-    """Spark's ``xxhash64`` of the same bytes."""
-    h = xxhash.xxh64_intdigest(word, seed=42)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) over all ``texts``; each batch is counted before the shuffle."""
-
-    def run(cols: dict) -> dict:
-        counts: dict[bytes, int] = {}
-        for t in cols["text"]:
-            for w in tokens(t.as_py()):
-                counts[w] = counts.get(w, 0) + 1
-        return {"word": pa.array(list(counts), pa.binary()), "c": pa.array(list(counts.values()), pa.int64())}
-
-    return map_rows(texts.select("text"), "word binary, c long", run).groupBy("word").agg(F.sum("c").alias("c"))
-
-
-class Automaton:
-    """Word ids are 0..H-1, the start of a text is H. ``keys[n]`` holds the kept n-grams, sorted, as
-    state(n-1) * (H+1) + word; a place in it is the state of that n-gram."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, kinds: int, texts: int):
-        self.words, self.n_words = words, len(words)
-        self.z = total + kinds + 1
-        self.uni = np.log10((counts + 1) / self.z)
-        self.keys, self.logp, self.fail = {}, {}, {}
-        self.context = {1: np.append(counts, texts).astype(float)}
-        self._ids: dict | None = None
-
-    @property
-    def order(self) -> int:
-        return 1 + len(self.keys)
-
-    def __getstate__(self):
-        return {**self.__dict__, "_ids": None}
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        if self._ids is None:
-            self._ids = {w: i for i, w in enumerate(self.words)}
-        get = self._ids.get
-        return np.array([get(w, -1) for w in words], np.int64)
-
-    def find(self, n: int, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The n-gram (state of order n-1, word), or -1."""
-        keys = self.keys[n]
-        if not len(keys):
-            return np.full(len(state), -1)
-        want = np.where((state >= 0) & (word >= 0), state * (self.n_words + 1) + word, -1)
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        return np.where(keys[at] == want, at, -1)
-
-    def states(self, ids: np.ndarray, start: np.ndarray, top: int) -> dict[int, np.ndarray]:
-        """For each order up to ``top``, the state *before* each token (-1: none of that order). ``start`` marks first tokens."""
-        if top < 1:
-            return {}
-        before = {1: np.where(start, self.n_words, np.append(-1, ids[:-1]))}
-        for n in range(2, top + 1):
-            older = np.where(start, -1, np.append(-1, before[n - 1][:-1]))
-            before[n] = np.where(start, -1, self.find(n, older, np.append(-1, ids[:-1])))
-        return before
-
-    def add_order(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Add the arcs of the next order; failure weights make each state's probabilities sum to one."""
-        n = self.order + 1
-        by = np.argsort(keys)
-        keys, counts = keys[by], counts[by]
-        state, word = keys // (self.n_words + 1), keys % (self.n_words + 1)
-        p = (counts - DISCOUNT) / self.context[n - 1][state]
-        size = len(self.context[n - 1])
-        # what the shorter context gives to the words that have an arc here
-        low = 10 ** self._backed_off(n - 1, state, word)
-        mass = 1 - np.bincount(state, p, size)
-        rest = 1 - np.bincount(state, low, size)
-        self.fail[n - 1] = np.log10(np.maximum(mass, 1e-12) / np.maximum(rest, 1e-12))
-        self.keys[n], self.logp[n], self.context[n] = keys, np.log10(p), counts.astype(float)
-
-    def _backed_off(self, n: int, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 p(word | the longest proper suffix of a state of order n)."""
-        if n == 1:
-            return self.uni[word]
-        # the suffix of an n-gram drops its first word: (a, b) -> b for the orders in use
-        suffix = self._suffix(n, state)
-        at = self.find(n, suffix, word)
-        return np.where(at >= 0, self.logp[n][at], self.fail[n - 1][suffix] + self._backed_off(n - 1, suffix, word))
-
-    def _suffix(self, n: int, state: np.ndarray) -> np.ndarray:
-        last = self.keys[n][state] % (self.n_words + 1)
-        return last if n == 2 else self.find(n - 1, self._suffix(n - 1, self.keys[n][state] // (self.n_words + 1)), last)
-
-    def score(self, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(unigram, model) log10 probability of each token; words without an id count 0 for
-        their unigram arc, which the caller adds."""
-        uni = np.where(ids >= 0, self.uni[ids], 0.0)
-        logp = uni.copy()
-        for n, state in self.states(ids, start, self.order - 1).items():
-            at = self.find(n + 1, state, ids)
-            away = np.where(state >= 0, self.fail[n][state], 0.0) + logp
-            logp = np.where(at >= 0, self.logp[n + 1][at], away) if len(self.logp[n + 1]) else away
-        return uni, logp
-
-
-def _chunks(texts: pa.Array):
-    """(lengths, words) of whole texts, about ``CHUNK_TOKENS`` tokens at a time."""
-    sizes, words = [], []
-    for t in texts:
-        ws = tokens(t.as_py())
-        sizes.append(len(ws))
-        words += ws
-        if len(words) >= CHUNK_TOKENS:
-            yield np.array(sizes), words
-            sizes, words = [], []
-    if sizes:
-        yield np.array(sizes), words
-
-
-def _starts(sizes: np.ndarray) -> np.ndarray:
-    start = np.zeros(sizes.sum(), bool)
-    start[np.cumsum(sizes) - sizes] = True
-    return start
-
-
-def learn(texts: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, arc_share: float = ARC_SHARE):
-    """(automaton, counts, total): the model of ``texts`` (a column text), the written exact counts
-    (word, c) of all its words, and the number of its tokens."""
-    spark = texts.sparkSession
-    counts = written(word_counts(texts), "words")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n_texts = counts.where(F.col("word") == F.lit(bytearray(END))).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    # at most 1 / word_share words reach this share
-    head = counts.where((F.col("c") >= word_share * total)).toPandas()
-    words = [bytes(w) for w in head["word"]]
-    c = head["c"].to_numpy(np.int64)
-    if END not in words:
-        words, c = [*words, END], np.append(c, n_texts)
-    model = Automaton(words, c, total, kinds, n_texts)
-    least = max(2, arc_share * total)
-    for n in range(2, order + 1):
-        shared = spark.sparkContext.broadcast(model)
-        grams = map_rows(texts.select("text"), "k long, c long", _count_arcs(shared, n))
-        kept = grams.groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toPandas()
-        model.add_order(kept["k"].to_numpy(np.int64), kept["c"].to_numpy(np.int64))
-    return model, counts, total
-
-
-def _count_arcs(shared, n: int):
-    def run(cols: dict) -> dict:
-        model, parts = shared.value, []
-        for sizes, words in _chunks(cols["text"]):
-            ids = model.ids(words)
-            state = model.states(ids, _starts(sizes), n - 1)[n - 1]
-            ok = (state >= 0) & (ids >= 0)
-            parts.append(state[ok] * (model.n_words + 1) + ids[ok])
-        k, c = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
-        return {"k": pa.array(k, pa.int64()), "c": pa.array(c, pa.int64())}
-
-    return run
-
-
-def score(docs: DataFrame, model: Automaton, counts: DataFrame, word_share_total: float) -> DataFrame:
-    """(uid, doc_id, held_out, n_tokens, n_known, base_score, score) of each row of ``docs`` (doc_id,
-    held_out, text): log10 probability of the text under the unigram arcs alone, and of the traversal.
-
-    Words that aren't states are joined with their counts, once per text and word.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(cols: dict) -> dict:
-        m = shared.value
-        out = {k: [] for k in ("n_tokens", "n_known", "base", "score", "rare")}
-        for sizes, words in _chunks(cols["text"]):
-            ids = m.ids(words)
-            start = _starts(sizes)
-            first = np.flatnonzero(start)
-            uni, logp = m.score(ids, start)
-            out["n_tokens"] += sizes.tolist()
-            out["n_known"] += np.add.reduceat((ids >= 0).astype(np.int64), first).tolist()
-            out["base"] += np.add.reduceat(uni, first).tolist()
-            out["score"] += np.add.reduceat(logp, first).tolist()
-            for a, n in zip(first, sizes):
-                rare = np.flatnonzero(ids[a:a + n] < 0) + a
-                h, c = np.unique(np.array([hash_of(words[i]) for i in rare], np.int64), return_counts=True)
-                out["rare"].append([{"h": x, "n": y} for x, y in zip(h.tolist(), c.tolist())])
-        return {"doc_id": cols["doc_id"], "held_out": cols["held_out"], **out}
-
-    rows = map_rows(docs, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-                          "rare array<struct<h: long, n: long>>", run)
-    # written, so each row keeps its number
-    rows = written(rows.select(F.monotonically_increasing_id().alias("uid"), "*"), "scored")
-    few = counts.where(F.col("c") < word_share_total).select(F.xxhash64("word").alias("g"), "c")
-    log_c = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.z)))
-    tail = (rows.select(F.col("uid").alias("u"), F.explode("rare").alias("r")).select("u", "r.h", "r.n")
-            .join(few, F.col("h") == F.col("g"), "left")
-            .groupBy("u").agg(F.sum(F.col("n") * log_c).alias("tail"),
-                              F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("tail_known")))
-    add = F.coalesce("tail", F.lit(0.0))
-    return (rows.drop("rare").join(tail, F.col("uid") == F.col("u"), "left")
-            .select("uid", "doc_id", "held_out", "n_tokens",
-                    (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-                    (F.col("base") + add).alias("base_score"), (F.col("score") + add).alias("score")))
-
-
-def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2,
-                 order: int = ORDER, word_share: float = WORD_SHARE, arc_share: float = ARC_SHARE) -> DataFrame:
+def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two."""
+    h = x * np.uint64(0xBF58476D1CE4E5B9) + y
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Chunk:
+    """Texts as numbers: distinct words, bigrams and trigrams of a chunk, and the place of each in its texts.
+
+    ``words`` are the words' hashes, ``token`` each token's word, ``sizes`` the tokens of each text, ``held`` the texts
+    that are not learned from. A bigram is (word before or the start, word); a trigram (bigram before, word)."""
+
+    def __init__(self, words: np.ndarray, token: np.ndarray, sizes: np.ndarray, held: np.ndarray):
+        self.words, self.token, self.sizes = words.view(np.uint64), token.astype(np.int64), sizes
+        self.first = np.cumsum(sizes) - sizes
+        self.start = np.zeros(len(token), bool)
+        self.start[self.first] = True
+        self.learned = np.repeat(~held, sizes).astype(float)
+        self.n1 = np.bincount(self.token, self.learned, len(words)).astype(np.int64)
+        self.before = np.where(self.start, len(words), np.append(-1, self.token[:-1])) if len(token) else self.token
+
+    def bigrams(self) -> None:
+        width = len(self.words) + 1
+        code, self.bigram = np.unique(self.before * width + self.token, return_inverse=True)
+        before, word = code // width, code % width
+        self.key2 = _mixed(np.append(self.words, START)[before], self.words[word])
+        self.n2 = np.bincount(self.bigram, self.learned, len(code)).astype(np.int64)
+
+    def trigrams(self) -> None:
+        """Of the tokens that have two before them, the start of the text counted."""
+        width = len(self.words) + 1
+        self.later = np.flatnonzero(~self.start)
+        context = self.bigram[self.later - 1]
+        code, self.trigram = np.unique(context * width + self.token[self.later], return_inverse=True)
+        self.context3 = code // width
+        self.key3 = _mixed(self.key2[self.context3], self.words[code % width])
+        self.n3 = np.bincount(self.trigram, self.learned[self.later], len(code)).astype(np.int64)
+        # the bigram that a trigram ends with
+        self.last3 = np.zeros(len(code), np.int64)
+        self.last3[self.trigram] = self.bigram[self.later]
+
+    def asked(self, shared: np.ndarray) -> np.ndarray:
+        """The trigrams both of whose bigrams other chunks hold, too."""
+        return np.flatnonzero(shared[self.context3] & shared[self.last3])
+
+    def score(self, total1: np.ndarray, total2: np.ndarray, total3: np.ndarray, tokens_: int, kinds: int, texts: int) -> tuple:
+        """(n_known, base, score) per text from the corpus-wide counts."""
+        p = ((total1 + 1) / (tokens_ + kinds + 1))[self.token]
+        base = np.log10(p)
+        seen = np.append(total1, texts)[self.before]
+        p = np.where(seen > 0, (total2[self.bigram] + PRIOR[0] * p) / (seen + PRIOR[0]), p)
+        if len(self.later):
+            seen, low = total2[self.bigram[self.later - 1]], p[self.later]
+            p[self.later] = np.where(seen > 0, (total3[self.trigram] + PRIOR[1] * low) / (seen + PRIOR[1]), low)
+        known = (total1[self.token] > 0).astype(np.int64)
+        return tuple(np.add.reduceat(x, self.first) if len(self.first) else x[:0] for x in (known, base, np.log10(p)))
+
+
+def _pack(x: np.ndarray) -> tuple[bytes, int]:
+    return pa.compress(x.tobytes(), "zstd", asbytes=True), x.nbytes
+
+
+def _unpack(raw: bytes, size: int, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, size, "zstd") if size else b"", kind)
+
+
+_CHUNKS = ("chunk long, doc_id array<long>, held array<boolean>, sizes array<long>, words array<long>, n1 array<long>, "
+           "token binary, token_bytes long")
+_COUNTED = _CHUNKS + ", total1 binary, total1_bytes long, total2 binary, total2_bytes long, shared2 binary, shared2_bytes long, tokens long, kinds long, texts long"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _row(out: dict, arrow: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([out[f.name]], f.type) for f in arrow], schema=arrow)
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """Written chunks of ``docs(doc_id, held_out, text)``."""
+    struct = StructType.fromDDL(_CHUNKS)
+    arrow = _arrow_schema(struct)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        words, size = _Numbers(), 0
+
+        def row() -> pa.RecordBatch:
+            ids, out, sizes, token = held
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64).view(np.int64)
+            token = np.concatenate(token)
+            c = Chunk(hashes, token, np.array(sizes, np.int64), np.array(out, bool))
+            packed, nbytes = _pack(token)
+            return _row({"chunk": number, "doc_id": ids, "held": out, "sizes": sizes, "words": hashes, "n1": c.n1,
+                         "token": packed, "token_bytes": nbytes}, arrow)
+
+        for batch in batches:
+            for i, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                text = t.as_py()
+                ws = tokens(text)
+                for x, v in zip(held, (i, h, len(ws), np.fromiter(map(words.__getitem__, ws), np.int32, len(ws)))):
+                    x.append(v)
+                size += len(text or "") + 100
+                if size >= CHUNK:
+                    yield row()
+                    held, words, size, number = ([], [], [], []), _Numbers(), 0, number + 1
+        if held[0]:
+            yield row()
+
+    return written(docs.select("doc_id", "held_out", "text").mapInArrow(run, struct), "lm-chunks")
+
+
+def _read(batch: pa.RecordBatch, names: list[str], i: int) -> dict:
+    """A row's columns; arrays as numpy."""
+    out = {}
+    for n, column in zip(names, batch.columns):
+        v = column[i]
+        if not (v.is_valid and pa.types.is_list(column.type)):
+            out[n] = v.as_py()
+        else:  # ids may be null
+            out[n] = v.values if n == "doc_id" else v.values.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _chunk(r: dict) -> Chunk:
+    return Chunk(r["words"], _unpack(r["token"], r["token_bytes"], np.int32), r["sizes"], r["held"].astype(bool))
+
+
+def _over_chunks(table: DataFrame, schema: str, fn) -> DataFrame:
+    """The record batches (dicts of columns) that ``fn(row)`` yields for each chunk."""
+    struct = StructType.fromDDL(schema)
+    arrow, names = _arrow_schema(struct), table.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for out in fn(_read(batch, names, i)):
+                    yield pa.RecordBatch.from_arrays(
+                        [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+
+    return table.mapInArrow(run, struct)
+
+
+_GRAMS = "chunk long, slot int, key long, n long"
+
+
+def _grams(chunk: int, slot: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[dict]:
+    for lo in range(0, len(slot), ROWS):
+        part = slice(lo, lo + ROWS)
+        yield {"chunk": np.full(len(slot[part]), chunk), "slot": slot[part].astype(np.int32), "key": key[part].view(np.int64), "n": n[part]}
+
+
+def _bigrams(r: dict) -> Iterator[dict]:
+    c = _chunk(r)
+    c.bigrams()
+    yield from _grams(r["chunk"], np.arange(len(c.key2)), c.key2, c.n2)
+
+
+def _trigrams(r: dict) -> Iterator[dict]:
+    c = _chunk(r)
+    c.bigrams()
+    c.trigrams()
+    ask = c.asked(_unpack(r["shared2"], r["shared2_bytes"], bool))
+    yield from _grams(r["chunk"], np.arange(len(ask)), c.key3[ask], c.n3[ask])
+
+
+def _elsewhere(grams: DataFrame, name: str) -> DataFrame:
+    """(c, name: array of (slot, total, more)) per chunk: the corpus-wide counts of its n-grams that other chunks hold, too.
+    ``more`` tells that another chunk comes first among those that were taught it. A key has one row per chunk at most."""
+    w = Window.partitionBy("key")
+    first = F.min(F.when(F.col("n") > 0, F.col("chunk"))).over(w)
+    rows = (grams.withColumn("total", F.sum("n").over(w)).withColumn("more", (F.col("n") > 0) & (first != F.col("chunk")))
+            .withColumn("holders", F.count("*").over(w)).where("holders > 1"))
+    return rows.groupBy(F.col("chunk").alias("c_" + name)).agg(F.collect_list(F.struct("slot", "total", "more")).alias(name))
+
+
+def _with_found(table: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """``table`` with three arrays instead of one of structs."""
+    return (table.join(found, F.col("chunk") == F.col("c_" + name), "left")
+            .select(*table.columns, *(F.col(f"{name}.{f}").alias(f"{name}_{f}") for f in ("slot", "total", "more"))))
+
+
+def _filled(own: np.ndarray, slot: np.ndarray | None, total: np.ndarray | None) -> np.ndarray:
+    out = own.astype(np.int64)
+    if slot is not None:
+        out[slot] = total
+    return out
+
+
+def _count(r: dict) -> Iterator[dict]:
+    c = _chunk(r)
+    c.bigrams()
+    total1 = _filled(c.n1, r["f1_slot"], r["f1_total"])
+    total2 = _filled(c.n2, r["f2_slot"], r["f2_total"])
+    out = {k: [r[k]] for k in ("chunk", "doc_id", "held", "sizes", "words", "n1", "token", "token_bytes")}
+    shared2 = np.zeros(len(c.n2), bool)
+    if r["f2_slot"] is not None:
+        shared2[r["f2_slot"]] = True
+    for k, x in (("total1", total1), ("total2", total2), ("shared2", shared2)):
+        packed, size = _pack(x)
+        out |= {k: [packed], k + "_bytes": [size]}
+    later = 0 if r["f1_more"] is None else int(r["f1_more"].sum())
+    yield out | {"tokens": [int(c.n1.sum())], "kinds": [int((c.n1 > 0).sum()) - later], "texts": [int((~r["held"].astype(bool)).sum())]}
+
+
+def counted(table: DataFrame) -> DataFrame:
+    """Written chunks with the corpus-wide counts of their words and bigrams, and what they add to the numbers of tokens,
+    distinct words and texts that are learned from."""
+    words = table.select("chunk", F.posexplode(F.arrays_zip("words", "n1")).alias("slot", "w")).select(
+        "chunk", "slot", F.col("w.words").alias("key"), F.col("w.n1").alias("n"))
+    both = _with_found(_with_found(table, _elsewhere(words, "f1"), "f1"), _elsewhere(_over_chunks(table, _GRAMS, _bigrams), "f2"), "f2")
+    return written(_over_chunks(both, _COUNTED, _count), "lm-counted")
+
+
+def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     The model learns from the rows whose crc32(id as text) mod ``mod`` isn't ``rest``. A null text
     counts as the empty one (one token, its end), a null id as an empty text. Repeated rows are
-    learned from and scored one by one. Without training rows every probability is 1 / 1.
+    learned from and scored one by one. Without training rows every probability is 1. Tasks hold one chunk of texts or one
+    longer text as numbers; other columns are ignored, an empty table gives none.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        held_out(F.col(id_col), mod, rest).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    model, counts, total = learn(docs.where(~F.col("held_out")), order, word_share, arc_share)
-    known = (model.uni > np.log10(1.5 / model.z))
-    out = score(docs, model, counts.where(F.col("word") != F.lit(bytearray(END))), word_share * total)
-    if not known.all():  # the end mark is a state even if no training text has one
-        out = out.withColumn("n_known", F.col("n_known") - 1)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"),
-                      "base_score", "score")
+    table = chunks(docs)
+    known = counted(table)
+    dropped(table)
+    tokens_, kinds, texts = (int(x or 0) for x in known.agg(F.sum("tokens"), F.sum("kinds"), F.sum("texts")).first())
+
+    def score(r: dict) -> Iterator[dict]:
+        c = _chunk(r)
+        c.bigrams()
+        c.trigrams()
+        total1, total2 = (_unpack(r[k], r[k + "_bytes"], np.int64) for k in ("total1", "total2"))
+        total3 = c.n3.copy()
+        if r["f3_slot"] is not None:
+            total3[c.asked(_unpack(r["shared2"], r["shared2_bytes"], bool))[r["f3_slot"]]] = r["f3_total"]
+        n_known, base, full = c.score(total1, total2, total3, tokens_, kinds, texts)
+        yield {"doc_id": r["doc_id"], "held_out": r["held"].astype(bool), "n_tokens": c.sizes,
+               "n_known": n_known, "base_score": base, "score": full}
+
+    rows = _with_found(known.drop("tokens", "kinds", "texts"), _elsewhere(_over_chunks(known, _GRAMS, _trigrams), "f3"), "f3")
+    return _over_chunks(rows, _SCORES, score).select("doc_id", "held_out", "n_tokens", "n_known",
+                                                     F.lit(tokens_).cast("long").alias("train_tokens"), "base_score", "score")

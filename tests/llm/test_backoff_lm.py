@@ -3,8 +3,8 @@ import re
 import zlib
 from collections import Counter
 
-import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shotbank.llm import backoff_lm
 
@@ -28,65 +28,66 @@ def check(rows, docs, **options):
     return got
 
 
-@pytest.mark.parametrize("share", [1e-6, 0.01])
-def test_base_score_is_exact(awkward, share):
-    check(awkward_rows(), awkward, word_share=share, arc_share=share)
+def plain(rows):
+    """The model by its definition, with dictionaries of tuples: log10 probability of a text, token by token."""
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    seen = Counter()
+    words = Counter()
+    for r in rows:
+        if not fold(r[0]):
+            t = [None, *tokens(r[1])]
+            words.update(t[1:])
+            for n in (1, 2, 3):
+                seen.update(tuple(t[i:i + n]) for i in range(len(t) - n + 1))
+    z = sum(words.values()) + len(words) + 1
+
+    def p(context, w):
+        if not context:
+            return (words[w] + 1) / z
+        low = p(context[1:], w)
+        k = backoff_lm.PRIOR[len(context) - 1]
+        return (seen[(*context, w)] + k * low) / (seen[context] + k) if seen[context] else low
+
+    def score(text):
+        t = [None, *tokens(text)]
+        return sum(math.log10(p(tuple(t[max(0, i - 2):i]), t[i])) for i in range(1, len(t)))
+
+    return p, score, words
+
 
+@pytest.mark.parametrize("chunk", [backoff_lm.CHUNK, 700])
+def test_exact_by_plain_dictionaries(spark, awkward, documents, monkeypatch, chunk):
+    """All counts in all orders, whatever the chunks; n-grams seen once count too."""
+    monkeypatch.setattr(backoff_lm, "CHUNK", chunk)
+    frame = awkward.select("doc_id", "text").union(documents.select(F.col("doc_id") + 1000, "text")).repartition(3)
+    rows = [(r["doc_id"], r["text"]) for r in frame.collect()]
+    got = check(rows, frame)
+    _, score, _ = plain(rows)
+    assert sorted((str(g["doc_id"]), round(g["score"], 6)) for g in got) == sorted((str(i), round(score(t), 6)) for i, t in rows)
 
-def test_held_out_texts_are_likelier_than_under_unigrams(documents):
+
+def test_held_out_texts_gain_much_over_unigrams(documents):
     got = check([(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()], documents)
     held = [g for g in got if g["held_out"]]
-    assert sum(g["score"] for g in held) > sum(g["base_score"] for g in held)
+    assert sum(g["score"] - g["base_score"] for g in held) > 0.4 * sum(g["n_tokens"] for g in held)
 
 
 def test_probabilities_of_every_state_sum_to_one(documents):
-    model, counts, total = backoff_lm.learn(documents.select("text"), word_share=1e-3, arc_share=1e-4)
-    h = model.n_words
-    rest = 1 - (10 ** model.uni).sum()  # of all other words together
-    for n in (1, 2):
-        states = np.arange(len(model.context[n]))[:: max(1, len(model.context[n]) // 50)]
-        for s in states:
-            state, word = np.full(h, s), np.arange(h)
-            at = model.find(n + 1, state, word)
-            away = model._backed_off(n, state, word) if not (n == 1 and s == h) else model.uni[word]
-            p = 10 ** np.where(at >= 0, model.logp[n + 1][np.maximum(at, 0)], model.fail[n][s] + away)
-            lost = rest * 10 ** model.fail[n][s]
-            if n == 2:
-                lost *= 10 ** model.fail[1][model._suffix(2, np.array([s]))[0]]
-            assert p.sum() + lost == pytest.approx(1, abs=1e-6)
-
-
-def test_traversal_matches_a_walk_over_tuples(documents):
-    """The automaton against a plain recursive backoff over token tuples."""
-    model, counts, total = backoff_lm.learn(documents.select("text"), word_share=1e-4, arc_share=1e-4)
-    h = model.n_words
-    arcs = {n: dict(zip(model.keys[n].tolist(), range(len(model.keys[n])))) for n in model.keys}
-
-    def state(gram):  # of a tuple of ids, or None
-        s = gram[0]
-        for n, w in enumerate(gram[1:], 2):
-            s = arcs[n].get(s * (h + 1) + w)
-            if s is None:
-                return None
-        return s
-
-    def logp(context, w):
-        if not context:
-            return model.uni[w] if w >= 0 else 0.0
-        s = state(context) if min(context) >= 0 else None
-        if s is None:
-            return logp(context[1:], w)
-        at = arcs[len(context) + 1].get(s * (h + 1) + w) if w >= 0 else None
-        return model.logp[len(context) + 1][at] if at is not None else model.fail[len(context)][s] + logp(context[1:], w)
-
-    for r in documents.limit(8).collect():
-        ids = model.ids(tokens(r["text"]))
-        start = np.zeros(len(ids), bool)
-        start[0] = True
-        _, got = model.score(ids, start)
-        seq = [h, *ids.tolist()]
-        assert np.allclose(got, [logp(tuple(seq[max(0, i - 2):i]), seq[i]) for i in range(1, len(seq))])
+    rows = [(r["doc_id"], r["text"]) for r in documents.limit(40).collect()]
+    p, _, words = plain(rows)
+    unseen = b"\xff"  # one for all words that the texts don't have
+    texts = [[None, *tokens(t)] for _, t in rows]
+    for t in texts[:6]:
+        for context in [(), (None,), tuple(t[:2]), tuple(t[3:5]), tuple(t[5:6]), (b"never", b"seen")]:
+            if b"" not in context:
+                assert sum(p(context, w) for w in [*words, unseen]) == pytest.approx(1, abs=1e-9)
 
 
 def test_empty_table(no_docs):
     assert backoff_lm.score_corpus(no_docs).count() == 0
+
+
+def test_no_training_rows(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    got = backoff_lm.score_corpus(spark.createDataFrame([(held, "a b"), (held, None)], "doc_id long, text string")).collect()
+    assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got) == [(1, 0, 0, 0, 0), (3, 0, 0, 0, 0)]
