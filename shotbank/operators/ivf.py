@@ -133,6 +133,14 @@ def _nearest(shared, metric: str, schema: T.StructType):
     return run
 
 
+def deal_by_cell(index: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
+    """The rows dealt by (cell, part) for writing: a cell has one part, and so one file, per ``file_rows`` rows."""
+    sizes = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / file_rows).cast("int").alias("_parts"))
+    return (index.join(sizes, "cell")
+            .withColumn("_part", F.pmod(F.xxhash64("id", "embedding"), F.col("_parts")).cast("int"))
+            .repartition("cell", "_part").select(*index.columns))
+
+
 def write_index(index: DataFrame, path: str, metric: str = "ip", nlist: int | None = None,
                 file_rows: int = FILE_ROWS) -> DataFrame:
     """Write (id, embedding, cell) partitioned by cell under ``path/index`` and a one-row manifest
@@ -140,11 +148,7 @@ def write_index(index: DataFrame, path: str, metric: str = "ip", nlist: int | No
 
     Rows are dealt by (cell, part): a cell has one part per ``file_rows`` rows."""
     spark = index.sparkSession
-    sizes = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / file_rows).cast("int").alias("_parts"))
-    dealt = (index.join(sizes, "cell")
-             .withColumn("_part", F.pmod(F.xxhash64("id", "embedding"), F.col("_parts")).cast("int"))
-             .repartition("cell", "_part"))
-    dealt.select(*index.columns).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/index")
+    deal_by_cell(index, file_rows).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/index")
     stored = _load(spark, f"{path}/index")
     manifest = stored.agg(F.lit("IndexIVFFlat").alias("index_type"), F.lit(metric).alias("metric"),
                           F.lit(nlist).cast("int").alias("nlist") if nlist is not None

@@ -513,6 +513,7 @@ def q_comparison_report(spark, sf):
 # ------------------------------------------------------------------ IVF index
 
 from shotbank.operators import ivf  # noqa: E402
+from shotbank.sources import index_store  # noqa: E402
 
 _CENT = """cent as (
   select label as cell, list(m order by i) as centroid from (
@@ -632,6 +633,21 @@ def q_index_rebuild(spark, sf):
     return _trained(spark.read.parquet(stored), cents, ivf.read_index(spark, out))
 
 
+@register("index_lifecycle", O.with_base(_CENT.replace("from kb v, cent c", "from (select id, embedding from kb union all "
+          "select 'q' || query_id, embedding from qb) v, cent c") + """
+select a.id, a.cell, 3 as version, (select count(*) from assigned) as rows, (select count(*)::integer from cent) as nlist
+from assigned a"""))
+def q_index_lifecycle(spark, sf):
+    """An index that is created, appended to (the query batch) and compacted: its rows in the last version."""
+    cents, index = _ivf_fixture(spark, sf)
+    root = scratch_path(spark, "index-store")
+    index_store.create(index, cents, root)
+    index_store.append(fx.query_batch(spark, sf).select(F.concat(F.lit("q"), "query_id").alias("id"), "embedding"), root)
+    index_store.compact(spark, root)
+    rows, _, v = index_store.load(spark, root)
+    return rows.select("id", "cell", F.lit(v.version).alias("version"), F.lit(v.rows).cast("long").alias("rows"), F.lit(v.nlist).alias("nlist"))
+
+
 # ------------------------------------------------------------------ embedding
 
 from shotbank.functions.text import WS_CLASS_RE2  # noqa: E402
