@@ -107,6 +107,21 @@ def op10_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+# base32: each five hexadecimal digits of the SHA-1 are four digits of it
+ORACLE["op10_warc_revisit"] = """
+with p as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as h from pages),
+ top as (select h, max(page_id) as refers_to, count(*) as n from p group by h),
+ digits as (select h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // (1 << (15 - 5 * k))) % 32 + 1, 1), '' order by g, k) as digest
+   from (select h, g, (16 ** 4 * d[1] + 16 ** 3 * d[2] + 16 ** 2 * d[3] + 16 * d[4] + d[5])::bigint as v
+     from (select h, g, [instr('0123456789abcdef', substr(h, 5 * g + i, 1)) - 1 for i in range(1, 6)] as d from top, range(8) as t(g))),
+     range(4) as s(k) group by h)
+select page_id, strlen(payload) as payload_bytes, digest as payload_digest,
+       case when page_id is not distinct from refers_to then 'response' else 'revisit' end as record_type,
+       case when page_id is distinct from refers_to then refers_to end as refers_to
+from p join top using (h) join digits using (h)
+"""
+
+
 @_query
 def op11_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noisy_toxicity.score_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -2,7 +2,7 @@
 
 Archives are written by Spark's text writer (one file per task, committed by its protocol, so a lost
 executor leaves no half archive) and read whole, file by file, by Content-Length. Headers alone are
-shuffled by payload digest to find each payload's original response.
+shuffled by payload digest to find each payload's original response. The writer compresses an archive as one gzip member.
 """
 
 from __future__ import annotations
@@ -11,19 +11,19 @@ import base64
 import hashlib
 import re
 import zlib
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotbank.llm.common import map_rows, written
+from shotbank.llm.common import written
 from shotbank.session import scratch_path
 
 #: Payload bytes in one archive file, about; a reader holds one file at a time.
 FILE_BYTES = 32 << 20
 CRLF = "\r\n"
 RECORD_ID = re.compile(rb"<urn:page:(-?\d*)>")
-DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -55,38 +55,54 @@ def resolve(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
             .where("n > 1").select(F.col("payload_sha1").alias("d"), "refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES, date: str | None = None) -> None:
     """Write one record per page under ``path``: a response with its payload, or a revisit that
     names the original and has no block.
 
     Pages are the rows: a repeated page_id gives repeated records (all of the largest page_id of a
     payload are responses). A null page_id ranks below all others and is written as an empty id.
     Control characters of a url are percent-encoded; a null url is written empty. Columns other than
-    page_id, url and html are ignored.
+    page_id, url and html are ignored. A task begins a new archive, in ``path/part=<n>``, whenever the one before holds
+    ``file_bytes``, so it has one record more than that at most. ``date`` (now, unless given) is when the records were made.
     """
     heads = headers(pages)
     # written before it is joined with its rows, so that Spark can split a hot payload
     found = written(resolve(heads, min_bytes), "revisited")
-    # records in one archive, by the mean payload
-    n, size = heads.agg(F.count("*"), F.sum("payload_bytes")).first()
-    per_file = max(1, file_bytes * n // max(1, size or 0))
     # by the row's own payload: a page_id may be null or stand at several payloads
     rows = heads.join(found, F.col("payload_sha1") == F.col("d"), "left")
     again = F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    records = map_rows(rows.select("page_id", "url", "html", "refers_to", again.alias("again")),
-                       "value string", _record)
-    (records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
-     .option("maxRecordsPerFile", per_file).text(path))
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    records = rows.select("page_id", "url", "html", "refers_to", again.alias("again")).mapInArrow(
+        _archives(file_bytes, date), "value string, part int")
+    records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").partitionBy("part").text(path)
 
 
-def _record(cols: dict) -> dict:
+def _archives(file_bytes: int, date: str):
+    """Records in the order of the rows, and the number of each one's archive in its task."""
+
+    def run(batches):
+        part = held = 0
+        for batch in batches:
+            columns = {n: batch.column(i) for i, n in enumerate(("page_id", "url", "html", "refers_to", "again"))}
+            values, parts = _record(columns, date), []
+            for v in values:
+                if held >= file_bytes:
+                    part, held = part + 1, 0
+                held += len(v)
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(parts, pa.int32())], names=["value", "part"])
+
+    return run
+
+
+def _record(cols: dict, date: str) -> list[str]:
     out = []
     for page, url, html, refers, again in zip(*(cols[c].to_pylist() for c in (
             "page_id", "url", "html", "refers_to", "again"))):
         payload = (html or "").encode("utf-8")
         url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
         lines = ["WARC/1.1", f"WARC-Type: {'revisit' if again else 'response'}",
-                 f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", f"WARC-Date: {DATE}",
+                 f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", f"WARC-Date: {date}",
                  f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest_of(payload)}"]
         if again:
             lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers}>"]
@@ -95,7 +111,7 @@ def _record(cols: dict) -> dict:
             lines += ["Content-Type: text/html; charset=utf-8"]
         lines += [f"Content-Length: {len(payload)}", "", ""]
         out.append(CRLF.join(lines) + payload.decode("utf-8"))
-    return {"value": out}
+    return out
 
 
 def parse(data: bytes):
@@ -117,7 +133,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     ``path``. Digest and length are those of the full payload: a response's are computed from the
     bytes read (a digest unlike the header's raises), a revisit's come from the response it names.
     """
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
              .select("path", "content"))
 
     def run(batches):

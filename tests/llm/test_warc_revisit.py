@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 
 from shotbank.llm import warc_revisit
 from shotbank.llm.common import table
@@ -53,7 +54,7 @@ def test_archives_are_valid_warc(spark, tmp_path):
     warc_revisit.write_archives(spark.createDataFrame(ROWS, "page_id long, url string, html string"), path, file_bytes=1000)
     import glob
 
-    names = glob.glob(f"{path.removeprefix('file:')}/*.gz")
+    names = glob.glob(f"{path.removeprefix('file:')}/*/*.gz")
     assert len(names) > 1
     records = [x for n in names for x in warc_revisit.parse(gzip.open(n).read())]
     assert len(records) == len(ROWS)
@@ -63,5 +64,22 @@ def test_archives_are_valid_warc(spark, tmp_path):
             assert not payload and b"WARC-Refers-To" in head and b"WARC-Profile" in head
 
 
+def test_long_payloads_among_many_short_ones(spark):
+    """Archives are cut by the bytes they hold, not by the mean payload."""
+    import glob
+    import os
+
+    rng = random.Random(1)
+    noise = "".join(chr(rng.randrange(33, 1000)) for _ in range(200_000))
+    rows = [(i, "u", f"short {i}") for i in range(3000)] + [(10_000 + i, "u", f"{i} {noise}") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = scratch_path(spark, "warc-long")
+    warc_revisit.write_archives(pages, path, file_bytes=500_000)
+    sizes = [len(gzip.open(n).read()) for n in glob.glob(f"{path.removeprefix('file:')}/*/*.gz")]
+    assert len(sizes) > 6 and max(sizes) < 500_000 * 3
+    assert digest(warc_revisit.read_archives(spark, path)) == brute(rows)
+    assert os.path.basename(path).startswith("warc-long")
+
+
 def test_empty_table(spark):
     assert warc_revisit.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
