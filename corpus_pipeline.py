@@ -34,8 +34,10 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, n_chunks, round_trip): the token ids, and whether they decode to the text."""
-    out = sp_scan.decode(sp_scan.encode(docs))
+    """(doc_id, ids, n_tokens, n_chunks, round_trip): the token ids, and whether they decode to the text.
+
+    The ids are written first, so that a task runs the encoder or the decoder and not one Python worker for each."""
+    out = sp_scan.decode(written(sp_scan.encode(docs), "encoded"))
     return out.select("doc_id", "ids", F.size("ids").alias("n_tokens"), "n_chunks",
                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
