@@ -9,10 +9,12 @@ instead of failing the job. Generation is neither cheap nor repeatable, so
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,6 +129,58 @@ def generate_to(prompts: DataFrame, model: Model, path: str, parallelism: int |
     return prompts.sparkSession.read.parquet(path)
 
 
+def patient(model: Model, retries: int, backoff: float) -> Model:
+    """``model``, called again after a failure, up to ``retries`` times, after pauses that double from ``backoff`` seconds."""
+
+    def call(system: str, prompt: str):
+        for again in range(retries + 1):
+            try:
+                return model(system, prompt)
+            except Exception:  # noqa: BLE001 - the last one is the caller's
+                if again == retries:
+                    raise
+                time.sleep(backoff * 2 ** again)
+
+    return call
+
+
+def generate_resumable(prompts: DataFrame, model: Model, path: str, calls_per_commit: int = 32, retries: int = 2,
+                       backoff: float = 1.0) -> DataFrame:
+    """Like :func:`generate_to`, but what a killed run had finished is kept, and a run on the same ``path`` goes on from there.
+
+    Prompts are dealt into tasks of about ``calls_per_commit`` calls; a task's answers are committed when it ends,
+    whatever becomes of the job (the second commit algorithm). The next run leaves out every prompt that has an answer
+    already; one whose calls all failed is asked again. A prompt is known by its query_id, method, system and prompt; repeated rows
+    are asked once. Returns one answer per prompt of ``prompts``.
+    """
+    spark = prompts.sparkSession
+    key = ["query_id", "method", "system", "prompt"]
+    asked = prompts.dropDuplicates(key)
+    done = answers(spark, path)
+    if done is not None:
+        good = done.where(~F.col("failed")).select(*(F.col(k).alias("_" + k) for k in key))
+        asked = asked.join(good, [F.col(k).eqNullSafe(F.col("_" + k)) for k in key], "left_anti")
+    rest = asked.count()
+    if rest:
+        generate(asked, patient(model, retries, backoff), math.ceil(rest / calls_per_commit)).write.mode("append").option(
+            "mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+    done = answers(spark, path)
+    if done is None:
+        return generate(prompts.limit(0), model)
+    wanted = prompts.select(*(F.col(k).alias("_" + k) for k in key))
+    return done.join(wanted, [F.col(k).eqNullSafe(F.col("_" + k)) for k in key], "left_semi")
+
+
+def answers(spark: SparkSession, path: str) -> DataFrame | None:
+    """One answer per prompt of those committed under ``path``, a good one if there is one; None if nothing is there."""
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException:  # no folder, or no file in it
+        return None
+    first = Window.partitionBy("query_id", "method", "system", "prompt").orderBy("failed", "response")
+    return found.withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")
+
+
 def best_scores(hits: DataFrame) -> DataFrame:
     """(query_id, best_similarity_score, retrieved_examples_count) from kept hits."""
     return hits.groupBy("query_id").agg(

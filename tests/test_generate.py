@@ -1,5 +1,6 @@
 """Prompt texts, failure isolation and evaluation edge cases."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from shotbank.operators import generate as gen
@@ -74,6 +75,61 @@ def test_generation_runs_once_and_is_reused(spark):
     assert calls.value == 6
 
 
+def _noting(folder, stop=None, fail=()):
+    """A model that leaves a file per call; it ends its process at ``stop`` and fails at ``fail``."""
+
+    def model(system, prompt):
+        import os
+        import tempfile as t
+
+        os.close(t.mkstemp(prefix=prompt.split()[-1] + "-", dir=folder)[0])
+        if stop and prompt.endswith(stop):
+            os._exit(1)
+        if any(prompt.endswith(x) for x in fail):
+            raise ValueError("busy")
+        return "answer to " + prompt[-4:]
+
+    return model
+
+
+def _calls(folder):
+    import os
+    from collections import Counter
+
+    return Counter(n.split("-")[0] for n in os.listdir(folder))
+
+
+def test_a_killed_run_goes_on_without_calling_finished_prompts(spark, tmp_path):
+    q = spark.createDataFrame([(i, f"q{i:03d}") for i in range(40)], "query_id long, query string")
+    prompts = q.select("query_id", F.lit("baseline").alias("method"), "query", F.lit("s").alias("system"), F.concat(F.lit("ask "), "query").alias("prompt"))
+    prompts = prompts.union(prompts.where("query_id < 3"))  # repeated prompts are asked once
+    one, two, out = (str(tmp_path / n) for n in ("one", "two", "out"))
+    (tmp_path / "one").mkdir(), (tmp_path / "two").mkdir()
+    with pytest.raises(Exception):  # noqa: B017 - whatever Spark makes of a lost worker
+        gen.generate_resumable(prompts, _noting(one, stop="q021"), out, calls_per_commit=4)
+    kept = gen.answers(spark, out)
+    finished = {r.query for r in kept.collect()} if kept is not None else set()
+    done = gen.generate_resumable(prompts, _noting(two), out, calls_per_commit=4)
+    assert finished and not finished & set(_calls(two)) and finished | set(_calls(two)) == {f"q{i:03d}" for i in range(40)}
+    assert max(_calls(two).values()) == 1 and max(_calls(one).values()) == 1
+    assert sorted(r.response for r in done.collect()) == sorted(f"answer to q{i:03d}" for i in range(40))
+    again = gen.generate_resumable(prompts, _noting(two, stop="q"), out)  # calls nothing
+    assert again.count() == 40
+
+
+def test_failed_calls_are_repeated_then_asked_again(spark, tmp_path):
+    q = spark.createDataFrame([(i, f"q{i}") for i in range(4)], "query_id long, query string")
+    prompts = q.select("query_id", F.lit("m").alias("method"), "query", F.lit(None).cast("string").alias("system"), F.concat(F.lit("ask "), "query").alias("prompt"))
+    out = str(tmp_path / "out")
+    (tmp_path / "one").mkdir(), (tmp_path / "two").mkdir()
+    first = gen.generate_resumable(prompts, _noting(str(tmp_path / "one"), fail=["q2"]), out, retries=2, backoff=0.01)
+    assert {r.query: r.failed for r in first.collect()} == {"q0": False, "q1": False, "q2": True, "q3": False}
+    assert _calls(str(tmp_path / "one")) == {"q0": 1, "q1": 1, "q2": 3, "q3": 1}
+    second = gen.generate_resumable(prompts, _noting(str(tmp_path / "two")), out)
+    assert _calls(str(tmp_path / "two")) == {"q2": 1} and not any(r.failed for r in second.collect()) and second.count() == 4
+    assert gen.generate_resumable(prompts.limit(0), _noting(out), str(tmp_path / "none")).count() == 0
+
+
 def test_null_fields_keep_their_example(spark):
     from shotbank.operators import retrieve as ret
 
