@@ -162,7 +162,7 @@ def _visit_part(k: int, metric: str, schema, scored, visits):
         top = TopK(q, k, metric)
         top.kth = _sort_key(asked.column("kth").to_numpy().astype(float), metric)
         if vectors.num_rows and len(q):
-            compared = _visit_cells(top, q, arrow_matrix(vectors.column("embedding")),
+            compared = visit_cells(top, q, arrow_matrix(vectors.column("embedding")),
                                     vectors.column("id").to_numpy(), vectors.column("cell").to_numpy(), metric)
             scored.add(compared)
             visits.add(len(q))
@@ -171,9 +171,9 @@ def _visit_part(k: int, metric: str, schema, scored, visits):
     return run
 
 
-def _visit_cells(top: TopK, q: np.ndarray, c: np.ndarray, ids: np.ndarray, cell: np.ndarray, metric: str) -> int:
-    """Each query meets the cell of its best bound, then those whose bound its k-th key so far doesn't beat. The
-    bounds are those of the vectors that are here."""
+def visit_cells(top: TopK, q: np.ndarray, c: np.ndarray, ids: np.ndarray, cell: np.ndarray, metric: str) -> int:
+    """Each query meets the cell of the nearest centre, then those whose bound its k-th key so far doesn't beat. Centres
+    and bounds are those of the vectors that are here. Returns how many pairs were compared."""
     order = np.argsort(cell, kind="stable")
     c, ids, cell = c[order], ids[order], cell[order]
     starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
@@ -186,9 +186,10 @@ def _visit_cells(top: TopK, q: np.ndarray, c: np.ndarray, ids: np.ndarray, cell:
     with np.errstate(divide="ignore", invalid="ignore"):
         cosine = np.where((norm > 0) & (length > 0), (unit * own).sum(1) / length, np.where(norm > 0, -1.0, 1.0))
     radius = np.sqrt(((c - own) ** 2).sum(1))
-    keys = low_keys(q, centre, np.minimum.reduceat(cosine, starts), np.minimum.reduceat(norm, starts),
-                    np.maximum.reduceat(norm, starts), np.maximum.reduceat(radius, starts), metric)
-    best, compared = keys.argmin(1), 0
+    high, none = np.maximum.reduceat(norm, starts), np.zeros(len(starts))
+    keys = low_keys(q, centre, np.minimum.reduceat(cosine, starts), np.minimum.reduceat(norm, starts), high,
+                    np.maximum.reduceat(radius, starts), metric)
+    best, compared = low_keys(q, centre, none + 1, high, high, none, metric).argmin(1), 0
     for first in (True, False):
         for x in np.argsort(keys.mean(0)) if not first else range(len(starts)):
             who = np.flatnonzero(((best == x) if first else (best != x)) & (keys[:, x] <= top.kth))

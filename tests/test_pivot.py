@@ -87,3 +87,18 @@ def test_self_join_scores_each_pair_once(spark, metric):
         assert sorted(self_knn(rows, 4, metric, tile_bytes=tile_bytes, info=info).collect()) == want
         assert info["pairs"].value == n * (n + 1) // 2
     assert self_knn(rows.limit(0), 4, metric).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+def test_cells_by_descent_are_those_of_all_comparisons(spark, metric):
+    vectors = _clouds(spark, 1200, 8, 60, 1, "v")
+    cents = pivot.pivots(vectors.where("id > 'v0006'"), 250)
+    cents = cents.union(cents.where("cell < 3").withColumn("cell", F.col("cell") + 250))  # ties go to the lower cell
+    info: dict = {}
+    got = {r.id: r.cell for r in ivf.assign_cells(vectors, cents, metric, info=info).collect()}
+    want = {r.query_id: r.id for r in knn(vectors.withColumnRenamed("id", "query_id"), cents, 1, metric, corpus_id="cell", corpus_vec="centroid").collect()}
+    assert len(want) >= 1197 and all(got[i] == c for i, c in want.items()) and all(got[i] == 0 for i in got if i not in want)
+    if metric != "ip":  # an inner product grows with the centroid's norm, not only with the angle
+        assert info["compared"].value < {"cosine": 0.4, "l2": 0.5}[metric] * 1200 * 253
+    tiled = {r.id: r.cell for r in ivf.assign_cells(vectors, cents, metric, block_bytes=8 * 8 * 100).collect()}
+    assert tiled == got
