@@ -513,7 +513,7 @@ def q_comparison_report(spark, sf):
 # ------------------------------------------------------------------ IVF index
 
 from shotbank.operators import ivf  # noqa: E402
-from shotbank.sources import index_store  # noqa: E402
+from shotbank.sources import index_store, npy  # noqa: E402
 
 _CENT = """cent as (
   select label as cell, list(m order by i) as centroid from (
@@ -795,6 +795,17 @@ def q_triplets_roundtrip(spark, sf):
     return src.load_triplets(spark, path)
 
 
+@register("npy_roundtrip", O.with_base("""x as (select 1)
+select row_number() over (order by pos) - 1 as pos,
+       list_transform(embedding::float[]::double[], lambda x: round(x, 6)) as embedding from kb"""))
+def q_npy_roundtrip(spark, sf):
+    """Every vector written to .npy parts in order and read back by ranges."""
+    path = scratch_path(spark, "npy")
+    npy.save_npy(fx.knowledge_base(spark, sf), path, "pos")
+    back = npy.load_npy(spark, path)
+    return back.select("pos", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+
+
 @register("vectors_roundtrip", O.with_base(f"""x as (select 1)
 select id, question, list_transform(embedding::double[], lambda x: round(x, 6)) as embedding,
        'fixture-embeddings' as model_name, cast(len(embedding) as integer) as embedding_dimension,
