@@ -37,17 +37,19 @@ RECALL = 0.999
 MAX_DEPTH = 8
 #: Depths for which runs are added: to the last one for sets with a bucket that is split beyond the one before.
 WAVES = (2, MAX_DEPTH)
-#: Larger buckets are split, unless their members are alike: mean similarity of ``PROBE`` of them from DENSE on. Where
+#: Buckets of up to SMALL members, a few tiles, are compared. Larger ones are split, unless their members are alike: mean similarity of ``PROBE`` of them from DENSE on. Where
 #: some of the probe (a share of CORE_SHARE) are like one of them, members from CORE on are compared as a bucket of their
 #: own, and only those up to APART go on: if two sets have 0.8 in common and one is below CORE, the other is below 0.7,
 #: and APART leaves room for two and a half deviations of an estimate.
-SMALL = 256
+SMALL = 4096
 PROBE = 32
 DENSE = 0.5
 CORE, CORE_SHARE, APART = 0.5, 0.125, 0.85
 #: Pairs are verified if their embeddings agree at least this far (five deviations below the threshold).
 CANDIDATE = 0.55
 TILE = 1024
+#: Groups of up to so many rows are compared many at a time, pair by pair.
+LISTED = 256
 #: Bytes of shingle sets in a tile, and of the groups that are compared at a time.
 TILE_BYTES = 16 << 20
 SHIP_ROWS = 500_000
@@ -366,7 +368,7 @@ def candidate_pairs(f: pd.DataFrame, starts: np.ndarray, min_jaccard: float) ->
     sk = _sketches(f["sk"])
     ends = np.append(starts[1:], len(f))
     out_p, out_q = [], []
-    small = (ends - starts) <= SMALL
+    small = (ends - starts) <= LISTED
     # all pairs of all small groups at once: each row with those after it in its group
     after = np.zeros(len(f), np.int64)
     for a, b in zip(starts[small], ends[small]):

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from shotbank.llm import chosen_path
 
@@ -92,8 +93,10 @@ def lost_pairs(spark, **options):
     return len(pairs) - met, len(pairs)
 
 
-def test_recall_in_deep_buckets(spark):
-    """Production parameters against the whole sets."""
+@pytest.mark.parametrize("small", [64, chosen_path.SMALL])
+def test_recall_in_deep_buckets(spark, monkeypatch, small):
+    """Production parameters against the whole sets; with small buckets these sets go through many splits."""
+    monkeypatch.setattr(chosen_path, "SMALL", small)
     lost, n = lost_pairs(spark)
     assert n > 1000 and lost <= 0.001 * n
 
