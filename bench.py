@@ -78,7 +78,7 @@ def main() -> None:
             fx.triplets(spark, sf_dir)
             fx.knowledge_base(spark, sf_dir)
             fx.query_batch(spark, sf_dir)
-            registry._ivf_fixture(spark, sf_dir)
+            registry._ivf_cells(spark, sf_dir)
             registry.lexical_index(spark, sf_dir)
 
         took = limited(spark, "build_knowledge_base", 2 * limit, build)

@@ -245,12 +245,14 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
 
 
 def bounded_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int, nprobe: int = 1, metric: str = "ip",
-                   query_id: str = "query_id", query_vec: str = "embedding", info: dict | None = None) -> DataFrame:
-    """(query_id, rank, id, score): the exact top-k. After the ``nprobe`` nearest cells a query visits just the others
+                   query_id: str = "query_id", query_vec: str = "embedding", cells: DataFrame | None = None,
+                   info: dict | None = None) -> DataFrame:
+    """(query_id, rank, id, score): the exact top-k. ``cells`` are the index's ``pivot.cell_stats``, if they are stored
+    with it; else they are computed. After the ``nprobe`` nearest cells a query visits just the others
     whose bound (from their widest angle or radius) reaches its k-th score; see :mod:`shotbank.operators.pivot`."""
     from shotbank.operators import pivot
 
-    return pivot.search(queries, index, pivot.cell_stats(index, centroids), k, metric, nprobe, query_id, query_vec, info=info)
+    return pivot.search(queries, index, pivot.cell_stats(index, centroids) if cells is None else cells, k, metric, nprobe, query_id, query_vec, info=info)
 
 
 def _scan_cells(shared, k: int, metric: str, schema: T.StructType):

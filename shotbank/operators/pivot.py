@@ -113,6 +113,9 @@ def search(queries: DataFrame, index: DataFrame, cells: DataFrame, k: int, metri
         kernel = _visit_part(k, metric, schema, info["scored"], info["visits"])
         return asked.groupBy("part", "tile").cogroup(met.groupBy("in_part", "in_tile")).applyInArrow(kernel, schema)
 
+    if info["parts"] == 1:  # there is nothing that a bound could leave out
+        everywhere = q.select("uid", F.lit(0).alias("part"), F.lit(None).cast("double").alias("kth"))
+        return rank_candidates(visit(everywhere), k, metric)
     near = knn(q.select("uid", "vec"), cells.select(F.col("cell").alias("id"), "centroid"), nprobe, metric, query_id="uid",
                query_vec="vec", corpus_vec="centroid", strategy="broadcast_corpus", block_bytes=block_bytes)
     seeds = (near.select(F.col("query_id").alias("uid"), F.col("id").alias("cell")).join(cells.select("cell", "part", "last_part"), "cell")
