@@ -276,3 +276,26 @@ def test_lexical_blocks_prune_and_lose_nothing(spark):
         assert sorted(lexical.search(q, lexical.build_index(kb, block=7), 5, **options).collect()) == want
     one = index.selectExpr("size(ids) as n", "size(vectors) as v", "array_max(top.values) as w").collect()
     assert all(r.n == r.v <= lexical.BLOCK and 0 < r.w <= 1 for r in one) and sum(r.n for r in one) == 3040
+
+
+def test_lexical_search_scores_few_pairs_in_double(spark, monkeypatch):
+    """Copies beyond the k first by id are no hits, and exact scores are taken a bounded number of vectors at a time."""
+    from shotbank.operators import embed as emb, knn as knn_op, lexical
+
+    rows = [(f"d{i:05d}", f"the same words w{i % 3}") for i in range(1500)]
+    kb = emb.lexical_vectors(spark.createDataFrame(rows, "id string, text string"), "text")
+    q = emb.lexical_vectors(spark.createDataFrame([(i, f"same w{i % 3}") for i in range(90)], "query_id long, text string"), "text")
+    want = sorted(knn(q, kb, 5).collect())
+    index = lexical.build_index(kb)
+    assert sorted(lexical.search(q, index, 5).collect()) == want
+
+    sizes, exact = [], knn_op.pair_scores
+    monkeypatch.setattr(knn_op, "pair_scores", lambda a, b, metric: (sizes.append(a.size), exact(a, b, metric))[1])
+    qmat = knn_op.arrow_matrix(q.toArrow().column("embedding"))
+    top = knn_op.TopK(qmat, 5, "ip")
+    for rb in index.toArrow().to_batches():
+        lexical._visit(top, qmat.astype(np.float32), rb)
+    assert top.kept < 90 * 1500 / 10 and max(sizes) <= 1 << 20
+    top = knn_op.TopK(np.ones((2000, 1024)), 3, "ip")
+    top.add(np.ones((200, 1024)), np.arange(200))
+    assert max(sizes) <= 1 << 20 and top.result()[1][:3].tolist() == [0, 1, 2]
