@@ -45,6 +45,10 @@ TILE_ROWS = 2048
 _PAIR_NUMBERS = 1 << 20
 # scores are rounded to this many decimals before ranking
 SCORE_DECIMALS = 12
+# rows of a tile of a self join: a task compares two of them
+MEET_ROWS = 16384
+# a self join's tile pairs are dealt into so many partitions at most
+_PARTITIONS = 10_000
 # hits are shipped to the metadata scan up to this many bytes
 HIT_BYTES = 32 * 1024 * 1024
 _HIT_ROW = 64
@@ -421,8 +425,9 @@ def self_knn(vectors: DataFrame, k: int, metric: str = "ip", *, query_id: str =
     """Exact top-k of every vector among all (itself included): (query_id, rank, id, score), as ``knn`` of the table
     with itself.
 
-    Rows are dealt into tiles of about ``tile_bytes`` and every two tiles meet once, in one task: a score is
-    computed once and offered to both of its vectors. Each row is sent once per tile; nothing passes the driver.
+    Rows are dealt into tiles of about ``tile_bytes``, at most ``MEET_ROWS`` rows, and every two tiles meet once, in a
+    partition of their own (or few): a task's work does not grow with the table. A score is computed once and offered to
+    both of its vectors. Each row is sent once per tile; nothing passes the driver.
     ``info`` receives ``queries``, ``max_hits`` and the accumulator ``pairs`` of the scores computed."""
     if metric not in _HIGHER_BETTER:
         raise ValueError(f"unknown metric {metric!r}")
@@ -435,12 +440,14 @@ def self_knn(vectors: DataFrame, k: int, metric: str = "ip", *, query_id: str =
     schema = hit_schema(vectors.schema[query_id].dataType, vectors.schema[id_col].dataType)
     if not n or k <= 0:
         return _empty(spark, schema["query_id"].dataType, schema["id"].dataType)
-    tiles = math.ceil(n / rows_per_block(d, tile_bytes))
+    tiles = math.ceil(n / min(MEET_ROWS, rows_per_block(d, tile_bytes)))
     path = scratch_path(spark, "tiles")  # the tile of a row is drawn from its place, so it is written
     rows.withColumn("tile", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(tiles)).cast("int")).write.parquet(path)
     dealt = spark.read.parquet(path).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     pairs = dealt.select("query_id", "id", "vec", "tile", F.least("tile", "_other").alias("_a"), F.greatest("tile", "_other").alias("_b"))
-    found = pairs.groupBy("_a", "_b").applyInArrow(_meet(k, metric, schema, info["pairs"]), schema)
+    # as many partitions as pairs: the default number would hold ever more of them
+    dealt_pairs = pairs.repartition(min(tiles * (tiles + 1) // 2, _PARTITIONS), "_a", "_b")
+    found = dealt_pairs.groupBy("_a", "_b").applyInArrow(_meet(k, metric, schema, info["pairs"]), schema)
     return rank_candidates(found, k, metric)
 
 

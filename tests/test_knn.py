@@ -299,3 +299,15 @@ def test_lexical_search_scores_few_pairs_in_double(spark, monkeypatch):
     top = knn_op.TopK(np.ones((2000, 1024)), 3, "ip")
     top.add(np.ones((200, 1024)), np.arange(200))
     assert max(sizes) <= 1 << 20 and top.result()[1][:3].tolist() == [0, 1, 2]
+
+
+def test_self_join_has_a_partition_for_few_tile_pairs(spark, monkeypatch):
+    from shotbank.operators import knn as knn_op
+
+    monkeypatch.setattr(knn_op, "MEET_ROWS", 10)
+    rng = np.random.default_rng(3)
+    rows = [(i, f"v{i % 90:03d}", rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(95)]
+    df = spark.createDataFrame(rows, "pos long, id string, embedding array<double>")
+    got = knn_op.self_knn(df, 3, query_id="pos")
+    assert "hashpartitioning(_a" in got._jdf.queryExecution().toString() and ", 55)" in got._jdf.queryExecution().toString()
+    assert sorted(got.collect()) == sorted(knn(df.withColumnRenamed("pos", "query_id"), df, 3).collect())
