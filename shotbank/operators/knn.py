@@ -260,6 +260,12 @@ class TopK:
             out[part] = pair_scores(q[a[part]], c[b[part]], self.metric)
         return out
 
+    def take(self, other: TopK, first: int) -> None:
+        """Merge the hits of ``other``, whose queries are those from ``first`` on; ``settle`` ends it."""
+        qpos, ids, score = other.result()
+        self._pending.append((qpos + first, ids, score, _sort_key(score, self.metric)))
+        self._pending_n += len(qpos)
+
     def settle(self) -> None:
         """Merge what waits, so that ``kth`` holds each query's k-th best key so far."""
         self._flush()

@@ -30,6 +30,8 @@ from shotbank.session import scratch_path, ship_package
 #: Bytes of float64 vectors in a part, and in a tile of queries.
 PART_BYTES = 32 * 1024 * 1024
 PIVOTS = 4096
+#: Bounds that a task holds at a time.
+BOUNDS = 1 << 20
 _SLACK = 1e-9
 
 
@@ -146,15 +148,17 @@ def _open_parts(shared, metric: str):
                 continue
             q, kth = arrow_matrix(rb.column("vec")), rb.column("kth").to_numpy(zero_copy_only=False).astype(float)
             limit = _sort_key(kth, metric)
-            for lo in range(0, len(q), 1024):
-                keys = low_keys(q[lo:lo + 1024], c["centroid"], c["cosine"], c["low"], c["high"], c["radius"], metric)
-                i, j = np.nonzero(keys <= limit[lo:lo + 1024, None])
+            step, parts = max(1, BOUNDS // len(c["part"])), int(c["last_part"].max()) + 1
+            for lo in range(0, len(q), step):
+                keys = low_keys(q[lo:lo + step], c["centroid"], c["cosine"], c["low"], c["high"], c["radius"], metric)
+                i, j = np.nonzero(keys <= limit[lo:lo + step, None])
                 many = c["last_part"][j] - c["part"][j] + 1
                 at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                pairs = np.unique(np.stack([np.repeat(i, many) + lo, np.repeat(c["part"][j], many) + at], 1), axis=0)
+                pairs = np.unique(np.repeat((i + lo) * parts + c["part"][j], many) + at)
+                who = pa.array(pairs // parts)
                 yield pa.RecordBatch.from_arrays(
-                    [rb.column("uid").take(pa.array(pairs[:, 0])), pa.array(pairs[:, 1].astype(np.int32)),
-                     rb.column("kth").take(pa.array(pairs[:, 0]))], names=["uid", "part", "kth"])
+                    [rb.column("uid").take(who), pa.array((pairs % parts).astype(np.int32)), rb.column("kth").take(who)],
+                    names=["uid", "part", "kth"])
 
     return run
 
@@ -176,7 +180,8 @@ def _visit_part(k: int, metric: str, schema, scored, visits):
 
 def visit_cells(top: TopK, q: np.ndarray, c: np.ndarray, ids: np.ndarray, cell: np.ndarray, metric: str) -> int:
     """Each query meets the cell of the nearest centre, then those whose bound its k-th key so far doesn't beat. Centres
-    and bounds are those of the vectors that are here. Returns how many pairs were compared."""
+    and bounds are those of the vectors that are here. Returns how many pairs were compared. Queries go in turns whose
+    bounds are at most ``BOUNDS``, however many cells and queries meet."""
     order = np.argsort(cell, kind="stable")
     c, ids, cell = c[order], ids[order], cell[order]
     starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
@@ -190,17 +195,30 @@ def visit_cells(top: TopK, q: np.ndarray, c: np.ndarray, ids: np.ndarray, cell:
         cosine = np.where((norm > 0) & (length > 0), (unit * own).sum(1) / length, np.where(norm > 0, -1.0, 1.0))
     radius = np.sqrt(((c - own) ** 2).sum(1))
     high, none = np.maximum.reduceat(norm, starts), np.zeros(len(starts))
-    keys = low_keys(q, centre, np.minimum.reduceat(cosine, starts), np.minimum.reduceat(norm, starts), high,
-                    np.maximum.reduceat(radius, starts), metric)
-    best, compared = low_keys(q, centre, none + 1, high, high, none, metric).argmin(1), 0
-    for first in (True, False):
-        for x in np.argsort(keys.mean(0)) if not first else range(len(starts)):
-            who = np.flatnonzero(((best == x) if first else (best != x)) & (keys[:, x] <= top.kth))
-            if len(who):
-                here = slice(starts[x], starts[x] + sizes[x])
-                top.add(c[here], ids[here], who)
-                compared += len(who) * int(sizes[x])
-        top.settle()
+    widest = (np.minimum.reduceat(cosine, starts), np.minimum.reduceat(norm, starts), high, np.maximum.reduceat(radius, starts))
+
+    def visit(top: TopK, q: np.ndarray) -> int:
+        keys = low_keys(q, centre, *widest, metric)
+        best, compared = low_keys(q, centre, none + 1, high, high, none, metric).argmin(1), 0
+        for first in (True, False):
+            for x in np.argsort(keys.mean(0)) if not first else range(len(starts)):
+                who = np.flatnonzero(((best == x) if first else (best != x)) & (keys[:, x] <= top.kth))
+                if len(who):
+                    here = slice(starts[x], starts[x] + sizes[x])
+                    top.add(c[here], ids[here], who)
+                    compared += len(who) * int(sizes[x])
+            top.settle()
+        return compared
+
+    step = max(1, BOUNDS // len(starts))
+    if len(q) <= step:
+        return visit(top, q)
+    compared = 0
+    for lo in range(0, len(q), step):
+        turn = TopK(q[lo:lo + step], top.k, metric)
+        turn.kth = top.kth[lo:lo + step].copy()
+        compared += visit(turn, q[lo:lo + step])
+        top.take(turn, lo)
     return compared
 
 

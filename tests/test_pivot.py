@@ -102,3 +102,20 @@ def test_cells_by_descent_are_those_of_all_comparisons(spark, metric):
         assert info["compared"].value < {"cosine": 0.4, "l2": 0.5}[metric] * 1200 * 253
     tiled = {r.id: r.cell for r in ivf.assign_cells(vectors, cents, metric, block_bytes=8 * 8 * 100).collect()}
     assert tiled == got
+
+
+def test_bounds_are_held_a_bounded_number_at_a_time(monkeypatch):
+    from shotbank.operators import knn as knn_op, pivot
+
+    rng = np.random.default_rng(5)
+    c, q = rng.normal(size=(3000, 4)), rng.normal(size=(2500, 4))
+    ids, cell = np.arange(3000), rng.integers(0, 700, 3000)
+    sizes, keys = [], pivot.low_keys
+    monkeypatch.setattr(pivot, "low_keys", lambda q, c, *rest: (sizes.append(len(q) * len(c)), keys(q, c, *rest))[1])
+    for metric in ("ip", "cosine", "l2"):
+        top, plain = knn_op.TopK(q, 3, metric), knn_op.TopK(q, 3, metric)
+        pivot.visit_cells(top, q, c, ids, cell, metric)
+        plain.add(c, ids)
+        for x, y in zip(top.result(), plain.result()):
+            assert (x == y).all()
+    assert max(sizes) <= 1 << 20
