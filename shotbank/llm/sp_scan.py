@@ -50,6 +50,7 @@ class Vocabulary:
         self.ids = {p: i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == "piece"}
         self.score = {p: scores[i] for p, i in self.ids.items()}
         self.loss = {p: -x for p, x in self.score.items()}
+        self.packed = {p: np.int32(i).tobytes() for p, i in self.ids.items()}
         self.no_piece = float("inf")
         self.unknown = kinds.index("unknown")
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == "byte"}
@@ -101,12 +102,12 @@ class Vocabulary:
             if least == none:
                 break
             i = loss.index(least)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            parts[i] = piece = parts[i] + parts.pop(i + 1)
             del loss[i]
             if i:
-                loss[i - 1] = get(parts[i - 1] + parts[i], none)
+                loss[i - 1] = get(parts[i - 1] + piece, none)
             if i < len(loss):
-                loss[i] = get(parts[i] + parts[i + 1], none)
+                loss[i] = get(piece + parts[i + 1], none)
         return parts
 
     def compatible(self, left: str, right: str) -> bool:
@@ -156,7 +157,11 @@ class Vocabulary:
         """Ids of a unit. All paths meet at both its ends, so it is encoded alone: a short one by the
         definition, a long one by the best path."""
         if len(unit) <= UNIT:
-            return np.array([i for p in self.merged(unit) for i in self.ids_of(p)], np.int32).tobytes()
+            parts = self.merged(unit)
+            try:
+                return b"".join(map(self.packed.__getitem__, parts))
+            except KeyError:  # a character that is no piece
+                return np.array([i for p in parts for i in self.ids_of(p)], np.int32).tobytes()
         last = self.walk(unit, (0, 0), len(unit))
         return np.array([i for a, b in self.back(last, len(unit), 0) for i in self.ids_of(unit[a:b])], np.int32).tobytes()
 

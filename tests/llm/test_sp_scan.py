@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -70,3 +71,11 @@ def test_tables(spark, library, giant):
 
 def test_empty_table(no_docs):
     assert sp_scan.decode(sp_scan.encode(no_docs)).count() == 0 and sp_scan.digest(sp_scan.encode(no_docs)).count() == 0
+
+
+def test_units_of_pieces_are_joined_from_packed_ids(vocabulary, monkeypatch):
+    """Ids of a unit's pieces are not looked up and packed one by one."""
+    units = ["▁the", "▁of", "▁and", "tion"]
+    want = [[i for p in vocabulary.merged(u) for i in vocabulary.ids_of(p)] for u in units]
+    monkeypatch.setattr(vocabulary, "ids_of", None)
+    assert [np.frombuffer(vocabulary.encode_unit(u), np.int32).tolist() for u in units] == want
