@@ -8,9 +8,10 @@ one. The unigram state has an arc for every word. A text is read from left to ri
 bigram that ends there, and its arc or, by the failure arcs, the arcs of shorter states give the next token's probability.
 
 Every n-gram of every training text counts, once or a million times, at every size: nothing is cut and no model is
-shipped. Texts are dealt into chunks, which number their distinct words, bigrams and trigrams. An n-gram of a chunk goes
-into one shuffle by its hash, where the counts of all chunks are added up; only n-grams that other chunks hold too
-come back, as the chunk knows the rest. A trigram is sent only if other chunks hold both of its bigrams.
+shipped. Texts are dealt into chunks, which number their distinct words, bigrams and trigrams. A chunk sorts the hashes of
+its n-grams and sends them, packed, to ranges of hashes, where the counts of all chunks are added up; what other chunks
+counted comes back packed in the same order. A trigram is sent only if other chunks hold both of its bigrams. The chunks
+stay where they were written, in buckets by number; only what comes back is shuffled to them.
 """
 
 from __future__ import annotations
@@ -22,17 +23,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shotbank.llm.common import _arrow_schema, dropped, held_out, written
+from shotbank.llm.common import _arrow_schema, bucketed, held_out, written
 
 #: Occurrences that the shorter context counts for in a bigram and in a trigram.
 PRIOR = (2000.0, 3.0)
-#: Bytes of text in a chunk, at least (a longer text is a chunk of its own), and rows sent at a time.
+#: Bytes of text in a chunk, at least (a longer text is a chunk of its own).
 CHUNK = 8 << 20
-ROWS = 1 << 17
+#: Tokens of the corpus for each range of hashes; a range holds fewer n-grams of an order.
+RANGE = 1 << 21
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 END = b""  # no word is empty
 START = np.uint64(0x9E3779B97F4A7C15)
@@ -66,7 +68,7 @@ class Chunk:
     that are not learned from. A bigram is (word before or the start, word); a trigram (bigram before, word)."""
 
     def __init__(self, words: np.ndarray, token: np.ndarray, sizes: np.ndarray, held: np.ndarray):
-        self.words, self.token, self.sizes = words.view(np.uint64), token.astype(np.int64), sizes
+        self.words, self.token, self.sizes = words, token.astype(np.int64), sizes
         self.first = np.cumsum(sizes) - sizes
         self.start = np.zeros(len(token), bool)
         self.start[self.first] = True
@@ -111,17 +113,24 @@ class Chunk:
         return tuple(np.add.reduceat(x, self.first) if len(self.first) else x[:0] for x in (known, base, np.log10(p)))
 
 
-def _pack(x: np.ndarray) -> tuple[bytes, int]:
-    return pa.compress(x.tobytes(), "zstd", asbytes=True), x.nbytes
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers byte by byte: first the lowest bytes of all, last the highest, which often are all the same."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), "zstd", asbytes=True)
 
 
-def _unpack(raw: bytes, size: int, kind) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, size, "zstd") if size else b"", kind)
+def _unpack(raw: bytes, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * size, "zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-_CHUNKS = ("chunk long, doc_id array<long>, held array<boolean>, sizes array<long>, words array<long>, n1 array<long>, "
-           "token binary, token_bytes long")
-_COUNTED = _CHUNKS + ", total1 binary, total1_bytes long, total2 binary, total2_bytes long, shared2 binary, shared2_bytes long, tokens long, kinds long, texts long"
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, the first from 0; ``np.cumsum`` undoes it."""
+    return np.diff(x, prepend=np.zeros(1, x.dtype))
+
+
+_CHUNKS = ("chunk long, doc_id array<long>, held array<boolean>, sizes array<long>, n_words long, words binary, "
+           "n_tokens long, token binary, learned long, texts long")
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -141,12 +150,16 @@ def chunks(docs: DataFrame) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             ids, out, sizes, token = held
-            hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64).view(np.int64)
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
             token = np.concatenate(token)
-            c = Chunk(hashes, token, np.array(sizes, np.int64), np.array(out, bool))
-            packed, nbytes = _pack(token)
-            return _row({"chunk": number, "doc_id": ids, "held": out, "sizes": sizes, "words": hashes, "n1": c.n1,
-                         "token": packed, "token_bytes": nbytes}, arrow)
+            # the most frequent words have the smallest numbers
+            order = np.lexsort((hashes, -np.bincount(token, minlength=len(hashes))))
+            number_of = np.empty(len(order), np.int32)
+            number_of[order] = np.arange(len(order))
+            learned = [n for n, h in zip(sizes, out) if not h]
+            return _row({"chunk": number, "doc_id": ids, "held": out, "sizes": sizes, "n_words": len(hashes),
+                         "words": _pack(_steps(hashes[order])), "n_tokens": len(token), "token": _pack(number_of[token]),
+                         "learned": sum(learned), "texts": len(learned)}, arrow)
 
         for batch in batches:
             for i, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -161,7 +174,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         if held[0]:
             yield row()
 
-    return written(docs.select("doc_id", "held_out", "text").mapInArrow(run, struct), "lm-chunks")
+    return bucketed(docs.select("doc_id", "held_out", "text").mapInArrow(run, struct), "chunk", "lm-chunks")
 
 
 def _read(batch: pa.RecordBatch, names: list[str], i: int) -> dict:
@@ -169,7 +182,7 @@ def _read(batch: pa.RecordBatch, names: list[str], i: int) -> dict:
     out = {}
     for n, column in zip(names, batch.columns):
         v = column[i]
-        if not (v.is_valid and pa.types.is_list(column.type)):
+        if not pa.types.is_list(column.type) or n == "found":
             out[n] = v.as_py()
         else:  # ids may be null
             out[n] = v.values if n == "doc_id" else v.values.to_numpy(zero_copy_only=False)
@@ -177,7 +190,8 @@ def _read(batch: pa.RecordBatch, names: list[str], i: int) -> dict:
 
 
 def _chunk(r: dict) -> Chunk:
-    return Chunk(r["words"], _unpack(r["token"], r["token_bytes"], np.int32), r["sizes"], r["held"].astype(bool))
+    return Chunk(np.cumsum(_unpack(r["words"], r["n_words"], np.uint64), dtype=np.uint64),
+                 _unpack(r["token"], r["n_tokens"], np.int32), r["sizes"], r["held"].astype(bool))
 
 
 def _over_chunks(table: DataFrame, schema: str, fn) -> DataFrame:
@@ -195,75 +209,75 @@ def _over_chunks(table: DataFrame, schema: str, fn) -> DataFrame:
     return table.mapInArrow(run, struct)
 
 
-_GRAMS = "chunk long, slot int, key long, n long"
+_GRAMS = "chunk long, size int, range int, n long, key binary, own binary"
+_TOTALS = "chunk long, size int, range int, n long, more binary, distinct long"
 
 
-def _grams(chunk: int, slot: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[dict]:
-    for lo in range(0, len(slot), ROWS):
-        part = slice(lo, lo + ROWS)
-        yield {"chunk": np.full(len(slot[part]), chunk), "slot": slot[part].astype(np.int32), "key": key[part].view(np.int64), "n": n[part]}
+def _grams(chunk: int, size: int, key: np.ndarray, own: np.ndarray, ranges: int) -> Iterator[dict]:
+    """A chunk's n-grams of ``size`` words by ranges of their keys, in the order of the keys."""
+    order = np.argsort(key, kind="stable")
+    key, own = key[order], own[order]
+    of = ((key >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    ends = np.searchsorted(of, np.arange(ranges + 1, dtype=np.uint64))
+    for i in np.flatnonzero(np.diff(ends)):
+        part = slice(ends[i], ends[i + 1])
+        yield {"chunk": [chunk], "size": [size], "range": [i], "n": [part.stop - part.start],
+               "key": [_pack(_steps(key[part]))], "own": [_pack(own[part])]}
 
 
-def _bigrams(r: dict) -> Iterator[dict]:
+def _short_grams(r: dict, ranges: int) -> Iterator[dict]:
     c = _chunk(r)
     c.bigrams()
-    yield from _grams(r["chunk"], np.arange(len(c.key2)), c.key2, c.n2)
+    yield from _grams(r["chunk"], 1, c.words, c.n1, ranges)
+    yield from _grams(r["chunk"], 2, c.key2, c.n2, ranges)
 
 
-def _trigrams(r: dict) -> Iterator[dict]:
+def _trigrams(r: dict, ranges: int) -> Iterator[dict]:
     c = _chunk(r)
     c.bigrams()
     c.trigrams()
-    ask = c.asked(_unpack(r["shared2"], r["shared2_bytes"], bool))
-    yield from _grams(r["chunk"], np.arange(len(ask)), c.key3[ask], c.n3[ask])
-
-
-def _elsewhere(grams: DataFrame, name: str) -> DataFrame:
-    """(c, name: array of (slot, total, more)) per chunk: the corpus-wide counts of its n-grams that other chunks hold, too.
-    ``more`` tells that another chunk comes first among those that were taught it. A key has one row per chunk at most."""
-    w = Window.partitionBy("key")
-    first = F.min(F.when(F.col("n") > 0, F.col("chunk"))).over(w)
-    rows = (grams.withColumn("total", F.sum("n").over(w)).withColumn("more", (F.col("n") > 0) & (first != F.col("chunk")))
-            .withColumn("holders", F.count("*").over(w)).where("holders > 1"))
-    return rows.groupBy(F.col("chunk").alias("c_" + name)).agg(F.collect_list(F.struct("slot", "total", "more")).alias(name))
-
-
-def _with_found(table: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """``table`` with three arrays instead of one of structs."""
-    return (table.join(found, F.col("chunk") == F.col("c_" + name), "left")
-            .select(*table.columns, *(F.col(f"{name}.{f}").alias(f"{name}_{f}") for f in ("slot", "total", "more"))))
-
-
-def _filled(own: np.ndarray, slot: np.ndarray | None, total: np.ndarray | None) -> np.ndarray:
-    out = own.astype(np.int64)
-    if slot is not None:
-        out[slot] = total
-    return out
-
-
-def _count(r: dict) -> Iterator[dict]:
-    c = _chunk(r)
-    c.bigrams()
-    total1 = _filled(c.n1, r["f1_slot"], r["f1_total"])
-    total2 = _filled(c.n2, r["f2_slot"], r["f2_total"])
-    out = {k: [r[k]] for k in ("chunk", "doc_id", "held", "sizes", "words", "n1", "token", "token_bytes")}
-    shared2 = np.zeros(len(c.n2), bool)
-    if r["f2_slot"] is not None:
-        shared2[r["f2_slot"]] = True
-    for k, x in (("total1", total1), ("total2", total2), ("shared2", shared2)):
-        packed, size = _pack(x)
-        out |= {k: [packed], k + "_bytes": [size]}
-    later = 0 if r["f1_more"] is None else int(r["f1_more"].sum())
-    yield out | {"tokens": [int(c.n1.sum())], "kinds": [int((c.n1 > 0).sum()) - later], "texts": [int((~r["held"].astype(bool)).sum())]}
-
-
-def counted(table: DataFrame) -> DataFrame:
-    """Written chunks with the corpus-wide counts of their words and bigrams, and what they add to the numbers of tokens,
-    distinct words and texts that are learned from."""
-    words = table.select("chunk", F.posexplode(F.arrays_zip("words", "n1")).alias("slot", "w")).select(
-        "chunk", "slot", F.col("w.words").alias("key"), F.col("w.n1").alias("n"))
-    both = _with_found(_with_found(table, _elsewhere(words, "f1"), "f1"), _elsewhere(_over_chunks(table, _GRAMS, _bigrams), "f2"), "f2")
-    return written(_over_chunks(both, _COUNTED, _count), "lm-counted")
+    ask = c.asked(_found(r, 2, c.key2, c.n2)[1])
+    yield from _grams(r["chunk"], 3, c.key3[ask], c.n3[ask], ranges)
+
+
+def _totals(grams: DataFrame) -> DataFrame:
+    """For each row of ``grams`` what other chunks counted of its n-grams: twice the number, and one if any holds it.
+    ``distinct`` of a range's rows adds up to its n-grams that are learned from. A key has one row per chunk at most."""
+    arrow = _arrow_schema(StructType.fromDDL(_TOTALS))
+
+    def add(rows: pa.Table) -> pa.Table:
+        sizes = rows["n"].to_pylist()
+        key, own = np.empty(sum(sizes), np.uint64), np.empty(sum(sizes), np.int64)
+        ends = np.cumsum(sizes)
+        for end, n, k, o in zip(ends, sizes, rows["key"], rows["own"]):
+            key[end - n:end] = np.cumsum(_unpack(k.as_py(), n, np.uint64), dtype=np.uint64)
+            own[end - n:end] = _unpack(o.as_py(), n, np.int64)
+        order = np.argsort(key, kind="stable")
+        key, counts = key[order], own[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        holders, total = np.diff(np.append(first, len(key))), np.add.reduceat(counts, first)
+        more = np.empty(len(key), np.int64)
+        more[order] = 2 * (np.repeat(total, holders) - counts) + np.repeat(holders > 1, holders)
+        distinct = [int(np.count_nonzero(total))] + [0] * (len(sizes) - 1)
+        return pa.table([rows["chunk"], rows["size"], rows["range"], rows["n"],
+                         pa.array([_pack(more[end - n:end]) for end, n in zip(ends, sizes)], pa.binary()),
+                         pa.array(distinct, pa.int64())], schema=arrow)
+
+    return grams.groupBy("size", "range").applyInArrow(add, _TOTALS)
+
+
+def _with_found(table: DataFrame, totals: DataFrame) -> DataFrame:
+    found = totals.groupBy(F.col("chunk").alias("of")).agg(
+        F.array_sort(F.collect_list(F.struct("size", "range", "n", "more"))).alias("found"))
+    return table.join(found, F.col("chunk") == F.col("of")).drop("of")
+
+
+def _found(r: dict, size: int, key: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The corpus-wide counts of a chunk's n-grams, and whether other chunks hold them, too."""
+    parts = [_unpack(f["more"], f["n"], np.int64) for f in r["found"] if f["size"] == size]
+    more = np.empty(len(key), np.int64)
+    more[np.argsort(key, kind="stable")] = np.concatenate(parts) if parts else 0
+    return own + (more >> 1), (more & 1).astype(bool)
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2) -> DataFrame:
@@ -277,22 +291,22 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        held_out(F.col(id_col), mod, rest).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     table = chunks(docs)
-    known = counted(table)
-    dropped(table)
-    tokens_, kinds, texts = (int(x or 0) for x in known.agg(F.sum("tokens"), F.sum("kinds"), F.sum("texts")).first())
+    n_tokens, tokens_, texts = (int(x or 0) for x in table.agg(F.sum("n_tokens"), F.sum("learned"), F.sum("texts")).first())
+    ranges = -(-n_tokens // RANGE) or 1
+    short = written(_totals(_over_chunks(table, _GRAMS, lambda r: _short_grams(r, ranges))), "lm-totals")
+    kinds = int(short.where("size = 1").agg(F.sum("distinct")).first()[0] or 0)
+    long = _totals(_over_chunks(_with_found(table, short.where("size = 2")), _GRAMS, lambda r: _trigrams(r, ranges)))
 
     def score(r: dict) -> Iterator[dict]:
         c = _chunk(r)
         c.bigrams()
         c.trigrams()
-        total1, total2 = (_unpack(r[k], r[k + "_bytes"], np.int64) for k in ("total1", "total2"))
-        total3 = c.n3.copy()
-        if r["f3_slot"] is not None:
-            total3[c.asked(_unpack(r["shared2"], r["shared2_bytes"], bool))[r["f3_slot"]]] = r["f3_total"]
+        (total1, _), (total2, shared2) = _found(r, 1, c.words, c.n1), _found(r, 2, c.key2, c.n2)
+        ask, total3 = c.asked(shared2), c.n3.copy()
+        total3[ask] = _found(r, 3, c.key3[ask], c.n3[ask])[0]
         n_known, base, full = c.score(total1, total2, total3, tokens_, kinds, texts)
         yield {"doc_id": r["doc_id"], "held_out": r["held"].astype(bool), "n_tokens": c.sizes,
                "n_known": n_known, "base_score": base, "score": full}
 
-    rows = _with_found(known.drop("tokens", "kinds", "texts"), _elsewhere(_over_chunks(known, _GRAMS, _trigrams), "f3"), "f3")
-    return _over_chunks(rows, _SCORES, score).select("doc_id", "held_out", "n_tokens", "n_known",
-                                                     F.lit(tokens_).cast("long").alias("train_tokens"), "base_score", "score")
+    return _over_chunks(_with_found(table, short.union(long)), _SCORES, score).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens_).cast("long").alias("train_tokens"), "base_score", "score")

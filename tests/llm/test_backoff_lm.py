@@ -1,5 +1,9 @@
+import contextlib
+import glob
 import math
+import os
 import re
+import threading
 import zlib
 from collections import Counter
 
@@ -91,3 +95,33 @@ def test_no_training_rows(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     got = backoff_lm.score_corpus(spark.createDataFrame([(held, "a b"), (held, None)], "doc_id long, text string")).collect()
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got) == [(1, 0, 0, 0, 0), (3, 0, 0, 0, 0)]
+
+
+def test_less_is_shuffled_than_a_row_for_every_ngram(spark, monkeypatch):
+    """Chunks aren't shuffled and their n-grams go out packed."""
+    monkeypatch.setattr(backoff_lm, "CHUNK", 1 << 18)
+    docs = spark.range(0, 6000, 1, 4).select(
+        F.col("id").alias("doc_id"),
+        F.concat_ws(" ", *(F.hex(F.xxhash64("id", F.lit(i)) % (1 << 14)) for i in range(60))).alias("text"))
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    sizes, done = {}, threading.Event()
+
+    def watch():  # shuffles may be deleted when a query ends
+        while not done.wait(0.02):
+            for path in (p for f in folders for p in glob.glob(f"{f}/*/shuffle_*.data")):
+                with contextlib.suppress(OSError):
+                    sizes[path] = os.path.getsize(path)
+
+    watch_ = threading.Thread(target=watch)
+    old = {p for f in folders for p in glob.glob(f"{f}/*/shuffle_*.data")}
+    watch_.start()
+    try:
+        got = backoff_lm.score_corpus(docs).collect()
+    finally:
+        done.set()
+        watch_.join()
+    n = sum(g["n_tokens"] for g in got)
+    assert n == 6000 * 61
+    shuffled = sum(x for p, x in sizes.items() if p not in old)
+    print(f"{shuffled / n:.1f} bytes a token")
+    assert 0 < shuffled < 24 * n
