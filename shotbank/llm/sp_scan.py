@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -36,8 +37,11 @@ CHUNK = 1 << 14
 UNIT = 64
 #: Units that a worker remembers, at most.
 REMEMBER = 150_000
+#: Units that are encoded at a time, at most; fewer than ``FEW`` one by one.
+BATCH = 1 << 14
+FEW = 64
 #: Bytes of rows that a worker has in hand at a time.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 State = tuple[int, int]  # a piece from a to b; (0, 0) before the first
 
@@ -165,9 +169,24 @@ class Vocabulary:
         last = self.walk(unit, (0, 0), len(unit))
         return np.array([i for a, b in self.back(last, len(unit), 0) for i in self.ids_of(unit[a:b])], np.int32).tobytes()
 
+    @cached_property
+    def joins(self) -> _Joins:
+        return _Joins(self.ids, self.loss)
+
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit: of short ones together, if they have no other characters than pieces."""
+        if len(units) < FEW:
+            return list(map(self.encode_unit, units))
+        return [self.encode_unit(u) if x is None else x for u, x in zip(units, self.joins.encode(units))]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of normalised texts (see :func:`normal`)."""
+        parts = [list(map(self.units.__getitem__, self.unit.findall(t))) for t in texts]
+        self.units.fill()
+        return [np.frombuffer(b"".join(p), np.int32) for p in parts]
+
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a normalised text (see :func:`normal`)."""
-        return np.frombuffer(b"".join(map(self.units.__getitem__, self.unit.findall(text))), np.int32)
+        return self.encode_all([text])[0]
 
     # --- chunks -------------------------------------------------------------------------------------
 
@@ -237,31 +256,131 @@ class Vocabulary:
         out += self.encode(text[first:last]).tolist()
         return out + [i for x, y in rest for i in self.ids_of(text[x:y])]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | pa.Array) -> str:
         """The text of ids: bytes are put together, spaces come back, the added first space goes."""
         if not hasattr(self, "_raw"):
-            self._raw = [bytes([int(p[3:5], 16)]) if k == "byte" else p.replace(SPACE, " ").encode() if k == "piece"
-                         else b" \xe2\x81\x87 " if k == "unknown" else b"" for p, k in zip(self.pieces, self.kinds)]
-        raw = b"".join(map(self._raw.__getitem__, ids))
+            self._raw = pa.array([bytes([int(p[3:5], 16)]) if k == "byte" else p.replace(SPACE, " ").encode() if k == "piece"
+                                  else b" \xe2\x81\x87 " if k == "unknown" else b"" for p, k in zip(self.pieces, self.kinds)],
+                                 pa.large_binary())
+        ids = ids if isinstance(ids, pa.Array) else pa.array(ids, pa.int32())
+        _, ends, data = self._raw.take(ids).buffers()
+        raw = data.slice(0, int(np.frombuffer(ends, np.int64)[len(ids)])).to_pybytes() if len(ids) else b""
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+class _Joins:
+    """The definition of :meth:`Vocabulary.merged` for many units at a time: in each round every unit's two neighbours
+    with the best score, the first of them, are joined. Pieces are their ids; a table by hash tells what two make."""
+
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, ids: dict[str, int], loss: dict[str, float]):
+        chars = [(ord(p), i) for p, i in ids.items() if len(p) == 1]
+        self.of_char = np.full(max((c for c, _ in chars), default=0) + 2, -1, np.int64)  # the last: all beyond
+        for c, i in chars:
+            self.of_char[c] = i
+        self.width = max(ids.values(), default=0) + 1
+        self.rank = np.zeros(self.width, np.int64)
+        if ids:
+            self.rank[list(ids.values())] = np.unique([loss[p] for p in ids], return_inverse=True)[1]
+        splits = [(ids[p[:k]] * self.width + ids[p[k:]], i) for p, i in ids.items() for k in range(1, len(p))
+                  if p[:k] in ids and p[k:] in ids]
+        code, made = np.array(splits, np.int64).reshape(-1, 2).T
+        bits = max(4, (4 * len(code)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.code, self.made = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        at = self._slot(code)
+        while len(code):  # a code that finds its slot taken goes to the next
+            free = np.flatnonzero(self.code[at] < 0)
+            first = free[np.unique(at[free], return_index=True)[1]]
+            self.code[at[first]], self.made[at[first]] = code[first], made[first]
+            rest = np.setdiff1d(np.arange(len(code)), first)
+            code, made, at = code[rest], made[rest], (at[rest] + 1) & self.mask
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that two make, or -1."""
+        code = left * self.width + right
+        at = self._slot(code)
+        found = self.code[at]
+        out = np.where(found == code, self.made[at], -1)
+        go = np.flatnonzero((found != code) & (found >= 0))
+        while len(go):
+            at[go] = (at[go] + 1) & self.mask
+            found = self.code[at[go]]
+            out[go] = np.where(found == code[go], self.made[at[go]], -1)
+            go = go[(found != code[go]) & (found >= 0)]
+        return out
+
+    def encode(self, units: list[str]) -> list[bytes | None]:
+        """Packed ids of each unit; None for long units and those with a character that is no piece."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        piece = self.of_char[np.minimum(chars, len(self.of_char) - 1)]
+        unit = np.repeat(np.arange(len(units)), sizes)
+        odd = sizes > UNIT
+        odd[unit[piece < 0]] = True
+        keep = ~odd[unit]
+        piece, unit = piece[keep], unit[keep]
+        place = np.arange(len(piece))
+        made, key = np.full(len(piece), -1, np.int64), np.full(len(piece), self.NONE, np.int64)
+        changed = place
+        done = []
+        while len(piece):
+            changed = changed[changed + 1 < len(piece)]
+            changed = changed[unit[changed] == unit[changed + 1]]
+            made[changed] = m = self.join(piece[changed], piece[changed + 1])
+            key[changed] = np.where(m >= 0, (self.rank[m] << 32) | place[changed], self.NONE)
+            start = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            size = np.diff(np.append(start, len(piece)))
+            best = np.minimum.reduceat(key, start)
+            live = best < self.NONE
+            on = np.repeat(live, size)
+            done.append((unit[~on], piece[~on]))
+            hit = on & (key == np.repeat(best, size))
+            piece[hit] = made[hit]
+            on[1:] &= ~hit[:-1]
+            # a joined piece may now join either neighbour; as the last of its unit it joins none
+            key[hit] = self.NONE
+            at = np.flatnonzero(hit[on])
+            piece, unit, place, made, key = piece[on], unit[on], place[on], made[on], key[on]
+            changed = np.concatenate([at, at[at > 0] - 1])
+        unit, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*done)) or ((), ())))
+        raw = piece[np.argsort(unit, kind="stable")].astype(np.int32).tobytes()
+        ends = 4 * np.cumsum(np.bincount(unit, minlength=len(units)))
+        return [None if o else raw[a:b] for o, a, b in zip(odd.tolist(), [0, *ends.tolist()], ends.tolist())]
+
+
 class _Units(dict):
-    """Encodings of units, found when first asked for. When full, those not asked for since the last
-    time go."""
+    """Encodings of units. One that isn't known is an empty place until :meth:`fill` encodes all of them. When full,
+    those not asked for since the last time go."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.older = vocabulary, {}
-
-    def __missing__(self, unit: str) -> bytes:
-        out = self.older.get(unit) or self.vocabulary.encode_unit(unit)
-        if len(unit) <= UNIT:
-            if len(self) >= REMEMBER:
-                self.older = dict(self)
-                self.clear()
-            self[unit] = out
+        self.vocabulary, self.older, self.empty = vocabulary, {}, {}
+
+    def __missing__(self, unit: str) -> bytes | bytearray:
+        if len(unit) > UNIT:
+            return self.vocabulary.encode_unit(unit)
+        if len(self) >= REMEMBER:
+            self.fill()
+            self.older = dict(self)
+            self.clear()
+        out = self.older.get(unit)
+        if out is None:
+            if len(self.empty) >= BATCH:
+                self.fill()
+            out = self.empty[unit] = bytearray()
+        self[unit] = out
         return out
 
+    def fill(self) -> None:
+        for (unit, place), ids in zip(self.empty.items(), self.vocabulary.encode_units(list(self.empty))):
+            place[:] = ids
+            self[unit] = ids
+        self.empty = {}
+
 
 def normal(text: str) -> str:
     """A space before the text, and all spaces as the pieces have them; an empty text stays empty."""
@@ -316,7 +435,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
 
     def small(cols: dict) -> dict:
         v = shared.value
-        ids = [v.encode(normal(t)) if t else np.zeros(0, np.int32) for t in cols["text"].to_pylist()]
+        ids = v.encode_all([normal(t or "") for t in cols["text"].to_pylist()])
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
         values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
         return {"doc_id": cols["doc_id"], "text": cols["text"], "ids": pa.ListArray.from_arrays(offsets, values),
@@ -383,7 +502,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     def run(cols: dict) -> dict:
         v = shared.value
         return {**{c: cols[c] for c in ("doc_id", "text", "ids", "n_chunks")},
-                "decoded": [v.decode(x.values.tolist()) for x in cols["ids"]]}
+                "decoded": [v.decode(x.values) for x in cols["ids"]]}
 
     return map_rows(encoded, "doc_id long, text string, ids array<int>, n_chunks int, decoded string", run, SLICE)
 
@@ -400,7 +519,7 @@ def digest(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             out["n_chars"].append(len(text))
             out["n_tokens"].append(len(ids))
             out["ids_sha256"].append(hashlib.sha256(ids.to_numpy().astype("<i4", copy=False).tobytes()).hexdigest())
-            out["round_trip"].append(v.decode(ids.tolist()) == text)
+            out["round_trip"].append(v.decode(ids) == text)
         return {"doc_id": cols["doc_id"], "n_chunks": cols["n_chunks"], **out}
 
     return map_rows(encoded.select("doc_id", "text", "ids", "n_chunks"),

@@ -79,3 +79,33 @@ def test_units_of_pieces_are_joined_from_packed_ids(vocabulary, monkeypatch):
     want = [[i for p in vocabulary.merged(u) for i in vocabulary.ids_of(p)] for u in units]
     monkeypatch.setattr(vocabulary, "ids_of", None)
     assert [np.frombuffer(vocabulary.encode_unit(u), np.int32).tolist() for u in units] == want
+
+
+def test_new_units_are_encoded_together(vocabulary, monkeypatch):
+    """As the definition has them, also ties, long units, unknown characters and units whose place was given up; plain ones
+    are not encoded one by one."""
+    rng = random.Random(3)
+    units = list({"".join(rng.choice("▁thetionsabcéü00") for _ in range(rng.randint(1, 20))) for _ in range(3000)})
+    odd = ["aaaaaaaa", "▁▁▁▁▁", "x" * 70, "th" * 40, "ข門😀the", "\x00", "ⅷab"]
+    want = {u: b"".join(np.int32(i).tobytes() for p in vocabulary.merged(u) for i in vocabulary.ids_of(p)) for u in units + odd}
+    assert vocabulary.encode_units(units + odd) == [want[u] for u in units + odd]
+    monkeypatch.setattr(sp_scan, "REMEMBER", 500)
+    monkeypatch.setattr(sp_scan, "BATCH", 200)
+    v = sp_scan.Vocabulary.load()
+    monkeypatch.setattr(v, "merged", None)
+    words = ["".join(rng.choice("thetionsabc") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    texts_ = ["▁" + "▁".join(words[i:i + 300]) for i in range(0, 3000, 300)] * 2
+    monkeypatch.setattr(sp_scan, "FEW", 0)
+    got = v.encode_all(texts_)
+    assert [x.tolist() for x in got] == [vocabulary.encode(t).tolist() for t in texts_]
+
+
+def test_joins_of_a_small_vocabulary():
+    """A piece may hold characters that are no pieces; scores may be equal."""
+    pieces = ["a", "b", "c", "ab", "bc", "abc", "ax", "ca", "aa"]
+    v = sp_scan.Vocabulary(["<unk>", *pieces], [0.0, 0, 0, 0, -1, -1, -2, -3, -2, -1], ["unknown", *["piece"] * len(pieces)])
+    rng = random.Random(4)
+    units = list({"".join(rng.choice("abcax") for _ in range(rng.randint(1, 12))) for _ in range(2000)})
+    want = [[i for p in v.merged(u) for i in v.ids_of(p)] for u in units]
+    assert [np.frombuffer(x, np.int32).tolist() for x in v.encode_units(units)] == want
+    assert sp_scan.Vocabulary(["<unk>"], [0.0], ["unknown"]).encode_units(["ab", "c"] * 50) == [np.int32(0).tobytes() * 2, np.int32(0).tobytes()] * 50
