@@ -36,9 +36,9 @@ CHUNK = 1 << 14
 #: Longer units are encoded by the best path, whose time is linear.
 UNIT = 64
 #: Units that a worker remembers, at most.
-REMEMBER = 150_000
+REMEMBER = 50_000
 #: Units that are encoded at a time, at most; fewer than ``FEW`` one by one.
-BATCH = 1 << 14
+BATCH = 1 << 12
 FEW = 64
 #: Bytes of rows that a worker has in hand at a time.
 SLICE = 1 << 20
