@@ -290,7 +290,7 @@ def over_groups(df: DataFrame, group: list[str], schema: str, fn, rows: int = 20
     one contiguous from its place in ``starts`` on. No group may be larger than memory: they are tiles."""
     from pyspark.sql.types import StructType
 
-    from shotbank.llm.common import _arrow_schema
+    from shotbank.llm.common import _arrow_schema, in_batches
 
     struct = StructType.fromDDL(schema)
     out_schema, names = _arrow_schema(struct), df.columns
@@ -317,7 +317,7 @@ def over_groups(df: DataFrame, group: list[str], schema: str, fn, rows: int = 20
         got = fn(frame.to_pandas(), _starts(frame, group))
         yield from pa.Table.from_pandas(got, schema=out_schema, preserve_index=False).to_batches()
 
-    return df.repartition(*group).sortWithinPartitions(*group).select(*names).mapInArrow(run, struct)
+    return in_batches(df.repartition(*group).sortWithinPartitions(*group).select(*names), run, struct)
 
 
 def _starts(frame: pa.Table, group: list[str]) -> np.ndarray:

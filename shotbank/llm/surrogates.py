@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotbank.llm.common import fresh, map_rows, written
+from shotbank.llm.common import fresh, in_batches, map_rows, written
 
 KEY = b"replace this key in production"
 #: Redrawn entities are shipped to the tasks up to this many, and joined by a shuffle beyond.
@@ -567,4 +567,4 @@ def rewrite(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFr
             cols[text_col] = pa.array([rewrite_one(t, m)[0] for t, m in zip(texts, mine)], pa.string())
             yield pa.RecordBatch.from_arrays([cols[f.name] for f in schema], names=[f.name for f in schema])
 
-    return rows.mapInArrow(run, schema)
+    return in_batches(rows, run, schema)
