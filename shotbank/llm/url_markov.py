@@ -199,10 +199,21 @@ def counted(labelled: DataFrame) -> DataFrame:
 
     counts = (map_rows(labelled, _COUNTS, run, slice_bytes=1 << 20).groupBy("n", "context", "byte", "fold")
               .agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")))
-    counts = written(counts, "url-counts")
+    return written(_used(written(counts, "url-counts")), "url-used")
+
+
+def _used(counts: DataFrame) -> DataFrame:
+    """The rows of ``counts`` of contexts that a model uses."""
     seen = counts.groupBy(F.col("n").alias("m"), F.col("context").alias("c")).agg(F.sum("allow").alias("x"), F.sum("block").alias("y"))
-    used = seen.where((F.col("x") >= SEEN) | (F.col("y") >= SEEN)).select("m", "c")
-    return written(counts.join(used, (F.col("n") == F.col("m")) & (F.col("context") == F.col("c"))).drop("m", "c"), "url-used")
+    return _told(seen.where((F.col("x") >= SEEN) | (F.col("y") >= SEEN)).select("m", "c"), counts).drop("m", "c")
+
+
+def _told(asks: DataFrame, counts: DataFrame) -> DataFrame:
+    """``asks(m, c, ..)`` with the counts of their contexts.
+
+    Both sides are shuffled at every size: they are packed tightly on disk, and Spark takes the contexts of urls for no more
+    bytes than the urls, so by its own rule it would send a table of hundreds of MB through the driver."""
+    return asks.join(counts.hint("merge"), (F.col("m") == F.col("n")) & (F.col("c") == F.col("context")))
 
 
 def _in_chunks(urls: DataFrame, chunk: int) -> DataFrame:
@@ -240,7 +251,7 @@ def score(urls: DataFrame, counts: DataFrame, chunk: int = CHUNK) -> DataFrame:
         return {"asker": pa.array(flat[0]), "m": pa.array(flat[1].astype(np.int32)), "c": pa.array(flat[2])}
 
     asks = map_rows(chunks.select("chunk", "url"), "asker long, m int, c long", asked, slice_bytes=1 << 20).distinct()
-    told = asks.join(counts, (F.col("m") == F.col("n")) & (F.col("c") == F.col("context"))).select("asker", *counts.columns)
+    told = _told(asks, counts).select("asker", *counts.columns)
     struct = StructType([*urls.schema.fields, *StructType.fromDDL("score double").fields])
     arrow = _arrow_schema(struct)
 
