@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shotbank.operators import ivf
 from shotbank.operators.knn import knn
+from shotbank.session import scratch_path
 from shotbank.sources import fixtures as fx
 from tests.conftest import SF_MID, SF_SMALL
 
@@ -301,6 +302,30 @@ def test_lexical_search_scores_few_pairs_in_double(spark, monkeypatch):
     assert max(sizes) <= 1 << 20 and top.result()[1][:3].tolist() == [0, 1, 2]
 
 
+def test_lexical_search_scores_few_pairs_of_texts_without_topics(spark):
+    """5,000 texts of one vocabulary, where nearly every block may hold a hit: searched in part first, then folded vectors rule
+    out most pairs, and tasks return few rows. Some queries have no hit, no k hits, several forms or no id."""
+    from shotbank.operators import embed as emb, lexical
+
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join(f"w{int(w)}" for w in np.minimum(rng.zipf(1.3, n), 3000))
+    rows = [(f"d{i:05d}", words(25)) for i in range(5000)]
+    kb = emb.lexical_vectors(spark.createDataFrame(rows + [(f"e{i}", rows[i][1]) for i in range(40)] + [("only", "zzz")], "id string, text string"), "text")
+    asked = [(i, words(12)) for i in range(80)] + [(3, words(12)), (90, "yyyy xxxx"), (91, "zzz"), (92, rows[7][1]), (None, words(12)), (None, words(9))]
+    q = emb.lexical_vectors(spark.createDataFrame(asked, "query_id long, text string"), "text")
+    key = lambda r: (r.query_id is not None, r.query_id or 0, r.rank)
+    want = sorted((r for r in knn(q, kb, 5).collect() if r.score > 0), key=key)
+    path = scratch_path(spark, "index")
+    lexical.build_index(kb).write.parquet(path)
+    index = spark.read.parquet(path)
+    assert index.count() > 256
+    info: dict = {}
+    found = lexical.search(q, index, 5, info=info)
+    assert sorted(found.collect(), key=key) == want
+    assert info["pairs"].value == len(asked) * 5041 and info["scored"].value < 0.2 * info["pairs"].value
+    assert sorted(lexical.search(q, index, 5, block_bytes=8 * 1024 * 30).collect(), key=key) == want
+
+
 def test_self_join_has_a_partition_for_few_tile_pairs(spark, monkeypatch):
     from shotbank.operators import knn as knn_op
 
